@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, packing
+from twinsift.llm import bpe, langid, packing, quality, secrets
 from twinsift.plans.storage import arrow_rows
 
 
@@ -31,6 +31,35 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find secrets in every whole text."""
+    found = secrets.find_secrets(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda f: f["p"].isNull())
+    count = lambda kind: F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every whole text; a quarter of the documents is held out of learning."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    langs, prototypes = langid.learn(docs.where(~held))
+    return docs.select("doc_id", held.alias("held_out"), langid.predict(F.col("text"), langs, prototypes).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text for quality; a fifth of the documents is held out of learning."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality.learn(docs, labels.where(~held))
+    scored = docs.select("doc_id", held.alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens.
 
@@ -43,6 +72,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_secrets": op4_secrets,
+    "op7_langid": op7_langid,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
