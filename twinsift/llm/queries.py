@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, langid, packing, quality, secrets
+from twinsift.llm import bpe, chat, flac, langid, packing, quality, secrets
 from twinsift.plans.storage import arrow_rows
 
 
@@ -42,6 +42,44 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that holds control strings, and read everything back from the examples."""
+    said = "\\### Assistant: </turn> ok"
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    examples = chat.format_chats(turns.unionByName(odd))
+    parsed = chat.turns_of(F.col("text"))
+    lines = F.array_join(F.transform(parsed, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = examples.select(
+        "conv_id", "example", F.length("text").cast("long").alias("chars"),
+        chat.loss_text(F.col("text"), F.col("loss_start"), F.col("loss_length")).alias("loss"),
+        F.when(F.col("last"), F.size(parsed).cast("long")).alias("n"), F.when(F.col("last"), F.sha2(lines, 256)).alias("sha"),
+    )
+    by_conv = read.groupBy("conv_id").agg(
+        F.max("n").alias("n_turns"), F.max("sha").alias("turns_sha256"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    return by_conv.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every whole text as a FLAC stream and read it back."""
+    arrow_rows(spark, 500)
+    stored = _documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), flac.flac_of_text(F.col("text")).alias("media"))
+    back = stored.withColumn("d", flac.decoded(F.col("media")))
+    return back.select(
+        "doc_id", "n_bytes",
+        F.octet_length("d.pcm").cast("long").alias("payload_bytes"),
+        F.sha2("d.pcm", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(d.pcm, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.col("d.feature").alias("feature"),
+        F.size("d.blocks").cast("long").alias("n_blocks"),
+    )
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every whole text; a quarter of the documents is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -73,8 +111,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op6_chat": op6_chat,
     "op7_langid": op7_langid,
+    "op8_flac": op8_flac,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # n_turns, digests and lengths follow from the turns themselves; formatted_chars from the template's lengths.
+    "op6_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), p AS (
+            SELECT *, 11 + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\e')) + 2
+                      + length(replace(replace(text, '\', '\b'), '<', '\l')) + 9 AS chars,
+                   row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        ), q AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM p)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' OR k = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM q GROUP BY conv_id""",
+}
