@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, chat, flac, langid, packing, quality, secrets
+from twinsift.llm import bpe, chat, flac, langid, packing, quality, secrets, spotsigs
 from twinsift.plans.storage import arrow_rows
 
 
@@ -42,6 +42,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint every whole text and its edited form."""
+    return spotsigs.fingerprint_chain(_documents(spark, sf_dir))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one that holds control strings, and read everything back from the examples."""
     said = "\\### Assistant: </turn> ok"
@@ -111,6 +116,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
+    "op5_spotsigs": op5_spotsigs,
     "op6_chat": op6_chat,
     "op7_langid": op7_langid,
     "op8_flac": op8_flac,
