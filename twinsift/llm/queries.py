@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, chat, flac, langid, packing, quality, secrets, spotsigs
+from twinsift.llm import bpe, chat, flac, langid, ngram_join, packing, quality, secrets, spotsigs
 from twinsift.plans.storage import arrow_rows
 
 
@@ -19,6 +19,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.near_duplicate_classes(_documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text and decode the ids again."""
     arrow_rows(spark)
@@ -114,6 +119,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_spotsigs": op5_spotsigs,
