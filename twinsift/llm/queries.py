@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, chat, flac, langid, ngram_join, packing, quality, secrets, spotsigs
+from twinsift.llm import bpe, chat, flac, langid, line_dedup, ngram_join, packing, quality, secrets, spotsigs
 from twinsift.plans.storage import arrow_rows
 
 
@@ -24,6 +24,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_classes(_documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier line or are one word from it."""
+    return line_dedup.drop_lines(_documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text and decode the ids again."""
     arrow_rows(spark)
@@ -120,6 +125,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
     "op4_secrets": op4_secrets,
     "op5_spotsigs": op5_spotsigs,
