@@ -124,8 +124,17 @@ def filetime_to_ms(filetime: Column | str) -> Column:
     return F.floor((t - t % 10_000) / 10_000).cast("long") - F.lit(11_644_473_600_000)
 
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def epoch_ms(ts: Column | str) -> Column:
+    """Milliseconds since 1970 of a timestamp without time zone."""
+    return F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), _c(ts).cast("timestamp_ntz"))
+
+
 def utc_text(ms: Column | str) -> Column:
-    return F.date_format(F.timestamp_millis(_c(ms)), "yyyy-MM-dd HH:mm:ss.SSS")
+    """UTC text of epoch milliseconds, whatever the session's time zone."""
+    return F.date_format(F.timestamp_add("MILLISECOND", _c(ms), F.expr(_EPOCH)), "yyyy-MM-dd HH:mm:ss.SSS")
 
 
 def one_line(text: Column | str) -> Column:

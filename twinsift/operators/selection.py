@@ -98,7 +98,7 @@ def decision(kind: Column, three_stage: bool = True, image_limit: float = 4, vid
 
 def safe_selection(members: DataFrame, retained: DataFrame, kind: Column, **limits) -> DataFrame:
     """Candidates beside their group's retained member with the decision; ``decision.allowed`` ones may be selected."""
-    kept = members.join(retained, "group_id").where(F.col("path_id") == F.col("retained_path_id")).drop("retained_path_id")
+    kept = members.join(retained, "group_id").where(F.col("path_id") == F.col("retained_path_id")).drop("retained_path_id").dropDuplicates(["group_id"])
     pairs = members.alias("c").join(kept.alias("r"), F.col("c.group_id") == F.col("r.group_id"))
     return pairs.select("c.group_id", "c.path_id", "c.size_bytes", F.col("r.path_id").alias("retained_path_id"), decision(kind, **limits).alias("decision"))
 
