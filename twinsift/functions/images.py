@@ -1,8 +1,8 @@
 """Pixel features of decoded gray images in NumPy, and their Arrow column forms.
 
 Images come as plain PPM (P3 or P6) bytes, the one format that needs no decoder
-library; others arrive as feature columns. Resampling is by area (box) means, so
-hashes agree with other resamplers in decisions, not bit by bit.
+library; others arrive as feature columns. Resampling is by box means downwards and
+linear upwards, so hashes agree with other resamplers in decisions, not bit by bit.
 """
 
 from __future__ import annotations
@@ -55,7 +55,10 @@ def luma(rgb: np.ndarray) -> np.ndarray:
 
 
 def _spread(source: int, target: int) -> np.ndarray:
-    """Matrix of box means from ``source`` to ``target`` samples."""
+    """Matrix of box means from ``source`` to ``target`` samples; of linear interpolation if there are more."""
+    if target > source:
+        at = np.clip((np.arange(target) + 0.5) * source / target - 0.5, 0, source - 1)
+        return np.clip(1 - np.abs(at[:, None] - np.arange(source)[None, :]), 0, 1)
     edges = np.linspace(0, source, target + 1)
     lo, hi = edges[:-1, None], edges[1:, None]
     cells = np.arange(source)[None, :]
