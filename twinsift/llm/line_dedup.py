@@ -26,7 +26,7 @@ Plan
 
 Null text stays null and has no lines. Rows with a null id stay as they are.
 Repeated rows (the same id) are one document: each gets the same lines. All other
-columns pass through. A text keeps its line feeds between the lines that stay.
+columns pass through (but for one called ``lines_dropped``, which is replaced). A text keeps its line feeds between the lines that stay.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.plans.storage import arrow_rows, materialize
+from twinsift.plans.storage import arrow_rows, free_name, materialize
 
 MIN_CHARS = 10
 NEAR_WORDS = 10
@@ -172,8 +172,9 @@ def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` with the dropped lines cut out of the text, and ``lines_dropped``, their number."""
-    gone = duplicate_lines(df, text_col, id_col).groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("pos").alias("gone"))  # of one document's lines
-    joined = df.join(gone, F.col(id_col).cast("long") == F.col("gone_doc"), "left")
+    place, lines = free_name(df, "gone_doc"), free_name(df, "gone_lines")
+    gone = duplicate_lines(df, text_col, id_col).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
+    joined = df.join(gone, F.col(id_col).cast("long") == F.col(place), "left")
 
     @F.arrow_udf("string")
     def cut(texts, gone):
@@ -187,5 +188,5 @@ def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
             out.append(text)
         return pa.array(out, pa.string())
 
-    kept = joined.withColumn(text_col, cut(F.col(text_col), F.col("gone"))).withColumn("lines_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return kept.select(*df.columns, "lines_dropped")
+    kept = joined.withColumn(text_col, cut(F.col(text_col), F.col(lines))).withColumn("lines_dropped", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    return kept.select(*[c for c in df.columns if c != "lines_dropped"], "lines_dropped")
