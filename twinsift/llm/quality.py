@@ -124,9 +124,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "label", "x"])
 
     found = rows.mapInArrow(describe, "id long, label int, x array<double>").toArrow()
+    if not found.num_rows:
+        return {}
     order = np.argsort(found.column("id").to_numpy(), kind="stable")
     x = np.array(found.column("x").to_pylist(), dtype=float).reshape(len(order), -1)[order]
-    return fit(x, found.column("label").to_numpy()[order]) if len(order) else {}
+    return fit(x, found.column("label").to_numpy()[order])
 
 
 def score(text: Column, model: dict) -> Column:
