@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions import bits, gates, images, media
-from twinsift.operators import cluster, exact, ingest, report, selection, simjoin
+from twinsift.operators import cluster, exact, ingest, report, selection, similar, simjoin
 from twinsift.operators.components import connected_components
 from twinsift.plans import generations, tables
 from twinsift.plans.storage import materialize, shared_dir
@@ -378,6 +378,49 @@ def hamming_hex(spark, d):
     return t.join(n, "doc_id").select(F.col("doc_id").alias("left_id"), "right_id", bits.hamming_hex("x", "y").cast("long").alias("distance"))
 
 
+def _repeated(word):
+    """A 16-bit number in all four quarters of a 64-bit word."""
+    out = word
+    for k in (16, 32, 48):
+        out = out.bitwiseOR(F.shiftleft(word, k))
+    return out
+
+
+def _hashed_images(spark, d):
+    s = tables.signatures(spark, d)
+    pdq, dhash = _repeated(F.col("w16")), _repeated(F.get("words", F.lit(1)))
+    return s.select("id", F.array(pdq, pdq, pdq, pdq).alias("image_pdq"), dhash.alias("image_dhash"), (F.col("id") % 101).cast("int").alias("image_pdq_quality"), F.lit(1600).alias("width"), (900 + F.col("id") % 3 * 4).alias("height"), _tiles("id").alias("image_zoned_phashes"))
+
+
+_CANDIDATES_SQL = tables.SIGNATURES + """,
+featured AS (SELECT *, id % 101 AS q, 900 + id % 3 * 4 AS h FROM signatures),
+pairs AS (SELECT a.id AS left_id, b.id AS right_id, abs(b.h - a.h) * 1600 * 100 <= greatest(1600 * b.h, 1600 * a.h) AS aspect, a.q >= 50 AND b.q >= 50 AS std,
+    16 * CAST(bit_count(xor(a.w16, b.w16)) AS INTEGER) AS pdq, 4 * CAST(bit_count(xor(a.w1, b.w1)) AS INTEGER) AS dh FROM featured AS a JOIN featured AS b ON a.id < b.id)"""
+
+
+@query("""SELECT left_id, right_id, CASE WHEN pdq <= CASE WHEN std THEN 31 ELSE 24 END THEN 'Pdq' ELSE 'DHashFallback' END AS route, pdq AS pdq_distance, dh AS dhash_distance, NOT std AS low_quality FROM pairs
+    WHERE aspect AND (pdq <= CASE WHEN std THEN 31 ELSE 24 END OR dh <= CASE WHEN std THEN 4 ELSE 2 END)""", _CANDIDATES_SQL)
+def image_candidates(spark, d):
+    """Both routes of the primary gate, each pair once."""
+    return similar.image_candidates(_hashed_images(spark, d))
+
+
+@query()
+def image_pipeline(spark, d):
+    """From pictures (each in two brightnesses) to similarity groups: features, candidates, zoned and structural gates, clusters."""
+    both = _pictures(spark, d).select((F.col("vec_id") * 2).alias("id"), "content").unionByName(_pictures(spark, d, 134).select((F.col("vec_id") * 2 + 1).alias("id"), "content"))
+    f = materialize(both.select("id", images.features(F.col("content")).alias("f")).select("id", "f.*"), "features")
+    staged = materialize(similar.image_edges(f, f.select("id", "plane")), "staged")
+    return cluster.complete_link(staged.where("structure_ok").withColumn("distance", F.col("pdq_distance")))[0]
+
+
+@query(f"""SELECT left_id, right_id, total_distance FROM (SELECT a.id AS left_id, b.id AS right_id, CAST({_FRAME_SUM} AS INTEGER) AS total_distance, abs(a.ms - b.ms) AS dd
+    FROM usable AS a JOIN usable AS b ON a.id < b.id) AS x WHERE total_distance <= 90 AND dd <= 2000""", tables.SIGNATURES + ", usable AS (SELECT * FROM signatures WHERE " + " AND ".join(f"f{k} <> 0" for k in range(6)) + " AND " + " + ".join(f"8 * CAST(bit_count(xor(f{i}, f{j})) AS INTEGER)" for i in range(6) for j in range(i + 1, 6)) + " >= 75)")
+def video_edges(spark, d):
+    s = tables.signatures(spark, d).select("id", F.col("frames").alias("video_dhashes"), F.col("ms").alias("video_duration_ms"))
+    return similar.video_edges(s, 15).select("left_id", "right_id", "total_distance")
+
+
 # --- clustering ---------------------------------------------------------------------
 
 _CHAIN = tables.SIGNATURES + """,
@@ -708,10 +751,10 @@ def log_runs(spark, d):
 # --- pixels ----------------------------------------------------------------------
 
 
-def _pictures(spark, d):
+def _pictures(spark, d, middle=128):
     """Small pictures drawn from embeddings: raw PPM of 16 x 4 pixels."""
     e = tables.table(spark, d, "embeddings")
-    shade = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest((x * 40 + 128).cast("long"), F.lit(0)), F.lit(255))), 2, "0"))
+    shade = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest((x * 40 + middle).cast("long"), F.lit(0)), F.lit(255))), 2, "0"))
     body = F.array_join(F.transform(shade, lambda h: F.concat(h, h, h)), "")
     return e.select("vec_id", F.unhex(F.concat(F.hex(F.lit("P6\n16 4\n255\n").cast("binary")), body)).alias("content"))
 
