@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import hamming, hamming_words
@@ -12,21 +12,26 @@ from twinsift.functions.media import normalize_target
 POLICIES = ("path_priority", "highest_quality", "newest", "oldest", "largest", "smallest")
 
 
-def keep_order(policies: set[str] | list[str], columns: set[str]) -> list[Column]:
-    """Sort columns of the enabled policies in their fixed order, then the path id."""
-    col = lambda c: F.col(c) if c in columns else F.lit(0)
+def keep_order(policies: set[str] | list[str], columns: set[str], first: Column | None = None) -> Column:
+    """Struct whose smallest value in a group belongs to the member to keep.
+
+    It holds ``first`` (if any), the keys of the enabled policies in their fixed
+    order, and the path id, which decides ties.
+    """
+    col = lambda c: F.col(c).cast("long") if c in columns else F.lit(0).cast("long")
     rules = {
-        "path_priority": [col("scan_root_priority").asc()],
-        "highest_quality": [(col("width").cast("long") * col("height").cast("long")).desc(), col("bitrate").desc(), col("size_bytes").desc()],
-        "newest": [col("last_write_time_utc_ms").desc()],
-        "oldest": [col("last_write_time_utc_ms").asc()],
-        "largest": [col("size_bytes").desc()],
-        "smallest": [col("size_bytes").asc()],
+        "path_priority": [col("scan_root_priority")],
+        "highest_quality": [-(col("width") * col("height")), -col("bitrate"), -col("size_bytes")],
+        "newest": [-col("last_write_time_utc_ms")],
+        "oldest": [col("last_write_time_utc_ms")],
+        "largest": [-col("size_bytes")],
+        "smallest": [col("size_bytes")],
     }
     unknown = set(policies) - set(POLICIES)
     if unknown:
         raise ValueError(f"unknown policies: {sorted(unknown)}")
-    return [c for p in POLICIES if p in policies for c in rules[p]] + [F.col("path_id").asc()]
+    keys = ([] if first is None else [first]) + [k for p in POLICIES if p in policies for k in rules[p]]
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("path_id"))
 
 
 def plan(members: DataFrame, policies: set[str] | list[str], target: str | None = None) -> DataFrame:
@@ -36,41 +41,31 @@ def plan(members: DataFrame, policies: set[str] | list[str], target: str | None
     members on the target are selected. Status codes: InvalidPolicy,
     InsufficientMembers, TargetStorageNotFound, NoDeletionCandidates, Succeeded. As
     the retained member is never selected, a whole group cannot be.
+
+    Each group is reduced by aggregates that combine before the shuffle and joined
+    back, so a group that holds a third of all rows is not gathered in one task.
     """
-    columns = set(members.columns)
     goal = (target or "").strip().lower()
     on = normalize_target("storage_target_key") == F.lit(goal) if goal else F.lit(False)
     rows = members.withColumn("on_target", F.coalesce(on, F.lit(False)))
-    w = Window.partitionBy("group_id")
-    order = w.orderBy(*([F.col("on_target").asc()] if goal else []), *keep_order(policies, columns))
-    rows = rows.withColumns({"_n": F.row_number().over(order), "_members": F.count("*").over(w), "_matched": F.sum(F.col("on_target").cast("int")).over(w)})
-    rows = rows.withColumn("retained_path_id", F.max(F.when(F.col("_n") == 1, F.col("path_id"))).over(w))
-    wanted = (F.col("_n") > 1) & (F.col("on_target") if goal else F.lit(True))
-    rows = rows.withColumn("_wanted", wanted).withColumn("_count", F.sum(F.col("_wanted").cast("int")).over(w))
+    order = keep_order(policies, set(members.columns), F.col("on_target").cast("int") if goal else None)
+    hit = F.col("on_target").cast("int")
+    groups = rows.groupBy(F.col("group_id").alias("_g")).agg(F.count("*").alias("_members"), F.sum(hit).alias("_matched"), F.min(F.struct(order.alias("o"), hit.alias("hit"))).alias("_kept"))
+    candidates = F.col("_matched") - F.col("_kept.hit") if goal else F.col("_members") - 1
     status = (
         F.when(F.lit(not policies), "InvalidPolicy").when(F.col("_members") < 2, "InsufficientMembers").when(F.lit(bool(goal)) & (F.col("_matched") == 0), "TargetStorageNotFound")
-        .when(F.col("_count") == 0, "NoDeletionCandidates").otherwise("Succeeded")
+        .when(candidates == 0, "NoDeletionCandidates").otherwise("Succeeded")
     )
-    rows = rows.withColumn("status", status).withColumn("selected", F.col("_wanted") & (F.col("status") == "Succeeded"))
-    return rows.withColumn("retained_path_id", F.when(F.col("status").isin("Succeeded", "NoDeletionCandidates"), F.col("retained_path_id"))).drop("_n", "_members", "_matched", "_wanted", "_count")
+    groups = groups.select("_g", status.alias("status"), F.col("_kept.o.path_id").alias("_r"))
+    joined = rows.join(groups, F.col("group_id").eqNullSafe(F.col("_g")))
+    wanted = (F.col("path_id") != F.col("_r")) & (F.col("on_target") if goal else F.lit(True))
+    joined = joined.withColumn("selected", wanted & (F.col("status") == "Succeeded"))
+    return joined.withColumn("retained_path_id", F.when(F.col("status").isin("Succeeded", "NoDeletionCandidates"), F.col("_r"))).drop("_g", "_r")
 
 
 def keep_one(members: DataFrame, policies: set[str] | list[str]) -> DataFrame:
     """``(group_id, retained_path_id)``: an aggregate over the sort key, so a large group is combined before the shuffle."""
-    columns, keys = set(members.columns), []
-    col = lambda c: F.col(c).cast("long") if c in columns else F.lit(0).cast("long")
-    rules = {
-        "path_priority": [col("scan_root_priority")],
-        "highest_quality": [-(col("width") * col("height")), -col("bitrate"), -col("size_bytes")],
-        "newest": [-col("last_write_time_utc_ms")],
-        "oldest": [col("last_write_time_utc_ms")],
-        "largest": [-col("size_bytes")],
-        "smallest": [col("size_bytes")],
-    }
-    for p in POLICIES:
-        if p in policies:
-            keys += rules[p]
-    order = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("path_id"))
+    order = keep_order(policies, set(members.columns))
     return members.groupBy("group_id").agg(F.min(order).alias("_o")).select("group_id", F.col("_o.path_id").alias("retained_path_id"))
 
 
