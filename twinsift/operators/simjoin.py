@@ -99,6 +99,19 @@ def word_classes(df: DataFrame, id_col: str, *signature: str) -> DataFrame:
     return df.groupBy(*signature).agg(F.min(id_col).alias("rep"), F.count("*").alias("members"))
 
 
+def hamming_classes(df: DataFrame, id_col: str, word_col: str, radius: int, bits: int = 64, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs between classes of equal words, and ``(id, rep)`` of every member.
+
+    Members of a class are at distance 0 from each other and are not paired, so a
+    word that a third of all rows share is one row in the join; nothing is lost, as
+    a member's other partners are its representative's.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(word_col).alias("w")).where("id IS NOT NULL AND w IS NOT NULL")
+    classes = word_classes(rows, "id", "w")
+    pairs = hamming_pairs(classes, "rep", "w", radius, bits, parts)
+    return pairs, rows.join(classes.select("w", "rep"), "w").select("id", "rep")
+
+
 def hot_signatures(df: DataFrame, signature: list[str], max_members: int = 2048, max_pairs: int = 2_000_000) -> DataFrame:
     """Signatures whose direct member pairs exceed a limit; reports name them as deferred."""
     counted = df.groupBy(*signature).agg(F.count("*").alias("members"))

@@ -344,6 +344,22 @@ def hamming_pairs_wide(spark, d):
     return simjoin.hamming_pairs(s.withColumn("w64", word), "id", "w64", 16, bits=64, parts=9)
 
 
+_CLASSES = "classes AS (SELECT l_partkey % 4096 AS w, min(l_orderkey) AS rep FROM lineitem GROUP BY 1)"
+
+
+@query("SELECT least(a.rep, b.rep) AS left_id, greatest(a.rep, b.rep) AS right_id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS distance FROM classes AS a JOIN classes AS b ON a.rep < b.rep AND bit_count(xor(a.w, b.w)) <= 1", _CLASSES)
+def hamming_class_pairs(spark, d):
+    """Pairs between classes of equal words; repeated words never meet as pairs."""
+    li = tables.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 4096).alias("w"))
+    return simjoin.hamming_classes(li, "l_orderkey", "w", 1, bits=12)[0]
+
+
+@query("SELECT l_orderkey AS id, rep FROM lineitem JOIN classes ON w = l_partkey % 4096", _CLASSES)
+def hamming_class_members(spark, d):
+    li = tables.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 4096).alias("w"))
+    return simjoin.hamming_classes(li, "l_orderkey", "w", 1, bits=12)[1]
+
+
 _FRAME_SUM = " + ".join(f"8 * CAST(bit_count(xor(a.f{k}, b.f{k})) AS INTEGER)" for k in range(6))
 
 

@@ -26,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def intermediates(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/twinsift/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(intermediates(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -33,7 +44,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     and a plan that uses the table twice computes it once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinsift/{name}-{uuid.uuid4().hex}"
+    path = f"{intermediates(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
