@@ -14,15 +14,19 @@ Plan
    no hot spot. Only first occurrences go on.
 2. Two lines within one edit share their first or their last few words (the edit
    lies in one half only). First occurrences whose halves nobody shares have no
-   partner and are left out; this loses nothing.
+   partner and are left out; this loses nothing. Of the rest, each line is cut
+   into ``WINDOWS`` windows: lines within one edit share all words outside of one
+   window. Windows whose outside nobody shares are left out as well.
 3. The lines left emit their deletion variants: the line itself and the line less
-   each one word, as hashed keys. Two lines within one edit share a variant: less
-   the same word position (replaced), or one is a variant of the other (inserted
-   or deleted). So per variant the earliest whole line, the earliest line of each
-   position and the earliest of all suffice; they are minima again, and joining
-   them back gives each line a few candidates, never the pairs of a group.
+   each one word of the windows left, as hashed keys. Two lines within one edit
+   share a variant: less the same word position (replaced), or one is a variant of
+   the other (inserted or deleted). So per variant the earliest whole line, the
+   earliest line of each position and the earliest of all suffice; they are minima
+   again, and joining them back gives each line a few candidates, never the pairs
+   of a group.
 4. Candidates are verified by the edit distance of the words.
-5. The numbers of dropped lines go back to the documents.
+5. The numbers of dropped lines go back to the documents. Where whole texts are
+   shuffled, they travel compressed.
 
 Null text stays null and has no lines. Rows with a null id stay as they are.
 Repeated rows (the same id) are one document: each gets the same lines. All other
@@ -37,13 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.llm.compressed import packed, unpack_text
 from twinsift.plans.storage import arrow_rows, free_name, materialize
 
 MIN_CHARS = 10
 NEAR_WORDS = 10
+WINDOWS = 8
 _LINES = "doc_id long, pos int, hi long, lo long, k0 long, k1 long, k2 long, k3 long"
 _VARIANTS = "hi long, lo long, at int, doc_id long, pos int"
 _WANTED = "doc_id long, pos int, words string"
+_OUTSIDES = "k long, doc_id long, pos int, lo int, hi int"
 
 
 def normal(line: str) -> list[str]:
@@ -73,6 +80,22 @@ def half_keys(words: list[str]) -> list[int]:
     return [_digest(part, f"{side}{c}") for c in classes for side, part in (("f", words[: 5 * c]), ("l", words[n - 5 * c :]))]
 
 
+def window_keys(words: list[str]) -> list[tuple[int, int, int]]:
+    """``(key, lo, hi)``: per window a digest of all words outside of ``words[lo:hi]``, for the line's length and the length below.
+
+    For the length below, a line has one word more in each window; so a line and
+    one with a word inserted share the key of the window that holds it.
+    """
+    out = []
+    for n in (len(words), len(words) - 1):
+        cuts = [n * j // WINDOWS for j in range(WINDOWS + 1)]
+        for j in range(WINDOWS):
+            lo, after = cuts[j], n - cuts[j + 1]
+            hi = len(words) - after
+            out.append((_digest([*words[:lo], "\x1e", *words[hi:]], f"w{n}.{j}"), lo, hi))
+    return out
+
+
 def edit_distance(a: list[str], b: list[str], most: int = 1) -> int:
     """Edit distance in words, or ``most + 1`` if it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -107,31 +130,46 @@ def _lines(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "pos", "hi", "lo", "k0", "k1", "k2", "k3"])
 
 
+def _batch(rows: list[tuple], kinds: tuple, names: list[str]):
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
 def _wanted_lines(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            lines = text.split("\n")
+        for doc, data, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            lines = unpack_text(data).split("\n")
             out += [(doc, p, " ".join(normal(lines[p]))) for p in set(wanted) if p < len(lines)]
-        columns = zip(*out, strict=True) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "pos", "words"])
+        yield _batch(out, (pa.int64(), pa.int32(), pa.string()), ["doc_id", "pos", "words"])
 
 
-def variants(words: list[str]) -> list[tuple[int, int, int]]:
-    """``(hi, lo, position)`` of the line itself (position -1) and of the line less each word."""
-    return [(*_pair(" ".join(words)), -1)] + [(*_pair(" ".join(words[:i] + words[i + 1 :])), i) for i in range(len(words))]
+def _outsides(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        out = [(k, doc, pos, lo, hi) for doc, pos, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for k, lo, hi in window_keys(words.split(" "))]
+        yield _batch(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), ["k", "doc_id", "pos", "lo", "hi"])
+
+
+def variants(words: list[str], places: set[int]) -> list[tuple[int, int, int]]:
+    """``(hi, lo, position)`` of the line itself (position -1) and of the line less the word at each of ``places``."""
+    return [(*_pair(" ".join(words)), -1)] + [(*_pair(" ".join(words[:i] + words[i + 1 :])), i) for i in sorted(places)]
 
 
 def _variants(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        out = [(*v, doc, pos) for doc, pos, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for v in variants(words.split(" "))]
-        columns = zip(*out, strict=True) if out else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hi", "lo", "at", "doc_id", "pos"])
+        out = []
+        for doc, pos, words, windows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            places = {i for w in windows for i in range(w["lo"], w["hi"])}
+            out += [(*v, doc, pos) for v in variants(words.split(" "), places)]
+        yield _batch(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), ["hi", "lo", "at", "doc_id", "pos"])
 
 
 def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -148,9 +186,14 @@ def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     halves = firsts.where("k0 IS NOT NULL").select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.explode(F.filter(F.array("k0", "k1", "k2", "k3"), lambda k: k.isNotNull())).alias("k"))
     shared = halves.groupBy("k").count().where("count > 1").select("k")
     wanted = halves.join(shared, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # of one document's lines
-    near = materialize(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
-
-    emitted = materialize(near.mapInArrow(_variants, _VARIANTS), "variants")
+    # sort-merge at every size: the lines wanted grow with the input
+    texts = docs.select("doc_id", packed(F.col("text")).alias("data")).join(wanted.hint("merge"), "doc_id")
+    near = materialize(texts.select("doc_id", "data", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
+
+    outsides = near.mapInArrow(_outsides, _OUTSIDES)
+    met = outsides.groupBy("k").count().where("count > 1").select("k")
+    open_windows = outsides.join(met.hint("merge"), "k", "left_semi").groupBy("doc_id", "pos").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))  # of one line
+    emitted = materialize(near.join(open_windows.hint("merge"), ["doc_id", "pos"]).select("doc_id", "pos", "words", "windows").mapInArrow(_variants, _VARIANTS), "variants")
     by_place = emitted.groupBy("hi", "lo", "at").agg(F.min(place).alias("low"), F.count("*").alias("n"))
     by_variant = by_place.groupBy("hi", "lo").agg(F.min(F.when(F.col("at") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("less"), F.sum("n").alias("n")).where("n > 1")
     own = emitted.join(by_variant.drop("n"), ["hi", "lo"])
@@ -174,14 +217,16 @@ def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     """``df`` with the dropped lines cut out of the text, and ``lines_dropped``, their number."""
     place, lines = free_name(df, "gone_doc"), free_name(df, "gone_lines")
     gone = duplicate_lines(df, text_col, id_col).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
-    joined = df.join(gone, F.col(id_col).cast("long") == F.col(place), "left")
+    data = df.withColumn(text_col, packed(F.col(text_col)))
+    joined = data.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(place), "left")
 
     @F.arrow_udf("string")
     def cut(texts, gone):
         import pyarrow as pa
 
         out = []
-        for text, drop in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        for data, drop in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+            text = None if data is None else unpack_text(data)
             if text is not None and drop:
                 drop = set(drop)
                 text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in drop])
