@@ -1,8 +1,10 @@
 """Corpus pipeline: quality, line dedup, near-duplicate removal, secret redaction and packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
-last return the columns of ``documents``. A stage's result is written as Parquet
-in the shared folder and read again as the next one's documents.
+last return the columns of ``documents``; further columns of the input are left
+out. A stage's result is written as Parquet in the shared folder and read again as
+the next one's documents. Null texts pass the text stages unchanged (quality scores
+them as empty text) and are packed as empty text; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
-    return secrets.redact(docs.select(DOCUMENTS)).withColumn("n_chars", F.length("text").cast("long")).select(DOCUMENTS)
+    return secrets.redact(docs.select(DOCUMENTS)).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(DOCUMENTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
