@@ -19,6 +19,7 @@ Plan
    a task of its own, so no bucket is collected whole. A pair that shares several
    buckets is verified in the first one only. What leaves a task is one row per
    text: its number of links and its root in the task's forest of links.
+   Texts travel compressed.
 4. Components over these roots give the classes.
 
 Result per row: ``doc_id``, ``class_id`` (smallest id of the connected component
@@ -43,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.llm.compressed import packed, unpack_text, unpacked
 from twinsift.operators.components import connected_components
 from twinsift.plans.storage import arrow_rows, materialize
 
@@ -142,7 +144,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 def _linked(rows: list[dict], bucket: int, crossing: bool, threshold: float, ngram: int) -> list[tuple[int, int, int]]:
     """``(id, root, links)`` of each text of a tile that has a link verified in it."""
-    sets = [np.unique(shingles(words_of(r["text"]), ngram)) for r in rows]
+    sets = [np.unique(shingles(words_of(unpack_text(r["text"])), ngram)) for r in rows]
     common, sizes = _common(sets), np.array([len(s) for s in sets], np.float32)
     link = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
     np.fill_diagonal(link, False)
@@ -212,7 +214,9 @@ def near_duplicate_classes(df: DataFrame, text_col: str = "text", id_col: str =
     own = members.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("bucket", "blocks")).alias("in"))
     own = materialize(own, "members")  # at most one entry a band in each array
 
-    texts = own.join(usable, own["rep"] == usable["doc_id"]).select("doc_id", "text", "copies", F.transform("in", lambda b: b["bucket"]).alias("buckets"), F.explode("in").alias("b"))
+    # sort-merge at every size: the members grow with the input
+    data = usable.select("doc_id", packed(F.col("text")).alias("text"))
+    texts = data.join(own.hint("merge"), own["rep"] == data["doc_id"]).select("doc_id", "text", "copies", F.transform("in", lambda b: b["bucket"]).alias("buckets"), F.explode("in").alias("b"))
     placed = texts.select("doc_id", "text", "copies", "buckets", "b.bucket", "b.blocks", F.pmod(F.xxhash64("doc_id", "b.bucket"), F.col("b.blocks")).cast("int").alias("block"))
     tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "doc_id", "text", "copies", "buckets", "bucket", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj")
@@ -234,4 +238,6 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **op
     """The rows of ``df`` that represent their class; rows with a null id stay, repeated rows stay once."""
     classes = near_duplicate_classes(df, text_col, id_col, **options)
     keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    data = df.withColumn(text_col, packed(F.col(text_col)))
+    one = data.join(keep.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
+    return one.withColumn(text_col, unpacked(F.col(text_col))).unionByName(df.where(F.col(id_col).isNull()))
