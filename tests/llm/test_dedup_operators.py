@@ -97,6 +97,15 @@ def test_near_duplicate_query(spark):
     assert sorted(tuple(r) for r in queries.op1_ngram_join(spark, sf).select("doc_id", "class_id", "n_links").collect()) == brute_classes(docs)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
 def brute_lines(docs):
     """Kept text of each document: every line against every earlier line."""
     earlier, out = defaultdict(list), {}
@@ -110,7 +119,7 @@ def brute_lines(docs):
                 kept.append(line)
                 continue
             n = len(w)
-            drop = w in earlier[n] or (n >= line_dedup.NEAR_WORDS and any(line_dedup.edit_distance(w, o) <= 1 for m in (n - 1, n, n + 1) if m >= line_dedup.NEAR_WORDS for o in earlier[m]))
+            drop = w in earlier[n] or (n >= line_dedup.NEAR_WORDS and any(edit_distance(w, o) <= 1 for m in (n - 1, n, n + 1) if m >= line_dedup.NEAR_WORDS for o in earlier[m]))
             earlier[n].append(w)
             if not drop:
                 kept.append(line)
@@ -161,7 +170,19 @@ def test_half_keys_meet():
             b.pop(at)
         if len(b) >= line_dedup.NEAR_WORDS:
             assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
-            assert line_dedup.edit_distance(a, b) == 1
+            assert edit_distance(a, b) == 1 and line_dedup.within_one(a, b)
+            shared = {k: (lo, hi) for k, lo, hi in line_dedup.window_keys(a)}
+            found = [(shared[key], (lo, hi)) for key, lo, hi in line_dedup.window_keys(b) if key in shared]
+            va = {v for (lo, hi), _ in found for v in line_dedup.variants(a, set(range(lo, hi)))}
+            vb = {v for _, (lo, hi) in found for v in line_dedup.variants(b, set(range(lo, hi)))}
+            assert {v for v in va if v[2] >= 0} & {v for v in vb if v[2] >= 0} if k == 0 else {v[:2] for v in va} & {v[:2] for v in vb}
+
+
+def test_within_one_equals_edit_distance():
+    rng = random.Random(2)
+    for _ in range(4000):
+        a, b = ([rng.choice("xy") for _ in range(rng.randrange(0, 6))] for _ in range(2))
+        assert line_dedup.within_one(a, b) == (edit_distance(a, b) <= 1)
 
 
 def test_line_query(spark):
@@ -189,3 +210,22 @@ def test_pipeline(spark):
     assert seen[0] == good and seen[1] == cut and set(seen[2]) == one and set(seen[3]) == one and seen[4] == one
     assert all(seen[3][i] == cut[i] or "[secret]" in seen[3][i] for i in one)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == one
+
+
+def test_pipeline_edges(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from twinsift.plans.storage import materialize
+
+    long = " ".join(words(random.Random(1), 30000))
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, 0), (3, "same words in this line\nsame words in this line", "en", "s", 46), (3, "same words in this line\nsame words in this line", "en", "s", 46), (4, long, "en", "s", len(long)), (None, "a null id stays here", "en", "s", 20), (5, "token = abcdef123456", "en", "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for data in (rows, []):
+        docs = spark.createDataFrame([(*r, 1, "x") for r in data], schema + ", rep int, quality_score string")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, str(tmp_path)))
+            assert name == "best-fit packing" or docs.columns == corpus_pipeline.DOCUMENTS
+            if name == "secret scans" and data:
+                texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
+                assert texts[1] == (None, 0) and texts[3] == ("same words in this line", 23) and texts[5] == ("[secret]", 8) and texts[None][0] == "a null id stays here"
+        assert (docs.count() > 0) == bool(data)

@@ -25,8 +25,7 @@ Plan
    again, and joining them back gives each line a few candidates, never the pairs
    of a group.
 4. Candidates are verified by the edit distance of the words.
-5. The numbers of dropped lines go back to the documents. Where whole texts are
-   shuffled, they travel compressed.
+5. The numbers of dropped lines go back to the documents.
 
 Null text stays null and has no lines. Rows with a null id stay as they are.
 Repeated rows (the same id) are one document: each gets the same lines. All other
@@ -41,7 +40,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.compressed import packed, unpack_text
 from twinsift.plans.storage import arrow_rows, free_name, materialize
 
 MIN_CHARS = 10
@@ -96,18 +94,14 @@ def window_keys(words: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def edit_distance(a: list[str], b: list[str], most: int = 1) -> int:
-    """Edit distance in words, or ``most + 1`` if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+def within_one(a: list[str], b: list[str]) -> bool:
+    """Whether the edit distance in words is at most one: all words after the first difference must agree."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[at + 1 :] == b[at + 1 :]
+    return a[at + 1 :] == b[at:] if len(a) > len(b) else a[at:] == b[at + 1 :]
 
 
 def _lines(batches: Iterator) -> Iterator:
@@ -142,8 +136,8 @@ def _wanted_lines(batches: Iterator) -> Iterator:
 
     for batch in batches:
         out: list[tuple] = []
-        for doc, data, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            lines = unpack_text(data).split("\n")
+        for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            lines = text.split("\n")
             out += [(doc, p, " ".join(normal(lines[p]))) for p in set(wanted) if p < len(lines)]
         yield _batch(out, (pa.int64(), pa.int32(), pa.string()), ["doc_id", "pos", "words"])
 
@@ -187,8 +181,8 @@ def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     shared = halves.groupBy("k").count().where("count > 1").select("k")
     wanted = halves.join(shared, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # of one document's lines
     # sort-merge at every size: the lines wanted grow with the input
-    texts = docs.select("doc_id", packed(F.col("text")).alias("data")).join(wanted.hint("merge"), "doc_id")
-    near = materialize(texts.select("doc_id", "data", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
+    texts = docs.join(wanted.hint("merge"), "doc_id")
+    near = materialize(texts.select("doc_id", "text", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
 
     outsides = near.mapInArrow(_outsides, _OUTSIDES)
     met = outsides.groupBy("k").count().where("count > 1").select("k")
@@ -206,7 +200,7 @@ def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     def within(a, b):
         import pyarrow as pa
 
-        return pa.array([edit_distance(x.split(" "), y.split(" ")) <= 1 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([within_one(x.split(" "), y.split(" ")) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     edited = paired.where(within("words", "o_words")).select("doc_id", "pos").distinct()
     # near lines are first occurrences: their later copies are in ``same`` already
@@ -217,16 +211,14 @@ def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     """``df`` with the dropped lines cut out of the text, and ``lines_dropped``, their number."""
     place, lines = free_name(df, "gone_doc"), free_name(df, "gone_lines")
     gone = duplicate_lines(df, text_col, id_col).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
-    data = df.withColumn(text_col, packed(F.col(text_col)))
-    joined = data.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(place), "left")
+    joined = df.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(place), "left")
 
     @F.arrow_udf("string")
     def cut(texts, gone):
         import pyarrow as pa
 
         out = []
-        for data, drop in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
-            text = None if data is None else unpack_text(data)
+        for text, drop in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
             if text is not None and drop:
                 drop = set(drop)
                 text = "\n".join([line for i, line in enumerate(text.split("\n")) if i not in drop])
