@@ -83,14 +83,15 @@ def video_pairs(df: DataFrame, id_col: str, frames_col: str, duration_col: str,
     """
     radius = frames * max_average
     rows = df.select(F.col(id_col).alias("id"), F.col(frames_col).alias("f"), F.col(duration_col).cast("long").alias("ms")).where("id IS NOT NULL AND f IS NOT NULL AND ms IS NOT NULL")
-    rows = rows.withColumns({"bits": bit_string("f"), "bucket": F.floor(F.col("ms") / window_ms)})
-    cut = lambda c: string_segments(F.col(c), 64 * frames, radius + 1)
-    index = _keyed(rows, cut("bits"), None).select(F.col("id").alias("right_id"), F.col("f").alias("rf"), F.col("ms").alias("rms"), F.col("bits").alias("rb"), "bucket", "seg", "key")
-    probe = _keyed(rows, cut("bits"), None).withColumn("bucket", F.explode(F.sequence(F.greatest(F.col("bucket") - 1, F.lit(0)), F.col("bucket") + 1)))
-    probe = probe.select(F.col("id").alias("left_id"), F.col("f").alias("lf"), F.col("ms").alias("lms"), F.col("bits").alias("lb"), "bucket", "seg", "key")
+    cut = F.array(*string_segments(F.col("bits"), 64 * frames, radius + 1))
+    rows = rows.withColumns({"bits": bit_string("f"), "bucket": F.floor(F.col("ms") / window_ms)}).withColumn("segs", cut).drop("bits")
+    index = rows.select(F.col("id").alias("right_id"), F.col("f").alias("rf"), F.col("ms").alias("rms"), F.col("segs").alias("rs"), "bucket", F.posexplode("segs").alias("seg", "key"))
+    probe = rows.select(F.col("id").alias("left_id"), F.col("f").alias("lf"), F.col("ms").alias("lms"), F.col("segs").alias("ls"), "bucket", F.posexplode("segs").alias("seg", "key"))
+    probe = probe.withColumn("bucket", F.explode(F.sequence(F.greatest(F.col("bucket") - 1, F.lit(0)), F.col("bucket") + 1)))
     total = hamming_words("lf", "rf")
     ok = (F.col("left_id") < F.col("right_id")) & (F.abs(F.col("lms") - F.col("rms")) <= window_ms) & (total <= radius)
-    pairs = probe.join(index, ["seg", "key", "bucket"]).where(ok & _first_segment(F.col("seg"), cut("lb"), cut("rb"), 0))
+    first = F.array_position(F.zip_with("ls", "rs", lambda x, y: x == y), True) == F.col("seg") + 1
+    pairs = probe.join(index, ["seg", "key", "bucket"]).where(ok & first)
     return pairs.select("left_id", "right_id", total.alias("total_distance"), F.abs(F.col("lms") - F.col("rms")).alias("duration_difference"))
 
 
