@@ -387,7 +387,8 @@ def flac_of_text(text: Column, lpc_order: int = 0) -> Column:
 
         return pa.array([encode(payload(t), lpc_order) for t in texts.to_pylist()], pa.binary())
 
-    return flac_stream(text)
+    # not deterministic for the optimiser: it must not run the encoder again for each use of the stream
+    return flac_stream.asNondeterministic()(text)
 
 
 def decoded(stream: Column) -> Column:
@@ -409,7 +410,7 @@ def decoded(stream: Column) -> Column:
             out.append({"pcm": pcm, "blocks": [{"sample_offset": s, "byte_offset": b, "samples": n} for s, b, n in index], "md5_ok": ok, "feature": feature_of(pcm)})
         return pa.array(out, to_arrow_type(DECODED))
 
-    return flac_decoded(stream)
+    return flac_decoded.asNondeterministic()(stream)
 
 
 def pcm_blocks(df: DataFrame, stream_col: str, id_col: str = "doc_id") -> DataFrame:
