@@ -120,6 +120,19 @@ def test_complete_link_example_and_brute_force(spark):
     assert late.count() >= 1
 
 
+def test_complete_link_in_rounds_leaves_no_component_out(spark):
+    rng = random.Random(5)
+    kind = "left_id long, right_id long, distance int"
+    # a sparse component, and two dense blocks that lack a few edges and overlap
+    sparse = {tuple(sorted(rng.sample(range(60), 2))): rng.randrange(4) for _ in range(110)}
+    dense = {(a, b): rng.randrange(3) for lo, hi in ((100, 130), (124, 150)) for a in range(lo, hi) for b in range(a + 1, hi) if rng.random() < 0.93}
+    edges = [(a, b, d) for (a, b), d in sorted({**sparse, **dense}.items())]
+    got, late = cluster.complete_link(spark.createDataFrame(edges, kind), task_edges=60)
+    rows = got.collect()
+    assert len(rows) == len({x for a, b, _ in edges for x in (a, b)})
+    assert {r["id"]: r["root"] for r in rows} == cluster.greedy(edges) and late.count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]

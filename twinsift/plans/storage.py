@@ -37,15 +37,15 @@ def drop_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``by`` names columns of folders.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and a plan that uses the table twice computes it once.
     """
     spark = df.sparkSession
     path = f"{intermediates(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
