@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import line_dedup, ngram_join, packing, quality, secrets
+from twinsift.llm import bpe, line_dedup, ngram_join, packing, quality, secrets
 from twinsift.plans.storage import materialize
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER, ADDED = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of all documents with their places in sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), added=bpe.added_tokens(public_tokenizers.path(ADDED)))
 
 
 STAGES = [

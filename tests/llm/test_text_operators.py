@@ -73,6 +73,26 @@ def test_packing_ids_equal_the_other_library():
         assert own.ids(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_ids_with_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*ODD, f"a {end} b", end * 3, f"{end}x", f"  {end}\n\n {end}  ", f"<{end}>", end[:-1], "two  spaces " * 9000 + end + " tail " * 20000]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for k, s in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[s : first if k == 0 else s + 1024]
+            want[i, k] = (s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    for rows in (queries.op9_packing(spark, str(tmp_path)).collect(), corpus_pipeline.pack_sequences(spark, frame(spark, texts), "").collect()):
+        check_packing(rows)
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+
+
 def check_packing(rows, capacity=1024):
     by = {}
     for r in rows:

@@ -7,13 +7,15 @@ white-space characters, where the pattern's lookahead branch can never differ
 from its plain ``\\s+`` branch; those pieces go through an encoding whose
 pattern lacks the lookahead, which the regex engine matches faster.
 
-Null text is the empty text (no ids). Special tokens are never produced; their
-strings are ordinary text. Other columns of the input pass through unchanged.
+Null text is the empty text (no ids). Special tokens are never produced and their
+strings are ordinary text, unless a codec is given added tokens. Other columns of
+the input pass through unchanged.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
@@ -45,21 +47,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """``(text, id)`` of the added tokens of a tokenizer's JSON file."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that match other than by their plain text are not supported")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
 class Codec:
-    """Encoder and decoder of one rank file, built once per Python worker."""
+    """Encoder and decoder of one rank file, built once per Python worker.
+
+    ``added`` are ``(text, id)`` of tokens that a text is cut at before all else,
+    as the tokenizers library does.
+    """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         ranks = read_ranks(ranks_path)
         make = lambda p: tiktoken.Encoding("local", pat_str=p, mergeable_ranks=ranks, special_tokens={})
         self.full = make(pattern)
         self.plain = make(pattern.replace(LOOKAHEAD, "")) if LOOKAHEAD in pattern and pattern.endswith(r"|\s+") else self.full
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        self.added = dict(added)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.tokens = [b""] * (max([*ranks.values(), *self.added.values()]) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        for token, rank in added:
+            self.tokens[rank] = token.encode()
 
     def ids(self, text: str | None) -> list[int]:
+        if self.cut is None or not any(t in (text or "") for t in self.added):
+            return self.ordinary(text)
+        out: list[int] = []
+        for part in self.cut.split(text):
+            out += [self.added[part]] if part in self.added else self.ordinary(part)
+        return out
+
+    def ordinary(self, text: str | None) -> list[int]:
+        """Ids of a text in which the strings of added tokens mean nothing."""
         out: list[int] = []
         for piece in pieces(text or ""):
             out += (self.full if _DOUBLE.search(piece) else self.plain).encode_ordinary(piece)
@@ -83,8 +112,8 @@ def pieces(text: str, at_least: int = PIECE_CHARS) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def codec(ranks_path: str, pattern: str) -> Codec:
-    return Codec(ranks_path, pattern)
+def codec(ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> Codec:
+    return Codec(ranks_path, pattern, added)
 
 
 def pack_ids(ids: list[int]) -> bytes:

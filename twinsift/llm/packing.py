@@ -43,15 +43,15 @@ def cut(n: int, capacity: int = SEQUENCE_TOKENS) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def token_pieces(df: DataFrame, ranks_path: str, end_id: int = END_ID, capacity: int = SEQUENCE_TOKENS, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row per piece; ``with_ids`` adds the packed ids of each piece."""
+def token_pieces(df: DataFrame, ranks_path: str, end_id: int = END_ID, capacity: int = SEQUENCE_TOKENS, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False, added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """One row per piece; ``with_ids`` adds the packed ids of each piece. ``added`` are ``(text, id)`` of added tokens."""
     pattern = default_pattern()
     arrow_rows(df.sparkSession)
 
     def tokenise(batches):
         import pyarrow as pa
 
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, added)
         for batch in batches:
             ids_out, piece_out, start_out, length_out, crc_out, raw_out = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -151,6 +151,6 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, shard_pieces: int =
     return placed.unionByName(alone)
 
 
-def pack_documents(df: DataFrame, ranks_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack_documents(df: DataFrame, ranks_path: str, text_col: str = "text", id_col: str = "doc_id", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """Tokenise, cut and pack all documents; one row per piece."""
-    return pack(materialize(token_pieces(df, ranks_path, text_col=text_col, id_col=id_col), "pieces"))
+    return pack(materialize(token_pieces(df, ranks_path, text_col=text_col, id_col=id_col, added=added), "pieces"))
