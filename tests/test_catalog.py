@@ -41,6 +41,16 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, D).count() >= 0
 
 
+def test_manifest_holds_all_paths(spark, monkeypatch):
+    written, write = [], catalog.files.write_manifest
+    monkeypatch.setattr(catalog.files, "write_manifest", lambda rows, folder: (written.append(folder), write(rows, folder)))
+    catalog.QUERIES["manifest_round_trip"](spark, D).collect()
+    columns = ["path", "storage_target_key", "size_bytes"]
+    read = catalog.files.read_manifest(spark, written[0]).select(columns).collect()
+    want = catalog.tables.paths(spark, D).withColumnRenamed("full_path", "path").select(columns).collect()
+    assert sorted(map(tuple, read)) == sorted(map(tuple, want))
+
+
 def test_entry(spark):
     import __spark_entry__
 

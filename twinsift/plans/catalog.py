@@ -225,15 +225,20 @@ def files_by_disk(spark, d):
     return report.files_by_disk(tables.paths(spark, d).select(F.col("storage_target_key").alias("disk"), F.col("full_path").alias("path")))
 
 
-@query("SELECT storage_target_key, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM paths WHERE path_id % 50 = 0 GROUP BY storage_target_key", tables.PATHS)
-def manifest_round_trip(spark, d):
-    """JSON-lines manifest by disk, written and read again."""
+def _manifest(spark, d):
+    """Manifest of all paths, written and read again."""
     import uuid
 
     folder = f"{shared_dir(spark)}/twinsift/manifest-{uuid.uuid4().hex}"
-    rows = tables.paths(spark, d).where("path_id % 50 = 0").select(F.col("full_path").alias("path"), "storage_target_key", "size_bytes")
-    files.write_manifest(rows, folder)
-    return files.read_manifest(spark, folder).groupBy("storage_target_key").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    files.write_manifest(tables.paths(spark, d).select(F.col("full_path").alias("path"), "storage_target_key", "size_bytes"), folder)
+    return files.read_manifest(spark, folder)
+
+
+@query("SELECT storage_target_key, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM paths WHERE path_id % 50 = 0 GROUP BY storage_target_key", tables.PATHS)
+def manifest_round_trip(spark, d):
+    """JSON-lines manifest of all paths by disk, written and read again; sums over the paths that the SQL names, by the id in the path read."""
+    read = _manifest(spark, d).where(F.regexp_extract("path", r"/F(\d+)[^/]*$", 1).cast("long") % 50 == 0)
+    return read.groupBy("storage_target_key").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
 # --- visual rules -------------------------------------------------------------
