@@ -282,6 +282,15 @@ def test_langid_vectors_and_edges(spark):
     assert np.array_equal(langid.document_vector(text), want)
 
 
+def test_langid_keeps_rare_languages(spark):
+    rows = [(i, "the common words of this line", "en") for i in range(3000)] + [(5000 + i, "qvz xkj wqy zzv", "rare") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prototypes = langid.learn(df, max_training=100)
+    assert langs == ["en", "rare"]
+    _, whole = langid.learn(df.where("lang = 'rare'"))
+    assert np.array_equal(prototypes[1], whole[0])
+
+
 def test_flac_round_trip_and_checks():
     rng = random.Random(2)
     for _ in range(25):

@@ -103,10 +103,12 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Languages and their unit prototypes, from the rows whose text and language are not null."""
     arrow_rows(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    there = rows.where("l IS NOT NULL").select("id").count()
-    if there > max_training:
-        part = int(1_000_000 * 0.95 * max_training / there)
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part)
+    there = {r["l"]: r["count"] for r in rows.where("l IS NOT NULL AND t IS NOT NULL").groupBy("l").count().collect()}
+    if sum(there.values()) > max_training:
+        quota = max_training / len(there)  # a language below its quota keeps all its rows
+        parts = [(lang, 1_000_000 if n <= quota else max(1, int(1_000_000 * 0.95 * quota / n))) for lang, n in there.items()]
+        kept = F.broadcast(df.sparkSession.createDataFrame(parts, "l string, part long"))
+        rows = rows.join(kept, "l").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("part")).select("id", "t", "l")
 
     def bundle(batches):
         import pyarrow as pa
