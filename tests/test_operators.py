@@ -1,6 +1,7 @@
 """Unit vectors, brute-force comparisons and invariants of the engine's operators."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -204,11 +205,62 @@ def test_generations(spark, tmp_path):
     assert g.clean() == [2] and g.active() == 1
     g.write(3, "t", spark.range(7))
     g.publish(3, 7)
-    assert g.read("t").count() == 7 and g.generations() == [3]
+    assert g.read("t").count() == 7 and g.generations() == [1, 3]  # the one before stays for its readers
+    g.write(4, "t", spark.range(9))
+    g.publish(4, 9)
+    assert g.read("t").count() == 9 and g.generations() == [3, 4]
     g.delete_all()
     assert g.active() is None and g.generations() == []
 
 
+def test_generations_survive_a_crash(spark, tmp_path):
+    g = Generations(spark, f"file://{tmp_path}", "exact")
+    g.write(1, "t", spark.range(3))
+    with pytest.raises(LookupError):
+        g.clean()
+    assert g.generations() == [1]
+    g.publish(1, 3)
+    g.write(2, "t", spark.range(5))
+    (tmp_path / "exact" / "active" / "1").mkdir()  # a pointer whose job died before its commit
+    assert g.active() == 1 and g.read("t").count() == 3
+    g.publish(2, 5)
+    assert g.active() == 2 and g.clean() == [] and g.generations() == [1, 2]
+    for f in sorted((tmp_path / "exact" / "active").rglob("*"), reverse=True):
+        f.unlink() if f.is_file() else f.rmdir()
+    with pytest.raises(LookupError):
+        g.clean()
+    assert g.generations() == [1, 2] and g.clean(unpublished=True) == [1, 2]
+
+
+def test_repeated_members_are_one_file(spark):
+    m = _three(spark).where("path_id < 3")
+    m = m.unionByName(m.where("path_id = 2").withColumn("size_bytes", F.lit(5).cast("long")))
+    rows = selection.plan(m, ["largest"]).collect()
+    assert sorted((r["path_id"], r["selected"], r["status"]) for r in rows) == [(1, True, "Succeeded"), (2, False, "Succeeded"), (2, False, "Succeeded")]
+    alone = selection.plan(m.where("path_id = 2"), ["largest"]).collect()
+    assert {(r["selected"], r["status"]) for r in alone} == {(False, "InsufficientMembers")}
+    h = m.withColumns({"image_dhash": F.col("size_bytes"), "video_dhashes": F.lit(None).cast("array<bigint>")})
+    assert selection.safe_selection(h, selection.keep_one(h, ["largest"]), F.lit(0)).count() == 3
+
+
+def test_outbox_table_in_any_order(spark, tmp_path):
+    kind = "sequence long, kind string, key long, payload string"
+    parts = [[(1, "upsert", 1, "a"), (2, "upsert", 2, "b")], [(3, "delete", 1, None), (4, "upsert", 3, "c")], [(5, "upsert", 2, "d"), (6, "delete", 3, None)]]
+    for k, order in enumerate(itertools.permutations(parts)):
+        base = f"file://{tmp_path}/{k}"
+        assert outbox.applied_table(spark, base, kind).count() == 0
+        apply = outbox.table_applier(base)
+        for number, rows in enumerate(order):
+            for _ in range(2 if number == 1 else 1):  # one batch is delivered again
+                apply(spark.createDataFrame(rows, kind), number)
+        assert [tuple(r) for r in outbox.applied_table(spark, base, kind).select("key", "payload").collect()] == [(2, "d")]
+    outbox.compact(spark, base, kind, f"{base}-new")
+    outbox.table_applier(f"{base}-new")(spark.createDataFrame([(0, "upsert", 1, "late")], kind), 1)
+    assert [tuple(r) for r in outbox.applied_table(spark, f"{base}-new", kind).select("key", "payload").collect()] == [(2, "d")]
+    log = spark.createDataFrame([(1, 1, "prepared"), (1, 2, "done"), (2, 3, "prepared"), (3, 5, "file_deleted"), (3, 4, "prepared")], "intent_id long, sequence long, state string")
+    assert {r["intent_id"]: (r["state"], r["replay"]) for r in outbox.delete_intents(log).collect()} == {1: ("done", False), 2: ("prepared", True), 3: ("file_deleted", True)}
+
+
 def test_outbox(spark):
     q = spark.createDataFrame([(i, 1, "upsert", f"k{i}", "p", 0, 1000 if i == 3 else 0) for i in range(1, 6)], schemas.OUTBOX)
     assert [r["sequence"] for r in outbox.due_batch(q, 10, 4).orderBy("sequence").collect()] == [1, 2]

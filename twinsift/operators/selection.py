@@ -40,7 +40,9 @@ def plan(members: DataFrame, policies: set[str] | list[str], target: str | None
     With a target disk, a member elsewhere is kept if there is one, and only
     members on the target are selected. Status codes: InvalidPolicy,
     InsufficientMembers, TargetStorageNotFound, NoDeletionCandidates, Succeeded. As
-    the retained member is never selected, a whole group cannot be.
+    the retained member is never selected, a whole group cannot be. Repeated rows
+    of one path are one file: it counts once, and each of its rows gets the file's
+    decision, so a kept file is selected in none of them.
 
     Each group is reduced by aggregates that combine before the shuffle and joined
     back, so a group that holds a third of all rows is not gathered in one task.
@@ -50,7 +52,8 @@ def plan(members: DataFrame, policies: set[str] | list[str], target: str | None
     rows = members.withColumn("on_target", F.coalesce(on, F.lit(False)))
     order = keep_order(policies, set(members.columns), F.col("on_target").cast("int") if goal else None)
     hit = F.col("on_target").cast("int")
-    groups = rows.groupBy(F.col("group_id").alias("_g")).agg(F.count("*").alias("_members"), F.sum(hit).alias("_matched"), F.min(F.struct(order.alias("o"), hit.alias("hit"))).alias("_kept"))
+    by_file = rows.groupBy(F.col("group_id").alias("_g"), F.col("path_id").alias("_p")).agg(F.max(hit).alias("_hit"), F.min(order).alias("o"))
+    groups = by_file.groupBy("_g").agg(F.count("*").alias("_members"), F.sum("_hit").alias("_matched"), F.min(F.struct("o", F.col("_hit").alias("hit"))).alias("_kept"))
     candidates = F.col("_matched") - F.col("_kept.hit") if goal else F.col("_members") - 1
     status = (
         F.when(F.lit(not policies), "InvalidPolicy").when(F.col("_members") < 2, "InsufficientMembers").when(F.lit(bool(goal)) & (F.col("_matched") == 0), "TargetStorageNotFound")
@@ -92,8 +95,13 @@ def decision(kind: Column, three_stage: bool = True, image_limit: float = 4, vid
 
 
 def safe_selection(members: DataFrame, retained: DataFrame, kind: Column, **limits) -> DataFrame:
-    """Candidates beside their group's retained member with the decision; ``decision.allowed`` ones may be selected."""
-    kept = members.join(retained, "group_id").where(F.col("path_id") == F.col("retained_path_id")).drop("retained_path_id").dropDuplicates(["group_id"])
+    """Candidates beside their group's retained member with the decision; ``decision.allowed`` ones may be selected.
+
+    If the retained path has repeated rows, the one that is least by its hashes and size decides.
+    """
+    found = members.join(retained, "group_id").where(F.col("path_id") == F.col("retained_path_id")).drop("retained_path_id")
+    least = F.struct("image_dhash", "video_dhashes", "size_bytes")
+    kept = found.groupBy("group_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "group_id"]), least).alias("_r")).select("group_id", "_r.*")
     pairs = members.alias("c").join(kept.alias("r"), F.col("c.group_id") == F.col("r.group_id"))
     return pairs.select("c.group_id", "c.path_id", "c.size_bytes", F.col("r.path_id").alias("retained_path_id"), decision(kind, **limits).alias("decision"))
 

@@ -620,9 +620,10 @@ for _policy in selection.POLICIES:
     _keep(_policy)
 
 
-@query("""SELECT group_id, path_id, CASE WHEN n < 2 THEN 'InsufficientMembers' ELSE 'Succeeded' END AS status, k > 1 AS selected FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n,
-    row_number() OVER (PARTITION BY group_id ORDER BY scan_root_priority, last_write_time_utc_ms DESC, path_id) AS k FROM members) AS x""", tables.MEMBERS)
+@query("""SELECT group_id, path_id, CASE WHEN n < 2 THEN 'InsufficientMembers' ELSE 'Succeeded' END AS status, n >= 2 AND path_id <> kept AS selected FROM members JOIN (SELECT group_id, count(DISTINCT path_id) AS n,
+    arg_min(path_id, (scan_root_priority, -last_write_time_utc_ms, path_id)) AS kept FROM members GROUP BY group_id) AS g USING (group_id)""", tables.MEMBERS)
 def plan_status(spark, d):
+    """Plan by two policies. Repeated rows of one path are one file, in the SQL too."""
     return selection.plan(tables.members(spark, d), ["newest", "path_priority"]).select("group_id", "path_id", "status", "selected")
 
 
@@ -730,16 +731,14 @@ def outbox_stream(spark, d):
     import uuid
 
     base = f"{shared_dir(spark)}/twinsift/{uuid.uuid4().hex}"
+    operation = "sequence long, kind string, key long, payload string"
     tables.operations(spark, d).select("sequence", "kind", "key", "payload").repartitionByRange(3, "sequence").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("sequence long, kind string, key long, payload string").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
-    run = outbox.run(stream, outbox.table_applier(spark, f"{base}/out", "key long, payload string"), f"{base}/checkpoint")
+    stream = spark.readStream.schema(operation).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")
+    run = outbox.run(stream, outbox.table_applier(f"{base}/out"), f"{base}/checkpoint")
     run.awaitTermination()
     if run.exception():
         raise run.exception()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    while last > 0 and not generations.Generations(spark, base, "out").exists(f"{base}/out/v={last}"):
-        last -= 1
-    return spark.read.schema("key long, payload string").parquet(f"{base}/out/v={last}")
+    return outbox.applied_table(spark, f"{base}/out", operation).select("key", "payload")
 
 
 def _log(spark, d):

@@ -1,8 +1,10 @@
 """Generations of a report or selection: written aside, then published by a pointer.
 
-A table lives in ``<base>/<kind>/gen=<id>``; ``<base>/<kind>/active`` is a one-row
-table that names the generation readers see. A half-written generation is never
-named, so a failed job leaves the published one as it was.
+A table lives in ``<base>/<kind>/gen=<id>``; ``<base>/<kind>/active/<n>`` are
+one-row tables, each naming a generation, of which the last complete one counts.
+A pointer is a new table and never overwrites one, so a job that fails at any
+moment leaves the published generation as it was. The generation before the
+published one stays until the next is published, as readers may still scan it.
 """
 
 from __future__ import annotations
@@ -31,12 +33,19 @@ class Generations:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointer tables, half-written ones too."""
+        fs, p = self._fs(f"{self.base}/active")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _published(self) -> list[int]:
+        """Generations that complete pointers name, the present one last."""
+        whole = [n for n in self._pointers() if self.exists(f"{self.base}/active/{n}/_SUCCESS")]
+        return [self.spark.read.schema(_POINTER).parquet(f"{self.base}/active/{n}").first()["generation"] for n in whole]
+
     def active(self) -> int | None:
         """Published generation, or None."""
-        if not self.exists(f"{self.base}/active"):
-            return None
-        row = self.spark.read.schema(_POINTER).parquet(f"{self.base}/active").first()
-        return row["generation"] if row else None
+        return next(reversed(self._published()), None)
 
     def write(self, generation: int, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.base}/gen={generation}/{name}")
@@ -49,11 +58,17 @@ class Generations:
         return self.spark.read.parquet(f"{self.base}/gen={generation}/{name}")
 
     def publish(self, generation: int, rows: int) -> None:
-        """Point readers to a generation and drop the one before."""
-        before = self.active()
-        self.spark.createDataFrame([(generation, rows)], _POINTER).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/active")
-        if before is not None and before != generation:
-            self._drop(f"{self.base}/gen={before}")
+        """Point readers to a generation; all pointers and generations before the previous one go."""
+        before = self._pointers()
+        number = before[-1] + 1 if before else 0
+        self.spark.createDataFrame([(generation, rows)], _POINTER).coalesce(1).write.parquet(f"{self.base}/active/{number}")
+        keep = set(self._published()[-2:])
+        whole = [n for n in before if self.exists(f"{self.base}/active/{n}/_SUCCESS")]
+        for n in whole[:-1]:
+            old = self.spark.read.schema(_POINTER).parquet(f"{self.base}/active/{n}").first()["generation"]
+            self._drop(f"{self.base}/active/{n}")
+            if old not in keep:
+                self._drop(f"{self.base}/gen={old}")
 
     def generations(self) -> list[int]:
         fs, p = self._fs(self.base)
@@ -61,10 +76,16 @@ class Generations:
             return []
         return sorted(int(n[4:]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("gen="))
 
-    def clean(self) -> list[int]:
-        """Drop generations that were never published."""
-        active = self.active()
-        stale = [g for g in self.generations() if g != active]
+    def clean(self, unpublished: bool = False) -> list[int]:
+        """Drop generations that no pointer names.
+
+        Without any pointer nothing tells a new report from a lost pointer; then
+        nothing is dropped unless ``unpublished`` says that nothing was published.
+        """
+        named = set(self._published())
+        if not named and not unpublished:
+            raise LookupError("nothing is published")
+        stale = [g for g in self.generations() if g not in named]
         for g in stale:
             self._drop(f"{self.base}/gen={g}")
         return stale

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from twinsift.operators.ingest import apply_operations, latest_operations
+from twinsift.operators.ingest import latest_operations
 
 MAX_DELAY_S = 300
 RESUMABLE = ("Discovering", "Planning", "Hashing", "Syncing", "Interrupted")
@@ -69,8 +70,7 @@ def finalizable(runs: DataFrame, queue: DataFrame, staged_ops: DataFrame) -> Dat
 
 def delete_intents(log: DataFrame) -> DataFrame:
     """Last state of each intent: prepared, file_deleted or done; the first two are to be replayed."""
-    w = Window.partitionBy("intent_id").orderBy(F.desc("sequence"))
-    return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("replay", F.col("state") != "done")
+    return latest_operations(log, ["intent_id"]).withColumn("replay", F.col("state") != "done")
 
 
 def run(source: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -85,11 +85,35 @@ def run(source: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def table_applier(spark: SparkSession, base: str, schema: str) -> Callable[[DataFrame, int], None]:
-    """Applies batches to a table kept as numbered versions; version n + 1 is built from n, so a repeated batch gives the same table."""
+def table_applier(base: str) -> Callable[[DataFrame, int], None]:
+    """Applies batches to a table kept as the operations of each batch.
+
+    A batch writes its latest operations, deletes too, to a folder of its own, so a
+    batch that is delivered again replaces itself and no batch rewrites the table.
+    """
 
     def apply(ops: DataFrame, number: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{base}/v={number - 1}") if number > 0 else spark.createDataFrame([], schema)
-        apply_operations(old, ops, "key").write.mode("overwrite").parquet(f"{base}/v={number}")
+        ops.write.mode("overwrite").parquet(f"{base}/batch={number}")
 
     return apply
+
+
+def applied_operations(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """Of each key the operation with the largest sequence over all batches, whatever order they came in."""
+    try:
+        stored = spark.read.schema(schema).parquet(f"{base}/batch=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)
+    return latest_operations(stored, ["key"], "sequence")
+
+
+def applied_table(spark: SparkSession, base: str, schema: str, delete: str = "delete") -> DataFrame:
+    """Present rows of the table: keys whose last operation is no delete."""
+    return applied_operations(spark, base, schema).where(F.col("kind") != delete)
+
+
+def compact(spark: SparkSession, base: str, schema: str, into: str) -> None:
+    """Write the last operation of each key as the first batch of a new table; deletes stay, as older operations may still come."""
+    applied_operations(spark, base, schema).write.mode("errorifexists").parquet(f"{into}/batch=0")
