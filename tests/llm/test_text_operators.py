@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -178,17 +179,111 @@ SECRET_TEXTS = [
 ]
 
 
+def corpus_away(texts):
+    counts = np.zeros(256)
+    for t in texts:
+        for c in t or "":
+            if ord(c) < 128:
+                counts[ord(c)] += 1
+    return secrets.noncentralities(counts)
+
+
 def test_secrets(spark):
-    for text in SECRET_TEXTS:
-        base = [x for x in secrets.scan_text(text) if x[3] is None]
-        assert ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in base) == brute_base(text or "")
+    found, _ = secrets.scan_texts(SECRET_TEXTS, corpus_away(SECRET_TEXTS))
+    for text, spans in zip(SECRET_TEXTS, found, strict=True):
+        assert ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, p in spans if p is None) == brute_base(text or "")
     rows = secrets.find_secrets(frame(spark, SECRET_TEXTS)).collect()
     assert {r["doc_id"] for r in rows} == set(range(len(SECRET_TEXTS)))
     kinds = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in rows}
     assert "random" in kinds[14] and not kinds[15] and not kinds[0]
     assert secrets.find_secrets(frame(spark, [])).count() == 0
-    clean = {r["doc_id"]: r for r in secrets.redact(frame(spark, SECRET_TEXTS)).collect()}
+    odd = frame(spark, SECRET_TEXTS).withColumns({"scanned": F.lit("mine"), "found": F.lit(1), "tested": F.lit(2)})
+    redacted = secrets.redact(odd)
+    clean = {r["doc_id"]: r for r in redacted.collect()}
+    assert redacted.columns == odd.columns and clean[2]["scanned"] == "mine"
     assert clean[0]["text"] is None and clean[2]["text"] == "é🙂 [secret]' x" and clean[14]["text"] == "key [secret] end" and clean[2]["part"] == "copy"
+    assert secrets.redact(odd.limit(0)).count() == 0
+    twice = frame(spark, SECRET_TEXTS[14:15]).union(frame(spark, SECRET_TEXTS[14:15]))
+    assert len({str(r["spans"]) for r in secrets.find_secrets(twice).collect()}) == 1
+
+
+KEY = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def plain_runs(text):
+    """Maximal runs of key characters, one character at a time."""
+    out, begin = [], None
+    for i, c in enumerate(text + " "):
+        if c in KEY + "-_":
+            begin = i if begin is None else begin
+        elif begin is not None:
+            out.append((begin, i))
+            begin = None
+    return out
+
+
+def test_secrets_score_every_run():
+    """All runs in one go, whatever their length, against one run at a time; long texts are cut between runs."""
+    rng = random.Random(7)
+    texts = ["", "é" * 30, " ".join("".join(rng.choice(KEY[: rng.choice([26, 36, 64])] + "-_") for _ in range(rng.choice([1, 3, 8, 20, 40, 90, 200]))) for _ in range(400))]
+    texts.append("🙂 " + texts[2].replace(" ", " ü "))
+    away, size = corpus_away(["the quick brown fox jumps over 13 lazy dogs and the Old Man"]), secrets.PIECE
+    want = []
+    for t in texts:
+        scored = [(s, 3, e, *secrets.battery(t[s:e], away)) for s, e in plain_runs(t)]
+        want.append([(s, k, e, p) for s, k, e, random_p, p in scored if p <= 0.01 and random_p >= secrets.RANDOM_AT])
+    assert 50 < len(want[2]) < 300
+    for piece in (size, 100):
+        secrets.PIECE = piece
+        try:
+            got, tested = secrets.random_runs(texts, away, 0.01)
+        finally:
+            secrets.PIECE = size
+        assert [[x[:3] for x in g] for g in got] == [[x[:3] for x in w] for w in want]
+        assert all(a[3] == pytest.approx(b[3], rel=1e-6) for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True))
+        for t, counts in zip(texts, tested, strict=True):
+            lengths = [e - s for s, e in plain_runs(t)]
+            assert counts.tolist() == [sum(2**j <= n < 2 ** (j + 1) for n in lengths) for j in range(secrets.STRATA)]
+
+
+def test_secrets_cuts_equal_plain_benjamini_hochberg():
+    rng = random.Random(3)
+    for _ in range(50):
+        tests, ps = rng.randrange(20, 400), [10 ** -rng.uniform(0, rng.choice([2, 4, 9])) for _ in range(rng.randrange(1, 20))]
+        width = secrets.BINS_PER_DECADE
+        edges = [10 ** (-int(np.floor(-np.log10(p) * width)) / width) for p in ps]  # a p counts as the upper edge of its bin
+        ranked = sorted(edges)
+        kept = [k for k, p in enumerate(ranked, 1) if p * tests <= 0.05 * sum(x <= p for x in ranked)]
+        want = ranked[kept[-1] - 1] if kept else 0.0
+        bins = {}
+        for p in ps:
+            b = int(np.floor(-np.log10(p) * width))
+            bins[b] = bins.get(b, 0) + 1
+        assert secrets.cuts_of({4: tests}, {4: bins}, 0.05)[4] == pytest.approx(want)
+
+
+def test_secrets_find_planted_keys(spark):
+    """Random keys of five encodings in clean documents: recall by length, and no false span beside them."""
+    rng = random.Random(11)
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{D}/documents.parquet' ORDER BY doc_id").fetchall() if not brute_base(t) and len(t) > 200]
+    alphabets = {"hex": "0123456789abcdef", "base64": KEY, "base32": KEY[:26] + "234567", "letters": KEY[26:52], "base36": KEY[26:62]}
+    planted, rows = [], []
+    for i, t in enumerate(texts):
+        name, n = list(alphabets)[i % 5], (12, 32, 40, 64)[i // 5 % 4]
+        key, at = "".join(rng.choice(alphabets[name]) for _ in range(n)), t.index(" ", 100) + 1
+        rows.append(t[:at] + key + " " + t[at:])
+        planted.append((n, i, at, at + n))
+    found = {(r["doc_id"], s["start"], s["end"]) for r in secrets.find_secrets(frame(spark, rows)).collect() for s in r["spans"] if s["kind"] == "random"}
+    keys = [x for x in planted if x[0] >= 32]
+    assert len(keys) > 60 and sum(x[1:] in found for x in keys) >= 0.95 * len(keys)
+    assert len(found - {x[1:] for x in planted}) <= 0.05 * len(found)
+
+
+def test_secrets_long_text_in_linear_time():
+    text = "token = abcdef123456 Zq8vT3xW1nL5pR7yB2mK9cH4dF6gJ0s2\n" * 20_000
+    began = time.perf_counter()
+    spans, _ = secrets.scan_texts([text], corpus_away([text[:1000]]))
+    assert len(spans[0]) >= 20_000 and time.perf_counter() - began < 20
 
 
 def test_secrets_query(spark):
@@ -202,11 +297,13 @@ def test_secrets_query(spark):
 
 def test_randomness_has_power_and_level():
     rng = random.Random(4)
-    keys = ["".join(rng.choice(secrets._BASE64) for _ in range(40)) for _ in range(200)]
-    assert sum(secrets.battery(k)[0] >= secrets.RANDOM_AT for k in keys) > 190
-    assert sum(secrets.battery(k)[1] < 1e-4 for k in keys) > 180
+    away = corpus_away([t for (t,) in duckdb.sql(f"SELECT text FROM '{D}/documents.parquet'").fetchall()])
+    keys = ["".join(rng.choice(KEY) for _ in range(40)) for _ in range(200)]
+    assert sum(secrets.battery(k, away)[0] >= secrets.RANDOM_AT for k in keys) > 190
+    assert sum(secrets.battery(k, away)[1] < 1e-4 for k in keys) > 180
     words = ["".join(rng.choice(["tion", "ment", "er", "an", "the", "ou"]) for _ in range(12)) + "1" for _ in range(200)]
-    assert sum(secrets.battery(w)[0] >= secrets.RANDOM_AT and secrets.battery(w)[1] < 1e-4 for w in words) == 0
+    assert sum(secrets.battery(w, away)[0] >= secrets.RANDOM_AT and secrets.battery(w, away)[1] < 1e-4 for w in words) == 0
+    assert secrets.battery(KEY, away)[0] < secrets.RANDOM_AT and secrets.battery("ab" * 40, away)[0] < secrets.RANDOM_AT
 
 
 def test_spotsigs(spark):
