@@ -49,11 +49,20 @@ def materialize(df: DataFrame, name: str = "t", by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch; one row may hold more.
+ARROW_BYTES = 16 << 20
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as one row may hold a very long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Bound the rows and the bytes of the session's Arrow batches, as one row may hold a very long text.
+
+    A session setting is lowered where it is higher and never raised.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name, None) or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def free_name(df: DataFrame, name: str) -> str:
