@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import json
 import random
 import re
 import time
@@ -131,6 +130,11 @@ def test_packing_edges(spark):
     check_packing(rows)
     assert {r["doc_id"] for r in rows} == set(range(len(ODD) + 3))
     twice = frame(spark, ["same"]).union(frame(spark, ["same"]))
+    many = packing.pack(packing.materialize(packing.token_pieces(spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("the same row " * 9).alias("text")), path)), shard_pieces=500).collect()
+    per_shard = {}
+    for r in many:
+        per_shard[r["sequence_id"] >> 32] = per_shard.get(r["sequence_id"] >> 32, 0) + 1
+    assert check_packing(many) and len(many) == 3000 and len(per_shard) == 6 and max(per_shard.values()) < 700
     assert len(packing.pack_documents(twice, path).collect()) == 2
     assert packing.pack_documents(frame(spark, []), path).count() == 0
 
@@ -379,6 +383,45 @@ def test_langid_vectors_and_edges(spark):
     assert np.array_equal(langid.document_vector(text), want)
 
 
+def test_langid_query_equals_plain_profiles(spark):
+    """The whole query against vectors bound and bundled one n-gram at a time."""
+
+    def letters_only(text):
+        out = " "
+        for c in text:
+            c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+            out += "" if c == " " and out[-1] == " " else c
+        return out if out[-1] == " " else out + " "
+
+    made = {}
+
+    def gram(three):
+        if three not in made:
+            a, b, c = (langid.letter_vector(ord(x)).astype(int) for x in three)
+            made[three] = np.roll(a, 2) * np.roll(b, 1) * c
+        return made[three]
+
+    docs = duckdb.sql(f"SELECT doc_id, text, lang FROM '{D}/documents.parquet'").fetchall()
+    vectors, sums = {}, {}
+    for i, text, lang in docs:
+        letters = letters_only(text or "")
+        if len(letters) >= 3:
+            v = vectors[i] = sum(gram(letters[k : k + 3]) for k in range(len(letters) - 2)).astype(float)
+            if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+                sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    langs = sorted(sums)
+    unit = np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    rows = {r["doc_id"]: r for r in queries.op7_langid(spark, D).collect()}
+    assert len(rows) == len(docs)
+    for i, _, _ in docs:
+        if i not in vectors:
+            assert rows[i]["lang_pred"] == "und"
+            continue
+        cosines = unit @ (vectors[i] / np.linalg.norm(vectors[i]))
+        assert rows[i]["score"] == pytest.approx(max(cosines.max(), 0), abs=1e-4)
+        assert cosines[langs.index(rows[i]["lang_pred"])] == pytest.approx(cosines.max(), abs=1e-4)
+
+
 def test_langid_keeps_rare_languages(spark):
     rows = [(i, "the common words of this line", "en") for i in range(3000)] + [(5000 + i, "qvz xkj wqy zzv", "rare") for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -392,7 +435,7 @@ def test_flac_round_trip_and_checks():
     rng = random.Random(2)
     for _ in range(25):
         pcm = bytes(rng.choice([rng.randrange(256), 97, 98]) for _ in range(rng.choice([64, 128, 4096, 8192, 8960])))
-        for order in (0, 3):
+        for order in (0, 3, 8):
             stream = flac.encode(pcm, order)
             (back, blocks, ok), at, parts = flac.decode_streams([stream])[0], flac.parse_stream(stream)["begin"], []
             assert back == pcm and ok and [b[0] for b in blocks] == list(range(0, len(pcm), flac.BLOCK))
@@ -401,10 +444,17 @@ def test_flac_round_trip_and_checks():
                 parts.append(x)
             assert (np.concatenate(parts) + 128).astype(np.uint8).tobytes() == pcm
             assert flac.read_samples(stream, 50, 5000) == pcm[50:5050]
-    bad = bytearray(flac.encode(flac.payload("word " * 900)))
+    whole = flac.encode(flac.payload("word " * 900 + "other text " * 90))
+    bad = bytearray(whole)
     bad[-9] ^= 1
     with pytest.raises(ValueError):
         flac.decode_streams([bytes(bad)])
+    for cut in (0, 3, 20, 45, 70, 300, len(whole) - 3):  # a stream that ends early raises and never hangs
+        with pytest.raises((ValueError, IndexError)):
+            flac.decode_streams([whole[:cut]])
+    start = flac.parse_stream(whole)["begin"]
+    with pytest.raises((ValueError, IndexError)):
+        flac.decode_frame(whole[: start + 200], start)
     assert flac.crc8(b"123456789") == 0xF4 and flac.crc16(b"123456789") == 0xFEE8
     long = bytes(range(256)) * 40
     assert flac.crc16(long) == flac.crc16(long[:0] + long)
@@ -423,6 +473,30 @@ def test_flac_columns(spark):
     assert frame(spark, []).select(flac.decoded(flac.flac_of_text(F.col("text")))).count() == 0
 
 
+def test_flac_linear_predictor_is_used_and_mixed():
+    """Sums of two tones favour the linear predictor; lanes of several orders and sizes are decoded together."""
+    wave = lambda n, f: (128 + 60 * np.sin(np.arange(n) * f) + 55 * np.sin(np.arange(n) * f * 2.7)).astype(np.uint8).tobytes()
+    pcms = [wave(n, f) for n, f in ((64, 0.9), (5000, 0.8), (9000, 1.1))] + [flac.payload("plain words " * 700)]
+    streams = [flac.encode(p, o) for p in pcms for o in (0, 2, 4)]
+    kinds = {s[flac.frame_header(s, flac.parse_stream(s)["begin"])[1]] >> 1 for s in streams}
+    assert any(k >= 32 for k in kinds) and any(8 <= k <= 12 for k in kinds)
+    assert len(flac.encode(pcms[2], 4)) < len(flac.encode(pcms[2], 0))
+    assert [x[0] for x in flac.decode_streams(streams)] == [p for p in pcms for _ in range(3)]
+
+
+def test_flac_corrupt_streams_are_reported(spark):
+    good = flac.encode(flac.payload("some words " * 1000))
+    bad = bytearray(good)
+    bad[-20] ^= 4
+    other = bytearray(good)
+    other[30] ^= 1  # within the MD5
+    rows = [(0, good), (1, bytes(bad)), (2, good[:200]), (3, b""), (4, None), (5, b"fLaC"), (6, bytes(other))]
+    got = {r["id"]: r["d"] for r in spark.createDataFrame(rows, "id long, s binary").select("id", flac.decoded(F.col("s")).alias("d")).collect()}
+    assert bytes(got[0]["pcm"]) == flac.payload("some words " * 1000) and got[0]["error"] is None and got[0]["md5_ok"]
+    assert all(got[i]["pcm"] is None and got[i]["error"] for i in (1, 2, 3, 5)) and got[4] is None
+    assert got[6]["error"] is None and not got[6]["md5_ok"]
+
+
 def test_flac_query(spark):
     rows = {r["doc_id"]: r for r in queries.op8_flac(spark, D).collect()}
     for i, text in duckdb.sql(f"SELECT doc_id, text FROM '{D}/documents.parquet'").fetchall():
@@ -450,5 +524,34 @@ def test_quality_edges(spark):
     model = quality.learn(d, spark.createDataFrame([(6, 1), (11, 0), (12, 0), (8, 1)], "doc_id long, quality int"))
     assert all(0 <= r[0] <= 1 for r in d.select(quality.score(F.col("text"), model)).collect())
     assert quality.learn(frame(spark, []), labels) == {}
-    same = [quality.features(""), quality.features(None)]
-    assert json.dumps(same[0]) == json.dumps(same[1])
+    assert np.array_equal(quality.features(""), quality.features(None))
+    again = d.unionByName(d).unionByName(d.where("doc_id = 6").withColumn("text", F.lit("zzz"))).withColumns({"label": F.lit(1), "labelled_id": F.lit(2), "labelled_text": F.lit("x")})
+    repeated = quality.learn(again, spark.createDataFrame([(6, 1), (11, 0), (12, 0), (8, 1), (8, 1)], "doc_id long, quality int"))
+    assert np.array_equal(repeated["w"], model["w"]) and repeated["at"] == model["at"]
+    assert d.limit(0).select(quality.score(F.col("text"), model)).count() == 0
+
+
+def test_quality_equals_plain_pairwise_loss():
+    """The fit is the minimum of the pairwise logistic loss written out pair by pair."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 16)), rng.random((60, quality.WORD_BUCKETS + quality.GRAM_BUCKETS))], 1).astype(np.float32)
+    y = (x[:, 0] + x[:, 20] + rng.normal(size=60) > 0.5).astype(int)
+    model = quality.fit(x, y, pairs=400, ridge=1e-2, seed=3)
+    pick = np.random.default_rng(3)
+    better, worse = pick.choice(np.flatnonzero(y == 1), 400), pick.choice(np.flatnonzero(y == 0), 400)
+    z = quality._spread(x, model).astype(float)
+    loss = lambda w: np.log1p(np.exp(-(z[better] - z[worse]) @ w)).mean() + 0.5e-2 * w @ w
+    least = loss(model["w"])
+    for _ in range(200):
+        assert loss(model["w"] + rng.normal(size=len(model["w"])) * 10 ** rng.uniform(-3, -1)) >= least - 1e-6
+
+
+def test_quality_query_equals_plain_scores(spark):
+    rows = {r["doc_id"]: r for r in queries.op10_quality(spark, D).collect()}
+    docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{D}/documents.parquet'").fetchall())
+    labels = {i: q for i, q in duckdb.sql(f"SELECT doc_id, quality FROM '{D}/labels.parquet' ORDER BY doc_id").fetchall() if i in docs and q is not None and zlib.crc32(str(i).encode()) % 5}
+    model = quality.fit(np.array([quality.features(docs[i]) for i in sorted(labels)]), np.array([labels[i] for i in sorted(labels)]))
+    want = quality.apply(model, np.array([quality.features(t) for t in docs.values()]))
+    assert len(rows) == len(docs)
+    for i, w in zip(docs, want, strict=True):
+        assert rows[i]["score"] == pytest.approx(w, abs=1e-6) and rows[i]["predicted"] == int(w >= 0.3)

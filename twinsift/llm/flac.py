@@ -2,18 +2,22 @@
 
 Encoding writes STREAMINFO (with the MD5 of the samples), a seek table with one
 point per frame, and frames of ``BLOCK`` samples whose subframes are constant,
-verbatim, fixed-predictor or (on request) LPC, with Rice-coded residuals.
-Decoding checks CRC-8 of each header, CRC-16 of each frame and the MD5, and gives
-PCM blocks with their sample offsets.
+verbatim, fixed-predictor or linear-predictor (LPC), whichever is shorter, with
+Rice-coded residuals. Decoding checks CRC-8 of each header, CRC-16 of each frame
+and the MD5, and gives PCM blocks with their sample offsets.
 
 Residuals of many frames are decoded side by side: one NumPy step reads the next
-Rice code of every frame that still has one, so the Python cost is per step, not
-per sample. Frames of any other layout (LPC, several Rice partitions, escape
-codes, streams without a seek table) go through a plain bit reader.
+Rice code of every frame that still has one, and one more adds the linear
+prediction, so the Python cost is per step, not per sample. Frames of any other
+layout (several Rice partitions, escape codes, streams without a seek table) go
+through a plain bit reader.
 
 A text becomes its UTF-8 bytes, padded with zero bytes to a positive multiple of
-64; a byte is a sample less 128. Null text is the empty text. Equal texts give
-equal streams.
+64; a byte is a sample less 128. Null text is the empty text. Equal texts, and so
+repeated rows, give equal streams; an empty table gives no rows; other columns are
+left alone. A stream that is cut off or otherwise corrupt gives null PCM and says
+why in ``error``; one whose samples have another MD5 than it claims gives them
+with ``md5_ok`` false. A null stream gives null.
 """
 
 from __future__ import annotations
@@ -31,8 +35,12 @@ RATE = 8000
 PAD = 64
 #: Frames decoded side by side; bounds a worker's memory.
 LANES = 256
+#: Order of the linear predictor that is tried beside the fixed ones.
+LPC_ORDER = 4
+#: Streams are decoded together up to this many bytes of PCM; a longer one goes alone.
+TOGETHER = 16 << 20
 BLOCKS = ArrayType(StructType([StructField("sample_offset", LongType()), StructField("byte_offset", LongType()), StructField("samples", IntegerType())]))
-DECODED = StructType([StructField("pcm", BinaryType()), StructField("blocks", BLOCKS), StructField("md5_ok", BooleanType()), StructField("feature", StringType())])
+DECODED = StructType([StructField("pcm", BinaryType()), StructField("blocks", BLOCKS), StructField("md5_ok", BooleanType()), StructField("feature", StringType()), StructField("error", StringType())])
 _FRAME_MAX = BLOCK + 64
 
 
@@ -110,15 +118,24 @@ def _rice(residual: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def _lpc(samples: np.ndarray, order: int, precision: int = 10) -> tuple[np.ndarray, int] | None:
-    """Quantised least-squares coefficients and their shift."""
+    """Quantised coefficients by autocorrelation, and their shift."""
     if len(samples) <= 2 * order:
         return None
-    x = np.lib.stride_tricks.sliding_window_view(samples[:-1], order)[:, ::-1].astype(float)
-    c = np.linalg.lstsq(x, samples[order:].astype(float), rcond=None)[0]
+    x = samples.astype(float)
+    r = np.array([x[k:] @ x[: len(x) - k] for k in range(order + 1)])
+    lag = np.abs(np.subtract.outer(np.arange(order), np.arange(order)))
+    c = np.linalg.solve(r[lag] + np.eye(order) * (1e-9 * r[0] + 1e-9), r[1:])
     shift = int(np.clip(precision - 2 - np.ceil(np.log2(max(np.abs(c).max(), 1e-9))), 0, 15))
     return np.clip(np.rint(c * (1 << shift)), -(1 << (precision - 1)), (1 << (precision - 1)) - 1).astype(np.int64), shift
 
 
+def _rice_bits(residual: np.ndarray) -> int:
+    """Length of the Rice code with the parameter that the mean suggests."""
+    u = (residual << 1) ^ (residual >> 31)
+    k = min(int(np.log2(max(float(u.mean()), 1.0))), 14)
+    return int((u >> k).sum()) + (k + 1) * len(u)
+
+
 def _subframe(samples: np.ndarray, lpc_order: int) -> bytes:
     n = len(samples)
     if (samples == samples[0]).all():
@@ -132,9 +149,11 @@ def _subframe(samples: np.ndarray, lpc_order: int) -> bytes:
     head, extra = 0x10 | order << 1, np.empty(0, np.uint8)
     if lpc_order and (found := _lpc(samples, lpc_order)):
         c, shift = found
-        x = np.lib.stride_tricks.sliding_window_view(samples[:-1].astype(np.int64), lpc_order)[:, ::-1]
-        head, order, residual = 0x40 | (lpc_order - 1) << 1, lpc_order, (samples[lpc_order:] - (x @ c >> shift)).astype(np.int32)
-        extra = np.concatenate([_bits([9], 4), _bits([shift], 5), _bits(c & 0x3FF, 10)])
+        x = np.convolve(samples, c)[lpc_order - 1 : n - 1] >> shift
+        predicted = (samples[lpc_order:] - x).astype(np.int32)
+        if _rice_bits(predicted) + 9 + 18 * lpc_order < _rice_bits(residual) + 8 * order:
+            head, order, residual = 0x40 | (lpc_order - 1) << 1, lpc_order, predicted
+            extra = np.concatenate([_bits([9], 4), _bits([shift], 5), _bits(c & 0x3FF, 10)])
     k, coded = _rice(residual)
     bits = np.concatenate([_bits(samples[:order] & 0xFF, 8), extra, _bits([k], 10), coded])  # method 0, partition order 0, parameter
     if len(bits) >= 8 * n:
@@ -142,7 +161,7 @@ def _subframe(samples: np.ndarray, lpc_order: int) -> bytes:
     return bytes([head]) + np.packbits(bits).tobytes()
 
 
-def encode(pcm: bytes, lpc_order: int = 0, rate: int = RATE) -> bytes:
+def encode(pcm: bytes, lpc_order: int = LPC_ORDER, rate: int = RATE) -> bytes:
     """FLAC stream of unsigned 8-bit mono samples."""
     samples = np.frombuffer(pcm, np.uint8).astype(np.int32) - 128
     frames, points, at = [], [], 0
@@ -172,6 +191,8 @@ class Reader:
         if n == 0:
             return 0
         first, last = self.at >> 3, self.at + n + 7 >> 3
+        if last > len(self.data):
+            raise ValueError("the stream ends within a frame")
         v = int.from_bytes(self.data[first:last], "big") >> (last * 8 - self.at - n)
         self.at += n
         return v & (1 << n) - 1
@@ -193,8 +214,12 @@ def parse_stream(data: bytes) -> dict:
         raise ValueError("no FLAC stream")
     at, last, out = 4, False, {"points": []}
     while not last:
+        if at + 4 > len(data):
+            raise ValueError("the stream ends within its metadata")
         last, kind, size = data[at] >> 7, data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
+        if len(body) < size:
+            raise ValueError("the stream ends within its metadata")
         if kind == 0:
             packed = int.from_bytes(body[10:18], "big")
             out |= {"block": int.from_bytes(body[2:4], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
@@ -202,6 +227,8 @@ def parse_stream(data: bytes) -> dict:
             rows = [body[i : i + 18] for i in range(0, size, 18)]
             out["points"] = [(int.from_bytes(r[:8], "big"), int.from_bytes(r[8:16], "big"), int.from_bytes(r[16:], "big")) for r in rows]
         at += 4 + size
+    if "channels" not in out:
+        raise ValueError("no STREAMINFO")
     if out["channels"] != 1 or out["bits"] != 8:
         raise ValueError("only 8-bit mono streams are supported")
     return out | {"begin": at}
@@ -209,6 +236,8 @@ def parse_stream(data: bytes) -> dict:
 
 def frame_header(data: bytes, at: int) -> tuple[int, int]:
     """``(block size, first byte of the subframe)``; checks sync code and CRC-8."""
+    if at + 16 > len(data) and len(data) - at < 8:
+        raise ValueError("the stream ends within a frame header")
     if data[at] != 0xFF or data[at + 1] & 0xFC != 0xF8:
         raise ValueError("no frame")
     code, p = data[at + 2] >> 4, at + 4
@@ -260,18 +289,41 @@ def decode_frame(data: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.array(out, np.int32), end + 2
 
 
-def _side_by_side(frames: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
-    """Samples of frames ``(data, subframe position, end, block size)`` with fixed predictors and one Rice partition."""
-    order = sorted(range(len(frames)), key=lambda i: -frames[i][3])
-    raw, begin, k, orders, n, at = [], [], [], [], [], 0
+def _layout(data: bytes, p: int) -> tuple[int, list[int], int, int, int] | None:
+    """``(order, coefficients, shift, Rice parameter, first bit of the residual)`` of a subframe with one Rice partition; fixed predictors have no coefficients."""
+    bits = Reader(data, p)
+    kind = bits.read(8) >> 1
+    order, c, shift = (kind - 31, [], 0) if kind >= 32 else (kind - 8, [], 0)
+    bits.at += 8 * order
+    if kind >= 32:
+        precision, shift = bits.read(4) + 1, bits.signed(5)
+        c = [bits.signed(precision) for _ in range(order)]
+    one, k = bits.read(6) == 0, bits.read(4)
+    return (order, c, shift, k, bits.at - 8 * p) if one and k < 15 and shift >= 0 else None
+
+
+def _predicted(residual: np.ndarray, sizes: np.ndarray, warm: np.ndarray, c: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Samples of lanes with linear predictors of one order; lanes stand in order of falling size."""
+    order, longest = warm.shape[0], int(sizes.max())
+    x = np.zeros((order + longest, warm.shape[1]), np.int64)
+    x[:order] = warm
+    back = c[::-1]  # the coefficient of the oldest sample first
+    active = np.searchsorted(-sizes, -np.arange(longest), side="left")
+    for t in range(longest):
+        a = active[t]
+        x[order + t, :a] = residual[t, :a] + ((back[:, :a] * x[t : t + order, :a]).sum(0) >> shifts[:a])
+    return x
+
+
+def _side_by_side(frames: list[tuple[bytes, int, int, int, tuple]]) -> list[np.ndarray]:
+    """Samples of frames ``(data, subframe position, end, block size, layout)`` with one Rice partition."""
+    order = sorted(range(len(frames)), key=lambda i: frames[i][4][0] - frames[i][3])  # most residuals first
+    raw, begin, k, n, at = [], [], [], [], 0
     for i in order:
-        data, p, end, size = frames[i]
-        o = (data[p] >> 1) - 8
-        code = int.from_bytes(data[p + 1 + o : p + 3 + o], "big")
+        data, p, end, size, (o, _, _, rice, skip) = frames[i]
         raw.append(data[p:end])
-        begin.append(at * 8 + 8 + 8 * o + 10)
-        k.append(code >> 6 & 15)
-        orders.append(o)
+        begin.append(at * 8 + skip)
+        k.append(rice)
         n.append(size - o)
         at += end - p
     bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8))
@@ -281,9 +333,7 @@ def _side_by_side(frames: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]
     longest = int(n_.max())
     first = np.zeros((longest, len(order)), np.int32)
     stop = np.zeros((longest, len(order)), np.int32)
-    # a frame with a smaller block but a lower order may last longer than the one before it, so lanes stay until all later ones end
-    lasting = np.maximum.accumulate(n_[::-1])[::-1]
-    active = np.searchsorted(-lasting, -np.arange(longest), side="left")
+    active = np.searchsorted(-n_, -np.arange(longest), side="left")
     step, limit = k_ + 1, np.int32(len(bits) - 1)
     for i in range(longest):
         a = active[i]
@@ -297,13 +347,23 @@ def _side_by_side(frames: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]
         u = np.where(j < k_, u << 1 | bits[np.minimum(stop + (1 + j), limit)], u)
     residual = (u >> 1) ^ -(u & 1)
     out: list = [None] * len(frames)
+    linear: dict[int, list[int]] = {}
     for lane, i in enumerate(order):
-        o, data, p = orders[lane], frames[i][0], frames[i][1]
+        data, p, _, _, (o, c, *_) = frames[i]
+        if c:
+            linear.setdefault(o, []).append(lane)
+            continue
         x = residual[: n_[lane], lane]
         warm = np.frombuffer(data[p + 1 : p + 1 + o], np.int8).astype(np.int32)
         for level in range(o - 1, -1, -1):
             x = np.cumsum(np.concatenate([np.diff(warm, n=level)[:1], x]), dtype=np.int32)
         out[i] = x
+    for o, lanes in linear.items():
+        own = [frames[order[lane]] for lane in lanes]
+        warm = np.array([np.frombuffer(f[0][f[1] + 1 : f[1] + 1 + o], np.int8) for f in own], np.int64).T
+        x = _predicted(residual[:, lanes], n_[lanes], warm, np.array([f[4][1] for f in own]).T, np.array([f[4][2] for f in own]))
+        for column, lane in enumerate(lanes):
+            out[order[lane]] = x[: o + n_[lane], column].astype(np.int32)
     return out
 
 
@@ -339,9 +399,9 @@ def decode_streams(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, in
                 x = np.full(n, int.from_bytes(data[p + 1 : p + 2], "big", signed=True), np.int32)
             elif kind == 1:
                 x = np.frombuffer(data[p + 1 : p + 1 + n], np.int8).astype(np.int32)
-            elif 8 <= kind <= 12 and (head := int.from_bytes(data[p + kind - 7 : p + kind - 5], "big") >> 6) < 15:
+            elif (8 <= kind <= 12 or kind >= 32) and (layout := _layout(data, p)):
                 x = None
-                waiting.append((w, len(parts[w]), (data, p, end - 2, n)))
+                waiting.append((w, len(parts[w]), (data, p, end - 2, n, layout)))
             else:
                 x = decode_frame(data, at)[0]
             parts[w].append(x)
@@ -351,6 +411,8 @@ def decode_streams(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, in
     out = []
     for info, got, index in zip(infos, parts, blocks, strict=True):
         signed = (np.concatenate(got) if got else np.empty(0, np.int32)).astype(np.int8)
+        if info["samples"] and len(signed) != info["samples"]:
+            raise ValueError("the stream holds another number of samples than it says")
         out.append(((signed.view(np.uint8) ^ 0x80).tobytes(), index, hashlib.md5(signed.tobytes()).digest() == info["md5"]))
     return out
 
@@ -378,7 +440,7 @@ def feature_of(pcm: bytes) -> str:
     return f"rms={(energy / len(x)) ** 0.5:.2f};zcr={crossings / len(x):.4f};lag1={float(np.dot(x[1:], x[:-1])) / energy:.4f};peak={int(np.abs(x).max())}"
 
 
-def flac_of_text(text: Column, lpc_order: int = 0) -> Column:
+def flac_of_text(text: Column, lpc_order: int = LPC_ORDER) -> Column:
     """Binary column: the FLAC stream of each whole text's payload."""
 
     @F.arrow_udf(BinaryType())
@@ -391,23 +453,51 @@ def flac_of_text(text: Column, lpc_order: int = 0) -> Column:
     return flac_stream.asNondeterministic()(text)
 
 
+def _decoded_rows(streams: list[bytes | None]) -> list[tuple | None]:
+    """Of each stream ``(PCM, blocks, MD5 holds, error)``; streams are decoded together until they hold ``TOGETHER`` bytes."""
+    out: list[tuple | None] = [None] * len(streams)
+    held: list[int] = []
+
+    def settle():
+        try:
+            for i, found in zip(held, decode_streams([streams[i] for i in held]), strict=True):
+                out[i] = (*found, None)
+        except (ValueError, IndexError):  # some stream is corrupt: take them one by one
+            for i in held:
+                try:
+                    out[i] = (*decode_streams([streams[i]])[0], None)
+                except (ValueError, IndexError) as e:
+                    out[i] = (None, [], False, str(e))
+        held.clear()
+
+    size = 0
+    for i, stream in enumerate(streams):
+        if stream is not None:
+            held.append(i)
+            size += len(stream)
+            if size > TOGETHER:
+                settle()
+                size = 0
+    settle()
+    return out
+
+
 def decoded(stream: Column) -> Column:
-    """Struct column with PCM, block index, MD5 check and feature of each stream; null streams give null."""
+    """Struct column with PCM, block index, MD5 check, feature and error of each stream; null streams give null."""
 
     @F.arrow_udf(DECODED)
     def flac_decoded(streams):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        rows = streams.to_pylist()
-        found = iter(decode_streams([r for r in rows if r is not None]))
         out = []
-        for r in rows:
-            if r is None:
+        for row in _decoded_rows(streams.to_pylist()):
+            if row is None:
                 out.append(None)
                 continue
-            pcm, index, ok = next(found)
-            out.append({"pcm": pcm, "blocks": [{"sample_offset": s, "byte_offset": b, "samples": n} for s, b, n in index], "md5_ok": ok, "feature": feature_of(pcm)})
+            pcm, index, ok, error = row
+            blocks = [{"sample_offset": s, "byte_offset": b, "samples": n} for s, b, n in index]
+            out.append({"pcm": pcm, "blocks": blocks, "md5_ok": ok, "feature": None if pcm is None else feature_of(pcm), "error": error})
         return pa.array(out, to_arrow_type(DECODED))
 
     return flac_decoded.asNondeterministic()(stream)

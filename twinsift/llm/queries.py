@@ -92,6 +92,7 @@ def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.col("d.feature").alias("feature"),
         F.size("d.blocks").cast("long").alias("n_blocks"),
+        F.col("d.md5_ok").alias("md5_ok"), F.col("d.error").alias("error"),
     )
 
 
