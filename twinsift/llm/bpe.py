@@ -9,7 +9,9 @@ pattern lacks the lookahead, which the regex engine matches faster.
 
 Null text is the empty text (no ids). Special tokens are never produced and their
 strings are ordinary text, unless a codec is given added tokens. Other columns of
-the input pass through unchanged.
+the input pass through unchanged, but for columns called ``bpe_ids`` or
+``bpe_bytes``, which are replaced. Repeated rows are encoded as often as they
+occur; an empty table gives no rows.
 """
 
 from __future__ import annotations

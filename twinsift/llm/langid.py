@@ -12,7 +12,10 @@ of integers, so they don't depend on the order of rows. Prediction reads every
 whole text and nothing else.
 
 Null text, and text without a letter, is ``und`` with score 0; so is every text if
-nothing was learned. Ties go to the first language in alphabetical order.
+nothing was learned. Ties go to the first language in alphabetical order. Repeated
+rows teach as often as they occur, and each gets the prediction of its text; an
+empty table gives no rows. Only the named columns are used, so other columns may
+have any name.
 """
 
 from __future__ import annotations

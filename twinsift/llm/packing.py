@@ -11,12 +11,14 @@ number, where opening sequences freely takes one in a hundred more.
 
 Distribution: only ``(doc_id, piece, length)`` rows are shuffled, never ids. They
 are dealt by hash into shards of about ``SHARD_PIECES`` pieces whose number
-follows the input, and each shard is packed by itself. A shard is bounded
-whatever the key or source of its documents, so no group of documents can be
-too large for a task. Each shard leaves a few unfilled sequences.
+follows the input, one shard a task, and each shard is packed by itself. The
+hash takes the row's place in the stored table too, so that equal rows spread and
+a shard is bounded whatever the key or source of its documents. Each shard leaves
+a few unfilled sequences.
 
 Null text is the empty text and gives one piece that holds the end id alone.
 Repeated rows are packed as often as they occur. An empty table gives no rows.
+Other columns of the documents are left out.
 """
 
 from __future__ import annotations
@@ -142,8 +144,8 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, shard_pieces: int =
     rest = pieces.where(F.col("length") < capacity)
     shards = max(1, -(-rest.count() // shard_pieces))
     placed = (
-        rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)).cast("long"))
-        .repartition(shards, "shard")
+        rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
+        .repartitionById(shards, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece")
         .mapInArrow(_pack_shards(capacity), f"{PIECES}, sequence_id long, offset long")
     )
