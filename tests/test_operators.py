@@ -12,6 +12,7 @@ from twinsift import config
 from twinsift.functions import bits, gates, images, media
 from twinsift.operators import cluster, exact, ingest, report, selection, simjoin
 from twinsift.operators.components import connected_components
+from twinsift.operators.joins import join_counted
 from twinsift.plans.generations import Generations
 from twinsift.sources import files, schemas
 from twinsift.streaming import outbox
@@ -134,6 +135,18 @@ def test_complete_link_in_rounds_leaves_no_component_out(spark):
     assert {r["id"]: r["root"] for r in rows} == cluster.greedy(edges) and late.count() == 0
 
 
+def test_join_counted(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([7, 7, 7, rng.randrange(50)]), i) for i in range(600)] + [(None, 900)]
+    r = spark.createDataFrame(rows, "k long, v long")
+    counted = r.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("n > 1")
+    want = sorted((k, v, min(x for y, x in rows if y == k)) for k, v in rows if k is not None and sum(y == k for y, _ in rows) > 1)
+    for hot_rows in (5, 50, 10_000):
+        got = join_counted(r, counted, ["k"], ["v"], hot_keys=100, hot_rows=hot_rows)
+        assert sorted(tuple(x) for x in got.select("k", "v", "least").collect()) == want
+    assert join_counted(r.limit(0), counted.limit(0), ["k"], ["v"]).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]
