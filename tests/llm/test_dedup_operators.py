@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from twinsift.llm import line_dedup, ngram_join, queries
@@ -83,8 +84,6 @@ def test_bands_reach_recall():
         a = {rng.getrandbits(64) for _ in range(90)}
         rest = {rng.getrandbits(64) for _ in range(10)}
         b = set(list(a)[:80]) | rest  # 80 of 110
-        import numpy as np
-
         x, y = (ngram_join.band_hashes(np.array(sorted(s), np.uint64), bands, rows) for s in (a, b))
         hit += bool(set(x.tolist()) & set(y.tolist()))
     j = 80 / 110
@@ -106,6 +105,13 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def plain_units(line):
+    """Kind and units of a line: words, characters, or the line as one unit."""
+    words = line.lower().split()
+    joined = " ".join(words)
+    return ("words", words) if len(words) >= 10 else ("chars", list(joined)) if len(joined) >= 10 else ("whole", [joined])
+
+
 def brute_lines(docs):
     """Kept text of each document: every line against every earlier line."""
     earlier, out = defaultdict(list), {}
@@ -114,19 +120,42 @@ def brute_lines(docs):
             continue
         kept = []
         for line in text.split("\n"):
-            w = line_dedup.normal(line)
-            if len(line) < line_dedup.MIN_CHARS or len(" ".join(w)) < line_dedup.MIN_CHARS:
+            if not line.split():
                 kept.append(line)
                 continue
-            n = len(w)
-            drop = w in earlier[n] or (n >= line_dedup.NEAR_WORDS and any(edit_distance(w, o) <= 1 for m in (n - 1, n, n + 1) if m >= line_dedup.NEAR_WORDS for o in earlier[m]))
-            earlier[n].append(w)
+            kind, u = plain_units(line)
+            n = len(u)
+            drop = u in earlier[kind, n] or (kind != "whole" and any(edit_distance(u, o) <= 1 for m in (n - 1, n, n + 1) for o in earlier[kind, m]))
+            if u not in earlier[kind, n]:
+                earlier[kind, n].append(u)
             if not drop:
                 kept.append(line)
         out[i] = "\n".join(kept)
     return out
 
 
+def test_line_dedup_short_long_and_hot(spark, monkeypatch):
+    """Lines of a few characters, one of very many words, and lines that most documents share."""
+    from twinsift.operators import joins
+
+    rng = random.Random(12)
+    base = ["}", "a b", "page 12 of 20", "same footer line", "one two three four five six seven eight nine ten eleven"]
+    docs = []
+    for i in range(150):
+        lines = [rng.choice(base) for _ in range(3)] + [f"Line number {rng.randrange(40)} of this table", f"the text {rng.choice('abc')}{i % 7} is one of very many that differ in a single word only", ""]
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines)))
+    docs += [(900, "x" * 12), (901, "x" * 13), (902, "x" * 12 + "é"), (903, "é" * 9), (904, "é" * 9), (905, "é" * 8), (906, "a a a a a a a a a a a"), (907, "a a a a a a a a a a"), (908, "A  a a a a a a a a\ta b")]
+    want = brute_lines(docs)
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    docs += [(1000, long), (1001, long + " more"), (1002, "less " + long)]
+    want |= {1000: long, 1001: "", 1002: ""}
+    df = spark.createDataFrame([(i, t, 7, "x") for i, t in docs], SCHEMA)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df).collect()} == want
+    monkeypatch.setattr(joins.join_counted, "__defaults__", ("n", 50, 3))  # many hot keys in small parts
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(df).collect()} == want
+
+
 def test_line_dedup(spark):
     docs = corpus(4, 120)
     rng = random.Random(8)
@@ -155,9 +184,10 @@ def test_line_dedup(spark):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
-def test_half_keys_meet():
+@pytest.mark.parametrize("kind", ["words", "characters"])
+def test_half_keys_meet(kind):
     rng = random.Random(6)
-    for _ in range(3000):
+    for _ in range(1500):
         a = [str(rng.randrange(9)) for _ in range(rng.randrange(10, 45))]
         b = list(a)
         at = rng.randrange(len(b))
@@ -168,14 +198,30 @@ def test_half_keys_meet():
             b.insert(at, "x")
         else:
             b.pop(at)
-        if len(b) >= line_dedup.NEAR_WORDS:
-            assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
-            assert edit_distance(a, b) == 1 and line_dedup.within_one(a, b)
-            shared = {k: (lo, hi) for k, lo, hi in line_dedup.window_keys(a)}
-            found = [(shared[key], (lo, hi)) for key, lo, hi in line_dedup.window_keys(b) if key in shared]
-            va = {v for (lo, hi), _ in found for v in line_dedup.variants(a, set(range(lo, hi)))}
-            vb = {v for _, (lo, hi) in found for v in line_dedup.variants(b, set(range(lo, hi)))}
-            assert {v for v in va if v[2] >= 0} & {v for v in vb if v[2] >= 0} if k == 0 else {v[:2] for v in va} & {v[:2] for v in vb}
+        if len(b) < line_dedup.NEAR_UNITS:
+            continue
+        if kind == "characters":
+            a, b = "".join(a), "".join(b)
+        assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
+        assert edit_distance(a, b) == 1 and line_dedup.within_one(a, b)
+        shared = {key: (lo, hi) for key, lo, hi in line_dedup.window_keys(a)}
+        found = [(shared[key], (lo, hi)) for key, lo, hi in line_dedup.window_keys(b) if key in shared]
+        assert found and all(a[:p] + a[q:] == b[:r] + b[s:] for (p, q), (r, s) in found)
+        va, vb = ({v for w in side for v in zip(*(x.tolist() for x in line_dedup.variants(line, np.arange(*w))), strict=True)} for line, side in ((a, [f[0] for f in found]), (b, [f[1] for f in found])))
+        assert {v for v in va if v[2] >= 0} & {v for v in vb if v[2] >= 0} if k == 0 else {v[:2] for v in va} & {v[:2] for v in vb}
+
+
+def test_variants_are_hashes_of_what_is_left():
+    rng = random.Random(9)
+    seen = {}
+    for _ in range(400):
+        line = [rng.choice("abc") for _ in range(rng.randrange(2, 9))]
+        for units in (line, "".join(line)):
+            hi, lo, at = line_dedup.variants(units, np.arange(len(units)))
+            for h, l, p in zip(hi.tolist(), lo.tolist(), at.tolist(), strict=True):
+                left = units if p < 0 else units[:p] + units[p + 1 :]
+                assert seen.setdefault((h, l), (type(left), tuple(left))) == (type(left), tuple(left))
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_within_one_equals_edit_distance():
@@ -200,7 +246,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {i: t for i, t in texts.items() if quality.apply(model, __import__("numpy").array([quality.features(t)]))[0] >= quality.CUT}
+    good = {i: t for i, t in texts.items() if quality.apply(model, np.array([quality.features(t)]))[0] >= quality.CUT}
     cut = {i: t for i, t in brute_lines(list(good.items())).items() if t == good[i] or t.strip()}
     one = {c for _, c, _ in brute_classes(list(cut.items()))}
     seen = []

@@ -1,62 +1,81 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is compared in lower case with white space collapsed. It is dropped if an
-earlier line (smaller id, then smaller line number; kept or not) is the same, or,
-for lines of at least ``NEAR_WORDS`` words, is within an edit distance of one
-word: one word inserted, deleted or replaced. From ten words on, such lines share
-at least 0.8 of their words. Lines shorter than ``MIN_CHARS`` (blank ones too) are
-never dropped.
+earlier line (smaller id, then smaller line number; kept or not) is the same or is
+within its edit bound. The bound follows from the line's length: a line's units
+are its words if it has at least ``near_units`` of them, else its characters if it
+has at least that many, and one unit may be inserted, deleted or replaced; a line
+of fewer units is compared for equality (bound 0). So from ten units on, near lines
+share at least 0.8 of them. Lines of words and lines of characters are not near each
+other. Lines of fewer than ``min_chars`` characters are never dropped; the default
+of one leaves out blank lines only.
 
 Plan
-1. One pass over the texts gives per line a 128-bit digest and, for long lines,
-   digests of its first and last words. Equal lines are grouped on the digest;
-   minima are combined before the shuffle, so a line that repeats everywhere is
-   no hot spot. Only first occurrences go on.
-2. Two lines within one edit share their first or their last few words (the edit
+1. One pass over the texts gives per line a 128-bit digest and digests of its first
+   and last units. Equal lines are grouped on the digest; minima are combined
+   before the shuffle, so a line that repeats everywhere is no hot spot. Only first
+   occurrences go on.
+2. Two lines within one edit share their first or their last few units (the edit
    lies in one half only). First occurrences whose halves nobody shares have no
    partner and are left out; this loses nothing. Of the rest, each line is cut
-   into ``WINDOWS`` windows: lines within one edit share all words outside of one
+   into ``WINDOWS`` windows: lines within one edit share all units outside of one
    window. Windows whose outside nobody shares are left out as well.
 3. The lines left emit their deletion variants: the line itself and the line less
-   each one word of the windows left, as hashed keys. Two lines within one edit
-   share a variant: less the same word position (replaced), or one is a variant of
-   the other (inserted or deleted). So per variant the earliest whole line, the
+   each one unit of the windows left, as hashed keys. Two lines within one edit
+   share a variant: less the same position (replaced), or one is a variant of the
+   other (inserted or deleted). So per variant the earliest whole line, the
    earliest line of each position and the earliest of all suffice; they are minima
    again, and joining them back gives each line a few candidates, never the pairs
-   of a group.
-4. Candidates are verified by the edit distance of the words.
+   of a group. Keys are sums over prefixes and suffixes, so all variants of a line
+   cost as much as the line is long.
+4. Candidates are verified by the edit distance of the units.
 5. The numbers of dropped lines go back to the documents.
 
-Null text stays null and has no lines. Rows with a null id stay as they are.
-Repeated rows (the same id) are one document: each gets the same lines. All other
-columns pass through (but for one called ``lines_dropped``, which is replaced). A text keeps its line feeds between the lines that stay.
+Rows of a key that very many lines share are dealt into parts when they are joined
+(``join_counted``). Null text stays null and has no lines. Rows with a null id stay
+as they are. Repeated rows (the same id) are one document: each gets the same lines.
+All other columns pass through (but for one called ``lines_dropped``, which is
+replaced). A text keeps its line feeds between the lines that stay. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.operators.joins import join_counted
 from twinsift.plans.storage import arrow_rows, free_name, materialize
 
-MIN_CHARS = 10
-NEAR_WORDS = 10
+MIN_CHARS = 1
+NEAR_UNITS = 10
 WINDOWS = 8
+PLACE = ["doc_id", "pos"]
 _LINES = "doc_id long, pos int, hi long, lo long, k0 long, k1 long, k2 long, k3 long"
 _VARIANTS = "hi long, lo long, at int, doc_id long, pos int"
-_WANTED = "doc_id long, pos int, words string"
+_WANTED = "doc_id long, pos int, line string"
 _OUTSIDES = "k long, doc_id long, pos int, lo int, hi int"
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def normal(line: str) -> list[str]:
-    return line.lower().split()
+def normal(line: str) -> str:
+    """Lower case, white space collapsed."""
+    return " ".join(line.lower().split())
 
 
-def _digest(words: list[str], tag: str = "") -> int:
-    h = xxhash.xxh3_64_intdigest(f"{tag}\x1f{' '.join(words)}".encode("utf-8", "surrogatepass"))
+def units_of(line: str, near_units: int = NEAR_UNITS) -> Sequence[str]:
+    """Words or characters of a normal line, or nothing if it has too few."""
+    words = line.split(" ")
+    return words if len(words) >= near_units else line if len(line) >= near_units else ()
+
+
+def _digest(part: Sequence[str], tag: str) -> int:
+    kind = "c" if isinstance(part, str) else "w"
+    h = xxhash.xxh3_64_intdigest(f"{kind}{tag}\x1f{part if kind == 'c' else ' '.join(part)}".encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -65,38 +84,74 @@ def _pair(text: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def half_keys(words: list[str]) -> list[int]:
-    """Digests of the first and the last words, for the line's length class and, at its lower edge, for the class below.
+def half_keys(units: Sequence[str], near_units: int = NEAR_UNITS) -> list[int]:
+    """Digests of the first and the last units, for the line's length class and, at its lower edge, for the class below.
 
-    A class is ten lengths wide and takes half of its smallest length, so lines
-    whose lengths differ by one always share a class.
+    A class is ``near_units`` lengths wide and takes half of its smallest length, so
+    lines whose lengths differ by one always share a class.
     """
-    n = len(words)
-    if n < NEAR_WORDS:
+    n = len(units)
+    if not n:
         return []
-    classes = [n // 10] + ([n // 10 - 1] if n % 10 == 0 and n // 10 > 1 else [])
-    return [_digest(part, f"{side}{c}") for c in classes for side, part in (("f", words[: 5 * c]), ("l", words[n - 5 * c :]))]
+    classes = [n // near_units] + ([n // near_units - 1] if n % near_units == 0 and n // near_units > 1 else [])
+    return [_digest(part, f"{side}{c}") for c in classes for size in (c * near_units // 2,) for side, part in (("f", units[:size]), ("l", units[n - size :]))]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(_BASES[0])
+    return x ^ (x >> np.uint64(29))
+
+
+class Sums:
+    """Polynomial hashes of a line's units, from which any part joined to any other costs one step."""
 
+    def __init__(self, units: Sequence[str], base: int):
+        if isinstance(units, str):
+            h = _mixed(np.frombuffer(units.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+        else:
+            h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in units], np.uint64)
+        n = self.n = len(h)
+        powers = np.full(max(n, 1), base, np.uint64)
+        powers[0] = 1
+        self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers)[:n], dtype=np.uint64)])
+        self.back = pow(base, -1, 1 << 64)
 
-def window_keys(words: list[str]) -> list[tuple[int, int, int]]:
-    """``(key, lo, hi)``: per window a digest of all words outside of ``words[lo:hi]``, for the line's length and the length below.
+    def without(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the line less the units from ``lo`` to ``hi``."""
+        sizes, which = np.unique(hi - lo, return_inverse=True)
+        shift = np.array([pow(self.back, d, 1 << 64) for d in sizes.tolist()], np.uint64)[which]
+        return self.upto[lo] + (self.upto[self.n] - self.upto[hi]) * shift
 
-    For the length below, a line has one word more in each window; so a line and
-    one with a word inserted share the key of the window that holds it.
+
+def window_keys(units: Sequence[str]) -> list[tuple[int, int, int]]:
+    """``(key, lo, hi)``: per window a hash of all units outside of ``units[lo:hi]``, for the line's length and the length below.
+
+    For the length below, a line has one unit more in each window; so a line and
+    one with a unit inserted share the key of the window that holds it.
     """
+    size, cuts = len(units), np.arange(WINDOWS + 1)
+    lo = np.concatenate([n * cuts[:-1] // WINDOWS for n in (size, size - 1)])
+    hi = np.concatenate([size - (n - n * cuts[1:] // WINDOWS) for n in (size, size - 1)])
+    kind = 1 if isinstance(units, str) else 0
+    tags = np.array([(n * WINDOWS + j) * 2 + kind for n in (size, size - 1) for j in range(WINDOWS)], np.uint64)
+    keys = _mixed(Sums(units, _BASES[0]).without(lo, hi) + _mixed(tags + np.uint64(1))).view(np.int64)
+    return list(zip(keys.tolist(), lo.tolist(), hi.tolist(), strict=True))
+
+
+def variants(units: Sequence[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hi``, ``lo`` and position of the line itself (position -1) and of the line less the unit at each of ``places``."""
+    kind = np.uint64(isinstance(units, str))
     out = []
-    for n in (len(words), len(words) - 1):
-        cuts = [n * j // WINDOWS for j in range(WINDOWS + 1)]
-        for j in range(WINDOWS):
-            lo, after = cuts[j], n - cuts[j + 1]
-            hi = len(words) - after
-            out.append((_digest([*words[:lo], "\x1e", *words[hi:]], f"w{n}.{j}"), lo, hi))
-    return out
-
-
-def within_one(a: list[str], b: list[str]) -> bool:
-    """Whether the edit distance in words is at most one: all words after the first difference must agree."""
-    if abs(len(a) - len(b)) > 1:
+    for base in _BASES:
+        own = Sums(units, base)
+        less = own.without(places, places + 1)
+        out.append(_mixed(np.concatenate([own.upto[own.n :], less]) + kind * np.uint64(_BASES[1])).view(np.int64))
+    return out[0], out[1], np.concatenate([[-1], places]).astype(np.int32)
+
+
+def within_one(a: Sequence[str], b: Sequence[str]) -> bool:
+    """Whether the edit distance in units is at most one: all units after the first difference must agree."""
+    if type(a) is not type(b) or abs(len(a) - len(b)) > 1:
         return False
     at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     if len(a) == len(b):
@@ -104,113 +159,120 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return a[at + 1 :] == b[at:] if len(a) > len(b) else a[at:] == b[at + 1 :]
 
 
-def _lines(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _lines(min_chars: int, near_units: int):
+    def lines(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for pos, line in enumerate(text.split("\n")):
-                if len(line) < MIN_CHARS:
-                    continue
-                words = normal(line)
-                whole = " ".join(words)
-                if len(whole) < MIN_CHARS:
-                    continue
-                keys = half_keys(words)
-                for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[None] * (4 - len(keys))), strict=True):
-                    column.append(value)
-        kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 6)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "pos", "hi", "lo", "k0", "k1", "k2", "k3"])
-
-
-def _batch(rows: list[tuple], kinds: tuple, names: list[str]):
-    import pyarrow as pa
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for pos, line in enumerate(text.split("\n")):
+                    whole = normal(line)
+                    if len(whole) < max(min_chars, 1):
+                        continue
+                    keys = half_keys(units_of(whole, near_units), near_units)
+                    for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[None] * (4 - len(keys))), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "pos", "hi", "lo", "k0", "k1", "k2", "k3"])
 
-    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    return lines
 
 
 def _wanted_lines(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        out: list[tuple] = []
+        docs, places, found = [], [], []
         for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             lines = text.split("\n")
-            out += [(doc, p, " ".join(normal(lines[p]))) for p in set(wanted) if p < len(lines)]
-        yield _batch(out, (pa.int64(), pa.int32(), pa.string()), ["doc_id", "pos", "words"])
+            own = [p for p in set(wanted) if p < len(lines)]
+            docs += [doc] * len(own)
+            places += own
+            found += [normal(lines[p]) for p in own]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string())], ["doc_id", "pos", "line"])
 
 
-def _outsides(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _outsides(near_units: int):
+    def outsides(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    for batch in batches:
-        out = [(k, doc, pos, lo, hi) for doc, pos, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for k, lo, hi in window_keys(words.split(" "))]
-        yield _batch(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), ["k", "doc_id", "pos", "lo", "hi"])
+        for batch in batches:
+            out = [(k, doc, pos, lo, hi) for doc, pos, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for k, lo, hi in window_keys(units_of(line, near_units))]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k", "doc_id", "pos", "lo", "hi"])
 
+    return outsides
 
-def variants(words: list[str], places: set[int]) -> list[tuple[int, int, int]]:
-    """``(hi, lo, position)`` of the line itself (position -1) and of the line less the word at each of ``places``."""
-    return [(*_pair(" ".join(words)), -1)] + [(*_pair(" ".join(words[:i] + words[i + 1 :])), i) for i in sorted(places)]
 
+def _variants(near_units: int):
+    def emit(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _variants(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+        for batch in batches:
+            out: list[list] = [[np.empty(0, np.int64)] for _ in range(5)]
+            for doc, pos, line, windows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                places = np.unique(np.concatenate([np.arange(w["lo"], w["hi"]) for w in windows]))
+                hi, lo, at = variants(units_of(line, near_units), places)
+                for column, values in zip(out, (hi, lo, at, np.full(len(hi), doc), np.full(len(hi), pos)), strict=True):
+                    column.append(values)
+            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds, strict=True)], ["hi", "lo", "at", "doc_id", "pos"])
 
-    for batch in batches:
-        out = []
-        for doc, pos, words, windows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            places = {i for w in windows for i in range(w["lo"], w["hi"])}
-            out += [(*v, doc, pos) for v in variants(words.split(" "), places)]
-        yield _batch(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), ["hi", "lo", "at", "doc_id", "pos"])
+    return emit
 
 
-def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, near_units: int = NEAR_UNITS) -> DataFrame:
     """``(doc_id, pos, distance)`` of every line to drop: 0 for equal lines, 1 for lines one edit from an earlier one."""
     arrow_rows(df.sparkSession, 500)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = materialize(docs.mapInArrow(_lines, _LINES), "lines")
+    lines = materialize(docs.mapInArrow(_lines(min_chars, near_units), _LINES), "lines")
     place = F.struct("doc_id", "pos")
     firsts = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)])
     firsts = materialize(firsts, "firsts")
-    repeated = firsts.where("n > 1").select("hi", "lo", "first")
-    same = lines.select("doc_id", "pos", "hi", "lo").join(repeated, ["hi", "lo"]).where(place != F.col("first")).select("doc_id", "pos", F.lit(0).alias("distance"))
+    repeated = firsts.where("n > 1").select("hi", "lo", "first", "n")
+    same = join_counted(lines.select("doc_id", "pos", "hi", "lo"), repeated, ["hi", "lo"], PLACE).where(place != F.col("first")).select("doc_id", "pos", F.lit(0).alias("distance"))
+
+    def shared(rows: DataFrame, on: list[str], *more) -> DataFrame:
+        """Keys that several rows have, counted."""
+        return materialize(rows.groupBy(*on).agg(F.count("*").alias("n"), *more).where("n > 1"), "shared")
 
     halves = firsts.where("k0 IS NOT NULL").select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.explode(F.filter(F.array("k0", "k1", "k2", "k3"), lambda k: k.isNotNull())).alias("k"))
-    shared = halves.groupBy("k").count().where("count > 1").select("k")
-    wanted = halves.join(shared, "k", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # of one document's lines
+    wanted = join_counted(halves, shared(halves, ["k"]), ["k"], PLACE).groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # of one document's lines
     # sort-merge at every size: the lines wanted grow with the input
     texts = docs.join(wanted.hint("merge"), "doc_id")
     near = materialize(texts.select("doc_id", "text", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
 
-    outsides = near.mapInArrow(_outsides, _OUTSIDES)
-    met = outsides.groupBy("k").count().where("count > 1").select("k")
-    open_windows = outsides.join(met.hint("merge"), "k", "left_semi").groupBy("doc_id", "pos").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))  # of one line
-    emitted = materialize(near.join(open_windows.hint("merge"), ["doc_id", "pos"]).select("doc_id", "pos", "words", "windows").mapInArrow(_variants, _VARIANTS), "variants")
-    by_place = emitted.groupBy("hi", "lo", "at").agg(F.min(place).alias("low"), F.count("*").alias("n"))
-    by_variant = by_place.groupBy("hi", "lo").agg(F.min(F.when(F.col("at") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("less"), F.sum("n").alias("n")).where("n > 1")
-    own = emitted.join(by_variant.drop("n"), ["hi", "lo"])
-    across = own.select("doc_id", "pos", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole")).alias("other"))
-    replaced = emitted.join(by_place.where("at >= 0 AND n > 1").drop("n"), ["hi", "lo", "at"]).select("doc_id", "pos", F.col("low").alias("other"))
+    outsides = materialize(near.mapInArrow(_outsides(near_units), _OUTSIDES), "outsides")
+    open_windows = join_counted(outsides, shared(outsides, ["k"]), ["k"], PLACE).groupBy("doc_id", "pos").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))  # of one line
+    emitted = materialize(near.join(open_windows.hint("merge"), ["doc_id", "pos"]).select("doc_id", "pos", "line", "windows").mapInArrow(_variants(near_units), _VARIANTS), "variants")
+    first_of = lambda which: F.min(F.when(which, place))
+    by_variant = shared(emitted, ["hi", "lo"], first_of(F.col("at") < 0).alias("whole"), first_of(F.col("at") >= 0).alias("less"))
+    across = join_counted(emitted, by_variant, ["hi", "lo"], PLACE).select("doc_id", "pos", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole")).alias("other"))
+    by_place = shared(emitted.where("at >= 0"), ["hi", "lo", "at"], F.min(place).alias("other"))
+    replaced = join_counted(emitted, by_place, ["hi", "lo", "at"], PLACE).select("doc_id", "pos", "other")
     candidates = across.unionByName(replaced).where(F.col("other") < place).select("doc_id", "pos", F.col("other.doc_id").alias("o_doc"), F.col("other.pos").alias("o_pos")).distinct()
-    paired = candidates.join(near, ["doc_id", "pos"]).join(near.select(F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"), F.col("words").alias("o_words")), ["o_doc", "o_pos"])
+    others = materialize(candidates.groupBy("o_doc", "o_pos").agg(F.count("*").alias("n")), "others")
+    earlier = others.join(near.select(F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"), F.col("line").alias("o_line")).hint("merge"), ["o_doc", "o_pos"])
+    paired = candidates.join(near, ["doc_id", "pos"])
+    paired = join_counted(paired, materialize(earlier, "earlier"), ["o_doc", "o_pos"], PLACE)
 
     @F.arrow_udf("boolean")
     def within(a, b):
         import pyarrow as pa
 
-        return pa.array([within_one(x.split(" "), y.split(" ")) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([within_one(units_of(x, near_units), units_of(y, near_units)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
-    edited = paired.where(within("words", "o_words")).select("doc_id", "pos").distinct()
+    edited = paired.where(within("line", "o_line")).select("doc_id", "pos").distinct()
     # near lines are first occurrences: their later copies are in ``same`` already
     return same.unionByName(edited.withColumn("distance", F.lit(1)))
 
 
-def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, near_units: int = NEAR_UNITS) -> DataFrame:
     """``df`` with the dropped lines cut out of the text, and ``lines_dropped``, their number."""
     place, lines = free_name(df, "gone_doc"), free_name(df, "gone_lines")
-    gone = duplicate_lines(df, text_col, id_col).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
+    gone = duplicate_lines(df, text_col, id_col, min_chars, near_units).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
     joined = df.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(place), "left")
 
     @F.arrow_udf("string")
