@@ -16,9 +16,9 @@ Plan
 3. The representatives left are joined with their texts, and each bucket is
    verified on the full n-gram sets. A bucket of more than ``BLOCK`` texts (or
    ``BLOCK_WORDS`` words) is dealt by hash into blocks, and every pair of blocks is
-   a task of its own, so no bucket is collected whole. A pair that shares several
-   buckets is verified in the first one only. What leaves a task is one row per
-   text: its number of links and its root in the task's forest of links.
+   a tile of its own, so no bucket is collected whole. A pair that shares several
+   buckets is verified in the first one only. What leaves a tile is one row per
+   text: its number of links and its root in the tile's forest of links.
    Texts travel compressed.
 4. Components over these roots give the classes.
 
@@ -26,10 +26,15 @@ Result per row: ``doc_id``, ``class_id`` (smallest id of the connected component
 of links) and ``n_links``, the number of other documents linked to it, copies
 included. Documents whose texts hold no word are copies only if their texts are
 equal. Null texts and null ids have no links and the row's own id as class.
-Repeated rows are documents of the same class.
+Repeated rows are documents of the same class; so are rows of one id with different
+texts only if the texts are near, and in a tile the id stands for the least of its
+texts. ``keep_one`` keeps the least text of an id. An empty table gives no rows;
+only the named columns are read, so other columns may have any name.
 
 The work in a bucket of N different texts grows with the square of N, as each
-pair of different texts is verified; rows shuffled grow with N * N / BLOCK.
+pair of different texts is verified; rows shuffled grow with N * N / BLOCK. Rows of
+a bucket or copy class that very many documents share are dealt into parts when
+they are joined (``join_counted``).
 """
 
 from __future__ import annotations
@@ -46,14 +51,15 @@ from pyspark.sql import functions as F
 
 from twinsift.llm.compressed import packed, unpack_text, unpacked
 from twinsift.operators.components import connected_components
+from twinsift.operators.joins import join_counted
 from twinsift.plans.storage import arrow_rows, materialize
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
-BLOCK = 1024
-BLOCK_WORDS = 2_000_000
+BLOCK = 128
+BLOCK_WORDS = 250_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = "doc_id long, hi long, lo long, words int, bands array<long>"
@@ -131,9 +137,10 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     g = len(sets)
     owner = np.repeat(np.arange(g), [len(s) for s in sets])
     _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = seen[at] > 1
+    # values of one array add nothing, values of all arrays add one to every pair
+    shared = (seen[at] > 1) & (seen[at] < g)
     owner, (_, at) = owner[shared], np.unique(at[shared], return_inverse=True)
-    out, width, step = np.zeros((g, g), np.float32), int(at.max()) + 1 if len(at) else 0, max(256, 4_000_000 // g)
+    out, width, step = np.full((g, g), (seen == g).sum(), np.float32), int(at.max()) + 1 if len(at) else 0, max(256, 4_000_000 // g)
     for lo in range(0, width, step):
         here = (at >= lo) & (at < lo + step)
         x = np.zeros((g, min(step, width - lo)), np.float32)
@@ -177,7 +184,8 @@ def _verify(threshold: float, ngram: int):
                         if len(held) > 1:
                             yield key, list(held.values())
                         held, key = {}, now
-                    held.setdefault(r["doc_id"], r)  # a repeated row counts once
+                    if r["doc_id"] not in held or r["text"] < held[r["doc_id"]]["text"]:
+                        held[r["doc_id"]] = r  # a repeated row counts once
             if len(held) > 1:
                 yield key, list(held.values())
 
@@ -208,9 +216,9 @@ def near_duplicate_classes(df: DataFrame, text_col: str = "text", id_col: str =
 
     spread = classes.select("rep", "words", "copies", F.posexplode("bands").alias("band", "hash")).select("rep", "words", "copies", F.xxhash64("band", "hash").alias("bucket"))
     sized = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
-    kept = sized.groupBy("n", "w", "x", "y").agg(F.min("bucket").alias("bucket"))
+    kept = materialize(sized.groupBy("n", "w", "x", "y").agg(F.min("bucket").alias("bucket")), "buckets")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("w") / BLOCK_WORDS)).cast("int")
-    members = spread.join(kept.select("bucket", blocks.alias("blocks")), "bucket")
+    members = join_counted(spread, kept.select("bucket", "n", blocks.alias("blocks")), ["bucket"], ["rep"])
     own = members.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("bucket", "blocks")).alias("in"))
     own = materialize(own, "members")  # at most one entry a band in each array
 
@@ -226,8 +234,8 @@ def near_duplicate_classes(df: DataFrame, text_col: str = "text", id_col: str =
 
     labels = connected_components(linked, "doc_id", "root").select(F.col("id").alias("rep"), "component")
     counts = linked.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = classes.select("hi", "lo", "rep", "copies").join(labels, "rep", "left").join(counts, "rep", "left")
-    found = sketch.select("doc_id", "hi", "lo").join(known, ["hi", "lo"]).select(
+    known = materialize(classes.select("hi", "lo", "rep", "copies").join(labels, "rep", "left").join(counts, "rep", "left"), "known")
+    found = join_counted(sketch.select("doc_id", "hi", "lo"), known, ["hi", "lo"], ["doc_id"], "copies").select(
         "doc_id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
@@ -239,5 +247,7 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **op
     classes = near_duplicate_classes(df, text_col, id_col, **options)
     keep = classes.where("doc_id = class_id").select(F.col("doc_id").alias(id_col)).distinct()
     data = df.withColumn(text_col, packed(F.col(text_col)))
-    one = data.join(keep.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
+    rest = [c for c in df.columns if c != id_col]
+    least = F.struct(text_col, F.to_json(F.struct(*[c for c in rest if c != text_col])) if len(rest) > 1 else F.lit(0))
+    one = data.join(keep.hint("merge"), id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*rest), least).alias("_one")).select(id_col, "_one.*").select(*df.columns)
     return one.withColumn(text_col, unpacked(F.col(text_col))).unionByName(df.where(F.col(id_col).isNull()))
