@@ -10,7 +10,7 @@ from twinsift.plans.storage import free_name
 #: Most keys that can count as hot.
 HOT_KEYS = 10_000
 #: Rows of a hot key that go to one task.
-HOT_ROWS = 10_000
+HOT_ROWS = 1_000
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], spread: list[str], count: str = "n", hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -234,11 +234,10 @@ def _manifest(spark, d):
     return files.read_manifest(spark, folder)
 
 
-@query("SELECT storage_target_key, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM paths WHERE path_id % 50 = 0 GROUP BY storage_target_key", tables.PATHS)
+@query("SELECT storage_target_key, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM paths GROUP BY storage_target_key", tables.PATHS)
 def manifest_round_trip(spark, d):
-    """JSON-lines manifest of all paths by disk, written and read again; sums over the paths that the SQL names, by the id in the path read."""
-    read = _manifest(spark, d).where(F.regexp_extract("path", r"/F(\d+)[^/]*$", 1).cast("long") % 50 == 0)
-    return read.groupBy("storage_target_key").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    """JSON-lines manifest of all paths by disk, written and read again."""
+    return _manifest(spark, d).groupBy("storage_target_key").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
 # --- visual rules -------------------------------------------------------------
@@ -568,13 +567,14 @@ def group_members(spark, d):
     return report.members_of(roots, reps, tables.paths(spark, d)).select("root", "path_id", "member_count")
 
 
-@query("""SELECT l.l_orderkey AS left_root, r.l_orderkey AS right_root, a.n AS left_members, b.n AS right_members, r.l_orderkey % 2 = 0 AS right_in_main_report FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1) AS l
-    JOIN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1) AS r ON l.l_partkey = r.l_partkey AND l.l_orderkey < r.l_orderkey
-    JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 2) AS a ON a.l_orderkey = l.l_orderkey JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 2) AS b ON b.l_orderkey = r.l_orderkey""")
+@query("""SELECT r.lo AS left_root, r.hi AS right_root, a.n AS left_members, b.n AS right_members, r.hi % 2 = 0 AS right_in_main_report FROM (SELECT DISTINCT first AS lo, l_orderkey AS hi FROM lineitem
+    JOIN (SELECT l_partkey, min(l_orderkey) AS first FROM lineitem GROUP BY 1) AS f USING (l_partkey) WHERE l_orderkey <> first) AS r
+    JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 2) AS a ON a.l_orderkey = r.lo JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 2) AS b ON b.l_orderkey = r.hi""")
 def enrich_relations(spark, d):
+    """Relations over all line items: the first order of a part stands for it and is related to each other order."""
     li = tables.table(spark, d, "lineitem")
-    one = li.where("l_linenumber = 1").select("l_orderkey", "l_partkey")
-    rel = one.select(F.col("l_orderkey").alias("left_root"), "l_partkey").join(one.select(F.col("l_orderkey").alias("right_root"), "l_partkey"), "l_partkey").where("left_root < right_root").drop("l_partkey")
+    first = li.groupBy("l_partkey").agg(F.min("l_orderkey").alias("left_root"))
+    rel = li.join(first, "l_partkey").select("left_root", F.col("l_orderkey").alias("right_root")).where("left_root < right_root").distinct()
     counts = li.groupBy(F.col("l_orderkey").alias("root")).agg(F.count("*").alias("member_count")).where("member_count > 2")
     main = li.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("root"))
     return report.enrich_relations(rel, counts, main).select("left_root", "right_root", "left_members", "right_members", "right_in_main_report")
