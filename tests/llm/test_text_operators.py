@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from twinsift.llm import bpe, chat, flac, langid, packing, quality, queries, secrets, spotsigs
@@ -310,6 +311,47 @@ def test_randomness_has_power_and_level():
     assert secrets.battery(KEY, away)[0] < secrets.RANDOM_AT and secrets.battery("ab" * 40, away)[0] < secrets.RANDOM_AT
 
 
+def plain_signatures(text):
+    """Spots written out word by word; hashes as 8 hex digits."""
+    words = re.findall(r"\w+", text.lower())
+    common = lambda w: w in spotsigs.ANCHORS
+    out, last = set(), -1
+    for i, w in enumerate(words):
+        if common(w):
+            last = i
+        elif i - last < 8 or zlib.crc32(w.encode()) % 4:
+            continue
+        chain = [x for x in words[i + 1 :] if not common(x)][:2]
+        if len(chain) == 2:
+            out.add(f"{w}:{chain[0]}:{chain[1]}")
+    if not out and len(words) >= 2:
+        out = {f"{x} {y}" for x, y in zip(words, words[1:], strict=False)}
+    elif not out:
+        out = set(words) or ({text} if text else set())
+    return {f"{xxhash.xxh32(x.encode()).intdigest():08x}" for x in out}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def plain_classes(sets, threshold=0.8):
+    """Components and link counts by comparing all pairs."""
+    low, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
+    near = [(i, j) for i in sets for j in sets if i < j and (sets[i] == sets[j] if not (sets[i] and sets[j]) else len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9)]
+    for i, j in near:
+        links[i] += 1
+        links[j] += 1
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    return {i: (low[i], links[i]) for i in sets}
+
+
 def test_spotsigs(spark):
     rows = {r["doc_id"]: r for r in queries.op5_spotsigs(spark, D).collect()}
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{D}/documents.parquet' ORDER BY doc_id DESC").fetchall()
@@ -317,11 +359,42 @@ def test_spotsigs(spark):
         following = docs[(k + 1) % len(docs)][1]
         cut = len(text) // 3
         new = text[: len(text) - cut] + following[:cut]
-        a, b, c = (spotsigs.signatures(x) for x in (text, new, following))
+        a, b, c = (plain_signatures(x) for x in (text, new, following))
         r = rows[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
-        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1) and r["near_next"] == pytest.approx(len(a & c) / len(a | c) if a | c else 1)
-        assert r["fingerprint"] == "".join(sorted(f"{x:08x}" for x in a)) and r["edited_fingerprint"] == spotsigs.written(b)
+        assert r["near_edited"] == pytest.approx(jaccard(a, b)) and r["near_next"] == pytest.approx(jaccard(a, c))
+        assert r["fingerprint"] == "".join(sorted(a)) and r["edited_fingerprint"] == "".join(sorted(b))
+    assert {i: (r["near_class"], r["n_near"]) for i, r in rows.items()} == plain_classes({i: plain_signatures(t) for i, t in docs})
+
+
+def test_spotsigs_near_classes_equal_all_pairs(spark):
+    """Edited copies around the threshold, copies, texts without words, very short sets, repeated and null ids."""
+    rng = random.Random(21)
+    content = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(30):
+        base = [(rng.choice(["the", "a", "of", "der"]), rng.choice(content), rng.choice(content)) for _ in range(rng.choice([1, 3, 5, 20, 60]))]
+        for _ in range(4):
+            texts.append(" ".join(" ".join(x if rng.random() > 0.08 else ("the", rng.choice(content), rng.choice(content))) for x in base))
+    texts += ["", "", "!!", "!!", "one", "two words"]
+    rows = [(i * 2, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    got = spotsigs.near_classes(spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string")).collect()
+    want = plain_classes({(i, k): plain_signatures(t) for k, (i, t) in enumerate(rows)})
+    assert {r["doc_id"]: (r["near_class"], r["n_near"]) for r in got} == {i: (c[0], n) for (i, _), (c, n) in want.items()}
+
+
+def test_spotsigs_partitions_and_rarest_lose_nothing():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 50, spotsigs.SLOTS)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        both = rng.choice(4000, n, replace=False)
+        t = float(rng.choice([0.5, 0.8, 0.9]))
+        a = np.concatenate([both, 5000 + rng.choice(500, int(rng.integers(0, 8)), replace=False)])
+        b = np.concatenate([both, 6000 + rng.choice(500, int(rng.integers(0, 8)), replace=False)])
+        if n >= t * (len(a) + len(b) - n) - 1e-9:
+            assert set(spotsigs.partitions_of(len(a), t)) & set(spotsigs.partitions_of(len(b), t))
+            assert set(spotsigs.rarest(a, counts, t).tolist()) & set(spotsigs.rarest(b, counts, t).tolist())
 
 
 def test_spotsigs_edges(spark):

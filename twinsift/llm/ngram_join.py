@@ -15,7 +15,7 @@ Plan
    of buckets with the same members all but one.
 3. The representatives left are joined with their texts, and each bucket is
    verified on the full n-gram sets. A bucket of more than ``BLOCK`` texts (or
-   ``BLOCK_WORDS`` words) is dealt by hash into blocks, and every pair of blocks is
+   ``BLOCK_SIZE`` words) is dealt by hash into blocks, and every pair of blocks is
    a tile of its own, so no bucket is collected whole. A pair that shares several
    buckets is verified in the first one only. What leaves a tile is one row per
    text: its number of links and its root in the tile's forest of links.
@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.compressed import packed, unpack_text, unpacked
+from twinsift.llm.tiles import BLOCK, bucket_links
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.storage import arrow_rows, materialize
@@ -58,8 +59,6 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 128
-BLOCK = 128
-BLOCK_WORDS = 250_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SKETCH = "doc_id long, hi long, lo long, words int, bands array<long>"
@@ -132,77 +131,8 @@ def _sketches(bands: int, rows: int, ngram: int):
     return sketch
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of arrays of distinct values."""
-    g = len(sets)
-    owner = np.repeat(np.arange(g), [len(s) for s in sets])
-    _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # values of one array add nothing, values of all arrays add one to every pair
-    shared = (seen[at] > 1) & (seen[at] < g)
-    owner, (_, at) = owner[shared], np.unique(at[shared], return_inverse=True)
-    out, width, step = np.full((g, g), (seen == g).sum(), np.float32), int(at.max()) + 1 if len(at) else 0, max(256, 4_000_000 // g)
-    for lo in range(0, width, step):
-        here = (at >= lo) & (at < lo + step)
-        x = np.zeros((g, min(step, width - lo)), np.float32)
-        x[owner[here], at[here] - lo] = 1
-        out += x @ x.T
-    return out
-
-
-def _linked(rows: list[dict], bucket: int, crossing: bool, threshold: float, ngram: int) -> list[tuple[int, int, int]]:
-    """``(id, root, links)`` of each text of a tile that has a link verified in it."""
-    sets = [np.unique(shingles(words_of(unpack_text(r["text"])), ngram)) for r in rows]
-    common, sizes = _common(sets), np.array([len(s) for s in sets], np.float32)
-    link = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
-    np.fill_diagonal(link, False)
-    before = [np.array([b for b in r["buckets"] if b < bucket], np.int64) for r in rows]
-    link &= _common(before) == 0  # verified in an earlier bucket
-    if crossing:
-        block = np.array([r["block"] for r in rows])
-        link &= block[:, None] != block[None, :]
-    weights = link @ np.array([r["copies"] for r in rows], np.int64)
-    ids = np.array([r["doc_id"] for r in rows])
-    root, settled = ids.copy(), False
-    while not settled:
-        low = np.where(link, root[None, :], np.iinfo(np.int64).max).min(axis=1)
-        new = np.minimum(root, low)
-        settled = bool((new == root).all())
-        root = new
-    return [(int(i), int(r), int(w)) for i, r, w in zip(ids, root, weights, strict=True) if w]
-
-
-def _verify(threshold: float, ngram: int):
-    def verify(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def tiles():
-            held, key = {}, None
-            for batch in batches:
-                for r in batch.to_pylist():
-                    now = (r["bucket"], r["ti"], r["tj"])
-                    if now != key:
-                        if len(held) > 1:
-                            yield key, list(held.values())
-                        held, key = {}, now
-                    if r["doc_id"] not in held or r["text"] < held[r["doc_id"]]["text"]:
-                        held[r["doc_id"]] = r  # a repeated row counts once
-            if len(held) > 1:
-                yield key, list(held.values())
-
-        out: list[tuple[int, int, int]] = []
-        for (bucket, ti, tj), rows in tiles():
-            out += _linked(rows, bucket, ti != tj, threshold, ngram)
-            if len(out) > 20_000:
-                yield _links_batch(pa, out)
-                out = []
-        yield _links_batch(pa, out)
-
-    return verify
-
-
-def _links_batch(pa, out):
-    columns = zip(*out, strict=True) if out else [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "root", "links"])
+def _grams_of(ngram: int):
+    return lambda data: np.unique(shingles(words_of(unpack_text(data)), ngram))
 
 
 def near_duplicate_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -214,23 +144,9 @@ def near_duplicate_classes(df: DataFrame, text_col: str = "text", id_col: str =
     sketch = materialize(usable.mapInArrow(_sketches(bands, rows, ngram), _SKETCH), "sketch")
     classes = materialize(sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"), F.first("bands").alias("bands")), "classes")
 
-    spread = classes.select("rep", "words", "copies", F.posexplode("bands").alias("band", "hash")).select("rep", "words", "copies", F.xxhash64("band", "hash").alias("bucket"))
-    sized = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("words").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
-    kept = materialize(sized.groupBy("n", "w", "x", "y").agg(F.min("bucket").alias("bucket")), "buckets")
-    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("w") / BLOCK_WORDS)).cast("int")
-    members = join_counted(spread, kept.select("bucket", "n", blocks.alias("blocks")), ["bucket"], ["rep"])
-    own = members.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("bucket", "blocks")).alias("in"))
-    own = materialize(own, "members")  # at most one entry a band in each array
-
-    # sort-merge at every size: the members grow with the input
-    data = usable.select("doc_id", packed(F.col("text")).alias("text"))
-    texts = data.join(own.hint("merge"), own["rep"] == data["doc_id"]).select("doc_id", "text", "copies", F.transform("in", lambda b: b["bucket"]).alias("buckets"), F.explode("in").alias("b"))
-    placed = texts.select("doc_id", "text", "copies", "buckets", "b.bucket", "b.blocks", F.pmod(F.xxhash64("doc_id", "b.bucket"), F.col("b.blocks")).cast("int").alias("block"))
-    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "doc_id", "text", "copies", "buckets", "bucket", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj")
-    )
-    linked = tiled.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_verify(threshold, ngram), "doc_id long, root long, links long")
-    linked = materialize(linked, "links")
+    spread = classes.select("rep", "words", "copies", F.posexplode("bands").alias("band", "hash")).select("rep", F.col("words").alias("size"), "copies", F.xxhash64("band", "hash").alias("bucket"))
+    data = usable.select("doc_id", packed(F.col("text")).alias("payload"))
+    linked = bucket_links(spread, data, _grams_of(ngram), threshold, block)
 
     labels = connected_components(linked, "doc_id", "root").select(F.col("id").alias("rep"), "component")
     counts = linked.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))

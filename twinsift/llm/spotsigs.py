@@ -4,14 +4,23 @@ A spot is a common word (anchor); its signature is the anchor with the chain of
 the next ``CHAIN`` content words. Where common words are missing over a stretch of
 text (lists of terms), some content words, chosen by hash, act as anchors. A text's fingerprint is the set of its distinct
 signatures, written as sorted 32-bit hashes in hex. Likeness is the Jaccard
-coefficient of two sets. Sets are partitioned by length so that two sets can reach
-a threshold only if their partitions are equal or adjacent, and a comparison ends
-as soon as the threshold is out of reach.
+coefficient of two sets.
+
+``near_classes`` finds all near fingerprints of a corpus. Equal fingerprints are one
+class first. Sets are partitioned by length so that two sets can reach the
+threshold t only if their partitions are equal or adjacent. Of n signatures, sets
+that reach t share one of the ``n - ceil(t n) + 1`` rarest of each (rarity by counts
+of signatures in ``SLOTS`` hash slots over all fingerprints; any order loses
+nothing). So a set is sent to its partition, and to the next if a set there can
+reach t, under each of these signatures, and the buckets are verified by pruned
+Jaccard in tiles.
 
 Words are runs of letters, digits and underscores in lower case. A text without
 any complete chain uses all chains of ``CHAIN`` consecutive words instead, a
 shorter one its words, a text without words itself. Null text is the empty text;
 its set is empty. Two empty sets have likeness 1, an empty and another one 0.
+Repeated rows are rows of their own with equal fingerprints; an empty table gives
+no rows. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,11 +36,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.plans.storage import arrow_rows
+from twinsift.llm.compressed import packed, unpack_text
+from twinsift.llm.tiles import bucket_links
+from twinsift.operators.components import connected_components
+from twinsift.operators.joins import join_counted
+from twinsift.plans.storage import arrow_rows, materialize
 
 CHAIN = 2
 #: After so many words without an anchor, one content word in four (by its hash) is an anchor too.
 STRETCH = 8
+#: Near fingerprints reach this Jaccard coefficient.
+THRESHOLD = 0.8
+#: Length partitions span so many times the ratio of lengths that can reach the threshold.
+SPAN = 4
+#: Hash slots in which signatures are counted to tell rare from common ones.
+SLOTS = 1 << 17
 #: Common words of English, German, French and Spanish (a parameter of the method).
 ANCHORS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -64,12 +83,22 @@ def signatures(text: str | None) -> frozenset[int]:
 
 
 def written(signs: frozenset[int]) -> str:
-    return np.sort(np.fromiter(signs, dtype=">u4", count=len(signs))).tobytes().hex()
+    return _binary(signs).hex()
 
 
 def length_partition(n: int, threshold: float) -> int:
-    """Partition of a set of ``n``; sets further apart than one partition cannot reach the threshold."""
-    return 0 if n < 1 else int(math.log(n) / -math.log(threshold) + 1e-9)
+    """Partition of a set of ``n``; sets further apart than one partition cannot reach the threshold.
+
+    A partition spans ``SPAN`` times the ratio of lengths that can reach it, so most
+    sets need their own partition only.
+    """
+    return 0 if n < 1 else int(math.log(n) / (-SPAN * math.log(threshold)) + 1e-9)
+
+
+def partitions_of(n: int, threshold: float) -> list[int]:
+    """The partitions that a set of ``n`` is sent to: any two sets that can reach the threshold share one."""
+    own = length_partition(n, threshold)
+    return [own] if length_partition(int(n / threshold + 1e-9), threshold) == own else [own, own + 1]
 
 
 def likeness(a: frozenset[int], b: frozenset[int], threshold: float = 0.0) -> float:
@@ -91,14 +120,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def with_next(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def with_next(df: DataFrame, near: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Rows laid out so that each one's successor in descending id order is the next row of its partition.
 
     Ids are dealt into ranges of about equal count (quantiles of the ids; as many
     as shuffle partitions), one range a partition. A range's successor row, the
     first of the range below (after the last: the first of all), is copied to its
-    end and marked ``copy``. So each text is shuffled once, besides one copy a
-    range. Null ids come last; equal ids are ordered by text.
+    end and marked ``copy``. So each text is shuffled once, compressed, besides one
+    copy a range. Null ids come last; equal ids are ordered by their compressed
+    texts. The rows of ``near`` stand before the texts of their id.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -114,38 +144,136 @@ def with_next(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
     firsts = sorted(((r["part"], r["first"]) for r in ids.withColumn("part", range_of("k")).groupBy("part").agg(F.max("k").alias("first")).collect()), reverse=True)
     after = {firsts[(i + 1) % len(firsts)][1]: part for i, (part, _) in enumerate(firsts)}
+    nothing = {"digest": F.lit(None).cast("binary"), "near_class": F.lit(None).cast("long"), "n_near": F.lit(None).cast("long")}
+    rows = rows.withColumns({"text": packed(F.col("text")), **nothing})
     dealt = rows.withColumns({"part": range_of("k"), "copy": F.lit(0)})
     if after:
         # at most one row a range
         wanted = spark.createDataFrame(list(after.items()), "k long, part int")
         dealt = dealt.unionByName(rows.join(F.broadcast(wanted), "k").withColumn("copy", F.lit(1)))
-    return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "copy", F.desc("k"), "text")
+    marks = near.withColumns({"k": F.col("doc_id"), "text": F.lit(None).cast("binary"), "part": range_of("doc_id"), "copy": F.lit(0)})
+    return dealt.unionByName(marks).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "copy", F.desc("k"), F.col("digest").isNull(), "text")
+
+
+def _digest(fingerprint: bytes) -> bytes:
+    return hashlib.blake2b(fingerprint, digest_size=16).digest()
+
+
+def _binary(signs: frozenset[int]) -> bytes:
+    return np.sort(np.fromiter(signs, dtype=">u4", count=len(signs))).tobytes()
+
+
+def _prints(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [_binary(signatures(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "payload"])
+
+
+def _slot_counts(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            np.add.at(total, np.frombuffer(data, ">u4") % SLOTS, 1)
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], ["slot", "n"])
+
+
+def rarest(signs: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The signatures of which any set that reaches the threshold shares one: rarest first, then by value."""
+    n = len(signs)
+    return signs[np.lexsort((signs, counts[signs % SLOTS]))][: n - math.ceil(threshold * n - 1e-9) + 1]
+
+
+def _sent(threshold: float, counts: np.ndarray):
+    def send(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            reps, sizes, copies, buckets = [], [], [], []
+            for rep, many, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                signs = np.frombuffer(data, ">u4").astype(np.int64)
+                if not len(signs):
+                    continue
+                chosen = rarest(signs, counts, threshold)
+                for part in partitions_of(len(signs), threshold):
+                    buckets.append(chosen << 8 | part)
+                    reps += [rep] * len(chosen)
+                    sizes += [len(signs)] * len(chosen)
+                    copies += [many] * len(chosen)
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(copies, pa.int64()), pa.array(np.concatenate(buckets) if buckets else [], pa.int64())], ["rep", "size", "copies", "bucket"])
+
+    return send
+
+
+def near_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, digest, near_class, n_near)`` of every id and fingerprint; rows with a null id have none.
+
+    ``near_class`` is the smallest id of the component of fingerprints that reach the
+    threshold, ``n_near`` the number of other rows whose fingerprints reach it. Rows of
+    one id with different fingerprints are told apart by ``digest``, but in a bucket
+    the id stands for the least of them.
+    """
+    arrow_rows(df.sparkSession)
+    usable = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    prints = materialize(usable.mapInArrow(_prints, "doc_id long, digest binary, payload binary"), "prints")
+    by_id = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
+    classes = materialize(by_id, "classes")
+    slots = classes.select("payload").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    spread = materialize(classes.select("rep", "copies", "payload").mapInArrow(_sent(threshold, counts), "rep long, size int, copies long, bucket long"), "spread")
+    data = classes.select(F.col("rep").alias("doc_id"), "payload")
+    linked = bucket_links(spread, data, lambda payload: np.frombuffer(payload, ">u4").astype(np.int64), threshold)
+    labels = connected_components(linked, "doc_id", "root").select(F.col("id").alias("rep"), "component")
+    links = linked.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
+    known = materialize(classes.select("digest", "rep", "copies").join(labels, "rep", "left").join(links, "rep", "left"), "known")
+    ids = prints.select("doc_id", "digest").distinct()
+    return join_counted(ids, known, ["digest"], ["doc_id"], "copies").select(
+        "doc_id", "digest", F.coalesce("component", "rep").alias("near_class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_near")
+    )
 
 
 def _fingerprints(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    held = None  # id, text and signatures of the row that waits for its successor
+    held = None  # id, text, signatures, range and near class of the row that waits for its successor
+    known: tuple = (None, {})  # near classes of the present id by digest
 
-    def row(doc, text, signs, following, next_signs):
+    def row(doc, text, signs, known_near, following, next_signs):
         new = edited(text, following)
         new_signs = signatures(new)
-        return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written(signs), written(new_signs), likeness(signs, new_signs), likeness(signs, next_signs)
+        near = known_near if known_near else (doc, 0)
+        return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written(signs), written(new_signs), likeness(signs, new_signs), likeness(signs, next_signs), *near
 
     for batch in batches:
         out = []
-        for doc, text, part, copy in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "copy")), strict=True):
-            text = text or ""
+        names = ("doc_id", "text", "part", "copy", "digest", "near_class", "n_near")
+        for doc, data, part, copy, digest, near_class, n_near in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if digest is not None:
+                if known[0] != doc:
+                    known = (doc, {})
+                known[1][digest] = (near_class, n_near)
+                continue
+            text = "" if data is None else unpack_text(data)
             signs = signatures(text)
-            if held and held[3] == part:
-                out.append(row(*held[:3], text, signs))
-            held = None if copy else (doc, text, signs, part)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        columns = zip(*out, strict=True) if out else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            if held and held[4] == part:
+                out.append(row(*held[:4], text, signs))
+            near = known[1].get(_digest(_binary(signs))) if known[0] == doc else None
+            held = None if copy else (doc, text, signs, near, part)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        columns = zip(*out, strict=True) if out else [()] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_class", "n_near"])
 
 
-def fingerprint_chain(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Fingerprints of every text and of its edited form, with likenesses to the edited and to the next text."""
+def fingerprint_chain(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """Fingerprints of every text and of its edited form, with likenesses to the edited and to the next text, and the near class in the corpus.
+
+    Rows with a null id are compared with their edited and next text, but are a class of their own.
+    """
     arrow_rows(df.sparkSession)
-    return with_next(df, text_col, id_col).mapInArrow(_fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    near = near_classes(df, text_col, id_col, threshold)
+    return with_next(df, near, text_col, id_col).mapInArrow(_fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long, n_near long")
