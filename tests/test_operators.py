@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from twinsift import config
 from twinsift.functions import bits, gates, images, media
-from twinsift.operators import cluster, exact, ingest, report, selection, simjoin
+from twinsift.operators import cluster, exact, ingest, report, selection, similar, simjoin
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.generations import Generations
+from twinsift.plans.selection_store import SELECTION, SelectionStore
 from twinsift.sources import files, schemas
 from twinsift.streaming import outbox
 
@@ -245,6 +246,42 @@ def test_generations_survive_a_crash(spark, tmp_path):
     assert g.generations() == [1, 2] and g.clean(unpublished=True) == [1, 2]
 
 
+def test_selection_store(spark, tmp_path):
+    store = SelectionStore(spark, f"file://{tmp_path}")
+    rows = lambda *r: spark.createDataFrame(list(r), SELECTION)
+    held = lambda: sorted(tuple(r) for r in store.present().collect())
+    assert held() == []
+    first = store.begin()
+    store.save(first, rows((1, 10, 11, 5)))
+    store.save(first, rows((2, 20, 21, 6)))
+    assert held() == []
+    store.publish(first)
+    assert held() == [(1, 10, 11, 5), (2, 20, 21, 6)]
+    store.set_groups(spark.createDataFrame([(2,), (3,)], "group_id long"), rows((2, 22, 21, 7), (9, 1, 2, 3)))
+    assert held() == [(1, 10, 11, 5), (2, 22, 21, 7)]
+    store.save(store.begin(), rows((5, 50, 51, 1)))  # a replacement that is never finished
+    other = store.begin()
+    store.discard(other)
+    assert len(store.cleanup()) == 1 and len(held()) == 2
+    with pytest.raises(ValueError):
+        store.stored.drop(store.stored.active())
+    store.clear()
+    assert held() == []
+
+
+def test_signature_classes_stand_for_their_members(spark):
+    pdq = lambda x: [x, 0, 0, 0]
+    rows = [(i, pdq(7), 3, 80, 100, 100, [1] * 16) for i in (5, 2, 9)] + [(4, pdq(3), 3, 80, 100, 100, [1] * 16), (6, pdq(-1), 1 << 40, 80, 10, 900, [2] * 16), (7, pdq(-1), 1 << 40, 80, 10, 900, [2] * 16)]
+    d = spark.createDataFrame(rows, "id long, image_pdq array<long>, image_dhash long, image_pdq_quality int, width long, height long, image_zoned_phashes array<long>")
+    members = similar.class_members(d)
+    assert {r["id"]: r["rep"] for r in members.collect()} == {5: 2, 2: 2, 9: 2, 4: 4, 6: 6, 7: 6}
+    roots = spark.createDataFrame([(2, 2), (4, 2)], "id long, root long")
+    assert {r["id"]: r["root"] for r in similar.with_members(roots, members).collect()} == {5: 2, 2: 2, 9: 2, 4: 2, 6: 6, 7: 6}
+    planes = spark.createDataFrame([(i, None) for i in (2, 4, 6)], "id long, plane binary")
+    staged, _ = similar.image_edges(d, planes)
+    assert [(r["left_id"], r["right_id"], r["pdq_distance"]) for r in staged.collect()] == [(2, 4, 1)]
+
+
 def test_repeated_members_are_one_file(spark):
     m = _three(spark).where("path_id < 3")
     m = m.unionByName(m.where("path_id = 2").withColumn("size_bytes", F.lit(5).cast("long")))

@@ -82,10 +82,3 @@ def structural_accept(edge: Column | str, trimmed: Column | str, share: Column |
 
 def video_total(left: Column | str, right: Column | str) -> Column:
     return hamming_words(left, right)
-
-
-def video_match(left: str, right: str, max_average: int = 5) -> Column:
-    """Durations within two seconds and an average frame distance of at most ``max_average`` (inclusive)."""
-    l, r = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))
-    near = F.abs(l("video_duration_ms") - r("video_duration_ms")) <= VIDEO_WINDOW_MS
-    return near & (video_total(l("video_dhashes"), r("video_dhashes")) <= FRAMES * max_average)

@@ -6,8 +6,9 @@ decide on them, cheap gates first; each stage is stored before the next, so that
 pixels are compared for the pairs left only.
 
 Contents with the same hashes, shape grade and quality class form one signature
-class; its smallest id takes part in the joins and the other members follow it
-(``class_members``), so a hash that very many contents share is one row here.
+class (``class_members``). ``image_edges`` joins the smallest ids of the classes and
+the other members follow them, so a hash that very many contents share is one row
+there; ``image_candidates`` pairs all rows that it is given.
 """
 
 from __future__ import annotations
@@ -69,13 +70,22 @@ def structural_gate(pairs: DataFrame, planes: DataFrame, gates: Gates = Gates(),
     return out.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
 
-def image_edges(contents: DataFrame, planes: DataFrame, gates: Gates = Gates(), id_col: str = "id") -> DataFrame:
-    """Staged pair table: primary, secondary and structural decisions of every candidate pair."""
+def image_edges(contents: DataFrame, planes: DataFrame, gates: Gates = Gates(), id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Staged pair table between representatives (primary, secondary and structural decisions of every candidate pair), and ``class_members``."""
+    members = materialize(class_members(contents, gates, id_col), "classes")
+    contents = contents.join(members.where("id = rep").select(F.col("id").alias(id_col)), id_col, "left_semi")
     candidates = materialize(image_candidates(contents, gates, id_col), "candidates")
     zoned = materialize(zoned_gate(candidates, contents, gates, id_col), "zoned")
     final = structural_gate(zoned.where("zoned.accepted"), planes, gates, id_col)
     staged = zoned.join(final.select("left_id", "right_id", "s", "accepted"), ["left_id", "right_id"], "left")
-    return staged.withColumns({"primary_ok": F.lit(True), "secondary_ok": F.col("zoned.accepted"), "structure_ok": F.coalesce("accepted", F.lit(False))}).drop("accepted")
+    return staged.withColumns({"primary_ok": F.lit(True), "secondary_ok": F.col("zoned.accepted"), "structure_ok": F.coalesce("accepted", F.lit(False))}).drop("accepted"), members
+
+
+def with_members(roots: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, root)`` of every member of a group of two or more, from the roots of representatives."""
+    several = members.groupBy("rep").agg(F.count("*").alias("_n"))
+    placed = several.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").where("root IS NOT NULL OR _n > 1")
+    return members.join(placed, "rep").select("id", F.coalesce("root", "rep").alias("root"))
 
 
 def video_edges(contents: DataFrame, max_average: int = 5, id_col: str = "id") -> DataFrame:

@@ -6,10 +6,10 @@ segments, the other probes with its segments and, for e = 1, their one-bit
 neighbours. A pair is kept in the first segment that matches only, so no
 ``distinct`` follows.
 
-Rows with the same bits are compressed to a class before the join (as are copies
-in the reports), so a value that a third of all rows share is one row here. A
-segment value that is shared by very many *different* words is left to adaptive
-skew handling of the sort-merge join.
+``hamming_classes`` compresses rows with the same bits to a class before the join,
+so a value that a third of all rows share is one row there; the other joins pair all
+rows, equal ones too. A segment value that is shared by very many *different* words
+is left to adaptive skew handling of the sort-merge join.
 """
 
 from __future__ import annotations
@@ -79,20 +79,19 @@ def video_pairs(df: DataFrame, id_col: str, frames_col: str, duration_col: str,
     """Pairs of videos with durations within the window and a total frame distance within ``frames * max_average``.
 
     Blocks on one equal bit segment out of one more than the radius, and on the
-    bucket of the duration; the probe side looks into the neighbouring buckets.
+    bucket of the duration; the probe side looks into the neighbouring buckets. Only
+    hashed keys and ids go through that join; frames are fetched once a pair.
     """
     radius = frames * max_average
     rows = df.select(F.col(id_col).alias("id"), F.col(frames_col).alias("f"), F.col(duration_col).cast("long").alias("ms")).where("id IS NOT NULL AND f IS NOT NULL AND ms IS NOT NULL")
-    cut = F.array(*string_segments(F.col("bits"), 64 * frames, radius + 1))
-    rows = rows.withColumns({"bits": bit_string("f"), "bucket": F.floor(F.col("ms") / window_ms)}).withColumn("segs", cut).drop("bits")
-    index = rows.select(F.col("id").alias("right_id"), F.col("f").alias("rf"), F.col("ms").alias("rms"), F.col("segs").alias("rs"), "bucket", F.posexplode("segs").alias("seg", "key"))
-    probe = rows.select(F.col("id").alias("left_id"), F.col("f").alias("lf"), F.col("ms").alias("lms"), F.col("segs").alias("ls"), "bucket", F.posexplode("segs").alias("seg", "key"))
-    probe = probe.withColumn("bucket", F.explode(F.sequence(F.greatest(F.col("bucket") - 1, F.lit(0)), F.col("bucket") + 1)))
-    total = hamming_words("lf", "rf")
-    ok = (F.col("left_id") < F.col("right_id")) & (F.abs(F.col("lms") - F.col("rms")) <= window_ms) & (total <= radius)
-    first = F.array_position(F.zip_with("ls", "rs", lambda x, y: x == y), True) == F.col("seg") + 1
-    pairs = probe.join(index, ["seg", "key", "bucket"]).where(ok & first)
-    return pairs.select("left_id", "right_id", total.alias("total_distance"), F.abs(F.col("lms") - F.col("rms")).alias("duration_difference"))
+    cut = F.array(*string_segments(bit_string("f"), 64 * frames, radius + 1))
+    keyed = rows.select("id", F.floor(F.col("ms") / window_ms).alias("bucket"), F.explode(F.transform(cut, lambda s, i: F.xxhash64(i, s))).alias("key"))
+    probe = keyed.withColumn("bucket", F.explode(F.sequence(F.greatest(F.col("bucket") - 1, F.lit(0)), F.col("bucket") + 1))).withColumnRenamed("id", "left_id")
+    met = probe.join(keyed.withColumnRenamed("id", "right_id"), ["key", "bucket"]).where("left_id < right_id").select("left_id", "right_id").distinct()
+    side = lambda name: rows.select(F.col("id").alias(f"{name}_id"), F.col("f").alias(f"{name}_f"), F.col("ms").alias(f"{name}_ms"))
+    total, apart = hamming_words("left_f", "right_f"), F.abs(F.col("left_ms") - F.col("right_ms"))
+    pairs = met.join(side("left"), "left_id").join(side("right"), "right_id")
+    return pairs.where((apart <= window_ms) & (total <= radius)).select("left_id", "right_id", total.alias("total_distance"), apart.alias("duration_difference"))
 
 
 def word_classes(df: DataFrame, id_col: str, *signature: str) -> DataFrame:

@@ -11,7 +11,8 @@ from twinsift.functions import bits, gates, images, media
 from twinsift.operators import cluster, exact, ingest, report, selection, similar, simjoin
 from twinsift.operators.components import connected_components
 from twinsift.plans import generations, tables
-from twinsift.plans.storage import materialize, shared_dir
+from twinsift.plans.selection_store import SelectionStore
+from twinsift.plans.storage import intermediates, materialize
 from twinsift.sources import files
 from twinsift.streaming import logs, outbox
 
@@ -229,7 +230,7 @@ def _manifest(spark, d):
     """Manifest of all paths, written and read again."""
     import uuid
 
-    folder = f"{shared_dir(spark)}/twinsift/manifest-{uuid.uuid4().hex}"
+    folder = f"{intermediates(spark)}/manifest-{uuid.uuid4().hex}"
     files.write_manifest(tables.paths(spark, d).select(F.col("full_path").alias("path"), "storage_target_key", "size_bytes"), folder)
     return files.read_manifest(spark, folder)
 
@@ -430,8 +431,10 @@ def image_pipeline(spark, d):
     """From pictures (each in two brightnesses) to similarity groups: features, candidates, zoned and structural gates, clusters."""
     both = _pictures(spark, d).select((F.col("vec_id") * 2).alias("id"), "content").unionByName(_pictures(spark, d, 134).select((F.col("vec_id") * 2 + 1).alias("id"), "content"))
     f = materialize(both.select("id", images.features(F.col("content")).alias("f")).select("id", "f.*"), "features")
-    staged = materialize(similar.image_edges(f, f.select("id", "plane")), "staged")
-    return cluster.complete_link(staged.where("structure_ok").withColumn("distance", F.col("pdq_distance")))[0]
+    staged, members = similar.image_edges(f, f.select("id", "plane"))
+    staged = materialize(staged, "staged")
+    roots = cluster.complete_link(staged.where("structure_ok").withColumn("distance", F.col("pdq_distance")))[0]
+    return similar.with_members(roots, members)
 
 
 @query(f"""SELECT left_id, right_id, total_distance FROM (SELECT a.id AS left_id, b.id AS right_id, CAST({_FRAME_SUM} AS INTEGER) AS total_distance, abs(a.ms - b.ms) AS dd
@@ -665,6 +668,24 @@ def selection_snapshot(spark, d):
     return selection.snapshot(_safe(spark, d).where("decision.allowed"))
 
 
+@query("SELECT group_id, path_id, retained_path_id, size_bytes FROM decided WHERE reason = '' AND group_id % 7 <> 0", _SAFE)
+def selection_store(spark, d):
+    """A selection saved in two batches and published, some groups emptied, and a second replacement discarded."""
+    import uuid
+
+    store = SelectionStore(spark, f"{intermediates(spark)}/{uuid.uuid4().hex}")
+    chosen = _safe(spark, d).where("decision.allowed")
+    first = store.begin()
+    store.save(first, chosen.where("path_id % 2 = 0"))
+    store.save(first, chosen.where("path_id % 2 <> 0"))
+    store.publish(first)
+    store.set_groups(chosen.where("group_id % 7 = 0").select("group_id").distinct(), chosen.limit(0))
+    second = store.begin()
+    store.save(second, chosen)
+    store.discard(second)
+    return store.present()
+
+
 @query("""SELECT c.group_id, c.path_id, k.path_id AS retained_path_id FROM members AS c JOIN (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size_bytes, path_id) AS k FROM members WHERE path_id % 10 > 3) AS k
     ON k.group_id = c.group_id AND k.k = 1 WHERE c.path_id % 10 <= 3""", tables.MEMBERS)
 def manual_toggle(spark, d):
@@ -680,7 +701,7 @@ def published_generation(spark, d):
     """Two generations written, the second published, the first cleaned; readers see the second."""
     import uuid
 
-    g = generations.Generations(spark, f"{shared_dir(spark)}/twinsift/{uuid.uuid4().hex}", "similar")
+    g = generations.Generations(spark, f"{intermediates(spark)}/{uuid.uuid4().hex}", "similar")
     s = _summaries(spark, d)
     g.write(1, "summaries", s.where("member_count > 5"))
     kept = s.where("member_count > 3")
@@ -730,7 +751,7 @@ def outbox_stream(spark, d):
     """Operations as a stream, applied to a table in micro-batches."""
     import uuid
 
-    base = f"{shared_dir(spark)}/twinsift/{uuid.uuid4().hex}"
+    base = f"{intermediates(spark)}/{uuid.uuid4().hex}"
     operation = "sequence long, kind string, key long, payload string"
     tables.operations(spark, d).select("sequence", "kind", "key", "payload").repartitionByRange(3, "sequence").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(operation).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{base}/in")

@@ -90,6 +90,12 @@ class Generations:
             self._drop(f"{self.base}/gen={g}")
         return stale
 
+    def drop(self, generation: int) -> None:
+        """Drop a generation that no pointer names."""
+        if generation in self._published():
+            raise ValueError(f"generation {generation} is published")
+        self._drop(f"{self.base}/gen={generation}")
+
     def delete_all(self) -> None:
         """Unpublish first, then drop the data."""
         self._drop(f"{self.base}/active")

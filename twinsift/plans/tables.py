@@ -27,11 +27,11 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 3).cast("int").alias("scan_root_priority"),
         (F.col("doc_id") % 10).cast("int").alias("path_state"),
         (F.col("doc_id") * 7919 % 100_000).alias("last_write_time_utc_ms"),
-    ).withColumn("active", F.col("path_state") <= 6)
+    ).withColumn("active", media.is_active("sha", "path_state"))
 
 
 PATHS = """
-paths AS (SELECT *, path_state <= 6 AS active FROM (
+paths AS (SELECT *, sha IS NOT NULL AND path_state IN (1, 2) AS active FROM (
     SELECT doc_id AS path_id,
            'D:/' || source || '/' || lang || '/F' || CAST(doc_id AS VARCHAR) || CASE doc_id % 8 WHEN 0 THEN '.JPG' WHEN 1 THEN '.png' WHEN 2 THEN '.mp4' WHEN 3 THEN '.MKV'
                WHEN 4 THEN '.flac' WHEN 5 THEN '.txt' WHEN 6 THEN '.webm' ELSE '' END AS full_path,
