@@ -6,14 +6,14 @@ text (lists of terms), some content words, chosen by hash, act as anchors. A tex
 signatures, written as sorted 32-bit hashes in hex. Likeness is the Jaccard
 coefficient of two sets.
 
-``near_classes`` finds all near fingerprints of a corpus. Equal fingerprints are one
+``near_classes`` finds near fingerprints over a corpus. Equal fingerprints are one
 class first. Sets are partitioned by length so that two sets can reach the
-threshold t only if their partitions are equal or adjacent. Of n signatures, sets
-that reach t share one of the ``n - ceil(t n) + 1`` rarest of each (rarity by counts
-of signatures in ``SLOTS`` hash slots over all fingerprints; any order loses
-nothing). So a set is sent to its partition, and to the next if a set there can
-reach t, under each of these signatures, and the buckets are verified by pruned
-Jaccard in tiles.
+threshold only if their partitions are equal or adjacent. A set is sent to its
+partition, and to the next if a set there can reach the threshold, under the bands
+of its MinHash signature (their number is chosen for ``RECALL`` at the threshold and
+does not grow with the set). Buckets of one partition and band are verified by
+Jaccard in tiles. Sending a set under its rarest signatures instead would lose
+nothing, but sends a long set as often as it is long.
 
 Words are runs of letters, digits and underscores in lower case. A text without
 any complete chain uses all chains of ``CHAIN`` consecutive words instead, a
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.compressed import packed, unpack_text
+from twinsift.llm.ngram_join import RECALL, band_hashes, choose_bands
 from twinsift.llm.tiles import bucket_links
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
@@ -49,8 +50,6 @@ STRETCH = 8
 THRESHOLD = 0.8
 #: Length partitions span so many times the ratio of lengths that can reach the threshold.
 SPAN = 4
-#: Hash slots in which signatures are counted to tell rare from common ones.
-SLOTS = 1 << 17
 #: Common words of English, German, French and Spanish (a parameter of the method).
 ANCHORS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -171,39 +170,22 @@ def _prints(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "payload"])
 
 
-def _slot_counts(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for data in batch.column(0).to_pylist():
-            np.add.at(total, np.frombuffer(data, ">u4") % SLOTS, 1)
-    there = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], ["slot", "n"])
-
-
-def rarest(signs: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The signatures of which any set that reaches the threshold shares one: rarest first, then by value."""
-    n = len(signs)
-    return signs[np.lexsort((signs, counts[signs % SLOTS]))][: n - math.ceil(threshold * n - 1e-9) + 1]
-
-
-def _sent(threshold: float, counts: np.ndarray):
+def _sent(threshold: float, bands: int, rows: int):
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             reps, sizes, copies, buckets = [], [], [], []
             for rep, many, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                signs = np.frombuffer(data, ">u4").astype(np.int64)
+                signs = np.frombuffer(data, ">u4").astype(np.uint64)
                 if not len(signs):
                     continue
-                chosen = rarest(signs, counts, threshold)
+                hashes = band_hashes(signs * np.uint64(0x9E3779B97F4A7C15), bands, rows)
                 for part in partitions_of(len(signs), threshold):
-                    buckets.append(chosen << 8 | part)
-                    reps += [rep] * len(chosen)
-                    sizes += [len(signs)] * len(chosen)
-                    copies += [many] * len(chosen)
+                    buckets.append(hashes ^ np.int64(part * 0x2545F4914F6CDD1D & (1 << 63) - 1))
+                    reps += [rep] * bands
+                    sizes += [len(signs)] * bands
+                    copies += [many] * bands
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(copies, pa.int64()), pa.array(np.concatenate(buckets) if buckets else [], pa.int64())], ["rep", "size", "copies", "bucket"])
 
     return send
@@ -222,10 +204,8 @@ def near_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     prints = materialize(usable.mapInArrow(_prints, "doc_id long, digest binary, payload binary"), "prints")
     by_id = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
     classes = materialize(by_id, "classes")
-    slots = classes.select("payload").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
-    spread = materialize(classes.select("rep", "copies", "payload").mapInArrow(_sent(threshold, counts), "rep long, size int, copies long, bucket long"), "spread")
+    sent = _sent(threshold, *choose_bands(threshold, RECALL))
+    spread = materialize(classes.select("rep", "copies", "payload").mapInArrow(sent, "rep long, size int, copies long, bucket long"), "spread")
     data = classes.select(F.col("rep").alias("doc_id"), "payload")
     linked = bucket_links(spread, data, lambda payload: np.frombuffer(payload, ">u4").astype(np.int64), threshold)
     labels = connected_components(linked, "doc_id", "root").select(F.col("id").alias("rep"), "component")
