@@ -16,7 +16,7 @@ from twinsift.operators.joins import join_counted
 from twinsift.plans.generations import Generations
 from twinsift.plans.selection_store import SELECTION, SelectionStore
 from twinsift.sources import files, schemas
-from twinsift.streaming import outbox
+from twinsift.streaming import logs, outbox
 
 
 def signed(x):
@@ -326,6 +326,31 @@ def test_outbox(spark):
     assert [r["scan_id"] for r in outbox.finalizable(runs, q, q.limit(0)).collect()] == [2]
 
 
+def test_log_runs_cross_ranges(spark):
+    """Runs that end within a range, cross one border, or span several ranges; the plain rule goes over all entries."""
+    rng, rows = random.Random(5), []
+    for task in ("a", "b", None):
+        for sequence in sorted(rng.sample(range(200), 90)):
+            rows.append((task, sequence, "x" if 40 < sequence < 110 else rng.choice("xyy")))
+    log = spark.createDataFrame(rows, "task string, sequence long, message string")
+    want = []
+    for (task, _), run in itertools.groupby(rows, key=lambda r: (r[0], r[2])):
+        places = [r[1] for r in run]
+        want.append((str(task), places[0], places[-1], len(places)))
+    for block in (1, 7, 16, 1000):
+        got = logs.run_lengths(log, ("message",), block=block).collect()
+        assert sorted((str(r["task"]), r["first"], r["last"], r["length"]) for r in got) == sorted(want), block
+    assert logs.run_lengths(log.limit(0), ("message",)).count() == 0
+
+
+def test_incomplete_targets(spark):
+    contents = spark.createDataFrame([("a", None), ("b", 1), ("c", None), ("d", None)], "sha string, image_dhash long")
+    paths = spark.createDataFrame([("a", 2, 5, "p5", True), ("a", 1, 9, "p9", True), ("a", 1, 1, "p1", False), ("b", 1, 2, "p2", True), ("c", 1, 3, "p3", False), ("d", 1, 4, "p4", True)], "sha string, scan_root_priority int, path_id long, full_path string, active boolean")
+    rows = exact.incomplete_with_paths(contents, paths, F.col("image_dhash").isNotNull())
+    assert sorted((r["sha"], r["full_path"]) for r in rows.collect()) == [("a", "p5"), ("a", "p9"), ("d", "p4")]
+    assert sorted(map(tuple, exact.incomplete_targets(rows).collect())) == [("a", 2, 5, 9), ("d", 1, 4, 4)]
+
+
 def test_files_and_incremental_scan(spark, tmp_path):
     (tmp_path / "nested").mkdir()
     for name, data in (("photo.JPG", b"a"), ("nested/movie.MP4", b"b"), ("nested/sound.FLAC", b"b"), ("data.bin", b"c")):

@@ -42,6 +42,16 @@ def completeness(contents: DataFrame, complete) -> DataFrame:
 
 
 def incomplete_with_paths(contents: DataFrame, paths: DataFrame, complete, sha: str = "sha") -> DataFrame:
-    """Incomplete contents with their active paths in order of priority, then id."""
-    places = paths.where("active").groupBy(sha).agg(F.array_sort(F.collect_list(F.struct("scan_root_priority", "path_id", "full_path"))).alias("paths"))
+    """Incomplete contents with their active paths, one row a path.
+
+    Rows and not an array a content: a content that very many paths share stays many
+    rows. Sort by ``sha``, ``scan_root_priority`` and ``path_id`` for the order of work.
+    """
+    places = paths.where("active").select(sha, "scan_root_priority", "path_id", "full_path")
     return contents.where(~F.coalesce(complete, F.lit(False))).join(places, sha)
+
+
+def incomplete_targets(targets: DataFrame, sha: str = "sha") -> DataFrame:
+    """Per content of ``incomplete_with_paths``: number of paths, lowest id, and the id to read first (by priority, then id)."""
+    first = F.min(F.struct("scan_root_priority", "path_id"))["path_id"]
+    return targets.groupBy(sha).agg(F.count("*").alias("n_paths"), F.min("path_id").alias("lowest_id"), first.alias("first_path_id"))

@@ -72,9 +72,7 @@ def feature_completeness(spark, d):
 @query("SELECT sha, count(*) AS n_paths, min(path_id) AS lowest_id, arg_min(path_id, scan_root_priority * 100000000 + path_id) AS first_path_id FROM paths JOIN contents USING (sha) WHERE active AND (image_dhash IS NULL OR image_pdq_quality IS NULL) GROUP BY sha", tables.CONTENTS)
 def incomplete_targets(spark, d):
     ok = F.col("image_dhash").isNotNull() & F.col("image_pdq_quality").isNotNull()
-    found = exact.incomplete_with_paths(tables.contents(spark, d), tables.paths(spark, d), ok)
-    ids = F.transform("paths", lambda p: p["path_id"])
-    return found.select("sha", F.size("paths").cast("long").alias("n_paths"), F.array_min(ids).alias("lowest_id"), F.get(ids, F.lit(0)).alias("first_path_id"))
+    return exact.incomplete_targets(exact.incomplete_with_paths(tables.contents(spark, d), tables.paths(spark, d), ok))
 
 
 @query("SELECT count(DISTINCT sha) AS contents FROM paths WHERE active", tables.PATHS)

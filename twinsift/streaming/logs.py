@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 KEY = ("severity", "task", "stage", "operation", "subject", "code", "message")
 CAPACITY = 4096
+#: Sequence numbers of a range in which runs are found by themselves.
+BLOCK = 65_536
 
 
 def aggregated(log: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -36,9 +38,25 @@ def matches_text(query: str, columns: tuple[str, ...] = ("task", "stage", "opera
     return found
 
 
-def run_lengths(log: DataFrame, key: tuple[str, ...] = KEY, partition: str = "task") -> DataFrame:
-    """Runs of equal entries of one task, in order: first and last sequence and length."""
-    w = Window.partitionBy(partition).orderBy("sequence")
-    entry = F.struct(*key)
-    changed = F.when(F.lag(entry).over(w).eqNullSafe(entry), 0).otherwise(1)
-    return log.withColumn("_run", F.sum(changed).over(w)).groupBy(partition, "_run").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("length")).drop("_run")
+def run_lengths(log: DataFrame, key: tuple[str, ...] = KEY, partition: str = "task", block: int = BLOCK) -> DataFrame:
+    """Runs of equal entries of one task, in order: first and last sequence and length.
+
+    Tasks are few and may hold any number of entries, so each is cut into ranges of
+    ``block`` sequence numbers. Runs are found within a range; then the first and the
+    last run of each range, two rows a range, are stitched to their neighbours.
+    Entries of equal or no sequence number are in no fixed order.
+    """
+    inside = Window.partitionBy(partition, "_b").orderBy("sequence")
+    entries = log.select(partition, "sequence", F.floor(F.col("sequence") / block).alias("_b"), F.struct(*key).alias("_e"))
+    entries = entries.withColumn("_c", F.when(F.lag("_e").over(inside).eqNullSafe(F.col("_e")), 0).otherwise(1))
+    runs = entries.withColumn("_r", F.sum("_c").over(inside)).groupBy(partition, "_b", "_r")
+    # all entries of a run are equal
+    runs = runs.agg(F.any_value("_e").alias("_e"), F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("length"))
+    runs = runs.withColumn("_edge", (F.col("_r") == 1) | (F.col("_r") == F.max("_r").over(Window.partitionBy(partition, "_b"))))
+
+    across = Window.partitionBy(partition).orderBy("first")  # the edge runs only
+    goes_on = (F.lag("_b").over(across) != F.col("_b")) & F.lag("_e").over(across).eqNullSafe(F.col("_e"))
+    edges = runs.where("_edge").withColumn("_n", F.when(goes_on, 0).otherwise(1)).withColumn("_g", F.sum("_n").over(across))
+    stitched = edges.groupBy(partition, "_g").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"))
+    columns = [partition, "first", "last", "length"]
+    return runs.where("NOT _edge").select(*columns).unionByName(stitched.select(*columns))
