@@ -166,15 +166,15 @@ def features(content: Column) -> Column:
     return extracted(content)
 
 
-def compared(left: Column, right: Column, pass_score: float = 0.9) -> Column:
-    """Struct column of the structural comparison of two planes; null if one is missing."""
+def compared(left: Column, right: Column, pass_score: Column | float = 0.9) -> Column:
+    """Struct column of the structural comparison of two planes; null if one is missing. ``pass_score`` may differ by row."""
 
     @F.arrow_udf(COMPARED)
-    def structure(a, b):
+    def structure(a, b, score):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        rows = [None if x is None or y is None else compare_planes(x, y, pass_score) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        rows = [None if x is None or y is None else compare_planes(x, y, p) for x, y, p in zip(a.to_pylist(), b.to_pylist(), score.to_pylist(), strict=True)]
         return pa.array([None if r is None else dict(zip(("edge_zncc", "trimmed_block", "passing_share"), r, strict=True)) for r in rows], to_arrow_type(COMPARED))
 
-    return structure(left, right)
+    return structure(left, right, pass_score if isinstance(pass_score, Column) else F.lit(float(pass_score)))

@@ -63,9 +63,8 @@ def zoned_gate(candidates: DataFrame, contents: DataFrame, gates: Gates = Gates(
 def structural_gate(pairs: DataFrame, planes: DataFrame, gates: Gates = Gates(), id_col: str = "id") -> DataFrame:
     """Pairs with their structural scores and ``accepted``; a missing plane gives null scores and no acceptance."""
     both = _beside(pairs, planes, ("plane",), id_col)
-    score = lambda p: compared(F.col("l.plane"), F.col("r.plane"), p / 1_000_000)
-    scored = [both.where(F.col("low_quality") == low).withColumn("s", score(profile.block_pass_score)).drop("l", "r") for low, profile in ((False, gates.standard), (True, gates.low_quality))]
-    out = scored[0].unionByName(scored[1])
+    score = F.when(F.col("low_quality"), gates.low_quality.block_pass_score / 1_000_000).otherwise(gates.standard.block_pass_score / 1_000_000)
+    out = both.where("low_quality IS NOT NULL").withColumn("s", compared(F.col("l.plane"), F.col("r.plane"), score)).drop("l", "r")
     ok = structural_accept("s.edge_zncc", "s.trimmed_block", "s.passing_share", F.col("low_quality"), gates)
     return out.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
