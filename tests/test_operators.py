@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from twinsift import config
 from twinsift.functions import bits, gates, images, media
-from twinsift.operators import cluster, exact, ingest, report, selection, similar, simjoin
+from twinsift.operators import backfill, cluster, exact, ingest, report, selection, similar, simjoin
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
-from twinsift.plans.generations import Generations
+from twinsift.plans.generations import Generations, schema_version
+from twinsift.plans.report_store import RELATIONS, SKIPPED, ReportStore
 from twinsift.plans.selection_store import SELECTION, SelectionStore
 from twinsift.sources import files, schemas
 from twinsift.streaming import logs, outbox
@@ -269,6 +270,123 @@ def test_selection_store(spark, tmp_path):
     assert held() == []
 
 
+def test_copy_of_a_generation(spark, tmp_path):
+    g, backup = Generations(spark, f"file://{tmp_path}/a", "exact"), Generations(spark, f"file://{tmp_path}/b", "exact")
+    with pytest.raises(LookupError):
+        g.copy(backup)
+    g.write(1, "t", spark.range(3))
+    g.write(1, "u", spark.range(4))
+    g.publish(1, 7)
+    assert g.copy(backup) == 7 and backup.active() == 1
+    assert backup.tables(1) == ["t", "u"] and backup.tables(9) == []
+    assert sorted(r["id"] for r in backup.read("u").collect()) == [0, 1, 2, 3]
+    with pytest.raises(ValueError):  # a published copy is never overwritten
+        g.copy(backup)
+    versions = spark.createDataFrame([(1,), (4,), (None,)], "schema_version int")
+    assert one(schema_version(versions)) == 4 and one(schema_version(versions.limit(0))) == 0
+
+
+def test_report_store(spark, tmp_path):
+    store = ReportStore(spark, f"file://{tmp_path}")
+    number = store.begin()
+    # one group holds most rows, one a single row, and a row is repeated
+    rows = spark.createDataFrame([(7, i) for i in range(300)] + [(8, 5), (None, 1), (7, 3)], "left_root long, right_root long")
+    store.save_rules(number, {"pdq_max": 31, "dhash_max": 4})
+    store.save(number, RELATIONS, rows, ["right_root"], "left_root")
+    store.save(number, SKIPPED, rows.limit(0), ["right_root"])
+    with pytest.raises(LookupError):
+        store.rules()
+    store.publish(number)
+    assert store.rules() == {"dhash_max": 4, "pdq_max": 31}
+    got = lambda value, offset, count: [(r["ordinal"], r["right_root"]) for r in store.group_page(RELATIONS, "left_root", value, offset, count).orderBy("ordinal").collect()]
+    assert got(7, 2, 4) == [(2, 2), (3, 3), (4, 3), (5, 4)]
+    assert got(7, 299, 50) == [(299, 298), (300, 299)] and got(7, 301, 5) == [] == got(99, 0, 5)
+    assert got(8, 0, 9) == [(0, 5)] and got(None, 0, 9) == [(0, 1)]
+    assert store.page(SKIPPED, 0, 10).count() == 0
+    assert {r["left_root"]: r["rows"] for r in store.counts(RELATIONS).collect()} == {7: 301, 8: 1, None: 1}
+    assert store.begin() == number + 1
+
+
+def test_backfill(spark, tmp_path):
+    schema = "sha string, path_id long, features struct<q:int>, outcome string"
+    tried = spark.createDataFrame(
+        [("a", 2, 1, "ok", (9,)), ("a", 1, 5, "ok", (8,)), ("a", 0, 3, "decode", None), ("b", 0, 4, "unreadable", None), ("c", 0, 6, "unreadable", None), ("c", 0, 7, "timeout", None), ("c", 0, 8, "decode", None), ("d", 0, 9, "decode", None), ("e", 0, 10, None, None)],
+        "sha string, scan_root_priority int, path_id long, status string, features struct<q:int>",
+    )
+    done = backfill.outcomes(tried)
+    assert {r["sha"]: (r["outcome"], r["path_id"], r["features"] and r["features"]["q"]) for r in done.collect()} == {
+        "a": ("completed", 5, 8), "b": ("no_readable_path", None, None), "c": ("timeout", None, None), "d": ("decode_failed", None, None), "e": ("decode_failed", None, None),
+    }
+    assert tuple(backfill.counters(done).first()) == ("e", 5, 4, 1, 1, 1, 2)
+    assert tuple(backfill.counters(done.limit(0)).first()) == (None, 0, 0, 0, 0, 0, 0)
+    base = f"file://{tmp_path}/b"
+    assert backfill.checkpoints(spark, base) is None and backfill.saved(spark, base, schema).count() == 0
+    done.write.parquet(f"{base}/features/batch=0")  # features whose checkpoint never came
+    assert backfill.saved(spark, base, schema).count() == 0
+    backfill.save_batch(base, 0, done.where("sha <= 'b'"))
+    done.write.parquet(f"{base}/features/batch=1")
+    assert sorted(r["sha"] for r in backfill.saved(spark, base, schema).collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        backfill.save_batch(base, 0, done)
+    left = backfill.pending(tried, backfill.saved(spark, base, schema))
+    assert sorted({r["sha"] for r in left.collect()}) == ["b", "c", "d", "e"]
+    contents = spark.createDataFrame([("a", "2", [1], 5, [1], 1, 1), ("b", None, None, 5, [1], 1, 0), ("c", "1", [1], None, None, None, 1)], "sha string, media_algorithm_version string, image_pdq array<long>, image_pdq_quality int, image_zoned_phashes array<long>, image_perceptual_algorithm_version int, image_structural_algorithm_version int")
+    lacks = {r["sha"]: r["m"] for r in contents.select("sha", media.missing_features("2").alias("m")).collect()}
+    assert lacks == {"a": [], "b": ["media_version", "pdq", "structural_version"], "c": ["media_version", "quality", "zoned", "perceptual_version"]}
+    paths = spark.createDataFrame([("a", 0, 1, "x", True), ("b", 0, 2, "y", True), ("b", 0, 3, "z", False)], "sha string, scan_root_priority int, path_id long, full_path string, active boolean")
+    assert [r["path_id"] for r in backfill.targets(contents, paths, media.missing_features("2")).collect()] == [2]
+
+
+def test_restart_recovery(spark):
+    ops = spark.createDataFrame([(9, 2, "upsert", "k"), (3, 1, "delete", "a"), (4, 1, "upsert", "b")], "arrival long, batch_scan_id long, kind string, key string")
+    queue = spark.createDataFrame([(40,), (7,)], "sequence long")
+    found = sorted((r["sequence"], r["batch_scan_id"], r["key"]) for r in outbox.recover(ops, queue).collect())
+    assert found == [(41, 1, "a"), (42, 1, "b"), (43, 2, "k")]  # scan by scan, after the queue
+    assert sorted(r["sequence"] for r in outbox.recover(ops, queue.limit(0)).collect()) == [1, 2, 3]
+    assert outbox.recover(ops.limit(0), queue).count() == 0
+    assert sorted((r["sequence"], r["batch"]) for r in outbox.batches(spark.createDataFrame([(s,) for s in (5, 9, 11, 20, 21)], "sequence long"), 2).collect()) == [(5, 0), (9, 0), (11, 1), (20, 1), (21, 2)]
+    runs = spark.createDataFrame([(1, "Hashing", 10), (2, "Failed", 20), (3, "Paused", 30), (4, "CompletedSynchronized", 40)], "scan_id long, phase string, updated_utc_ms long")
+    after = outbox.mark_interrupted(runs, spark.createDataFrame([(1,), (1,), (8,)], "scan_id long"), 99)
+    assert sorted(map(tuple, after.collect())) == [(1, "Interrupted", 99), (2, "Failed", 20), (3, "Paused", 30), (4, "CompletedSynchronized", 40)]
+    assert [r["scan_id"] for r in outbox.resumable(after).collect()] == [1, 3]
+    saved = outbox.save_runs(runs, spark.createDataFrame([(5, "Idle", 1), (1, "Syncing", 12), (1, "Planning", 11)], "scan_id long, phase string, updated_utc_ms long"))
+    assert {r["scan_id"]: r["phase"] for r in saved.collect()} == {1: "Syncing", 2: "Failed", 3: "Paused", 4: "CompletedSynchronized", 5: "Idle"}
+    log = spark.createDataFrame([(1, 1, "prepared"), (2, 2, "prepared"), (3, 3, "prepared"), (3, 4, "file_deleted"), (4, 5, "done")], "intent_id long, sequence long, state string")
+    present = spark.createDataFrame([(1,), (1,), (3,), (4,)], "intent_id long")
+    actions = outbox.recover_deletes(outbox.delete_intents(log), present).collect()
+    assert sorted((r["intent_id"], r["action"]) for r in actions) == [(1, "drop"), (2, "delete_mapping"), (3, "delete_mapping")]
+
+
+def test_written_logs(spark, tmp_path):
+    folder = f"file://{tmp_path}/logs"
+    rows = spark.createDataFrame([("failure", 1), ("execution", 2), ("failure", 3)], "kind string, sequence long").coalesce(1)
+    logs.append(rows, folder, rows=1)
+    logs.append(rows, folder)
+    assert logs.written(spark, folder, "failure").count() == 4 and logs.written(spark, folder, "scan_errors").count() == 0
+    assert len(list((tmp_path / "logs" / "kind=failure").glob("*.parquet"))) == 3
+    for bad in ("other", None):
+        with pytest.raises(ValueError):
+            logs.append(spark.createDataFrame([(bad, 1)], "kind string, sequence long"), folder)
+    assert logs.written(spark, folder, "failure").count() == 4
+    feed = spark.createDataFrame([(1, 0, "s1", "m1"), (2, 3, "s2", "m2"), (3, None, "s3", "m3")], "sequence long, repeat_count long, subject string, message string").withColumn("ts", F.col("sequence")).withColumns({k: F.lit("x") for k in logs.KEY})
+    r = logs.aggregated(feed).first()
+    assert (r["repeat_count"], r["sequence"], r["last_ts"], r["subject"], r["message"]) == (5, 3, 3, "s1", "m1")
+
+
+def test_structural_gate_takes_the_score_of_each_pair(spark):
+    f = [images.image_features(_picture(kind)) for kind in ("base", "mark", "other")]
+    planes = spark.createDataFrame([(i, x["plane"]) for i, x in enumerate(f)], "id long, plane binary")
+    own = gates.Gates()
+    pairs = spark.createDataFrame([(0, 1, False), (0, 2, True), (1, 2, False), (0, 9, False), (0, 1, True), (0, 1, None)], "left_id long, right_id long, low_quality boolean")
+    got = {(r["left_id"], r["right_id"], r["low_quality"]): (r["s"] and tuple(r["s"]), r["accepted"]) for r in similar.structural_gate(pairs, planes, own).collect()}
+    want = {}
+    for a, b, low in ((0, 1, False), (0, 2, True), (1, 2, False), (0, 1, True)):
+        profile = own.low_quality if low else own.standard
+        want[a, b, low] = tuple(images.compare_planes(f[a]["plane"], f[b]["plane"], profile.block_pass_score / 1_000_000))
+    assert {k: v[0] for k, v in got.items()} == want
+    assert got[0, 1, False][1] and not got[1, 2, False][1]
+
+
 def test_signature_classes_stand_for_their_members(spark):
     pdq = lambda x: [x, 0, 0, 0]
     rows = [(i, pdq(7), 3, 80, 100, 100, [1] * 16) for i in (5, 2, 9)] + [(4, pdq(3), 3, 80, 100, 100, [1] * 16), (6, pdq(-1), 1 << 40, 80, 10, 900, [2] * 16), (7, pdq(-1), 1 << 40, 80, 10, 900, [2] * 16)]
@@ -357,6 +475,7 @@ def test_files_and_incremental_scan(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     listed = files.list_files(spark, str(tmp_path))
     assert sorted(r["media_kind"] for r in listed.collect()) == [0, 1, 2, 3]
+    assert all(len(r["sha512"]) == 32 for r in files.hash_files(spark, str(tmp_path), F.md5).collect())
     hashed = {r["path"].rsplit("/", 1)[1]: r["sha512"] for r in files.hash_files(spark, str(tmp_path)).collect()}
     assert hashed["movie.MP4"] == hashlib.sha512(b"b").hexdigest() == hashed["sound.FLAC"]
     known = "normalized_path string, size_bytes long, last_write_time_utc_ms long, volume_serial long, file_id_high long, file_id_low long"

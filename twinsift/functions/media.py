@@ -59,6 +59,15 @@ def image_features_complete(kind="media_kind", pdq="image_pdq", quality="image_p
     return F.coalesce(there & (_c(perceptual) == version) & (_c(structural) == version), F.lit(False))
 
 
+def missing_features(version: str, media="media_algorithm_version", pdq="image_pdq", quality="image_pdq_quality", zoned="image_zoned_phashes", perceptual="image_perceptual_algorithm_version", structural="image_structural_algorithm_version", wanted: int = 1) -> Column:
+    """Names of what an image's content lacks, as an array; a version that is null or another one counts as lacking."""
+    lacks = {
+        "media_version": ~_c(media).eqNullSafe(F.lit(version)), "pdq": _c(pdq).isNull(), "quality": _c(quality).isNull(), "zoned": _c(zoned).isNull(),
+        "perceptual_version": ~_c(perceptual).eqNullSafe(F.lit(wanted)), "structural_version": ~_c(structural).eqNullSafe(F.lit(wanted)),
+    }
+    return F.array_compact(F.array(*[F.when(lack, F.lit(name)) for name, lack in lacks.items()]))
+
+
 def media_complete(version: str, kind="media_kind", dhash="image_dhash", frames="video_dhashes", stored="media_algorithm_version", duration="video_duration_ms") -> Column:
     """All that is stored for a kind of media is there, in the wanted algorithm version."""
     same = _c(stored) == version
@@ -111,6 +120,11 @@ def normalize_target(key: Column | str) -> Column:
     return F.lower(F.trim(_c(key)))
 
 
+def checked_add(a: Column | str, b: Column | str) -> Column:
+    """Sum of two 64-bit counts; null where it would overflow, instead of the error that ``+`` raises."""
+    return F.try_add(_c(a).cast("long"), _c(b).cast("long"))
+
+
 def millionths(score: Column | str) -> Column:
     """Score as an integer number of millionths, half away from zero; 0 for what is no number."""
     s = _c(score).cast("double")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions import bits, gates, images, media
-from twinsift.operators import cluster, exact, ingest, report, selection, similar, simjoin
+from twinsift.operators import backfill, cluster, exact, ingest, report, selection, similar, simjoin
 from twinsift.operators.components import connected_components
 from twinsift.plans import generations, tables
+from twinsift.plans.report_store import MEMBERS, RELATIONS, SKIPPED, ReportStore
 from twinsift.plans.selection_store import SelectionStore
 from twinsift.plans.storage import intermediates, materialize
 from twinsift.sources import files
@@ -75,6 +76,63 @@ def incomplete_targets(spark, d):
     return exact.incomplete_targets(exact.incomplete_with_paths(tables.contents(spark, d), tables.paths(spark, d), ok))
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete FROM featured WHERE media_kind = 1 AND sha IN (SELECT sha FROM paths WHERE active)", tables.FEATURED)
+def image_completeness(spark, d):
+    """Active images with all features in both algorithm versions."""
+    c = exact.active_semi(tables.featured(spark, d), tables.paths(spark, d)).where("media_kind = 1")
+    return exact.completeness(c, media.image_features_complete())
+
+
+@query("SELECT sha, missing FROM featured WHERE missing <> ''", tables.FEATURED)
+def missing_features(spark, d):
+    """What each content lacks of image features, by all six conditions."""
+    c = tables.featured(spark, d).withColumn("missing", media.missing_features("2")).where(F.size("missing") > 0)
+    return c.select("sha", F.array_join("missing", ",").alias("missing"))
+
+
+_PAIR_SUM = " + ".join(f"CAST(bit_count(xor(video_dhashes[{i + 1}], video_dhashes[{j + 1}])) AS INTEGER)" for i in range(6) for j in range(i + 1, 6))
+
+
+@query(f"""SELECT sha, coalesce(CASE media_kind WHEN 1 THEN present_version AND coalesce(image_dhash, 0) <> 0 WHEN 2 THEN present_version AND NOT list_contains(video_dhashes, 0) AND video_duration_ms > 0 WHEN 3 THEN present_version ELSE true END, false) AS media_complete,
+    CASE media_kind WHEN 1 THEN complete WHEN 2 THEN video_dhashes IS NOT NULL AND NOT list_contains(video_dhashes, 0) AND content_size_bytes % 17 <> 0 AND {_PAIR_SUM} >= 75 ELSE false END AS usable FROM featured""", tables.FEATURED)
+def usable_visual(spark, d):
+    """Whether all that is stored for a kind of media is there, and whether a content takes part in similarity."""
+    return tables.featured(spark, d).select("sha", media.media_complete("2").alias("media_complete"), media.is_usable_visual().alias("usable"))
+
+
+_ATTEMPTS = tables.FEATURED + """,
+attempts AS (SELECT sha, scan_root_priority AS p, path_id, path_id // 10 % 4 AS status FROM paths JOIN featured USING (sha) WHERE active AND media_kind = 1 AND missing <> ''),
+outcomes AS (SELECT sha, CASE WHEN count(*) FILTER (WHERE status = 0) > 0 THEN 'completed' WHEN count(*) FILTER (WHERE status <> 2) = 0 THEN 'no_readable_path' WHEN count(*) FILTER (WHERE status = 1) > 0 THEN 'timeout' ELSE 'decode_failed' END AS outcome,
+    arg_min(path_id, p * 1000000000000 + path_id) FILTER (WHERE status = 0) AS path_id FROM attempts GROUP BY sha)"""
+
+
+def _backfilled(spark, d):
+    """Two batches of a backfill, the second over what the first left; returns its folder and the type of its rows."""
+    import uuid
+
+    base = f"{intermediates(spark)}/backfill-{uuid.uuid4().hex}"
+    wanted = backfill.targets(tables.featured(spark, d).where("media_kind = 1").select("sha", media.missing_features("2").alias("missing")), tables.paths(spark, d), F.col("missing"))
+    status = F.element_at(F.array(*[F.lit(s) for s in (backfill.OK, backfill.TIMEOUT, backfill.UNREADABLE, backfill.DECODE)]), (F.floor(F.col("path_id") / 10) % 4 + 1).cast("int"))
+    tried = materialize(wanted.withColumn("status", status).withColumn("features", F.struct(F.col("path_id").alias("image_pdq_quality"))), "attempts")
+    schema = "sha string, path_id long, features struct<image_pdq_quality:long>, outcome string"
+    backfill.save_batch(base, 0, backfill.outcomes(tried.where("sha < '8'")))
+    rest = backfill.pending(tried, backfill.saved(spark, base, schema)).where("sha >= '8'")
+    backfill.save_batch(base, 1, backfill.outcomes(rest))
+    return base, schema
+
+
+@query("SELECT sha, outcome, path_id, path_id AS image_pdq_quality FROM outcomes", _ATTEMPTS)
+def feature_backfill(spark, d):
+    """Outcome of each incomplete active image, and the features of its first path that could be read."""
+    return backfill.saved(spark, *_backfilled(spark, d)).select("sha", "outcome", "path_id", "features.image_pdq_quality")
+
+
+@query("""SELECT CASE WHEN sha < '8' THEN 0 ELSE 1 END AS batch, max(sha) AS last_sha, count(*) AS processed, count(*) FILTER (WHERE outcome <> 'completed') AS failed, count(*) FILTER (WHERE outcome = 'completed') AS completed,
+    count(*) FILTER (WHERE outcome = 'no_readable_path') AS no_readable_path, count(*) FILTER (WHERE outcome = 'timeout') AS timeout, count(*) FILTER (WHERE outcome = 'decode_failed') AS decode_failed FROM outcomes GROUP BY 1""", _ATTEMPTS)
+def backfill_checkpoints(spark, d):
+    return backfill.checkpoints(spark, _backfilled(spark, d)[0])
+
+
 @query("SELECT count(DISTINCT sha) AS contents FROM paths WHERE active", tables.PATHS)
 def active_distinct(spark, d):
     return files.active_paths(tables.paths(spark, d)).select("sha").distinct().agg(F.count("*").alias("contents"))
@@ -248,9 +306,6 @@ def visual_status(spark, d):
     return tables.contents(spark, d).groupBy("media_kind", media.visual_status().alias("status")).agg(F.count("*").alias("n"))
 
 
-_PAIR_SUM = " + ".join(f"CAST(bit_count(xor(video_dhashes[{i + 1}], video_dhashes[{j + 1}])) AS INTEGER)" for i in range(6) for j in range(i + 1, 6))
-
-
 @query(f"SELECT sha, {_PAIR_SUM} AS frame_sum, {_PAIR_SUM} < 75 AS static_visual FROM contents WHERE video_dhashes IS NOT NULL", tables.CONTENTS)
 def static_visual(spark, d):
     c = tables.contents(spark, d).where("video_dhashes IS NOT NULL")
@@ -709,6 +764,38 @@ def published_generation(spark, d):
     return g.read("summaries").select("group_id", "member_count")
 
 
+@query("""SELECT kind, group_key, ordinal, value FROM (
+    SELECT 'relations' AS kind, l_partkey AS group_key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) - 1 AS ordinal, l_orderkey AS value FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) AS r
+    UNION ALL SELECT 'signature_members', w16, row_number() OVER (PARTITION BY w16 ORDER BY id) - 1, id FROM signatures
+    UNION ALL SELECT 'skipped', NULL, row_number() OVER (ORDER BY o_orderkey) - 1, o_orderkey FROM orders) AS x
+    WHERE (kind = 'relations' AND group_key = (SELECT min(l_partkey) FROM lineitem) AND ordinal BETWEEN 2 AND 6) OR (kind = 'signature_members' AND group_key = (SELECT min(w16) FROM signatures) AND ordinal < 3) OR (kind = 'skipped' AND ordinal BETWEEN 100 AND 119)""", tables.SIGNATURES)
+def report_pages(spark, d):
+    """Pages of a published report: relations and signature members of a group, and skipped rows of the whole report."""
+    import uuid
+
+    store = ReportStore(spark, f"{intermediates(spark)}/{uuid.uuid4().hex}")
+    relations = tables.table(spark, d, "lineitem").select("l_partkey", "l_orderkey").distinct()
+    same, skipped = tables.signatures(spark, d).select("w16", "id"), tables.table(spark, d, "orders").select("o_orderkey")
+    number = store.begin()
+    store.save_rules(number, {"pdq_max": 31})
+    store.save(number, RELATIONS, relations, ["l_orderkey"], "l_partkey")
+    store.save(number, MEMBERS, same, ["id"], "w16")
+    store.save(number, SKIPPED, skipped, ["o_orderkey"])
+    store.publish(number)
+    first = lambda name, c: store.counts(name).agg(F.min(c)).first()[0]
+    shape = lambda kind, rows, group, value: rows.select(F.lit(kind).alias("kind"), group.cast("long").alias("group_key"), "ordinal", F.col(value).alias("value"))
+    a = shape(RELATIONS, store.group_page(RELATIONS, "l_partkey", first(RELATIONS, "l_partkey"), 2, 5), F.col("l_partkey"), "l_orderkey")
+    b = shape(MEMBERS, store.group_page(MEMBERS, "w16", first(MEMBERS, "w16"), 0, 3), F.col("w16"), "id")
+    return a.unionByName(b).unionByName(shape(SKIPPED, store.page(SKIPPED, 100, 20), F.lit(None), "o_orderkey"))
+
+
+@query("SELECT 'present' AS store, max(r_regionkey)::BIGINT AS schema_version FROM region UNION ALL SELECT 'empty', 0")
+def schema_version(spark, d):
+    r = tables.table(spark, d, "region")
+    version = lambda rows, store: generations.schema_version(rows, "r_regionkey").withColumn("store", F.lit(store))
+    return version(r, "present").unionByName(version(r.where("r_regionkey IS NULL"), "empty"))
+
+
 _VERSIONS = [(1, None, (1, 5, "ready")), (2, (0, 5, "ready"), (1, 5, "ready")), (3, (1, 5, "ready"), (1, 5, "ready")), (4, (1, 5, "rebuilding"), (1, 5, "ready")), (5, (1, 5, "ready"), (1, 6, "ready")), (6, (2, 5, "ready"), (1, 5, "ready"))]
 
 
@@ -760,11 +847,49 @@ def outbox_stream(spark, d):
     return outbox.applied_table(spark, f"{base}/out", operation).select("key", "payload")
 
 
+@query("""SELECT sequence, batch_scan_id, kind, key FROM operations WHERE batch_scan_id >= 3 UNION ALL
+    SELECT (SELECT max(sequence) FROM operations WHERE batch_scan_id >= 3) + row_number() OVER (ORDER BY batch_scan_id, key, kind), batch_scan_id, kind, key FROM (SELECT DISTINCT batch_scan_id, kind, key FROM operations WHERE batch_scan_id < 3) AS x""", tables.OPERATIONS)
+def outbox_recover(spark, d):
+    """The queue after a restart: what earlier scans left staged follows what was queued."""
+    ops = tables.operations(spark, d).select("sequence", "batch_scan_id", "kind", "key")
+    queue = ops.where("batch_scan_id >= 3")
+    return queue.unionByName(outbox.recover(outbox.staged(ops.where("batch_scan_id < 3"), "sequence"), queue))
+
+
+@query("SELECT (k - 1) // 1000 AS batch, count(*) AS operations, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM (SELECT sequence, row_number() OVER (ORDER BY sequence) AS k FROM operations) AS x GROUP BY 1", tables.OPERATIONS)
+def outbox_batches(spark, d):
+    """Batches of a thousand operations by sequence; the last one is the final flush."""
+    made = outbox.batches(tables.operations(spark, d).select("sequence"))
+    return made.groupBy("batch").agg(F.count("*").alias("operations"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+
+
+_RUNS = "runs AS (SELECT c_custkey AS scan_id, CASE WHEN c_custkey % 6 = 0 THEN 'Interrupted' ELSE [" + ", ".join(f"'{p}'" for p in outbox.PHASES) + "][c_custkey % 15 + 1] END AS phase, CASE WHEN c_custkey % 6 = 0 THEN 100000 ELSE c_custkey * 7919 % 100000 END AS updated_utc_ms FROM customer)"
+
+
+@query("SELECT scan_id, phase, updated_utc_ms FROM runs WHERE phase IN (" + ", ".join(f"'{p}'" for p in outbox.RESUMABLE) + ") ORDER BY updated_utc_ms DESC, scan_id LIMIT 50", _RUNS)
+def scan_runs(spark, d):
+    """Checkpoint table after a restart marked lost scans as interrupted, and the newest that may be resumed."""
+    c = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("scan_id"))
+    phase = F.element_at(F.array(*[F.lit(p) for p in outbox.PHASES]), (F.col("scan_id") % 15 + 1).cast("int"))
+    runs = c.select("scan_id", phase.alias("phase"), (F.col("scan_id") * 7919 % 100_000).alias("updated_utc_ms"))
+    return outbox.resumable(outbox.mark_interrupted(runs, c.where("scan_id % 6 = 0"), 100_000))
+
+
+@query("""SELECT intent_id, CASE WHEN state = 'prepared' AND intent_id % 3 = 0 THEN 'drop' ELSE 'delete_mapping' END AS action FROM (SELECT user_id AS intent_id, CASE event_type WHEN 'click' THEN 'prepared' WHEN 'purchase' THEN 'done' ELSE 'file_deleted' END AS state,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) AS x WHERE k = 1 AND state <> 'done'""")
+def delete_recovery(spark, d):
+    """Delete intents that a restart found: files still there are kept, the paths of the others go."""
+    state = F.when(F.col("event_type") == "click", "prepared").when(F.col("event_type") == "purchase", "done").otherwise("file_deleted")
+    log = tables.table(spark, d, "events").select(F.col("user_id").alias("intent_id"), F.col("event_id").alias("sequence"), state.alias("state"))
+    return outbox.recover_deletes(outbox.delete_intents(log), log.where("intent_id % 3 = 0")).select("intent_id", "action")
+
+
 def _log(spark, d):
     e = tables.table(spark, d, "events")
     return e.select(
         F.col("event_id").alias("sequence"), "ts", F.when(F.col("event_type") == "purchase", "error").otherwise("info").alias("severity"), F.concat(F.lit("task"), (F.col("user_id") % 7).cast("string")).alias("task"),
-        F.col("event_type").alias("stage"), F.lit("run").alias("operation"), (F.col("user_id") % 3).cast("string").alias("subject"), F.lit(0).alias("code"), F.upper("event_type").alias("message"), F.lit(1).cast("long").alias("repeat_count"),
+        F.col("event_type").alias("stage"), F.lit("run").alias("operation"), (F.col("user_id") % 3).cast("string").alias("subject"),
+        (F.col("user_id") % 7).alias("task_id"), F.lit(0).alias("status_code"), (F.col("user_id") % 3).alias("native_error"), F.upper("event_type").alias("message"), F.lit(1).cast("long").alias("repeat_count"),
     )
 
 
@@ -787,6 +912,19 @@ def log_runs(spark, d):
     return logs.run_lengths(_log(spark, d))
 
 
+@query("SELECT 'failure' AS kind, count(*) AS entries, max(event_id) AS last_sequence FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'execution', count(*), max(event_id) FROM events WHERE event_type <> 'purchase'")
+def log_written(spark, d):
+    """Log entries appended in two batches and read again by kind."""
+    import uuid
+
+    folder = f"{intermediates(spark)}/logs-{uuid.uuid4().hex}"
+    entries = _log(spark, d).withColumn("kind", F.when(F.col("severity") == "error", "failure").otherwise("execution"))
+    logs.append(entries.where("sequence % 2 = 0"), folder)
+    logs.append(entries.where("sequence % 2 <> 0"), folder)
+    read = [logs.written(spark, folder, kind).groupBy("kind").agg(F.count("*").alias("entries"), F.max("sequence").alias("last_sequence")) for kind in ("failure", "execution")]
+    return read[0].unionByName(read[1])
+
+
 # --- pixels ----------------------------------------------------------------------
 
 
@@ -819,3 +957,10 @@ def scalar_functions(spark, d):
     e = tables.table(spark, d, "events")
     filetime = (media.epoch_ms("ts") + 11_644_473_600_000) * 10_000
     return e.select("event_id", media.filetime_to_ms(filetime).alias("ms"), filetime.alias("filetime"), media.utc_text(media.epoch_ms("ts")).alias("utc"), media.millionths("value").alias("millionths"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE CAST(9223372036854775807 - c_custkey + c_custkey AS VARCHAR) END AS total FROM customer")
+def checked_sums(spark, d):
+    """Sums of 64-bit counts as text, null where they would overflow."""
+    key = F.col("c_custkey").cast("long")
+    return tables.table(spark, d, "customer").select("c_custkey", media.checked_add(F.lit(9223372036854775807) - key, key + F.when(key % 2 == 0, 1).otherwise(0)).cast("string").alias("total"))

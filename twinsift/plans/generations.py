@@ -96,6 +96,33 @@ class Generations:
             raise ValueError(f"generation {generation} is published")
         self._drop(f"{self.base}/gen={generation}")
 
+    def tables(self, generation: int) -> list[str]:
+        """Names of a generation's tables, those in folders of their own too."""
+        fs, p = self._fs(f"{self.base}/gen={generation}")
+        if not fs.exists(p):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+
+    def copy(self, into: Generations, generation: int | None = None) -> int:
+        """Back up the published (or a given) generation: copy its tables, compare their row counts, then publish the copy.
+
+        Returns the number of rows copied. A copy that fails or differs is not published.
+        """
+        generation = self.active() if generation is None else generation
+        if generation is None:
+            raise LookupError("nothing is published")
+        if generation in into._published():
+            raise ValueError(f"generation {generation} is published there")
+        rows = 0
+        for name in self.tables(generation):
+            into.write(generation, name, self.read(name, generation))
+            had, has = self.read(name, generation).count(), into.read(name, generation).count()
+            if had != has:
+                raise RuntimeError(f"{name}: {had} rows, {has} in the copy")
+            rows += has
+        into.publish(generation, rows)
+        return rows
+
     def delete_all(self) -> None:
         """Unpublish first, then drop the data."""
         self._drop(f"{self.base}/active")
@@ -103,6 +130,11 @@ class Generations:
             self._drop(f"{self.base}/gen={g}")
 
 
+def schema_version(migrations: DataFrame, version: str = "schema_version") -> DataFrame:
+    """Highest version that a table of migrations names, in one row; 0 if it is empty."""
+    return migrations.agg(F.coalesce(F.max(version), F.lit(0)).cast("long").alias("schema_version"))
+
+
 def version_decision(local: str, remote: str, current: int = CURRENT_VERSION) -> Column:
     """What to do with two stores' versions: RejectNewerData, ResetRequired, ReuseReady or ResumeRebuild.
 

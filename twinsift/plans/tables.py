@@ -63,6 +63,27 @@ contents AS (
     FROM (SELECT sha, min(size_bytes) AS n, min(lang) AS lang FROM paths JOIN documents ON doc_id = path_id GROUP BY sha) AS g)"""
 
 
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with all feature columns and algorithm versions, some of them missing or old."""
+    n = F.col("content_size_bytes")
+    return contents(spark, sf_dir).withColumns({
+        "image_pdq": F.when(n % 5 != 0, F.array(n, n + 1, n + 2, n + 3)),
+        "image_zoned_phashes": F.when(n % 7 != 0, F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (n * (i + 3)) % 31)),
+        "image_perceptual_algorithm_version": F.when(n % 11 != 0, 1).otherwise(0),
+        "image_structural_algorithm_version": F.when(n % 13 != 0, 1),
+        "media_algorithm_version": F.when(n % 4 != 0, "2").otherwise("1"),
+        "video_duration_ms": n * 37 % 20_000,
+        "static_visual": F.when(n % 17 == 0, True),
+    })
+
+
+FEATURED = CONTENTS + """,
+featured AS (SELECT *, complete_image AND media_kind = 1 AS complete FROM (SELECT *, missing = '' OR missing = 'media_version' AS complete_image FROM (SELECT *, n % 4 <> 0 AS present_version, n * 37 % 20000 AS video_duration_ms,
+    concat_ws(',', CASE WHEN n % 4 = 0 THEN 'media_version' END, CASE WHEN n % 5 = 0 THEN 'pdq' END, CASE WHEN n % 3 = 0 THEN 'quality' END, CASE WHEN n % 7 = 0 THEN 'zoned' END,
+        CASE WHEN n % 11 = 0 THEN 'perceptual_version' END, CASE WHEN n % 13 = 0 THEN 'structural_version' END) AS missing
+    FROM (SELECT *, content_size_bytes AS n FROM contents) AS c) AS x) AS y)"""
+
+
 def sign_bits(first: int, count: int, column: str = "embedding") -> Column:
     """Signs of ``count`` dimensions from ``first`` (0-based) as a number, the first one lowest."""
     return F.expr(f"aggregate(transform(slice({column}, {first + 1}, {count}), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (s, x) -> s + x)")

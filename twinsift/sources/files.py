@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("media_kind", classify_media("extension"))
 
 
-def hash_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files with the SHA-512 of their contents."""
+def sha512(content: Column) -> Column:
+    return F.sha2(content, 512)
+
+
+def hash_files(spark: SparkSession, root: str, hasher: Callable[[Column], Column] = sha512) -> DataFrame:
+    """Files with the digest of their contents, SHA-512 unless another column expression is given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 512).alias("sha512"))
+    return files.select("path", F.col("length").alias("size_bytes"), hasher(F.col("content")).alias("sha512"))
 
 
 def indexed_files(listing: DataFrame, roots: DataFrame, path: str = "normalized_path") -> DataFrame:

@@ -1,19 +1,45 @@
-"""Runtime log feed: repeats in a row folded, filters and cursor reads."""
+"""Runtime log feed and written logs: repeats folded, filters, cursor reads and an append-only table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-KEY = ("severity", "task", "stage", "operation", "subject", "code", "message")
+#: Entries that agree in these are repeats of one another; subject and message may differ.
+KEY = ("severity", "task_id", "task", "stage", "operation", "status_code", "native_error")
 CAPACITY = 4096
+#: Kinds of written logs.
+KINDS = ("operations", "execution", "failure", "scan_errors", "application_errors")
+#: Rows of a log file; a longer batch goes on in the next file.
+FILE_ROWS = 1_000_000
 #: Sequence numbers of a range in which runs are found by themselves.
 BLOCK = 65_536
 
 
 def aggregated(log: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Entries folded by key: repeats and last time. The feed's 64-entry window is not kept; all repeats fold."""
-    return log.groupBy(*key).agg(F.sum("repeat_count").alias("repeat_count"), F.max("ts").alias("last_ts"), F.max("sequence").alias("sequence"))
+    """Entries folded by key: repeats, last time and sequence, subject and message of the first entry.
+
+    A repeat count of 0 or null counts as 1. The feed's 64-entry window is not kept; all repeats fold.
+    """
+    repeats = F.greatest(F.coalesce("repeat_count", F.lit(1)), F.lit(1))
+    first = [F.min_by(c, "sequence").alias(c) for c in ("subject", "message") if c in log.columns]
+    return log.groupBy(*key).agg(F.sum(repeats).alias("repeat_count"), F.max("ts").alias("last_ts"), F.max("sequence").alias("sequence"), *first)
+
+
+def append(entries: DataFrame, folder: str, rows: int = FILE_ROWS) -> None:
+    """Append entries to the written logs, in folders by ``kind``; a file holds ``rows`` rows at most.
+
+    A kind that is none of ``KINDS`` raises before anything is written.
+    """
+    wrong = entries.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("kind").first()
+    if wrong is not None:
+        raise ValueError(f"no such kind of log: {wrong['kind']}")
+    entries.write.mode("append").option("maxRecordsPerFile", rows).partitionBy("kind").parquet(folder)
+
+
+def written(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Entries of one kind; other kinds' files are not read."""
+    return spark.read.parquet(folder).where(F.col("kind") == kind)
 
 
 def since(log: DataFrame, cursor: int) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from twinsift.operators.ingest import latest_operations
+from twinsift.operators.ingest import latest_operations, upsert
 
 MAX_DELAY_S = 300
-RESUMABLE = ("Discovering", "Planning", "Hashing", "Syncing", "Interrupted")
+#: Operations of a batch.
+BATCH = 1000
+# Phases of a scan, and those from which it may be resumed.
+PHASES = ("Idle", "Discovering", "Hashing", "ExtractingMedia", "Syncing", "Matching", "Deleting", "Paused", "CompletedLocal", "CompletedSynchronized", "Cancelled", "Failed", "Interrupted", "Planning", "FlushingSyncTail")
+RESUMABLE = ("Discovering", "Hashing", "ExtractingMedia", "Syncing", "Planning", "FlushingSyncTail", "Paused", "CompletedLocal", "Interrupted")
 
 
 def staged(ops: DataFrame, order: str = "arrival") -> DataFrame:
@@ -31,6 +35,23 @@ def publish(staged_ops: DataFrame, base: int, order: tuple[str, ...] = ("batch_s
     return with_ordinals(staged_ops, F.struct(*order), "_o").withColumn("sequence", F.col("_o") + base + 1).drop("_o")
 
 
+def recover(staged_ops: DataFrame, queue: DataFrame) -> DataFrame:
+    """After a restart: all that earlier scans left staged, scan by scan, with sequences after those of the queue.
+
+    Publishing again what a crash left is safe: a row that is in the queue already
+    only repeats the last operation of its key.
+    """
+    last = queue.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s")).first()["s"]
+    return publish(staged_ops, last)
+
+
+def batches(queue: DataFrame, size: int = BATCH) -> DataFrame:
+    """Operations with the number of their batch: ``size`` by sequence make one, the last holds what is left."""
+    from twinsift.operators.report import with_ordinals
+
+    return with_ordinals(queue, F.struct("sequence"), "_o").withColumn("batch", F.floor(F.col("_o") / size)).drop("_o")
+
+
 def backoff_ms(attempts: Column | str, base_s: int = 1) -> Column:
     """Delay before the next attempt: doubled per failure up to six times, five minutes at most."""
     attempts = F.col(attempts) if isinstance(attempts, str) else attempts
@@ -61,6 +82,17 @@ def resumable(runs: DataFrame, most: int = 50) -> DataFrame:
     return runs.where(F.col("phase").isin(*RESUMABLE)).orderBy(F.desc("updated_utc_ms"), "scan_id").limit(most)
 
 
+def save_runs(runs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Checkpoint table after changed runs replaced those of their scans; the last change of a scan counts."""
+    return upsert(runs, latest_operations(changed, ["scan_id"], "updated_utc_ms"), "scan_id")
+
+
+def mark_interrupted(runs: DataFrame, scans: DataFrame, now_ms: int) -> DataFrame:
+    """Checkpoint table after the given scans (``scan_id``) were marked as interrupted; unknown scans change nothing."""
+    gone = runs.join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
+    return save_runs(runs, gone.withColumns({"phase": F.lit("Interrupted"), "updated_utc_ms": F.lit(now_ms).cast("long")}).select(*runs.columns))
+
+
 def finalizable(runs: DataFrame, queue: DataFrame, staged_ops: DataFrame) -> DataFrame:
     """Locally complete scans of which nothing is staged or queued any more."""
     done = runs.where("phase = 'CompletedLocal'")
@@ -73,6 +105,19 @@ def delete_intents(log: DataFrame) -> DataFrame:
     return latest_operations(log, ["intent_id"]).withColumn("replay", F.col("state") != "done")
 
 
+def recover_deletes(intents: DataFrame, present: DataFrame) -> DataFrame:
+    """What to do with the intents that are to be replayed: ``action`` is ``drop`` or ``delete_mapping``.
+
+    A file that is still there though its delete was prepared was never deleted: the
+    intent goes. Otherwise the file is gone, and its path is to be deleted from the
+    tables, which is safe to do twice. ``present`` names the intents (``intent_id``)
+    whose file exists.
+    """
+    there = present.select("intent_id").distinct().withColumn("_there", F.lit(True))
+    kept = (F.col("state") == "prepared") & F.coalesce("_there", F.lit(False))
+    return intents.where("replay").join(there, "intent_id", "left").withColumn("action", F.when(kept, "drop").otherwise("delete_mapping")).drop("_there", "replay")
+
+
 def run(source: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Process what is there in micro-batches; each holds the latest operation of a key, in sequence order.
 
