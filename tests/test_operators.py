@@ -85,6 +85,27 @@ def test_wide_join_of_256_bits(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_classes_of_videos_and_words(spark):
+    """Nine in ten rows are copies of one video; pairs of classes and membership give all pairs of different videos."""
+    rng = random.Random(3)
+    kinds = [([rng.getrandbits(62)] * 6, 1000), ([rng.getrandbits(62)] * 6, 1000)]
+    kinds += [([kinds[0][0][0] ^ 1] * 6, 1000), ([kinds[0][0][0] ^ 1] * 6, 9000), (None, 5), ([1] * 6, None)]
+    rows = [(i, *kinds[0 if i % 10 else rng.randrange(len(kinds))]) for i in range(400)] + [(None, *kinds[0])]
+    videos = spark.createDataFrame(rows, "id long, f array<long>, ms long")
+    pairs, members = simjoin.video_classes(videos, "id", "f", "ms", max_average=2)
+    known = [r for r in rows if None not in r]
+    rep = {}
+    for i, f, ms in known:
+        rep.setdefault((tuple(f), ms), i)
+    assert {(r["id"], r["rep"]) for r in members.collect()} == {(i, rep[tuple(f), ms]) for i, f, ms in known} and members.count() == len(known)
+    near = {tuple(sorted((rep[a], rep[b]))) for a, b in itertools.combinations(rep, 2) if sum(bin(x ^ y).count("1") for x, y in zip(a[0], b[0], strict=True)) <= 12 and abs(a[1] - b[1]) <= gates.VIDEO_WINDOW_MS}
+    assert {(r["left_id"], r["right_id"]) for r in pairs.collect()} == near and near
+    assert [t.count() for t in simjoin.video_classes(videos.limit(0), "id", "f", "ms")] == [0, 0]
+    words = videos.select("id", F.get("f", F.lit(0)).alias("w"))
+    hamming, of = simjoin.hamming_classes(words, "id", "w", 2)
+    assert hamming.count() == len({w for _, w in {(r["rep"], r["w"]) for r in of.join(words, "id").collect()} if any(bin(w ^ x).count("1") in (1, 2) for x in {k[0][0] for k in rep})}) // 2
+
+
 def test_video_rules(spark):
     v = [(1, [0xF0] * 6, 10_000), (2, [0xFF] * 6, 12_000), (3, [0xFF] * 6, 12_001), (4, [0x1F] * 6, 10_000)]
     got = {(r["left_id"], r["right_id"]): r["total_distance"] for r in simjoin.video_pairs(spark.createDataFrame(v, "id long, f array<long>, ms long"), "id", "f", "ms").collect()}

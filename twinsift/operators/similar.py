@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from twinsift.functions.gates import Gates, is_low_quality, primary_route, structural_accept, zoned_evidence
 from twinsift.functions.images import compared
 from twinsift.functions.media import aspect_grade, is_static
+from twinsift.operators.joins import join_counted
 from twinsift.operators.simjoin import hamming_pairs, hamming_pairs_wide, video_pairs
 from twinsift.plans.storage import materialize
 
@@ -29,8 +30,8 @@ def class_members(contents: DataFrame, gates: Gates = Gates(), id_col: str = "id
     """``(id, rep)``: every content and the representative of its signature class."""
     low = is_low_quality("image_pdq_quality", F.lit(100), gates)
     keyed = contents.select(F.col(id_col).alias("id"), F.xxhash64("image_pdq", "image_dhash", aspect_grade("width", "height"), low, "image_zoned_phashes").alias("k"))
-    reps = keyed.groupBy("k").agg(F.min("id").alias("rep"))
-    return keyed.join(reps, "k").select("id", "rep")
+    reps = materialize(keyed.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "signatures")
+    return join_counted(keyed, reps, ["k"], ["id"]).select("id", "rep")
 
 
 def _beside(pairs: DataFrame, contents: DataFrame, columns: tuple[str, ...], id_col: str = "id") -> DataFrame:

@@ -6,9 +6,10 @@ segments, the other probes with its segments and, for e = 1, their one-bit
 neighbours. A pair is kept in the first segment that matches only, so no
 ``distinct`` follows.
 
-``hamming_classes`` compresses rows with the same bits to a class before the join,
-so a value that a third of all rows share is one row there; the other joins pair all
-rows, equal ones too. A segment value that is shared by very many *different* words
+``hamming_classes`` and ``video_classes`` compress rows with the same bits to a class
+before the join, so a value that a third of all rows share is one row there, and its
+members are dealt over tasks when they get their representative; the other joins
+pair all rows, equal ones too. A segment value that is shared by very many *different* words
 is left to adaptive skew handling of the sort-merge join.
 """
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.bits import bit_string, hamming, hamming_words, segment_widths, segments, string_segments
 from twinsift.functions.gates import FRAMES, VIDEO_WINDOW_MS
+from twinsift.operators.joins import join_counted
+from twinsift.plans.storage import materialize
 
 
 def _neighbours(key: Column, width: int) -> Column:
@@ -107,9 +110,17 @@ def hamming_classes(df: DataFrame, id_col: str, word_col: str, radius: int, bits
     a member's other partners are its representative's.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(word_col).alias("w")).where("id IS NOT NULL AND w IS NOT NULL")
-    classes = word_classes(rows, "id", "w")
+    classes = materialize(word_classes(rows, "id", "w"), "words")
     pairs = hamming_pairs(classes, "rep", "w", radius, bits, parts)
-    return pairs, rows.join(classes.select("w", "rep"), "w").select("id", "rep")
+    return pairs, join_counted(rows, classes, ["w"], ["id"], "members").select("id", "rep")
+
+
+def video_classes(df: DataFrame, id_col: str, frames_col: str, duration_col: str, max_average: int = 5, window_ms: int = VIDEO_WINDOW_MS, frames: int = FRAMES) -> tuple[DataFrame, DataFrame]:
+    """As ``hamming_classes`` for ``video_pairs``: a class has the same frames and the same duration."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(frames_col).alias("f"), F.col(duration_col).cast("long").alias("ms")).where("id IS NOT NULL AND f IS NOT NULL AND ms IS NOT NULL")
+    classes = materialize(word_classes(rows, "id", "f", "ms"), "videos")
+    pairs = video_pairs(classes, "rep", "f", "ms", max_average, window_ms, frames)
+    return pairs, join_counted(rows, classes, ["f", "ms"], ["id"], "members").select("id", "rep")
 
 
 def hot_signatures(df: DataFrame, signature: list[str], max_members: int = 2048, max_pairs: int = 2_000_000) -> DataFrame:

@@ -427,6 +427,27 @@ def video_band_join(spark, d):
     return simjoin.video_pairs(tables.signatures(spark, d), "id", "frames", "ms", max_average=15)
 
 
+_VIDEOS = "videos AS (SELECT l_partkey % 64 * 72340172838076673 AS f, l_suppkey % 3 * 1500 AS ms, min(l_orderkey * 10 + l_linenumber) AS rep FROM lineitem GROUP BY 1, 2)"
+
+
+def _videos(spark, d):
+    """Line items as videos of few different frames and durations: all of them are copies of a few."""
+    frame = F.col("l_partkey") % 64 * 0x0101010101010101
+    return tables.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.array(*[frame] * 6).alias("frames"), (F.col("l_suppkey") % 3 * 1500).alias("ms"))
+
+
+@query("""SELECT least(a.rep, b.rep) AS left_id, greatest(a.rep, b.rep) AS right_id, CAST(6 * bit_count(xor(a.f, b.f)) AS INTEGER) AS total_distance, CAST(abs(a.ms - b.ms) AS BIGINT) AS duration_difference
+    FROM videos AS a JOIN videos AS b ON a.rep < b.rep AND 6 * bit_count(xor(a.f, b.f)) <= 60 AND abs(a.ms - b.ms) <= 2000""", _VIDEOS)
+def video_class_pairs(spark, d):
+    """Pairs between classes of equal videos; copies never meet as pairs."""
+    return simjoin.video_classes(_videos(spark, d), "id", "frames", "ms", max_average=10)[0]
+
+
+@query("SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS id, CAST(rep AS BIGINT) AS rep FROM lineitem JOIN videos ON f = l_partkey % 64 * 72340172838076673 AND ms = l_suppkey % 3 * 1500", _VIDEOS)
+def video_class_members(spark, d):
+    return simjoin.video_classes(_videos(spark, d), "id", "frames", "ms", max_average=10)[1]
+
+
 @query("SELECT w16, min(id) AS representative, count(*) AS contents FROM signatures GROUP BY w16", tables.SIGNATURES)
 def signature_compress(spark, d):
     return report.signature_classes(tables.signatures(spark, d), "w16", sha="id")
