@@ -59,6 +59,38 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
     return tuple((t["content"], t["id"]) for t in tokens)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=4)
+def json_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a byte-level BPE tokenizer's JSON file, checked for use as ranks.
+
+    Ids are the ranks of merges only if the file lists single bytes first and then one
+    token for each merge in order; another file is refused.
+    """
+    with open(path, encoding="utf-8") as file:
+        data = json.load(file)
+    model, before = data["model"], data["pre_tokenizer"]
+    if model["type"] != "BPE" or data["normalizer"] or (before["type"], before["add_prefix_space"], before["use_regex"]) != ("ByteLevel", False, True):
+        raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
+    single = len(model["vocab"]) - len(model["merges"])
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    if single != 256 or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
+        raise ValueError(f"{path} has ids that are not in the order of its merges")
+    alphabet = byte_alphabet()
+    return {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items()}
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Ranks of a rank file or of a tokenizer's JSON file."""
+    return json_ranks(path) if path.endswith(".json") else read_ranks(path)
+
+
 class Codec:
     """Encoder and decoder of one rank file, built once per Python worker.
 
@@ -69,7 +101,7 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
-        ranks = read_ranks(ranks_path)
+        ranks = ranks_of(ranks_path)
         make = lambda p: tiktoken.Encoding("local", pat_str=p, mergeable_ranks=ranks, special_tokens={})
         self.full = make(pattern)
         self.plain = make(pattern.replace(LOOKAHEAD, "")) if LOOKAHEAD in pattern and pattern.endswith(r"|\s+") else self.full

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import bpe, chat, flac, langid, line_dedup, ngram_join, packing, quality, secrets, spotsigs
+from twinsift.llm import align, bpe, chat, flac, langid, line_dedup, ngram_join, packing, pieces, quality, repair, secrets, spotsigs
 from twinsift.plans.storage import arrow_rows
 
 
@@ -124,6 +124,42 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.tiktoken"), added=bpe.added_tokens(_tokenizer("byte_bpe_50k.json")))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults by a hash of id and turn: dropped (``present`` is false), emptied, without ends of sentences, repeated, or said by the user."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text_of("text"), "[.!?]", "")).otherwise(text_of("text"))
+    found = turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(text_of("role")).alias("role"), text.alias("text"), (kind != 0).alias("present"), kind.alias("kind"))
+    return found.withColumn("again", F.explode(F.sequence(F.lit(0), (F.col("kind") == 3).cast("int")))).drop("kind", "again")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage all conversations, count their faults and repair them by least edits."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found, repaired = repair.repair(damaged(turns), present="present")
+    digests = repair.digests(repaired).withColumnRenamed("conv_id", "conv")
+    return found.join(digests, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256")
+    )
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text with an end id and decode the ids again."""
+    arrow_rows(spark)
+    both = pieces.encode_decode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return both.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("piece_text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of two tokenizers in every whole text."""
+    return align.align(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_dedup": op2_line_dedup,
@@ -135,8 +171,72 @@ QUERIES = {
     "op8_flac": op8_flac,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
+    "op12_pieces": op12_pieces,
+    "op13_align": op13_align,
 }
+
+def _repair_sql() -> str:
+    """Labels by state as text: nine digits of cost and the audit, so that the least text is the best label."""
+    more = lambda s, cost, letter: f"lpad(CAST(CAST({s}[1:9] AS BIGINT) + ({cost}) AS VARCHAR), 9, '0') || {s}[10:] || '{letter}'"
+    when = lambda test, label: f"CASE WHEN {test} THEN {label} END"
+    extra = "CASE WHEN truncated THEN 5 ELSE 0 END"
+    keep = lambda s, initial: when(f"NOT bad AND c = '{initial}'", more(s, extra, "K"))
+    reroled = lambda s, initial: when(f"NOT bad AND c <> '{initial}'", more(s, f"1 + {extra}", "R"))
+    dropped = lambda s: more(s, 2, "D")
+    return rf"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ), keyed AS (
+            SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations
+        ), hashed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(id) + 1), lambda i: CAST(ascii(id[i:i]) AS BIGINT))),
+                       lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind
+            FROM keyed, crc
+        ), rows AS (
+            SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hashed, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text) AS k, role[1:1] AS c,
+                   NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM rows
+        ), faults AS (
+            SELECT *, NOT blank AND row_number() OVER (PARTITION BY id, role, text ORDER BY k) > 1 AS duplicate,
+                   lag(c) OVER (PARTITION BY id ORDER BY k) || c NOT IN ('su', 'ua', 'au') AS illegal FROM placed
+        ), faulty AS (
+            SELECT *, blank OR duplicate AS bad, NOT blank AND NOT duplicate AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS truncated FROM faults
+        ), labels AS (
+            SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), '') AS id, CAST(0 AS BIGINT) AS k, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '000000005I' AS s2, '000000010II' AS s3 FROM conversations
+            UNION ALL
+            SELECT id, k, n0, n1, i2, least(n3, {more("i2", 5, "I")}) FROM (
+                SELECT *, least(n2, {more("n0", 5, "I")}, {more("n1", 5, "I")}, {more("n3", 5, "I")}) AS i2 FROM (
+                    SELECT l.id, f.k, {dropped("s0")} AS n0, least({dropped("s1")}, {keep("s0", "s")}) AS n1,
+                           least({dropped("s2")}, {", ".join(f(s, "u") for s in ("s0", "s1", "s3") for f in (keep, reroled))}) AS n2,
+                           least({dropped("s3")}, {keep("s2", "a")}, {reroled("s2", "a")}) AS n3
+                    FROM labels l JOIN faulty f ON f.id = l.id AND f.k = l.k + 1))
+        ), best AS (
+            SELECT id, CAST(b[1:9] AS BIGINT) AS cost, b[10:] AS audit FROM (SELECT id, least(arg_max(s0, k), arg_max(s3, k)) AS b FROM labels GROUP BY id)
+        ), replay AS (
+            SELECT id, audit, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS k, 'e' AS state, '' AS said FROM best
+            UNION ALL
+            SELECT p.id, audit, i + 1, p.k + CASE WHEN audit[i:i] = 'I' THEN 0 ELSE 1 END,
+                   CASE audit[i:i] WHEN 'D' THEN state WHEN 'K' THEN c WHEN 'R' THEN fit[1:1] ELSE fit[1:1] END,
+                   said || CASE audit[i:i] WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text WHEN 'R' THEN chr(10) || fit || ':' || text ELSE chr(10) || fit || ':' END
+            FROM (SELECT *, CASE state WHEN 'u' THEN 'assistant' ELSE 'user' END AS fit FROM replay WHERE i <= length(audit)) p
+            LEFT JOIN faulty f ON f.id = p.id AND f.k = p.k + 1
+        ), repaired AS (SELECT id, sha256(arg_max(said, i)[2:]) AS repaired_sha256 FROM replay GROUP BY id),
+        counted AS (
+            SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                   count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal FROM faulty GROUP BY id
+        ), ids AS (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS id FROM conversations)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, cost, audit, repaired_sha256
+        FROM ids JOIN best USING (id) JOIN repaired USING (id) LEFT JOIN counted USING (id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_repair": _repair_sql(),
     # n_turns, digests and lengths follow from the turns themselves; formatted_chars from the template's lengths.
     "op6_chat": r"""
         WITH t AS (
