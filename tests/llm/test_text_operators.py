@@ -315,11 +315,9 @@ def plain_signatures(text):
     """Spots written out word by word; hashes as 8 hex digits."""
     words = re.findall(r"\w+", text.lower())
     common = lambda w: w in spotsigs.ANCHORS
-    out, last = set(), -1
+    out = set()
     for i, w in enumerate(words):
-        if common(w):
-            last = i
-        elif i - last < 8 or zlib.crc32(w.encode()) % 4:
+        if not common(w):
             continue
         chain = [x for x in words[i + 1 :] if not common(x)][:2]
         if len(chain) == 2:
@@ -395,6 +393,31 @@ def test_spotsigs_partitions_lose_nothing():
             assert set(spotsigs.partitions_of(len(a), t)) & set(spotsigs.partitions_of(len(b), t))
 
 
+def test_spotsigs_prefixes_lose_nothing():
+    """Sets at the threshold share a key whatever the counts, and what is left behind the first one allows for all that they share."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        t, shared = float(rng.choice([0.5, 0.8, 0.9])), rng.integers(0, 1 << 32, int(rng.integers(1, 50)))
+        a, b = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 32, int(rng.integers(0, 8)))])) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        if common < t * (len(a) + len(b) - common) - 1e-9:
+            continue
+        ranks = rng.integers(0, 4, spotsigs.BUCKETS)
+        x, y = (spotsigs.prefix_keys(s, ranks, t) for s in (a, b))
+        first = min(set(x.tolist()) & set(y.tolist()))
+        assert common <= min(len(a) - x.tolist().index(first), len(b) - y.tolist().index(first))
+
+
+def test_spotsigs_order_counts_all_documents(spark):
+    signs = [spotsigs.signatures("the abc def in ghi jkl"), spotsigs.signatures("the abc def")]
+    ranks = spotsigs.signature_order(spark.createDataFrame([(spotsigs._binary(s),) for s in signs], "payload binary").repartition(2))
+    want = np.zeros(spotsigs.BUCKETS, np.int64)
+    for s in signs:
+        for x in s:
+            want[x % spotsigs.BUCKETS] += 1
+    assert sorted(set(want.tolist())) == [0, 1, 2] and [sorted(set(ranks[want == n].tolist())) for n in (0, 1, 2)] == [[0], [65536], [103872]]
+
+
 def test_spotsigs_edges(spark):
     d = spark.createDataFrame([(5, "the abc def", 1), (5, "the abc def", 1), (None, None, 1), (3, "!!", 1), (9, "", 1), (8, "word " * 40000, 1)], "doc_id long, text string, k int")
     rows = spotsigs.fingerprint_chain(d).collect()
@@ -402,7 +425,7 @@ def test_spotsigs_edges(spark):
     assert spotsigs.fingerprint_chain(d.limit(0)).count() == 0
     assert spotsigs.fingerprint_chain(d.where("doc_id = 3")).first()["near_next"] == 1.0
     a, b = frozenset(range(100)), frozenset(range(10, 90))
-    assert spotsigs.likeness(a, b) == pytest.approx(0.8) == spotsigs.likeness(a, b, 0.8) and spotsigs.likeness(a, b, 0.81) == 0
+    assert spotsigs.likeness(a, b) == pytest.approx(0.8)
     for n in range(1, 200):
         for m in range(n, int(n / 0.8) + 1):
             assert abs(spotsigs.length_partition(n, 0.8) - spotsigs.length_partition(m, 0.8)) <= 1

@@ -1,19 +1,21 @@
 """Document fingerprints by SpotSigs.
 
 A spot is a common word (anchor); its signature is the anchor with the chain of
-the next ``CHAIN`` content words. Where common words are missing over a stretch of
-text (lists of terms), some content words, chosen by hash, act as anchors. A text's fingerprint is the set of its distinct
+the next ``CHAIN`` content words. A text's fingerprint is the set of its distinct
 signatures, written as sorted 32-bit hashes in hex. Likeness is the Jaccard
 coefficient of two sets.
 
 ``near_classes`` finds near fingerprints over a corpus. Equal fingerprints are one
 class first. Sets are partitioned by length so that two sets can reach the
-threshold only if their partitions are equal or adjacent. A set is sent to its
-partition, and to the next if a set there can reach the threshold, under the bands
-of its MinHash signature (their number is chosen for ``RECALL`` at the threshold and
-does not grow with the set). Buckets of one partition and band are verified by
-Jaccard in tiles. Sending a set under its rarest signatures instead would lose
-nothing, but sends a long set as often as it is long.
+threshold only if their partitions are equal or adjacent. Within a partition a set is
+indexed under the first ``n - ceil(threshold n) + 1`` of its ``n`` signatures in an order
+that all sets share: two sets that reach the threshold share one of these, so nothing is
+lost, whatever the order. The order puts signatures of rare buckets first (``BUCKETS``
+counts over all documents, a table of fixed size), so most of these keys belong to
+one set alone and are dropped by a count. Sets that share a key are compared in
+tiles, in the first key that they share only; a pair is given up before its Jaccard
+coefficient is formed if the lengths, or what is left of either set behind that key,
+cannot reach the threshold.
 
 Words are runs of letters, digits and underscores in lower case. A text without
 any complete chain uses all chains of ``CHAIN`` consecutive words instead, a
@@ -28,28 +30,27 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.compressed import packed, unpack_text
-from twinsift.llm.ngram_join import RECALL, band_hashes, choose_bands
 from twinsift.llm.tiles import bucket_links
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.storage import arrow_rows, materialize
 
 CHAIN = 2
-#: After so many words without an anchor, one content word in four (by its hash) is an anchor too.
-STRETCH = 8
 #: Near fingerprints reach this Jaccard coefficient.
 THRESHOLD = 0.8
 #: Length partitions span so many times the ratio of lengths that can reach the threshold.
 SPAN = 4
+#: Counts of signatures by a hash, from which the order of signatures is made; they travel in ``SLABS`` parts.
+BUCKETS, SLABS = 1 << 18, 64
 #: Common words of English, German, French and Spanish (a parameter of the method).
 ANCHORS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -64,14 +65,11 @@ def signatures(text: str | None) -> frozenset[int]:
     text = text or ""
     words = _WORD.findall(text.lower())
     content = [i for i, w in enumerate(words) if w not in ANCHORS]
-    out, at, anchored = set(), 0, -1
+    out, at = set(), 0
     for i, w in enumerate(words):
         if at < len(content) and content[at] == i:
             at += 1
-            if i - anchored < STRETCH or zlib.crc32(w.encode("utf-8", "surrogatepass")) & 3:
-                continue
-        else:
-            anchored = i
+            continue
         chain = content[at : at + CHAIN]
         if len(chain) < CHAIN:
             break
@@ -100,17 +98,12 @@ def partitions_of(n: int, threshold: float) -> list[int]:
     return [own] if length_partition(int(n / threshold + 1e-9), threshold) == own else [own, own + 1]
 
 
-def likeness(a: frozenset[int], b: frozenset[int], threshold: float = 0.0) -> float:
-    """Jaccard coefficient, or 0 as soon as it must be below ``threshold``."""
+def likeness(a: frozenset[int], b: frozenset[int]) -> float:
+    """Jaccard coefficient."""
     if not a or not b:
         return float(not a and not b)
-    if threshold > 0 and abs(length_partition(len(a), threshold) - length_partition(len(b), threshold)) > 1:
-        return 0.0
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return 0.0
     common = len(a & b)
-    found = common / (len(a) + len(b) - common)
-    return found if found >= threshold else 0.0
+    return common / (len(a) + len(b) - common)
 
 
 def edited(text: str, following: str) -> str:
@@ -170,23 +163,65 @@ def _prints(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "payload"])
 
 
-def _sent(threshold: float, bands: int, rows: int):
+def _counted(batches: Iterator) -> Iterator:
+    """How many signatures fall into each bucket, in slabs."""
+    import pyarrow as pa
+
+    counts = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        signs = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u4")
+        counts += np.bincount(signs & (BUCKETS - 1), minlength=BUCKETS)
+    if counts.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in np.split(counts, SLABS)])], ["slab", "counts"])
+
+
+def _summed(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    sums: dict[int, np.ndarray] = {}  # at most SLABS arrays of a fixed size
+    for batch in batches:
+        for slab, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[slab] = sums.get(slab, 0) + np.frombuffer(zstandard.decompress(data), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slab", "counts"])
+
+
+def signature_order(payloads: DataFrame) -> np.ndarray:
+    """Rank of each bucket of signatures, rare buckets first; bounded by ``BUCKETS`` whatever the corpus."""
+    slabs = payloads.mapInArrow(_counted, "slab int, counts binary").repartition("slab").mapInArrow(_summed, "slab int, counts binary")
+    counts = np.zeros((SLABS, BUCKETS // SLABS), np.int64)
+    for r in slabs.collect():
+        counts[r["slab"]] = np.frombuffer(r["counts"], np.int64)
+    # steps of a logarithm; equal ranks are told apart by the signature itself
+    return np.minimum(np.log2(1.0 + counts.ravel()) * 65536, (1 << 22) - 1).astype(np.int64)
+
+
+def prefix_keys(signs: np.ndarray, ranks: np.ndarray, threshold: float) -> np.ndarray:
+    """The signatures that a set is indexed under, in order, as ``rank << 32 | signature``."""
+    keys = np.sort(ranks[signs & (BUCKETS - 1)] << 32 | signs)
+    return keys[: len(keys) - math.ceil(threshold * len(keys) - 1e-9) + 1]
+
+
+def _sent(threshold: float, ranks):
     def send(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            reps, sizes, copies, buckets = [], [], [], []
+            reps, sizes, copies, buckets, left = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for rep, many, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                signs = np.frombuffer(data, ">u4").astype(np.uint64)
+                signs = np.frombuffer(data, ">u4").astype(np.int64)
                 if not len(signs):
                     continue
-                hashes = band_hashes(signs * np.uint64(0x9E3779B97F4A7C15), bands, rows)
+                keys = prefix_keys(signs, ranks.value, threshold)
                 for part in partitions_of(len(signs), threshold):
-                    buckets.append(hashes ^ np.int64(part * 0x2545F4914F6CDD1D & (1 << 63) - 1))
-                    reps += [rep] * bands
-                    sizes += [len(signs)] * bands
-                    copies += [many] * bands
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(copies, pa.int64()), pa.array(np.concatenate(buckets) if buckets else [], pa.int64())], ["rep", "size", "copies", "bucket"])
+                    buckets.append(keys | part << 54)
+                    left.append(len(signs) - np.arange(len(keys)))
+                    reps += [rep] * len(keys)
+                    sizes += [len(signs)] * len(keys)
+                    copies += [many] * len(keys)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(copies, pa.int64()), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(left).astype(np.int32))],
+                ["rep", "size", "copies", "bucket", "left"],
+            )
 
     return send
 
@@ -199,18 +234,18 @@ def near_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     one id with different fingerprints are told apart by ``digest``, but in a bucket
     the id stands for the least of them.
     """
-    arrow_rows(df.sparkSession)
+    spark = df.sparkSession
+    arrow_rows(spark)
     usable = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     prints = materialize(usable.mapInArrow(_prints, "doc_id long, digest binary, payload binary"), "prints")
-    by_id = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("payload").alias("payload"))
-    classes = materialize(by_id, "classes")
-    sent = _sent(threshold, *choose_bands(threshold, RECALL))
-    spread = materialize(classes.select("rep", "copies", "payload").mapInArrow(sent, "rep long, size int, copies long, bucket long"), "spread")
-    data = classes.select(F.col("rep").alias("doc_id"), "payload")
-    linked = bucket_links(spread, data, lambda payload: np.frombuffer(payload, ">u4").astype(np.int64), threshold)
+    classes = materialize(prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    ranks = spark.sparkContext.broadcast(signature_order(prints.select("payload")))
+    own = prints.withColumnRenamed("doc_id", "rep").join(classes.hint("merge"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
+    spread = materialize(own.select("rep", "copies", "payload").mapInArrow(_sent(threshold, ranks), "rep long, size int, copies long, bucket long, left int"), "spread")
+    linked = bucket_links(spread, prints.select("doc_id", "payload"), lambda payload: np.frombuffer(payload, ">u4").astype(np.int64), threshold)
     labels = connected_components(linked, "doc_id", "root").select(F.col("id").alias("rep"), "component")
     links = linked.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = materialize(classes.select("digest", "rep", "copies").join(labels, "rep", "left").join(links, "rep", "left"), "known")
+    known = materialize(classes.join(labels, "rep", "left").join(links, "rep", "left"), "known")
     ids = prints.select("doc_id", "digest").distinct()
     return join_counted(ids, known, ["digest"], ["doc_id"], "copies").select(
         "doc_id", "digest", F.coalesce("component", "rep").alias("near_class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_near")

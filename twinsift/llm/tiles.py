@@ -43,14 +43,22 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 def _linked(rows: list[dict], bucket: int, crossing: bool, threshold: float, set_of: SetOf) -> list[tuple[int, int, int]]:
     """``(id, root, links)`` of each row of a tile that has a link verified in it."""
     sets = [set_of(r["payload"]) for r in rows]
-    common, sizes = _common(sets), np.array([len(s) for s in sets], np.float32)
-    link = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
+    sizes, left = np.array([len(s) for s in sets], np.float32), np.array([r["left"] for r in rows], np.float32)
+    # neither the lengths nor what is left behind the bucket's value may rule a pair out
+    link = np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes) - 1e-3
+    link &= np.minimum.outer(left, left) >= threshold / (1 + threshold) * np.add.outer(sizes, sizes) - 1e-3
     np.fill_diagonal(link, False)
-    before = [np.array([b for b in r["buckets"] if b < bucket], np.int64) for r in rows]
-    link &= _common(before) == 0  # verified in an earlier bucket
     if crossing:
         block = np.array([r["block"] for r in rows])
         link &= block[:, None] != block[None, :]
+    before = [np.array([b for b in r["buckets"] if b < bucket], np.int64) for r in rows]
+    link &= _common(before) == 0  # verified in an earlier bucket
+    open_rows = np.flatnonzero(link.any(axis=1))
+    if not len(open_rows):
+        return []
+    rows, sets, sizes, link = [rows[i] for i in open_rows], [sets[i] for i in open_rows], sizes[open_rows], link[np.ix_(open_rows, open_rows)]
+    common = _common(sets)
+    link &= common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
     weights = link @ np.array([r["copies"] for r in rows], np.int64)
     ids = np.array([r["doc_id"] for r in rows])
     root, settled = ids.copy(), False
@@ -100,23 +108,25 @@ def bucket_links(spread: DataFrame, data: DataFrame, set_of: SetOf, threshold: f
     """``(doc_id, root, links)``: per tile each member with links, its root in the tile's forest of links, and their number.
 
     ``spread`` has a row per member and bucket: ``rep``, ``size`` (of its set),
-    ``copies`` and ``bucket``. ``data`` holds ``doc_id`` and ``payload``, the bytes
+    ``copies`` and ``bucket``, and ``left`` if a member's set can share no more than so many
+    values with another one that it first meets in this bucket. ``data`` holds ``doc_id`` and ``payload``, the bytes
     from which ``set_of`` makes an array of distinct values; of several rows of an id
     the least payload counts. Buckets of one, and all but one of several buckets with
     the same members, are left out.
     """
+    spread = spread if "left" in spread.columns else spread.withColumn("left", F.col("size"))
     sized = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
     kept = materialize(sized.groupBy("n", "w", "x", "y").agg(F.min("bucket").alias("bucket")), "buckets")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("w") / BLOCK_SIZE)).cast("int")
     members = join_counted(spread, kept.select("bucket", "n", blocks.alias("blocks")), ["bucket"], ["rep"])
-    own = members.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("bucket", "blocks")).alias("in"))
+    own = members.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("bucket", "blocks", "left")).alias("in"))
     own = materialize(own, "members")  # a member's own buckets in each array
 
     # sort-merge at every size: the members grow with the input
     placed = data.join(own.hint("merge"), own["rep"] == data["doc_id"]).select("doc_id", "payload", "copies", F.transform("in", lambda b: b["bucket"]).alias("buckets"), F.explode("in").alias("b"))
-    placed = placed.select("doc_id", "payload", "copies", "buckets", "b.bucket", "b.blocks", F.pmod(F.xxhash64("doc_id", "b.bucket"), F.col("b.blocks")).cast("int").alias("block"))
+    placed = placed.select("doc_id", "payload", "copies", "buckets", "b.bucket", "b.blocks", "b.left", F.pmod(F.xxhash64("doc_id", "b.bucket"), F.col("b.blocks")).cast("int").alias("block"))
     tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "doc_id", "payload", "copies", "buckets", "bucket", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj")
+        "doc_id", "payload", "copies", "buckets", "bucket", "left", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj")
     )
     linked = tiled.repartition("bucket", "ti", "tj").sortWithinPartitions("bucket", "ti", "tj").mapInArrow(_verify(threshold, set_of), "doc_id long, root long, links long")
     return materialize(linked, "links")
