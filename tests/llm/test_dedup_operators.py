@@ -105,16 +105,20 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def plain_units(line):
-    """Kind and units of a line: words, characters, or the line as one unit."""
-    words = line.lower().split()
-    joined = " ".join(words)
-    return ("words", words) if len(words) >= 10 else ("chars", list(joined)) if len(joined) >= 10 else ("whole", [joined])
+def one_edit(a, b):
+    """At most one insertion, deletion or replacement; the sets are compared first as that is faster."""
+    return abs(len(a) - len(b)) <= 1 and len(set(a) ^ set(b)) <= 2 and edit_distance(a, b) <= 1
+
+
+def plain_near(a, b):
+    """Lines as strings: one word apart with five words or more, or one character apart with ten characters or more and under ten words."""
+    x, y = a.split(), b.split()
+    return (max(len(x), len(y)) >= 5 and one_edit(x, y)) or (max(len(a), len(b)) >= 10 and min(len(x), len(y)) < 10 and one_edit(a, b))
 
 
 def brute_lines(docs):
     """Kept text of each document: every line against every earlier line."""
-    earlier, out = defaultdict(list), {}
+    by_words, by_chars, seen, out = defaultdict(list), defaultdict(list), set(), {}
     for i, text in sorted((d for d in docs if d[0] is not None and d[1] is not None), key=lambda d: d[0]):
         if i in out:
             continue
@@ -123,17 +127,42 @@ def brute_lines(docs):
             if not line.split():
                 kept.append(line)
                 continue
-            kind, u = plain_units(line)
-            n = len(u)
-            drop = u in earlier[kind, n] or (kind != "whole" and any(edit_distance(u, o) <= 1 for m in (n - 1, n, n + 1) for o in earlier[kind, m]))
-            if u not in earlier[kind, n]:
-                earlier[kind, n].append(u)
-            if not drop:
-                kept.append(line)
+            plain = " ".join(line.lower().split())
+            n, m = len(plain.split()), len(plain)
+            if plain not in seen:
+                # lines further apart in both lengths cannot be near
+                others = {o for d in (-1, 0, 1) for o in by_words[n + d] + (by_chars[m + d] if n <= 10 else [])}
+                if not any(plain_near(plain, o) for o in others):
+                    kept.append(line)
+                seen.add(plain)
+                by_words[n].append(plain)
+                by_chars[m].append(plain)
         out[i] = "\n".join(kept)
     return out
 
 
+@pytest.mark.parametrize(
+    ("a", "b", "linked"),
+    [
+        ("one two three four five six seven eight nine ten", "one two three four five six seven eight nine", True),
+        ("one two three four five six seven eight nine", "one two three four five six seven other nine", True),
+        ("one two three four five", "one two three four", True),
+        ("one two three four", "one two three", False),
+        ("one two three four", "one two three other", False),
+        ("abcdefghij", "abcdefghi", True),
+        ("abcdefghi", "abcdefghx", False),
+        ("one two threefour", "one two three four", True),
+        ("a b c d e f g h i jk", "a b c d e f g h ijk", True),
+        ("a b c d e f g h i j kl", "a b c d e f g h i jkl", False),
+        ("one two three four five six seven", "one two three other other six seven", False),
+    ],
+)
+def test_lines_at_the_limits(spark, a, b, linked):
+    assert plain_near(a, b) == linked == line_dedup.near(a, b) == line_dedup.near(b, a)
+    rows = line_dedup.duplicate_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in rows] == ([(2, 0, 1)] if linked else [])
+
+
 def test_line_dedup_short_long_and_hot(spark, monkeypatch):
     """Lines of a few characters, one of very many words, and lines that most documents share."""
     from twinsift.operators import joins
@@ -145,7 +174,7 @@ def test_line_dedup_short_long_and_hot(spark, monkeypatch):
         lines = [rng.choice(base) for _ in range(3)] + [f"Line number {rng.randrange(40)} of this table", f"the text {rng.choice('abc')}{i % 7} is one of very many that differ in a single word only", ""]
         rng.shuffle(lines)
         docs.append((i, "\n".join(lines)))
-    docs += [(900, "x" * 12), (901, "x" * 13), (902, "x" * 12 + "é"), (903, "é" * 9), (904, "é" * 9), (905, "é" * 8), (906, "a a a a a a a a a a a"), (907, "a a a a a a a a a a"), (908, "A  a a a a a a a a\ta b")]
+    docs += [(900, "x" * 12), (901, "x" * 13), (902, "x" * 12 + "é"), (903, "é" * 9), (904, "é" * 9), (905, "é" * 8), (906, "a a a a a a a a a a a"), (907, "a a a a a a a a a a"), (908, "A  a a a a a a a a\ta b"), (909, "four words or five"), (910, "four words or five now"), (911, "x" * 9)]
     want = brute_lines(docs)
     long = " ".join(f"w{i % 977}" for i in range(300_000))
     docs += [(1000, long), (1001, long + " more"), (1002, "less " + long)]
@@ -186,9 +215,10 @@ def test_line_dedup(spark):
 
 @pytest.mark.parametrize("kind", ["words", "characters"])
 def test_half_keys_meet(kind):
-    rng = random.Random(6)
-    for _ in range(1500):
-        a = [str(rng.randrange(9)) for _ in range(rng.randrange(10, 45))]
+    rng, least = random.Random(6), {"words": 5, "characters": 10}[kind]
+    tries = 0
+    while tries < 1500:
+        a = [str(rng.randrange(9)) for _ in range(rng.randrange(least - 1, 45))]
         b = list(a)
         at = rng.randrange(len(b))
         k = rng.randrange(3)
@@ -198,8 +228,9 @@ def test_half_keys_meet(kind):
             b.insert(at, "x")
         else:
             b.pop(at)
-        if len(b) < line_dedup.NEAR_UNITS:
+        if max(len(a), len(b)) < least:
             continue
+        tries += 1
         if kind == "characters":
             a, b = "".join(a), "".join(b)
         assert set(line_dedup.half_keys(a)) & set(line_dedup.half_keys(b))
@@ -207,17 +238,19 @@ def test_half_keys_meet(kind):
         shared = {key: (lo, hi) for key, lo, hi in line_dedup.window_keys(a)}
         found = [(shared[key], (lo, hi)) for key, lo, hi in line_dedup.window_keys(b) if key in shared]
         assert found and all(a[:p] + a[q:] == b[:r] + b[s:] for (p, q), (r, s) in found)
-        va, vb = ({v for w in side for v in zip(*(x.tolist() for x in line_dedup.variants(line, np.arange(*w))), strict=True)} for line, side in ((a, [f[0] for f in found]), (b, [f[1] for f in found])))
+        va, vb = ({v for w in side for x in line_dedup.variants(line, np.arange(*w)) for v in zip(*(c.tolist() for c in x), strict=True)} for line, side in ((a, [f[0] for f in found]), (b, [f[1] for f in found])))
         assert {v for v in va if v[2] >= 0} & {v for v in vb if v[2] >= 0} if k == 0 else {v[:2] for v in va} & {v[:2] for v in vb}
 
 
-def test_variants_are_hashes_of_what_is_left():
+@pytest.mark.parametrize("size", [3, 100_000])
+def test_variants_are_hashes_of_what_is_left(monkeypatch, size):
+    monkeypatch.setattr(line_dedup, "SLICE", size)
     rng = random.Random(9)
     seen = {}
     for _ in range(400):
         line = [rng.choice("abc") for _ in range(rng.randrange(2, 9))]
         for units in (line, "".join(line)):
-            hi, lo, at = line_dedup.variants(units, np.arange(len(units)))
+            hi, lo, at = (np.concatenate(c) for c in zip(*line_dedup.variants(units, np.arange(len(units))), strict=True))
             for h, l, p in zip(hi.tolist(), lo.tolist(), at.tolist(), strict=True):
                 left = units if p < 0 else units[:p] + units[p + 1 :]
                 assert seen.setdefault((h, l), (type(left), tuple(left))) == (type(left), tuple(left))

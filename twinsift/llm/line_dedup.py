@@ -2,17 +2,17 @@
 
 A line is compared in lower case with white space collapsed. It is dropped if an
 earlier line (smaller id, then smaller line number; kept or not) is the same or is
-within its edit bound. The bound follows from the line's length: a line's units
-are its words if it has at least ``near_units`` of them, else its characters if it
-has at least that many, and one unit may be inserted, deleted or replaced; a line
-of fewer units is compared for equality (bound 0). So from ten units on, near lines
-share at least 0.8 of them. Lines of words and lines of characters are not near each
-other. Lines of fewer than ``min_chars`` characters are never dropped; the default
-of one leaves out blank lines only.
+near. Two lines are near if one word is inserted, deleted or replaced and the longer
+one has at least ``Bound.words`` words (so that they share 0.8 of them by default), or if
+one character is and the longer one has at least ``Bound.chars`` characters and the one
+with fewer words has fewer than ``Bound.few`` words. So the bound on edits is a function of
+the pair's lengths: none below both limits, one from there on. A line belongs to
+both rules where both can apply. Lines of fewer than ``min_chars`` characters are never
+dropped; the default of one leaves out blank lines only.
 
 Plan
 1. One pass over the texts gives per line a 128-bit digest and digests of its first
-   and last units. Equal lines are grouped on the digest; minima are combined
+   and last units, words and characters. Equal lines are grouped on the digest; minima are combined
    before the shuffle, so a line that repeats everywhere is no hot spot. Only first
    occurrences go on.
 2. Two lines within one edit share their first or their last few units (the edit
@@ -42,6 +42,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -52,13 +53,15 @@ from twinsift.operators.joins import join_counted
 from twinsift.plans.storage import arrow_rows, free_name, materialize
 
 MIN_CHARS = 1
-NEAR_UNITS = 10
 WINDOWS = 8
+#: Variants of a line are made and sent in slices of so many.
+SLICE = 100_000
 PLACE = ["doc_id", "pos"]
-_LINES = "doc_id long, pos int, hi long, lo long, k0 long, k1 long, k2 long, k3 long"
+KEYS = [f"k{i}" for i in range(8)]
+_LINES = f"doc_id long, pos int, hi long, lo long, {', '.join(f'{k} long' for k in KEYS)}"
 _VARIANTS = "hi long, lo long, at int, doc_id long, pos int"
 _WANTED = "doc_id long, pos int, line string"
-_OUTSIDES = "k long, doc_id long, pos int, lo int, hi int"
+_OUTSIDES = "k long, doc_id long, pos int, chars boolean, lo int, hi int"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -67,10 +70,30 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def units_of(line: str, near_units: int = NEAR_UNITS) -> Sequence[str]:
-    """Words or characters of a normal line, or nothing if it has too few."""
+class Bound(NamedTuple):
+    """Lengths from which one edit is allowed."""
+
+    words: int = 5
+    chars: int = 10
+    few: int = 10
+
+
+def families(line: str, bound: Bound = Bound()) -> list[Sequence[str]]:
+    """The units by which a normal line can have near lines: a list of its words, its characters as text, both or none.
+
+    A near line may have one unit more or less, so a line one unit short of a limit is compared too.
+    """
     words = line.split(" ")
-    return words if len(words) >= near_units else line if len(line) >= near_units else ()
+    out: list[Sequence[str]] = [words] if len(words) >= bound.words - 1 else []
+    return out + ([line] if len(line) >= bound.chars - 1 and len(words) <= bound.few else [])
+
+
+def near(a: str, b: str, bound: Bound = Bound()) -> bool:
+    """Whether two normal lines are within their bound."""
+    x, y = a.split(" "), b.split(" ")
+    if max(len(x), len(y)) >= bound.words and within_one(x, y):
+        return True
+    return max(len(a), len(b)) >= bound.chars and min(len(x), len(y)) < bound.few and within_one(a, b)
 
 
 def _digest(part: Sequence[str], tag: str) -> int:
@@ -84,17 +107,16 @@ def _pair(text: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def half_keys(units: Sequence[str], near_units: int = NEAR_UNITS) -> list[int]:
+def half_keys(units: Sequence[str], bound: Bound = Bound()) -> list[int]:
     """Digests of the first and the last units, for the line's length class and, at its lower edge, for the class below.
 
-    A class is ``near_units`` lengths wide and takes half of its smallest length, so
-    lines whose lengths differ by one always share a class.
+    A class is as wide as the least length of near lines and takes half of its smallest
+    length, so lines whose lengths differ by one always share a class; a line one unit short of
+    the least length counts to the first class.
     """
-    n = len(units)
-    if not n:
-        return []
-    classes = [n // near_units] + ([n // near_units - 1] if n % near_units == 0 and n // near_units > 1 else [])
-    return [_digest(part, f"{side}{c}") for c in classes for size in (c * near_units // 2,) for side, part in (("f", units[:size]), ("l", units[n - size :]))]
+    n, wide = len(units), bound.chars if isinstance(units, str) else bound.words
+    classes = [max(n // wide, 1)] + ([n // wide - 1] if n % wide == 0 and n // wide > 1 else [])
+    return [_digest(part, f"{side}{c}") for c in classes for size in (c * wide // 2,) for side, part in (("f", units[:size]), ("l", units[n - size :]))]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -138,15 +160,16 @@ def window_keys(units: Sequence[str]) -> list[tuple[int, int, int]]:
     return list(zip(keys.tolist(), lo.tolist(), hi.tolist(), strict=True))
 
 
-def variants(units: Sequence[str], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``hi``, ``lo`` and position of the line itself (position -1) and of the line less the unit at each of ``places``."""
-    kind = np.uint64(isinstance(units, str))
-    out = []
-    for base in _BASES:
-        own = Sums(units, base)
-        less = own.without(places, places + 1)
-        out.append(_mixed(np.concatenate([own.upto[own.n :], less]) + kind * np.uint64(_BASES[1])).view(np.int64))
-    return out[0], out[1], np.concatenate([[-1], places]).astype(np.int32)
+def variants(units: Sequence[str], places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``hi``, ``lo`` and position of the line itself (position -1) and of the line less the unit at each of ``places``, in slices."""
+    kind = np.uint64(isinstance(units, str)) * np.uint64(_BASES[1])
+    sums = [Sums(units, base) for base in _BASES]
+    hi, lo = (_mixed(own.upto[own.n :] + kind).view(np.int64) for own in sums)
+    yield hi, lo, np.array([-1], np.int32)
+    for at in range(0, len(places), SLICE):
+        some = places[at : at + SLICE]
+        hi, lo = (_mixed(own.without(some, some + 1) + kind).view(np.int64) for own in sums)
+        yield hi, lo, some.astype(np.int32)
 
 
 def within_one(a: Sequence[str], b: Sequence[str]) -> bool:
@@ -159,22 +182,22 @@ def within_one(a: Sequence[str], b: Sequence[str]) -> bool:
     return a[at + 1 :] == b[at:] if len(a) > len(b) else a[at:] == b[at + 1 :]
 
 
-def _lines(min_chars: int, near_units: int):
+def _lines(min_chars: int, bound: Bound):
     def lines(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(4 + len(KEYS))]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for pos, line in enumerate(text.split("\n")):
                     whole = normal(line)
                     if len(whole) < max(min_chars, 1):
                         continue
-                    keys = half_keys(units_of(whole, near_units), near_units)
-                    for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[None] * (4 - len(keys))), strict=True):
+                    keys = [k for units in families(whole, bound) for k in half_keys(units, bound)]
+                    for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[None] * (len(KEYS) - len(keys))), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 6)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "pos", "hi", "lo", "k0", "k1", "k2", "k3"])
+            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * (2 + len(KEYS)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "pos", "hi", "lo", *KEYS])
 
     return lines
 
@@ -193,43 +216,56 @@ def _wanted_lines(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string())], ["doc_id", "pos", "line"])
 
 
-def _outsides(near_units: int):
+def _outsides(bound: Bound):
     def outsides(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out = [(k, doc, pos, lo, hi) for doc, pos, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for k, lo, hi in window_keys(units_of(line, near_units))]
-            columns = zip(*out, strict=True) if out else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k", "doc_id", "pos", "lo", "hi"])
+            out = [
+                (k, doc, pos, isinstance(units, str), lo, hi)
+                for doc, pos, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+                for units in families(line, bound)
+                for k, lo, hi in window_keys(units)
+            ]
+            columns = zip(*out, strict=True) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k", "doc_id", "pos", "chars", "lo", "hi"])
 
     return outsides
 
 
-def _variants(near_units: int):
+def _variants(bound: Bound):
     def emit(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        out, size = [], 0
+
+        def batch_of():
+            columns = [np.concatenate([x[i] for x in out]) if out else [] for i in range(5)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["hi", "lo", "at", "doc_id", "pos"])
+
         for batch in batches:
-            out: list[list] = [[np.empty(0, np.int64)] for _ in range(5)]
             for doc, pos, line, windows in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                places = np.unique(np.concatenate([np.arange(w["lo"], w["hi"]) for w in windows]))
-                hi, lo, at = variants(units_of(line, near_units), places)
-                for column, values in zip(out, (hi, lo, at, np.full(len(hi), doc), np.full(len(hi), pos)), strict=True):
-                    column.append(values)
-            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds, strict=True)], ["hi", "lo", "at", "doc_id", "pos"])
+                for units in families(line, bound):
+                    own = [np.arange(w["lo"], w["hi"]) for w in windows if w["chars"] == isinstance(units, str)]
+                    for hi, lo, at in variants(units, np.unique(np.concatenate(own))) if own else ():
+                        out.append((hi, lo, at, np.full(len(hi), doc, np.int64), np.full(len(hi), pos, np.int32)))
+                        size += len(hi)
+                        if size >= SLICE:
+                            yield batch_of()
+                            out, size = [], 0
+        yield batch_of()
 
     return emit
 
 
-def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, near_units: int = NEAR_UNITS) -> DataFrame:
+def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, bound: Bound = Bound()) -> DataFrame:
     """``(doc_id, pos, distance)`` of every line to drop: 0 for equal lines, 1 for lines one edit from an earlier one."""
     arrow_rows(df.sparkSession, 500)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = materialize(docs.mapInArrow(_lines(min_chars, near_units), _LINES), "lines")
+    lines = materialize(docs.mapInArrow(_lines(min_chars, bound), _LINES), "lines")
     place = F.struct("doc_id", "pos")
-    firsts = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)])
+    firsts = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(k).alias(k) for k in KEYS])
     firsts = materialize(firsts, "firsts")
     repeated = firsts.where("n > 1").select("hi", "lo", "first", "n")
     same = join_counted(lines.select("doc_id", "pos", "hi", "lo"), repeated, ["hi", "lo"], PLACE).where(place != F.col("first")).select("doc_id", "pos", F.lit(0).alias("distance"))
@@ -238,15 +274,15 @@ def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         """Keys that several rows have, counted."""
         return materialize(rows.groupBy(*on).agg(F.count("*").alias("n"), *more).where("n > 1"), "shared")
 
-    halves = firsts.where("k0 IS NOT NULL").select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.explode(F.filter(F.array("k0", "k1", "k2", "k3"), lambda k: k.isNotNull())).alias("k"))
+    halves = firsts.where("k0 IS NOT NULL").select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.explode(F.filter(F.array(*KEYS), lambda k: k.isNotNull())).alias("k"))
     wanted = join_counted(halves, shared(halves, ["k"]), ["k"], PLACE).groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))  # of one document's lines
     # sort-merge at every size: the lines wanted grow with the input
     texts = docs.join(wanted.hint("merge"), "doc_id")
-    near = materialize(texts.select("doc_id", "text", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
+    shown = materialize(texts.select("doc_id", "text", "wanted").mapInArrow(_wanted_lines, _WANTED).distinct(), "near")
 
-    outsides = materialize(near.mapInArrow(_outsides(near_units), _OUTSIDES), "outsides")
-    open_windows = join_counted(outsides, shared(outsides, ["k"]), ["k"], PLACE).groupBy("doc_id", "pos").agg(F.collect_set(F.struct("lo", "hi")).alias("windows"))  # of one line
-    emitted = materialize(near.join(open_windows.hint("merge"), ["doc_id", "pos"]).select("doc_id", "pos", "line", "windows").mapInArrow(_variants(near_units), _VARIANTS), "variants")
+    outsides = materialize(shown.mapInArrow(_outsides(bound), _OUTSIDES), "outsides")
+    open_windows = join_counted(outsides, shared(outsides, ["k"]), ["k"], PLACE).groupBy("doc_id", "pos").agg(F.collect_set(F.struct("chars", "lo", "hi")).alias("windows"))  # of one line
+    emitted = materialize(shown.join(open_windows.hint("merge"), ["doc_id", "pos"]).select("doc_id", "pos", "line", "windows").mapInArrow(_variants(bound), _VARIANTS), "variants")
     first_of = lambda which: F.min(F.when(which, place))
     by_variant = shared(emitted, ["hi", "lo"], first_of(F.col("at") < 0).alias("whole"), first_of(F.col("at") >= 0).alias("less"))
     across = join_counted(emitted, by_variant, ["hi", "lo"], PLACE).select("doc_id", "pos", F.when(F.col("at") < 0, F.col("less")).otherwise(F.col("whole")).alias("other"))
@@ -254,25 +290,25 @@ def duplicate_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     replaced = join_counted(emitted, by_place, ["hi", "lo", "at"], PLACE).select("doc_id", "pos", "other")
     candidates = across.unionByName(replaced).where(F.col("other") < place).select("doc_id", "pos", F.col("other.doc_id").alias("o_doc"), F.col("other.pos").alias("o_pos")).distinct()
     others = materialize(candidates.groupBy("o_doc", "o_pos").agg(F.count("*").alias("n")), "others")
-    earlier = others.join(near.select(F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"), F.col("line").alias("o_line")).hint("merge"), ["o_doc", "o_pos"])
-    paired = candidates.join(near, ["doc_id", "pos"])
+    earlier = others.join(shown.select(F.col("doc_id").alias("o_doc"), F.col("pos").alias("o_pos"), F.col("line").alias("o_line")).hint("merge"), ["o_doc", "o_pos"])
+    paired = candidates.join(shown, ["doc_id", "pos"])
     paired = join_counted(paired, materialize(earlier, "earlier"), ["o_doc", "o_pos"], PLACE)
 
     @F.arrow_udf("boolean")
     def within(a, b):
         import pyarrow as pa
 
-        return pa.array([within_one(units_of(x, near_units), units_of(y, near_units)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([near(x, y, bound) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     edited = paired.where(within("line", "o_line")).select("doc_id", "pos").distinct()
     # near lines are first occurrences: their later copies are in ``same`` already
     return same.unionByName(edited.withColumn("distance", F.lit(1)))
 
 
-def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, near_units: int = NEAR_UNITS) -> DataFrame:
+def drop_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = MIN_CHARS, bound: Bound = Bound()) -> DataFrame:
     """``df`` with the dropped lines cut out of the text, and ``lines_dropped``, their number."""
     place, lines = free_name(df, "gone_doc"), free_name(df, "gone_lines")
-    gone = duplicate_lines(df, text_col, id_col, min_chars, near_units).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
+    gone = duplicate_lines(df, text_col, id_col, min_chars, bound).groupBy(F.col("doc_id").alias(place)).agg(F.collect_set("pos").alias(lines))  # of one document's lines
     joined = df.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(place), "left")
 
     @F.arrow_udf("string")
