@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinsift import config
 from twinsift.functions import bits, gates, images, media
-from twinsift.operators import backfill, cluster, exact, ingest, report, selection, similar, simjoin
+from twinsift.operators import backfill, cluster, exact, ingest, report, segment_index, selection, similar, simjoin
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.generations import Generations, schema_version
@@ -582,3 +582,195 @@ def test_config(tmp_path):
 def test_schema_contract(spark):
     assert schemas.validate_schema(spark.createDataFrame([], schemas.PATHS), schemas.PATHS) == []
     assert schemas.validate_schema(spark.range(1), "id int, x string") == ["id: expected int, found bigint", "x: expected string, found none"]
+
+
+@pytest.mark.parametrize(("radius", "parts"), [(2, 3), (2, 6), (3, 8), (7, 6), (12, 8)])
+def test_hot_segments_are_avoided_or_dealt(spark, monkeypatch, radius, parts):
+    """Half of all different words share a segment, most of the others two."""
+    from twinsift.operators import joins
+
+    rng = random.Random(radius)
+    words = []
+    for i in range(220):
+        w = words[-1][1] & (1 << 64) - 1 if words and not i % 5 else rng.getrandbits(64)
+        for b in rng.sample(range(64), rng.randrange(radius + 2)):
+            w ^= 1 << b
+        w = w >> 24 if i % 2 else w & ~((1 << 24) - 1) if i % 3 else w
+        words.append((i, signed(w)))
+    df = spark.createDataFrame(words, "id long, w long")
+    monkeypatch.setattr(joins.join_tiled, "__defaults__", (50, 10))
+    monkeypatch.setattr(simjoin.choose, "__defaults__", ("w", 50, 10))
+    monkeypatch.setattr(simjoin.index_rows, "__defaults__", (50, 10))
+    rows = [tuple(r) for r in simjoin.hamming_pairs(df, "id", "w", radius, parts=parts).collect()]
+    want = {(a, b, bin((x ^ y) & (1 << 64) - 1).count("1")) for a, x in words for b, y in words if a < b and bin((x ^ y) & (1 << 64) - 1).count("1") <= radius}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    blocking = simjoin.words(radius, 64, parts)
+    index = simjoin.index_rows(df, blocking)
+    assert index.count() == len(words) * blocking.need
+    if parts - blocking.need >= 24 // bits.segment_widths(64, parts)[0]:  # rows that have the choice leave the values of half of all rows aside
+        assert index.where("seg = 0 AND key = 0").count() < len(words) // 10
+
+
+def test_tiles_bound_what_a_task_meets(spark):
+    from twinsift.operators.joins import join_tiled
+
+    left = spark.createDataFrame([(i, 1 if i % 2 else i) for i in range(200)], "a long, k long")
+    right = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(150)], "b long, k long")
+    got = [tuple(r) for r in join_tiled(left, right, ["k"], "a", "b", hot_keys=5, hot_rows=20).select("a", "b", "k").collect()]
+    want = {(a, b, k) for a, k in ((i, 1 if i % 2 else i) for i in range(200)) for b, m in ((i, 1 if i % 3 else i) for i in range(150)) if k == m}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_segment_index_grows_by_batches(spark, tmp_path):
+    """Batches one after the other give the pairs and components of the whole; a repeated batch changes nothing."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(40) for _ in range(30)]
+    words = [(i, signed(rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))))) for i in range(160)]
+    near = {(a, b, bin((x ^ y) & (1 << 64) - 1).count("1")) for a, x in words for b, y in words if a < b and bin((x ^ y) & (1 << 64) - 1).count("1") <= 3}
+    blocking, found, parts = simjoin.words(3, 64, 6), [], None
+    for n in (0, 1, 2, 2):
+        index = segment_index.SegmentIndex(spark, f"file://{tmp_path}/index", blocking, buckets=4, hot_rows=8)
+        rows = spark.createDataFrame([w for w in words if (0 if w[0] % 10 < 8 else w[0] % 10 - 7) == n] + [(None, 1)], "id long, w long")
+        edges = index.extend(n, rows)
+        if n == 2 and found[-1][0] == 2:
+            assert sorted(map(tuple, edges.collect())) == sorted(found[-1][1])
+            continue
+        found.append((n, list(map(tuple, edges.collect()))))
+        stored = spark.createDataFrame([], "id long, component long") if parts is None else parts
+        parts = spark.createDataFrame(segment_index.merge_components(stored, edges).collect(), "id long, component long")
+    pairs = [e for _, rows in found for e in rows]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == near
+    low = {x: x for e in near for x in e[:2]}
+    for _ in low:
+        for a, b, _ in near:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {(r["id"], r["component"]) for r in parts.collect()} == set(low.items())
+    # the index is read as it lies: of its two sides only the probing one is exchanged
+    plan = index.find(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(slot") == 1
+
+
+def feed_rows(n=900, feeds=2, keys=130):
+    rng = random.Random(7)
+    return [(f"f{rng.randrange(feeds)}", i, 1000 + i, "info", rng.randrange(keys), "ta\nsk", "stage", "run", f"s{i}", rng.choice(["a\tb", None]), 0, rng.choice([None, 5]), rng.choice([None, 0, 1, 3])) for i in range(n)]
+
+
+def replayed(rows, capacity, window):
+    """A list a feed, searched from its end."""
+    lists, dropped, ids, sequences = {}, {}, {}, {}
+    for f, _, ms, sev, task_id, task, stage, op, subject, message, status, native, repeats in rows:
+        entries = lists.setdefault(f, [])
+        key = (sev, task_id, task.replace("\n", " "), stage, op, status, native)
+        sequences[f] = sequences.get(f, 0) + 1
+        repeats = max(repeats or 1, 1)
+        at = next((i for i in reversed(range(max(0, len(entries) - window), len(entries))) if entries[i]["key"] == key), None)
+        if at is None:
+            ids[f] = ids.get(f, 0) + 1
+            entry = {"key": key, "id": ids[f], "n": 0, "subject": subject, "message": None if message is None else message.replace("\t", " ")}
+        else:
+            entry = entries.pop(at)
+        entries.append(entry | {"n": entry["n"] + repeats, "sequence": sequences[f], "ms": ms})
+        if len(entries) > capacity:
+            entries.pop(0)
+            dropped[f] = dropped.get(f, 0) + 1
+    live = {(f, e["id"], e["sequence"], e["ms"], e["n"], e["key"][1], e["subject"], e["message"]) for f, es in lists.items() for e in es}
+    return live, {(f, n, dropped.get(f, 0)) for f, n in sequences.items()}
+
+
+@pytest.mark.parametrize("cuts", [[900], [1, 10, 450, 900]])
+def test_feed_equals_a_plain_replay_under_any_cut(spark, tmp_path, cuts):
+    from twinsift.streaming import feed
+
+    rows, source, base, low = feed_rows(), f"file://{tmp_path}/in", f"file://{tmp_path}/out", 0
+    for high in cuts:
+        spark.createDataFrame(rows[low:high], feed.INPUT).repartition(3).write.mode("append").parquet(source)
+        low = high
+        run = feed.run(spark.readStream.schema(feed.INPUT).parquet(source), base, capacity=70, window=20)
+        run.awaitTermination()
+        assert run.exception() is None
+        live, counts = replayed(rows[:high], 70, 20)
+        got = feed.snapshot(spark, base).collect()
+        assert {(r["feed"], r["entry_id"], r["sequence"], r["utc_ms"], r["repeat_count"], r["task_id"], r["subject"], r["message"]) for r in got} == live and len(got) == len(live)
+        assert {tuple(r) for r in feed.counters(spark, base).collect()} == counts
+    assert {r["sequence"] for r in feed.snapshot(spark, base, 400).collect()} == {e[2] for e in live if e[2] > 400}
+    assert any(d for _, _, d in counts)
+
+
+def test_published_sequences_survive_a_replay(spark, tmp_path):
+    ops = [(s, k, key, f"p{i}", i) for i, (s, k, key) in enumerate((random.Random(i).randrange(2), random.Random(i + 99).choice(["upsert", "delete"]), random.Random(i * 3).randrange(9)) for i in range(60))]
+    schema, base = "batch_scan_id long, kind string, key long, payload string, arrival long", f"file://{tmp_path}/q"
+    want, low = [], 1
+    for number, part in enumerate((ops[:20], [], ops[20:25], ops[25:])):
+        df = spark.createDataFrame(part, schema)
+        outbox.publish_batch(df, number, base)
+        if number != 1:
+            outbox.publish_batch(df.repartition(3), number, base)  # delivered again
+        last = {(s, key, k): (s, k, key, p, a) for s, k, key, p, a in part}
+        want += [(*last[x], low + i) for i, x in enumerate(sorted(last))]
+        low += len(last)
+    got = sorted((tuple(r) for r in outbox.published(spark, base, schema).select("batch_scan_id", "kind", "key", "payload", "arrival", "sequence").collect()), key=lambda r: r[5])
+    assert got == want and [r[5] for r in got] == list(range(1, low))
+
+
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
+    import os
+
+    from twinsift.plans.merged_table import MergedTable
+
+    schema, base = "k long, v string, n int", str(tmp_path / "t")
+    table = MergedTable(spark, f"file://{base}", schema, "k", buckets=8)
+    change = lambda rows: spark.createDataFrame(rows, "k long, v string, n int, kind string, sequence long")
+    assert table.read().count() == 0 and table.merge(change([])) == []
+    held = {k: (f"v{k}", k % 5) for k in range(100)}
+    assert table.merge(change([(k, *v, "upsert", 1) for k, v in held.items()])) == list(range(8))
+    files = lambda: {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(f"{base}/data") for f in fs if f.endswith(".parquet")}
+    before = files()
+    touched = table.merge(change([(3, "x", 1, "upsert", 1), (3, "new", 9, "upsert", 2), (4, "v4", 0, "delete", 1), (5, "other", 0, "delete", 1), (777, "add", 0, "upsert", 1)]), compare=("v",))
+    held |= {3: ("new", 9), 777: ("add", 0)}
+    held.pop(4)
+    assert {r["k"]: (r["v"], r["n"]) for r in table.read().collect()} == held
+    assert 0 < len(touched) < 8 and all(files()[f] == t for f, t in before.items())
+    manifest = MergedTable(spark, f"file://{base}", schema, "k", buckets=8).manifest()
+    assert {b for b, g in manifest.items() if g == max(manifest.values())} <= set(touched) and all(g == 1 for b, g in manifest.items() if b not in touched)
+    # a failed merge leaves the table as it was; the next one does not read what it left
+    with pytest.raises(Exception):
+        table.merge(change([(3, "bad", 1, "upsert", 3)]), derive=lambda rows: rows.withColumn("n", F.raise_error(F.lit("stop")).cast("int")))
+    assert {r["k"]: (r["v"], r["n"]) for r in table.read().collect()} == held
+    table.merge(change([(k, None, None, "delete", 1) for k in held]))
+    table.vacuum()
+    assert table.read().count() == 0
+    table.merge(change([(1, "back", 1, "upsert", 1)]))
+    table.vacuum()
+    assert [tuple(r) for r in table.read().collect()] == [(1, "back", 1)] and len(files()) <= 9
+
+
+def test_many_roots_equal_the_prefix_rule(spark, monkeypatch):
+    from twinsift.operators import joins
+
+    rng = random.Random(2)
+    names = ["a", "b", "ab", "c d"]
+    folder = lambda n: "\\".join(["d:"] + [rng.choice(names) for _ in range(n)])
+    paths = sorted({folder(rng.randrange(6)) for _ in range(150)}) + ["x", "", "e:\\z"] + ["d:\\a\\same"] * 40 + [None]
+    roots = sorted({(folder(rng.randrange(4)) + rng.choice(["", "\\"]), rng.randrange(5)) for _ in range(40)})
+    monkeypatch.setattr(joins.join_counted, "__defaults__", ("n", 50, 3))
+    df = spark.createDataFrame([(i, p, "old") for i, p in enumerate(paths)], "id long, path string, root string")
+    r = spark.createDataFrame(roots, "root string, priority int")
+    got = {x["id"]: (x["root"], x["priority"]) for x in ingest.assign_root(df, r).collect()}
+    under = lambda p, root: p == root.rstrip("\\") or p.startswith(root.rstrip("\\") + "\\")
+    want = {i: min(((n, x) for x, n in roots if p is not None and under(p, x)), default=(None, None))[::-1] for i, p in enumerate(paths)}
+    assert got == want
+    uncovered = {tuple(x) for x in ingest.uncovered_roots(r).collect()}
+    assert uncovered == {(x, n) for x, n in roots if not any(m < n and under(x, y) for y, m in roots)}
+
+
+def test_routed_paths_read_the_paths_once(spark, monkeypatch):
+    from twinsift.operators import joins
+
+    monkeypatch.setattr(joins.join_tiled, "__defaults__", (50, 5))
+    paths = spark.createDataFrame([(i, f"s{i % 7 if i % 2 else 1}", i % 5 != 0) for i in range(80)], "path_id long, sha string, active boolean")
+    groups = spark.createDataFrame([("s1", 10, "x"), ("s3", 11, None)], "sha string, root long, note string")
+    skipped = spark.createDataFrame([("s1", "why"), ("s9", "none")], "sha string, reason string")
+    out = report.route_paths(paths, {"groups": groups, "skipped": skipped})
+    rows = [tuple(r) for r in paths.collect() if r["active"]]
+    assert sorted(map(tuple, out["groups"].collect())) == sorted((*r, *g[1:]) for r in rows for g in [("s1", 10, "x"), ("s3", 11, None)] if r[1] == g[0])
+    assert sorted(map(tuple, out["skipped"].collect())) == sorted((*r, "why") for r in rows if r[1] == "s1")

@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.functions.media import STATE, can_reuse, under_root
+from twinsift.functions.media import STATE, can_reuse
+from twinsift.operators.joins import join_counted
+from twinsift.plans.storage import materialize
+
+
+def _base(root: Column | str) -> Column:
+    return F.rtrim(F.col(root) if isinstance(root, str) else root, F.lit("\\"))
+
+
+def ancestors(path: Column) -> Column:
+    """The path and all folders above it, as texts without a final backslash."""
+    parts = F.split(path, r"\\")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "\\"))
 
 
 def uncovered_roots(roots: DataFrame, root: str = "root", priority: str = "priority") -> DataFrame:
-    """Roots that do not lie under a root of smaller priority number. Roots are a short configured list."""
-    other = roots.select(F.col(root).alias("_r"), F.col(priority).alias("_p"))
-    covered = (F.col("_p") < F.col(priority)) & under_root(root, "_r")
-    return roots.join(F.broadcast(other), covered, "left_anti")
+    """Roots that do not lie under a root of smaller priority number, by a join on the folders above each."""
+    other = roots.select(_base(root).alias("_a"), F.col(priority).alias("_p"))
+    above = roots.select(root, priority, F.explode(ancestors(F.col(root))).alias("_a"))
+    covered = above.join(other, "_a").where(F.col("_p") < F.col(priority)).select(root, priority).distinct()
+    return roots.join(covered, [root, priority], "left_anti")
 
 
 def distinct_roots(roots: DataFrame, root: str = "root", priority: str = "priority") -> DataFrame:
@@ -23,13 +36,27 @@ def distinct_roots(roots: DataFrame, root: str = "root", priority: str = "priori
 def assign_root(files: DataFrame, roots: DataFrame, path: str = "path", root: str = "root", priority: str = "priority") -> DataFrame:
     """The first configured root that holds each file, and its priority; null for files outside of all.
 
-    Roots (a short configured list) travel as one literal array, so no join is needed.
+    A root holds a path if it is one of the folders above it or the path itself, so this
+    is a join on equality, however many roots there are. It works on distinct folders,
+    each with the least root above it, and folders that very many files (or folders) share are
+    dealt into parts. Root columns of ``files`` are replaced.
     """
-    ordered = [(r[0], int(r[1])) for r in roots.select(root, priority).orderBy(priority, root).collect()]
-    found: Column = F.lit(None).cast("struct<root:string,priority:int>")
-    for name, place in reversed(ordered):
-        found = F.when(under_root(path, F.lit(name)), F.struct(F.lit(name).alias("root"), F.lit(place).alias("priority"))).otherwise(found)
-    return files.withColumn("_f", found).withColumns({root: F.col("_f.root"), priority: F.col("_f.priority")}).drop("_f")
+    files = files.drop(*[c for c in (root, priority) if c != path])
+    least = F.struct(F.col(priority).cast("int").alias("priority"), F.col(root).alias("root"))
+    best = roots.where(F.col(root).isNotNull()).groupBy(_base(root).alias("_a")).agg(F.min(least).alias("_f"))
+    parts = F.split(path, r"\\")
+    folder = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "\\")).otherwise("\0")
+    placed = files.withColumn("_d", F.coalesce(folder, F.lit("\0")))
+    folders = materialize(placed.groupBy("_d").agg(F.count("*").alias("n")), "folders")
+    above = folders.select("_d", F.explode(ancestors(F.col("_d"))).alias("_a"))
+    known = materialize(above.groupBy("_a").agg(F.count("*").alias("n")).join(best, "_a"), "roots")
+    held = join_counted(above, known, ["_a"], ["_d"]).groupBy("_d").agg(F.min("_f").alias("_f"))
+    stored = materialize(folders.join(held, "_d", "left"), "folders")
+    found = join_counted(placed, stored, ["_d"], [path]).drop("_d", "n")
+    # a path that is a root itself; Spark broadcasts the roots only if they are small
+    own = found.join(best.select(F.col("_a").alias("_o"), F.col("_f").alias("_g")), F.col(path) == F.col("_o"), "left")
+    first = F.least("_f", "_g")
+    return own.withColumns({root: first["root"], priority: first["priority"]}).drop("_f", "_g", "_o")
 
 
 def lowest_priority(discovered: DataFrame, path: str = "normalized_path", priority: str = "scan_root_priority") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins with tables of counted keys, in which a few keys may hold a large part of all rows."""
+"""Joins in which a few keys may hold a large part of all rows."""
 
 from __future__ import annotations
 
@@ -34,3 +34,36 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], spread: lis
     dealt = dealt.withColumn(part, F.pmod(F.xxhash64(*spread), F.coalesce(most, F.lit(1))).cast("int")).drop(most)
     repeated = counted.withColumn(part, F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(repeated.hint("merge"), [*on, part]).drop(part)
+
+
+def hot_counts(rows: DataFrame, on: list[str], hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(*on, n)`` of the ``hot_keys`` most frequent keys with at least ``hot_rows`` rows.
+
+    A key that is left out has less than a ``hot_keys``-th of all rows.
+    """
+    counted = rows.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows)
+    return counted.orderBy(F.desc("n"), *on).limit(hot_keys)
+
+
+def join_tiled(left: DataFrame, right: DataFrame, on: list[str], left_id: str, right_id: str, hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which the rows of a hot key are dealt into blocks on either side, and every pair of blocks is a key of its own.
+
+    A task then meets about ``hot_rows`` rows of a key from either side, however many there
+    are. Rows of a hot key are repeated once per block of the other side. Both
+    sides should be stored tables or cheap to read, as their keys are counted first.
+    """
+    counted = hot_counts(left, on, hot_keys, hot_rows).withColumnRenamed("n", "_l").join(hot_counts(right, on, hot_keys, hot_rows).withColumnRenamed("n", "_r"), on, "full")
+    blocks = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(1)) / hot_rows).cast("int")
+    # bounded by construction: at most hot_keys rows from either side
+    found = counted.select(*on, blocks("_l").alias("_l"), blocks("_r").alias("_r"))
+    found, schema = found.collect(), found.schema
+    if not found:
+        return left.join(right, on)
+    hot = left.sparkSession.createDataFrame(found, schema)
+
+    def dealt(rows: DataFrame, id_col: str, own: str, other: str, own_tile: str, other_tile: str) -> DataFrame:
+        known = rows.join(F.broadcast(hot), on, "left")
+        tile = F.pmod(F.xxhash64(id_col), F.coalesce(own, F.lit(1))).cast("int")
+        return known.withColumns({own_tile: tile, other_tile: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("_l", "_r")
+
+    return dealt(left, left_id, "_l", "_r", "_tl", "_tr").join(dealt(right, right_id, "_r", "_l", "_tr", "_tl"), [*on, "_tl", "_tr"]).drop("_tl", "_tr")

@@ -109,6 +109,32 @@ def members_of(roots: DataFrame, representatives: DataFrame, paths: DataFrame, s
     return found.join(enough, "root")
 
 
+def route_paths(paths: DataFrame, targets: dict[str, DataFrame], sha: str = "sha") -> dict[str, DataFrame]:
+    """Active paths for several tables of contents in one pass over ``paths``.
+
+    Each target has ``sha`` and further columns of its own. The targets' rows are
+    tagged and joined with the paths together, stored once in folders by target, and
+    read again as one table each: the target's columns beside those of ``paths``.
+    A content of very many paths is dealt over tasks.
+    """
+    from twinsift.operators.joins import join_tiled
+    from twinsift.plans.storage import materialize
+
+    tagged = None
+    for name, table in targets.items():
+        rest = [c for c in table.columns if c != sha]
+        rows = table.select(sha, F.lit(name).alias("target"), F.to_json(F.struct(*rest)).alias("_own"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    active = materialize(paths.where("active"), "active")
+    met = materialize(join_tiled(active.withColumn("_p", F.xxhash64(*active.columns)), materialize(tagged, "targets").withColumn("_t", F.xxhash64("target", "_own")), [sha], "_p", "_t").drop("_p", "_t"), "routed", ["target"])
+    out = {}
+    for name, table in targets.items():
+        own = table.drop(sha).schema
+        rows = met.where(F.col("target") == name).withColumn("_own", F.from_json("_own", own))
+        out[name] = rows.select(*[c for c in paths.columns], *[F.col("_own")[f.name].alias(f.name) for f in own])
+    return out
+
+
 def enrich_relations(relations: DataFrame, counts: DataFrame, main: DataFrame) -> DataFrame:
     """Relations with both sides' member counts and whether the neighbour is in the main report; sides without members go."""
     left = counts.select(F.col("root").alias("left_root"), F.col("member_count").alias("left_members"))

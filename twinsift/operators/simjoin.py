@@ -1,81 +1,144 @@
-"""Blocked Hamming self-joins.
-
-For radius r, cut the bits into m segments and let e = floor(r / m): two words
-within r differ by at most e bits in some segment. One side is indexed by its
-segments, the other probes with its segments and, for e = 1, their one-bit
-neighbours. A pair is kept in the first segment that matches only, so no
-``distinct`` follows.
-
-``hamming_classes`` and ``video_classes`` compress rows with the same bits to a class
+"""Blocked Hamming joins.
+
+For radius r, cut the bits into m segments and let e = floor(r / m). Two words
+within r differ by more than e bits in at most floor(r / (e + 1)) segments, so
+whichever ``need`` = floor(r / (e + 1)) + 1 segments a row is indexed by, one of them
+matches. An index row takes its rarest segments (``choose``): values that very many
+rows share are avoided where m leaves a choice. The other side probes with all its
+segments and, for e = 1, their one-bit neighbours. A pair is kept in the first
+matching segment of the index row only, so no ``distinct`` follows.
+
+Values that stay hot are dealt into pairs of blocks (``join_tiled``), so no task
+takes all rows of a segment value, though every two rows that share a chosen one are
+compared. ``hamming_classes`` and ``video_classes`` compress rows with the same bits to a class
 before the join, so a value that a third of all rows share is one row there, and its
 members are dealt over tasks when they get their representative; the other joins
-pair all rows, equal ones too. A segment value that is shared by very many *different* words
-is left to adaptive skew handling of the sort-merge join.
+pair all rows, equal ones too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.bits import bit_string, hamming, hamming_words, segment_widths, segments, string_segments
 from twinsift.functions.gates import FRAMES, VIDEO_WINDOW_MS
-from twinsift.operators.joins import join_counted
+from twinsift.operators.joins import hot_counts, join_counted, join_tiled
 from twinsift.plans.storage import materialize
 
 
-def _neighbours(key: Column, width: int) -> Column:
-    return F.array(key, *[key.bitwiseXOR(F.lit(1 << b)) for b in range(width)])
+#: Most segment values that are told apart as hot when rows choose, and the rows that make one hot.
+CHOICE_KEYS, CHOICE_ROWS = 2_000, 1_000
+
+
+class Blocking(NamedTuple):
+    """How a signature is cut into segments for a radius; ``cut`` and ``distance`` take columns."""
+
+    cut: Callable[[str], list[Column]]
+    distance: Callable[[str, str], Column]
+    widths: list[int]
+    radius: int
 
+    @property
+    def inner(self) -> int:
+        """Bits that may differ in a matching segment."""
+        return self.radius // len(self.widths)
 
-def _keyed(df: DataFrame, keys: list[Column], neighbours: list[int] | None) -> DataFrame:
-    """One row per segment (and neighbour): ``seg`` and ``key``."""
-    entries = [F.struct(F.lit(i).alias("seg"), (_neighbours(k, neighbours[i]) if neighbours else F.array(k)).alias("ks")) for i, k in enumerate(keys)]
-    return df.withColumn("_e", F.explode(F.array(*entries))).withColumn("seg", F.col("_e.seg")).withColumn("key", F.explode("_e.ks")).drop("_e")
+    @property
+    def need(self) -> int:
+        """Segments that a row must be indexed by; one of them matches."""
+        return self.radius // (self.inner + 1) + 1
+
+
+def _checked(blocking: Blocking) -> Blocking:
+    if blocking.inner > 1:
+        raise ValueError("use more segments: at most one bit may differ within a segment")
+    return blocking
+
+
+def words(radius: int, bits: int = 64, parts: int | None = None) -> Blocking:
+    """Blocking of one word of ``bits`` bits, by default in one segment more than the radius."""
+    parts = parts or radius + 1
+    return _checked(Blocking(lambda c: segments(c, parts, bits), hamming, segment_widths(bits, parts), radius))
 
 
-def _first_segment(seg: Column, left: list[Column], right: list[Column], radius: int) -> Column:
-    """No earlier segment of the pair matches within ``radius``."""
+def word_arrays(radius: int, count: int = 4, segment_bits: int = 16) -> Blocking:
+    """Blocking of arrays of ``count`` 64-bit words in segments of ``segment_bits`` bits."""
+    per = 64 // segment_bits
+    cut = lambda c: [s for i in range(count) for s in segments(F.get(F.col(c), F.lit(i)), per)]
+    return _checked(Blocking(cut, hamming_words, [segment_bits] * (count * per), radius))
+
+
+def choose(rows: DataFrame, blocking: Blocking, word: str = "w", hot_keys: int = CHOICE_KEYS, hot_rows: int = CHOICE_ROWS) -> Column:
+    """Array of the numbers of a row's ``need`` rarest segments, ascending.
+
+    Only hot values need to be known: they are counted, told apart by the power of
+    four in their counts, and put into the expression (at most ``hot_keys`` numbers), so
+    that no row is shuffled to choose.
+    """
+    parts, need = len(blocking.widths), blocking.need
+    if need >= parts:
+        return F.array(*map(F.lit, range(parts)))
+    keys = rows.select(F.posexplode(F.array(*blocking.cut(word))).alias("seg", "key"))
+    tiers: dict[tuple[int, int], list[int]] = {}
+    for r in hot_counts(keys, ["seg", "key"], hot_keys, hot_rows).collect():
+        tiers.setdefault((r["seg"], r["n"].bit_length() // 2), []).append(r["key"])
+    ranks = []
+    for i, key in enumerate(blocking.cut(word)):
+        rank = F.lit(0)
+        for (seg, tier), values in sorted(tiers.items()):
+            rank = F.when(key.isin(values), tier).otherwise(rank) if seg == i else rank
+        ranks.append(F.struct(rank.alias("rank"), F.lit(i).alias("seg")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(F.array(*ranks)), 1, need), lambda x: x["seg"])) if tiers else F.array(*map(F.lit, range(need)))
+
+
+def index_rows(rows: DataFrame, blocking: Blocking, hot_keys: int = CHOICE_KEYS, hot_rows: int = CHOICE_ROWS) -> DataFrame:
+    """``(right_id, rw, seg, key, chosen)`` of ``(id, w)``: a row per chosen segment; ``chosen`` holds their numbers."""
+    keyed = rows.select("id", "w", choose(rows, blocking, "w", hot_keys, hot_rows).alias("chosen"), F.array(*blocking.cut("w")).alias("keys"))
+    return keyed.select(F.col("id").alias("right_id"), F.col("w").alias("rw"), "chosen", "keys", F.explode("chosen").alias("seg")).select("right_id", "rw", "seg", F.get("keys", F.col("seg")).alias("key"), "chosen")
+
+
+def probe_rows(rows: DataFrame, blocking: Blocking) -> DataFrame:
+    """``(left_id, lw, seg, key)`` of ``(id, w)``: a row per segment and, where one bit may differ, per neighbour."""
+    near = lambda k, width: F.array(k, *[k.bitwiseXOR(F.lit(1 << b)) for b in range(width if blocking.inner else 0)])
+    entries = F.array(*[near(k, width) for k, width in zip(blocking.cut("w"), blocking.widths, strict=True)])
+    return rows.select(F.col("id").alias("left_id"), F.col("w").alias("lw"), F.posexplode(entries).alias("seg", "ks")).select("left_id", "lw", "seg", F.explode("ks").alias("key"))
+
+
+def near_only(met: DataFrame, blocking: Blocking) -> DataFrame:
+    """Of rows that met in a segment the pairs within the radius, each in the first chosen segment that matches."""
     earlier = F.lit(False)
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        match = a == b if radius == 0 else F.bit_count(a.bitwiseXOR(b)) <= radius
-        earlier = earlier | ((seg > i) & match)
-    return ~earlier
+    for i, (a, b) in enumerate(zip(blocking.cut("lw"), blocking.cut("rw"), strict=True)):
+        match = a == b if blocking.inner == 0 else F.bit_count(a.bitwiseXOR(b)) <= blocking.inner
+        earlier = earlier | ((F.col("seg") > i) & F.array_contains("chosen", i) & match)
+    distance = blocking.distance("lw", "rw")
+    return met.where((distance <= blocking.radius) & ~earlier).select("left_id", "right_id", distance.alias("distance"))
+
+
+def self_pairs(rows: DataFrame, blocking: Blocking) -> DataFrame:
+    """``(left_id, right_id, distance)`` of all pairs of ``(id, w)`` rows within the radius, left id smaller."""
+    met = join_tiled(probe_rows(rows, blocking), index_rows(rows, blocking), ["seg", "key"], "left_id", "right_id")
+    return near_only(met.where("left_id < right_id"), blocking)
 
 
 def hamming_pairs(df: DataFrame, id_col: str, word_col: str, radius: int, bits: int = 64, parts: int | None = None) -> DataFrame:
     """``(left_id, right_id, distance)`` of all pairs of words of ``bits`` bits within ``radius``, left id smaller.
 
     Rows with null ids or words have no partner. Pairs of equal words are part of
-    the result; where words repeat often use ``word_classes`` first.
+    the result; where words repeat often use ``hamming_classes``.
     """
-    parts = parts or radius + 1
-    inner = radius // parts
-    if inner > 1:
-        raise ValueError("use more segments: at most one bit may differ within a segment")
-    rows = df.select(F.col(id_col).alias("id"), F.col(word_col).alias("w")).where("id IS NOT NULL AND w IS NOT NULL")
-    keys = segments("w", parts, bits)
-    index = _keyed(rows, keys, None).select(F.col("id").alias("right_id"), F.col("w").alias("rw"), "seg", "key")
-    probe = _keyed(rows, keys, segment_widths(bits, parts) if inner else None).select(F.col("id").alias("left_id"), F.col("w").alias("lw"), "seg", "key")
-    distance = hamming("lw", "rw")
-    first = _first_segment(F.col("seg"), segments("lw", parts, bits), segments("rw", parts, bits), inner)
-    return probe.join(index, ["seg", "key"]).where((F.col("left_id") < F.col("right_id")) & (distance <= radius) & first).select("left_id", "right_id", distance.alias("distance"))
+    blocking = words(radius, bits, parts)
+    return self_pairs(df.select(F.col(id_col).alias("id"), F.col(word_col).alias("w")).where("id IS NOT NULL AND w IS NOT NULL"), blocking)
 
 
-def hamming_pairs_wide(df: DataFrame, id_col: str, words_col: str, radius: int, words: int = 4, segment_bits: int = 16) -> DataFrame:
+def hamming_pairs_wide(df: DataFrame, id_col: str, words_col: str, radius: int, count: int = 4, segment_bits: int = 16) -> DataFrame:
     """As ``hamming_pairs`` for arrays of 64-bit words, in segments of ``segment_bits`` bits."""
-    per = 64 // segment_bits
-    parts = words * per
-    inner = radius // parts
-    if inner > 1:
-        raise ValueError("radius too large for these segments")
-    rows = df.select(F.col(id_col).alias("id"), F.col(words_col).alias("w")).where((F.size(F.coalesce(words_col, F.array())) == words) & F.col(id_col).isNotNull())
-    cut = lambda c: [s for i in range(words) for s in segments(F.get(F.col(c), F.lit(i)), per)]
-    index = _keyed(rows, cut("w"), None).select(F.col("id").alias("right_id"), F.col("w").alias("rw"), "seg", "key")
-    probe = _keyed(rows, cut("w"), [segment_bits] * parts if inner else None).select(F.col("id").alias("left_id"), F.col("w").alias("lw"), "seg", "key")
-    distance = hamming_words("lw", "rw")
-    first = _first_segment(F.col("seg"), cut("lw"), cut("rw"), inner)
-    return probe.join(index, ["seg", "key"]).where((F.col("left_id") < F.col("right_id")) & (distance <= radius) & first).select("left_id", "right_id", distance.alias("distance"))
+    blocking = word_arrays(radius, count, segment_bits)
+    whole = (F.size(F.coalesce(words_col, F.array())) == count) & F.col(id_col).isNotNull()
+    return self_pairs(df.where(whole).select(F.col(id_col).alias("id"), F.col(words_col).alias("w")), blocking)
 
 
 def video_pairs(df: DataFrame, id_col: str, frames_col: str, duration_col: str, max_average: int = 5, window_ms: int = VIDEO_WINDOW_MS, frames: int = FRAMES) -> DataFrame:
@@ -90,7 +153,7 @@ def video_pairs(df: DataFrame, id_col: str, frames_col: str, duration_col: str,
     cut = F.array(*string_segments(bit_string("f"), 64 * frames, radius + 1))
     keyed = rows.select("id", F.floor(F.col("ms") / window_ms).alias("bucket"), F.explode(F.transform(cut, lambda s, i: F.xxhash64(i, s))).alias("key"))
     probe = keyed.withColumn("bucket", F.explode(F.sequence(F.greatest(F.col("bucket") - 1, F.lit(0)), F.col("bucket") + 1))).withColumnRenamed("id", "left_id")
-    met = probe.join(keyed.withColumnRenamed("id", "right_id"), ["key", "bucket"]).where("left_id < right_id").select("left_id", "right_id").distinct()
+    met = join_tiled(probe, keyed.withColumnRenamed("id", "right_id"), ["key", "bucket"], "left_id", "right_id").where("left_id < right_id").select("left_id", "right_id").distinct()
     side = lambda name: rows.select(F.col("id").alias(f"{name}_id"), F.col("f").alias(f"{name}_f"), F.col("ms").alias(f"{name}_ms"))
     total, apart = hamming_words("left_f", "right_f"), F.abs(F.col("left_ms") - F.col("right_ms"))
     pairs = met.join(side("left"), "left_id").join(side("right"), "right_id")

@@ -194,14 +194,29 @@ def root_assignment(spark, d):
     return ingest.assign_root(p, _roots(spark)).select("path_id", "root", "priority")
 
 
-@query("SELECT root, priority FROM roots AS r WHERE NOT EXISTS (SELECT 1 FROM roots AS o WHERE o.priority < r.priority AND (r.root = o.root OR starts_with(r.root, o.root || '\\')))", _ROOTS_SQL)
+_FOLDERS_SQL = r"""roots AS (SELECT 'd:\' || source AS root, min(doc_id) % 7 AS priority FROM documents GROUP BY source
+    UNION ALL SELECT 'd:\' || source || '\' || lang, min(doc_id) % 5 FROM documents GROUP BY source, lang)"""
+
+
+def _folders(spark, d):
+    """Folders of the documents, by source and by source and language, with a priority from their first document."""
+    t = tables.table(spark, d, "documents")
+    upper = t.groupBy("source").agg((F.min("doc_id") % 7).alias("priority")).select(F.concat(F.lit("d:\\"), "source").alias("root"), "priority")
+    return upper.unionByName(t.groupBy("source", "lang").agg((F.min("doc_id") % 5).alias("priority")).select(F.concat(F.lit("d:\\"), "source", F.lit("\\"), "lang").alias("root"), "priority"))
+
+
+@query("SELECT root, priority FROM roots AS r WHERE NOT EXISTS (SELECT 1 FROM roots AS o WHERE o.priority < r.priority AND (r.root = o.root OR starts_with(r.root, o.root || '\\')))", _FOLDERS_SQL)
 def uncovered_roots(spark, d):
-    return ingest.uncovered_roots(_roots(spark))
+    """Folders of the documents as roots: those that lie under no root of smaller priority."""
+    return ingest.uncovered_roots(_folders(spark, d))
 
 
-@query("SELECT arg_min(root, priority) AS root, min(priority) AS priority FROM roots GROUP BY lower(root)", _ROOTS_SQL)
+@query("SELECT arg_min(root, priority) AS root, min(priority) AS priority FROM (SELECT CASE WHEN priority % 2 = 0 THEN upper(root) ELSE root END AS root, priority FROM roots UNION ALL SELECT root, priority + 1000000 FROM roots) AS r GROUP BY lower(root)", _FOLDERS_SQL)
 def distinct_roots(spark, d):
-    return ingest.distinct_roots(_roots(spark)).select("root", "priority")
+    """Folders of the documents named twice, in upper and lower case: the one of smaller priority stays."""
+    r = _folders(spark, d)
+    named = r.select(F.when(F.col("priority") % 2 == 0, F.upper("root")).otherwise(F.col("root")).alias("root"), "priority").union(r.select("root", F.col("priority") + 1_000_000))
+    return ingest.distinct_roots(named.toDF("root", "priority")).select("root", "priority")
 
 
 def _discovered(spark, d):
@@ -527,8 +542,10 @@ reach(id, root) AS (SELECT x, x FROM e UNION SELECT e.y, r.root FROM reach AS r
 
 @query("SELECT id, min(root) AS component FROM reach GROUP BY id", "RECURSIVE " + _CHAIN)
 def components(spark, d):
-    pairs = simjoin.hamming_pairs(tables.signatures(spark, d), "id", "w16", 1, bits=16)
-    return connected_components(pairs, "left_id", "right_id")
+    """Components of representatives of equal words, then their members; words have 16 bits, so the pairs are bounded."""
+    pairs, members = simjoin.hamming_classes(tables.signatures(spark, d), "id", "w16", 1, bits=16)
+    roots = connected_components(pairs, "left_id", "right_id").withColumnRenamed("component", "root")
+    return similar.with_members(roots, materialize(members, "members")).withColumnRenamed("root", "component")
 
 
 def _edges(spark, d):
@@ -817,14 +834,16 @@ def schema_version(spark, d):
     return version(r, "present").unionByName(version(r.where("r_regionkey IS NULL"), "empty"))
 
 
-_VERSIONS = [(1, None, (1, 5, "ready")), (2, (0, 5, "ready"), (1, 5, "ready")), (3, (1, 5, "ready"), (1, 5, "ready")), (4, (1, 5, "rebuilding"), (1, 5, "ready")), (5, (1, 5, "ready"), (1, 6, "ready")), (6, (2, 5, "ready"), (1, 5, "ready"))]
-
-
-@query("SELECT * FROM (VALUES (1, 'ResetRequired'), (2, 'ResetRequired'), (3, 'ReuseReady'), (4, 'ResumeRebuild'), (5, 'ResetRequired'), (6, 'RejectNewerData')) AS v(id, decision)")
+@query("""SELECT event_id, CASE WHEN coalesce(lv > 1, false) OR coalesce(rv > 1, false) THEN 'RejectNewerData' WHEN NOT coalesce(lv = 1 AND rv = 1 AND lg <> 0 AND lg = rg, false) THEN 'ResetRequired' WHEN ls AND rs THEN 'ReuseReady' ELSE 'ResumeRebuild' END AS decision
+    FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN least(user_id % 4, 1) + (event_id % 17 = 0)::INT END AS lv, event_id % 3 AS lg, event_type = 'click' AS ls, CASE WHEN event_id % 7 <> 0 THEN 1 END AS rv, user_id % 3 AS rg, user_id % 2 = 0 AS rs FROM events) AS x""")
 def version_decision(spark, d):
-    store = "struct<data_version:int,generation_id:bigint,state:string>"
-    rows = spark.createDataFrame(_VERSIONS, f"id int, local {store}, remote {store}")
-    return rows.select("id", generations.version_decision("local", "remote").alias("decision"))
+    """Decisions on pairs of stores whose versions, generations and states come from the events."""
+    state = lambda ready: F.when(ready, "ready").otherwise("rebuilding").alias("state")
+    e, u = F.col("event_id"), F.col("user_id")
+    local = F.struct((F.least(u % 4, F.lit(1)) + (e % 17 == 0).cast("int")).alias("data_version"), (e % 3).alias("generation_id"), state(F.col("event_type") == "click"))
+    remote = F.struct(F.lit(1).alias("data_version"), (u % 3).alias("generation_id"), state(u % 2 == 0))
+    rows = tables.table(spark, d, "events").select("event_id", F.when(e % 5 != 0, local).alias("local"), F.when(e % 7 != 0, remote).alias("remote"))
+    return rows.select("event_id", generations.version_decision("local", "remote").alias("decision"))
 
 
 @query("SELECT batch_scan_id, kind, key, sequence, payload FROM (SELECT *, row_number() OVER (PARTITION BY batch_scan_id, kind, key ORDER BY sequence DESC) AS k FROM operations) AS x WHERE k = 1", tables.OPERATIONS)
@@ -985,3 +1004,6 @@ def checked_sums(spark, d):
     """Sums of 64-bit counts as text, null where they would overflow."""
     key = F.col("c_custkey").cast("long")
     return tables.table(spark, d, "customer").select("c_custkey", media.checked_add(F.lit(9223372036854775807) - key, key + F.when(key % 2 == 0, 1).otherwise(0)).cast("string").alias("total"))
+
+
+from twinsift.plans import growing  # noqa: E402, F401  registers its queries

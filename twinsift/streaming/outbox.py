@@ -162,3 +162,36 @@ def applied_table(spark: SparkSession, base: str, schema: str, delete: str = "de
 def compact(spark: SparkSession, base: str, schema: str, into: str) -> None:
     """Write the last operation of each key as the first batch of a new table; deletes stay, as older operations may still come."""
     applied_operations(spark, base, schema).write.mode("errorifexists").parquet(f"{into}/batch=0")
+
+
+_LEDGER = "batch long, first long, count long"
+
+
+def publish_batch(ops: DataFrame, number: int, base: str, order: str = "arrival") -> None:
+    """Stage a batch's operations and publish them with the sequences that follow those of earlier batches.
+
+    Of each scan, kind and key the last operation by ``order`` counts. The ledger holds first sequence and
+    count by batch number, so a batch that is delivered again gets the numbers it had: its
+    start follows from earlier batches alone, and its rows are numbered in the order of their keys. The ledger's row is
+    written last; a batch without one is not read by ``published``.
+    """
+    spark = ops.sparkSession
+    known = spark.createDataFrame([], _LEDGER) if number == 0 else spark.read.schema(_LEDGER).parquet(f"{base}/ledger/of=*")
+    before = known.where(F.col("batch") < number).agg(F.coalesce(F.max(F.col("first") + F.col("count")), F.lit(1)).alias("next")).first()["next"]
+    numbered = publish(staged(ops, order), before - 1)
+    numbered.write.mode("overwrite").parquet(f"{base}/queue/of={number}")
+    count = spark.read.parquet(f"{base}/queue/of={number}").count()
+    spark.createDataFrame([(number, before, count)], _LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{base}/ledger/of={number}")
+
+
+def publish_stream(source: DataFrame, base: str, checkpoint: str, order: str = "arrival") -> StreamingQuery:
+    """``publish_batch`` for every micro-batch of a stream of operations."""
+    put = lambda df, number: publish_batch(df, number, base, order)
+    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def published(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """Operations of all batches that the ledger names, with their sequences."""
+    done = spark.read.schema(_LEDGER).parquet(f"{base}/ledger/of=*").select(F.col("batch").alias("of"))
+    # a row a batch
+    return spark.read.schema(f"{schema}, sequence long, of long").option("basePath", f"{base}/queue").parquet(f"{base}/queue/of=*").join(done, "of", "left_semi").drop("of")
