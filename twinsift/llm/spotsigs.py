@@ -15,7 +15,8 @@ counts over all documents, a table of fixed size), so most of these keys belong
 one set alone and are dropped by a count. Sets that share a key are compared in
 tiles, in the first key that they share only; a pair is given up before its Jaccard
 coefficient is formed if the lengths, or what is left of either set behind that key,
-cannot reach the threshold.
+cannot reach the threshold, or if their parity sketches (about a bit a signature) differ in more bits
+than near sets can; whole sets travel only for the others.
 
 Words are runs of letters, digits and underscores in lower case. A text without
 any complete chain uses all chains of ``CHAIN`` consecutive words instead, a
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.compressed import packed, unpack_text
-from twinsift.llm.tiles import bucket_links
+from twinsift.llm.tiles import bucket_links, parity_sketch
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.storage import arrow_rows, materialize
@@ -226,6 +227,14 @@ def _sent(threshold: float, ranks):
     return send
 
 
+def _sketches(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        sketches = [parity_sketch(np.frombuffer(x, ">u4").astype(np.int64)) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], ["doc_id", "payload"])
+
+
 def near_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, digest, near_class, n_near)`` of every id and fingerprint; rows with a null id have none.
 
@@ -242,7 +251,7 @@ def near_classes(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     ranks = spark.sparkContext.broadcast(signature_order(prints.select("payload")))
     own = prints.withColumnRenamed("doc_id", "rep").join(classes.hint("merge"), ["rep", "digest"]).dropDuplicates(["rep", "digest"])
     spread = materialize(own.select("rep", "copies", "payload").mapInArrow(_sent(threshold, ranks), "rep long, size int, copies long, bucket long, left int"), "spread")
-    linked = bucket_links(spread, prints.select("doc_id", "payload"), lambda payload: np.frombuffer(payload, ">u4").astype(np.int64), threshold)
+    linked = bucket_links(spread, prints.select("doc_id", "payload"), lambda payload: np.frombuffer(payload, ">u4").astype(np.int64), threshold, sketches=prints.mapInArrow(_sketches, "doc_id long, payload binary"))
     labels = connected_components(linked, "doc_id", "root").select(F.col("id").alias("rep"), "component")
     links = linked.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     known = materialize(classes.join(labels, "rep", "left").join(links, "rep", "left"), "known")
