@@ -84,6 +84,20 @@ def plain_fold(data, kind=0):
     return value - (1 << 64) if value >> 63 else value
 
 
+def test_clusters_of_classes_equal_plain_rule(spark, duck):
+    words = duck.sql("WITH " + catalog.tables.SIGNATURES + " SELECT id, w16 FROM signatures ORDER BY id").fetchall()
+    rep = {}
+    for i, w in words:
+        rep.setdefault(w, i)
+    reps = sorted((i, w) for w, i in rep.items())
+    edges = {(a, b): bin(x ^ y).count("1") for k, (a, x) in enumerate(reps) for b, y in reps[k + 1 :] if bin(x ^ y).count("1") <= 2}
+    roots = plain_complete_link(edges)
+    members = [(i, rep[w]) for i, w in words]
+    copies = {r for i, r in members if i != r}
+    want = {i: roots.get(r, r) for i, r in members if r in roots or r in copies}
+    assert {r["id"]: r["root"] for r in catalog.QUERIES["complete_link_classes"](spark, D).collect()} == want and want
+
+
 def test_group_ids_equal_plain_fold(spark):
     rows = catalog.QUERIES["group_ids"](spark, D).collect()
     assert rows and all(r["group_id"] == plain_fold(bytes.fromhex(r["sha"])) for r in rows)

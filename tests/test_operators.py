@@ -774,3 +774,19 @@ def test_routed_paths_read_the_paths_once(spark, monkeypatch):
     rows = [tuple(r) for r in paths.collect() if r["active"]]
     assert sorted(map(tuple, out["groups"].collect())) == sorted((*r, *g[1:]) for r in rows for g in [("s1", 10, "x"), ("s3", 11, None)] if r[1] == g[0])
     assert sorted(map(tuple, out["skipped"].collect())) == sorted((*r, "why") for r in rows if r[1] == "s1")
+
+
+def test_parts_of_a_block_are_independent(spark):
+    """Nodes that share an edge of the block or an earlier group are one part; a third node between them keeps them together."""
+    inside = spark.createDataFrame([(10, 11), (11, 12), (20, 21)], "a long, b long")
+    groups = spark.createDataFrame([(12, 1), (30, 1), (31, 2), (32, 2), (33, 2), (40, 3)], "b long, root long")
+    parts = {r["b"]: r["part"] for r in cluster.block_parts(inside, groups).collect()}
+    assert parts == {10: 10, 11: 10, 12: 10, 30: 10, 20: 20, 21: 20, 31: 31, 32: 31, 33: 31}
+    # one chain of a thousand near cliques is one component; its blocks fall into many parts
+    rng, n = random.Random(9), 300
+    edges = sorted({(a, b): rng.randrange(3) for c in range(n) for a in range(4 * c, 4 * c + 5) for b in range(a + 1, 4 * c + 5) if rng.random() < 0.95}.items())
+    edges = [(a * 7919 % 10_007, b * 7919 % 10_007, d) for (a, b), d in edges]
+    edges = [(min(a, b), max(a, b), d) for a, b, d in edges]
+    df = spark.createDataFrame(edges, "left_id long, right_id long, distance int")
+    got, _ = cluster.complete_link(df, task_edges=600)
+    assert {r["id"]: r["root"] for r in got.collect()} == cluster.greedy(edges)
