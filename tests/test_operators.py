@@ -394,17 +394,18 @@ def test_written_logs(spark, tmp_path):
     assert (r["repeat_count"], r["sequence"], r["last_ts"], r["subject"], r["message"]) == (5, 3, 3, "s1", "m1")
 
 
-def test_structural_gate_takes_the_score_of_each_pair(spark):
+@pytest.mark.parametrize("per_block", [128, 1])
+def test_structural_gate_takes_the_score_of_each_pair(spark, per_block):
     f = [images.image_features(_picture(kind)) for kind in ("base", "mark", "other")]
     planes = spark.createDataFrame([(i, x["plane"]) for i, x in enumerate(f)], "id long, plane binary")
     own = gates.Gates()
     pairs = spark.createDataFrame([(0, 1, False), (0, 2, True), (1, 2, False), (0, 9, False), (0, 1, True), (0, 1, None)], "left_id long, right_id long, low_quality boolean")
-    got = {(r["left_id"], r["right_id"], r["low_quality"]): (r["s"] and tuple(r["s"]), r["accepted"]) for r in similar.structural_gate(pairs, planes, own).collect()}
+    got = {(r["left_id"], r["right_id"], r["low_quality"]): (r["s"] and tuple(r["s"]), r["accepted"]) for r in similar.structural_gate(pairs, planes, own, per_block=per_block).collect()}
     want = {}
     for a, b, low in ((0, 1, False), (0, 2, True), (1, 2, False), (0, 1, True)):
         profile = own.low_quality if low else own.standard
         want[a, b, low] = tuple(images.compare_planes(f[a]["plane"], f[b]["plane"], profile.block_pass_score / 1_000_000))
-    assert {k: v[0] for k, v in got.items()} == want
+    assert {k: v[0] for k, v in got.items()} == want | {(0, 9, False): None}
     assert got[0, 1, False][1] and not got[1, 2, False][1]
 
 
@@ -790,3 +791,37 @@ def test_parts_of_a_block_are_independent(spark):
     df = spark.createDataFrame(edges, "left_id long, right_id long, distance int")
     got, _ = cluster.complete_link(df, task_edges=600)
     assert {r["id"]: r["root"] for r in got.collect()} == cluster.greedy(edges)
+
+
+def test_walk_lists_by_level_and_digests_in_blocks(spark, tmp_path):
+    import os
+    import tracemalloc
+
+    from twinsift.sources import walk
+
+    (tmp_path / "a/b/c").mkdir(parents=True)
+    (tmp_path / "empty").mkdir()
+    data = {"x.JPG": b"1", "a/y.mp4": b"22", "a/b/c/z z.txt": b"333", "a/b/e%20.bin": b""}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    os.symlink(tmp_path / "a", tmp_path / "a/b/loop")
+    found = walk.walk(spark, [f"file://{tmp_path}", str(tmp_path / "missing")]).cache()
+    assert {r["path"]: r["size_bytes"] for r in walk.files_of(found).collect()} == {str(tmp_path / n): len(c) for n, c in data.items()}
+    assert tuple(walk.totals(found).first()) == (6, 4, 1, 1, 6)
+    got = {r["path"]: (r["sha512"], r["status"]) for r in walk.digests(found.where("kind = 'file'").unionByName(found.where("kind = 'error'")), block=2).collect()}
+    assert got == {str(tmp_path / n): (hashlib.sha512(c).hexdigest(), "ok") for n, c in data.items()} | {str(tmp_path / "missing"): (None, "error")}
+    # a file that changes while it is read
+    path = str(tmp_path / "x.JPG")
+
+    def growing(name, mode, buffering):
+        with open(path, "ab") as file:
+            file.write(b"more")
+        return open(name, mode, buffering=buffering)
+
+    assert walk.digest(path, opened=growing)[3:] == (None, "changed", None)
+    # memory is a block's, not the file's
+    with open(tmp_path / "large", "wb") as file:
+        file.truncate(300 << 20)
+    tracemalloc.start()
+    assert walk.digest(str(tmp_path / "large"))[4] == "ok" and tracemalloc.get_traced_memory()[1] < 5 << 20
+    tracemalloc.stop()

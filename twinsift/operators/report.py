@@ -65,16 +65,20 @@ def page(rows: DataFrame, offset: int, count: int, ordinal: str = "ordinal") ->
 def row_starts(summaries: DataFrame, ordinal: str = "ordinal", extra: int = 2) -> DataFrame:
     """First row of each group in a list where a group takes its members and ``extra`` rows.
 
-    Prefix sums in two levels: within blocks of ordinals, then over the blocks.
+    Prefix sums in ranges of ordinals; each range starts where the sums of the ranges before it
+    end (one number a range goes to the driver).
     """
-    block = 4096
-    rows = summaries.withColumn("_b", F.floor(F.col(ordinal) / block)).withColumn("_r", F.col("member_count") + extra)
-    blocks = rows.groupBy("_b").agg(F.sum("_r").alias("_t"))
-    # one row a block of 4096 groups
-    before = F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("_b", before.alias("_s"))
-    inner = F.coalesce(F.sum("_r").over(Window.partitionBy("_b").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_i", inner).join(blocks, "_b").withColumn("row_start", F.col("_i") + F.col("_s")).drop("_b", "_r", "_i", "_s")
+    from twinsift.plans.storage import materialize
+
+    rows = summaries.withColumn("_r", (F.col("member_count") + extra).cast("long"))
+    ranged = materialize(rows.repartitionByRange(ordinal).sortWithinPartitions(ordinal).withColumn("_p", F.spark_partition_id()), "ranged")
+    starts, total = [], 0
+    for p, n in sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.sum("_r").alias("n")).collect()):
+        starts.append((p, total))
+        total += n
+    offsets = summaries.sparkSession.createDataFrame(starts, "_p int, _s long")
+    inner = F.coalesce(F.sum("_r").over(Window.partitionBy("_p").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_i", inner).join(F.broadcast(offsets), "_p").withColumn("row_start", F.col("_i") + F.col("_s")).drop("_p", "_r", "_i", "_s")
 
 
 def group_at_row(starts: DataFrame, row: int, extra: int = 2) -> DataFrame:

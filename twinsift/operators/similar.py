@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.gates import Gates, is_low_quality, primary_route, structural_accept, zoned_evidence
-from twinsift.functions.images import compared
+from twinsift.functions.images import compare_planes
 from twinsift.functions.media import aspect_grade, is_static
 from twinsift.operators.joins import join_counted
 from twinsift.operators.simjoin import hamming_pairs, hamming_pairs_wide, video_pairs
@@ -61,11 +61,43 @@ def zoned_gate(candidates: DataFrame, contents: DataFrame, gates: Gates = Gates(
     return both.withColumn("zoned", zoned_evidence("l.image_zoned_phashes", "r.image_zoned_phashes", F.col("low_quality"), gates)).drop("l", "r")
 
 
-def structural_gate(pairs: DataFrame, planes: DataFrame, gates: Gates = Gates(), id_col: str = "id") -> DataFrame:
-    """Pairs with their structural scores and ``accepted``; a missing plane gives null scores and no acceptance."""
-    both = _beside(pairs, planes, ("plane",), id_col)
-    score = F.when(F.col("low_quality"), gates.low_quality.block_pass_score / 1_000_000).otherwise(gates.standard.block_pass_score / 1_000_000)
-    out = both.where("low_quality IS NOT NULL").withColumn("s", compared(F.col("l.plane"), F.col("r.plane"), score)).drop("l", "r")
+#: Planes of an image block: a task holds those of two blocks, of 64 kB each.
+PLANES = 128
+
+
+def structural_gate(pairs: DataFrame, planes: DataFrame, gates: Gates = Gates(), id_col: str = "id", per_block: int = PLANES) -> DataFrame:
+    """Pairs with their structural scores and ``accepted``; a missing plane gives null scores and no acceptance.
+
+    Images are dealt by a hash into blocks of about ``per_block``, and pairs of images into pairs of
+    blocks. A plane is sent once to each pair of blocks in which it has a pair, however many pairs
+    it has there, and a task holds the planes of one pair of blocks. Pairs with a null ``low_quality`` are left out.
+    """
+    blocks = max(1, -(-planes.count() // per_block))
+    block = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(blocks)).cast("int")
+    known = pairs.where("low_quality IS NOT NULL")
+    placed = known.withColumns({"_i": F.least(block("left_id"), block("right_id")), "_j": F.greatest(block("left_id"), block("right_id"))})
+    placed = materialize(placed, "pairs")
+    keys = placed.select("_i", "_j", F.explode(F.array("left_id", "right_id")).alias("_id")).distinct()
+    needed = keys.join(planes.select(F.col(id_col).alias("_id"), "plane").where("plane IS NOT NULL").hint("merge"), "_id").select(F.col("_i").alias("_x"), F.col("_j").alias("_y"), "_id", "plane")
+    scores = {low: profile.block_pass_score / 1_000_000 for low, profile in ((True, gates.low_quality), (False, gates.standard))}
+    rows = placed.select("_i", "_j", "left_id", "right_id", "low_quality").distinct()
+    kind = dict(pairs.dtypes)
+
+    def compare(_, wanted, held):
+        import pyarrow as pa
+
+        plane = dict(zip(held["_id"].to_pylist(), held["plane"].to_pylist(), strict=True))
+        found = []
+        for a, b, low in zip(*(wanted[c].to_pylist() for c in ("left_id", "right_id", "low_quality")), strict=True):
+            if a in plane and b in plane:
+                found.append((a, b, low, dict(zip(("edge_zncc", "trimmed_block", "passing_share"), compare_planes(plane[a], plane[b], scores[low]), strict=True))))
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
+        scored = pa.struct([(c, pa.int32()) for c in ("edge_zncc", "trimmed_block", "passing_share")])
+        return pa.table([pa.array(columns[0], wanted.schema.field("left_id").type), pa.array(columns[1], wanted.schema.field("right_id").type), pa.array(columns[2], pa.bool_()), pa.array(columns[3], scored)], ["left_id", "right_id", "low_quality", "s"])
+
+    schema = f"left_id {kind['left_id']}, right_id {kind['right_id']}, low_quality boolean, s struct<edge_zncc:int,trimmed_block:int,passing_share:int>"
+    compared = rows.groupBy("_i", "_j").cogroup(needed.groupBy("_x", "_y")).applyInArrow(compare, schema)
+    out = placed.drop("_i", "_j").join(materialize(compared, "structure"), ["left_id", "right_id", "low_quality"], "left").select(*pairs.columns, "s")
     ok = structural_accept("s.edge_zncc", "s.trimmed_block", "s.passing_share", F.col("low_quality"), gates)
     return out.withColumn("accepted", F.coalesce(ok, F.lit(False)))
 

@@ -652,6 +652,14 @@ def skipped_samples(spark, d):
     return found.select("sha", "reason", "active_path_count", F.when(first != "", first).cast("long").alias("first_path_id"))
 
 
+@query("""SELECT sha, reason, list_aggregate(list_transform(list_sort(list(path_id))[1:4], lambda i: CAST(i AS VARCHAR)), 'string_agg', ',') AS sample_ids FROM skipped JOIN (SELECT * FROM paths WHERE active) AS p USING (sha) GROUP BY sha, reason""", _SKIPPED)
+def skipped_sample_lists(spark, d):
+    """All sample paths of each skipped content that has any, by the ids in their names."""
+    found = report.skipped_samples(_skipped(spark, d), tables.paths(spark, d)).where("active_path_count > 0")
+    ids = F.transform("sample_paths", lambda p: F.regexp_extract(p, r"/F(\d+)", 1))
+    return found.select("sha", "reason", F.array_join(ids, ",").alias("sample_ids"))
+
+
 @query("SELECT root, path_id, member_count FROM (SELECT w.sha, path_id, w.root, count(*) OVER (PARTITION BY w.root) AS member_count FROM (SELECT sha, min(sha) OVER (PARTITION BY content_size_bytes) AS root FROM contents) AS w JOIN paths AS p ON p.sha = w.sha WHERE active) AS x WHERE member_count >= 2", tables.CONTENTS)
 def group_members(spark, d):
     """Content to representative to root, then active paths; contents of one size stand for one group."""
