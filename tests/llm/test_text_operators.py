@@ -625,6 +625,20 @@ def test_quality_edges(spark):
     assert d.limit(0).select(quality.score(F.col("text"), model)).count() == 0
 
 
+def test_quality_learns_what_counts_cannot_tell():
+    """Texts of the same letters, lengths and punctuation, labelled by the words that they prefer."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    kinds = [[word() for _ in range(150)] for _ in range(2)]
+    labels = np.arange(1500) % 2
+    texts = [" ".join(rng.choice(kinds[y if rng.random() < 0.7 else 1 - y]) for _ in range(60)) + "." for y in labels]
+    x = np.array([quality.features(t) for t in texts])
+    counted = x.copy()
+    counted[:, 16:] = 0
+    right = {name: ((quality.apply(quality.fit(f[:1000], labels[:1000]), f[1000:]) >= quality.CUT) == labels[1000:]).mean() for name, f in (("all", x), ("counts", counted))}
+    assert right["all"] > 0.95 and right["counts"] < 0.6
+
+
 def test_quality_equals_plain_pairwise_loss():
     """The fit is the minimum of the pairwise logistic loss written out pair by pair."""
     rng = np.random.default_rng(5)

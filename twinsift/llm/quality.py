@@ -6,7 +6,9 @@ The score that cuts off the training sample's share of label 0 (a score
 quantile) is the threshold; a logistic map sends it to ``CUT`` so that
 ``score >= CUT`` is the decision. Features come from the text alone: counts of how
 it is written, the shares of its distinct words in ``WORD_BUCKETS`` hash buckets,
-and those of its runs of three bytes in ``GRAM_BUCKETS``.
+and those of its runs of three bytes in ``GRAM_BUCKETS``. All are standardised, and the
+ridge alone holds weights back: where counts separate the labels they decide, and
+words do where counts cannot.
 
 Learning takes a sample of at most ``MAX_LABELLED`` labelled documents, chosen by
 a hash of the id, whose features go to the driver (``16 + WORD_BUCKETS +
@@ -38,8 +40,6 @@ MAX_LABELLED = 20_000
 PAIRS = 60_000
 CUT = 0.3
 WORD_BUCKETS, GRAM_BUCKETS = 128, 128
-#: Weight of hashed features after standardising; a small one makes the ridge hold them back.
-HASHED_WEIGHT = 0.1
 #: The threshold lies midway between the score quantiles this far below and above the share of label 0.
 MARGIN = 0.01
 _ASCII = np.arange(256)
@@ -100,7 +100,7 @@ def _spread(x: np.ndarray, model: dict) -> np.ndarray:
     """Standardised, clipped features, and the squares of those that are counts."""
     z = np.clip((x - model["mean"]) / model["scale"], -4, 4)
     counted = z[:, : x.shape[1] - WORD_BUCKETS - GRAM_BUCKETS]
-    return np.concatenate([counted, counted * counted, HASHED_WEIGHT * z[:, counted.shape[1] :]], axis=1).astype(np.float32)
+    return np.concatenate([counted, counted * counted, z[:, counted.shape[1] :]], axis=1).astype(np.float32)
 
 
 def _solve(product, right: np.ndarray, steps: int = 60) -> np.ndarray:
