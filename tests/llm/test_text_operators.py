@@ -663,3 +663,103 @@ def test_quality_query_equals_plain_scores(spark):
     assert len(rows) == len(docs)
     for i, w in zip(docs, want, strict=True):
         assert rows[i]["score"] == pytest.approx(w, abs=1e-6) and rows[i]["predicted"] == int(w >= 0.3)
+
+
+def serial_crc(bits, width, poly):
+    """CRC bit by bit, as polynomial division."""
+    value, top = 0, 1 << (width - 1)
+    for b in bits:
+        value ^= int(b) * top
+        value = ((value << 1) ^ (poly if value & top else 0)) & (2 * top - 1)
+    return f"{value:0{width}b}"
+
+
+def in_bits(n, width):
+    return f"{n & (1 << width) - 1:0{width}b}"
+
+
+def rice(values, k):
+    """Zigzag, quotient in unary with a one behind, remainder in ``k`` bits."""
+    out = ""
+    for v in values:
+        z = 2 * v if v >= 0 else -2 * v - 1
+        out += "0" * (z >> k) + "1" + (in_bits(z, k) if k else "")
+    return out
+
+
+def test_flac_streams_of_another_encoder():
+    """A stream put together bit by bit from the format's definition: no seek table, 64-sample frames, every kind of subframe."""
+    rng, size = np.random.default_rng(4), 64
+    constant = np.full(size, -7)
+    verbatim = rng.integers(-128, 128, size)
+    fixed = np.cumsum(np.cumsum(rng.integers(-1, 2, size))).clip(-128, 127)
+    linear = [50]
+    for e in rng.integers(-3, 4, size - 1):
+        linear.append(int(np.clip((linear[-1] * 29 >> 5) + e, -128, 127)))
+    linear, last = np.array(linear), rng.integers(-5, 6, 40)
+    signed = lambda values: "".join(in_bits(int(v), 8) for v in values)
+    second = [int(fixed[i] - 2 * fixed[i - 1] + fixed[i - 2]) for i in range(2, size)]
+    first = [int(linear[i] - (linear[i - 1] * 29 >> 5)) for i in range(1, size)]
+    ends = "".join(in_bits(int(v), 6) for v in last[20:])
+    subframes = [
+        "0" + in_bits(0, 6) + "0" + signed([-7]),
+        "0" + in_bits(1, 6) + "0" + signed(verbatim),
+        # fixed predictor of order 2, two Rice partitions with a parameter of their own
+        "0" + in_bits(8 + 2, 6) + "0" + signed(fixed[:2]) + "00" + in_bits(1, 4) + in_bits(1, 4) + rice(second[:30], 1) + in_bits(3, 4) + rice(second[30:], 3),
+        # linear predictor of order 1: 7-bit coefficients, shift 5; one partition with five-bit parameters
+        "0" + in_bits(32, 6) + "0" + signed(linear[:1]) + in_bits(7 - 1, 4) + in_bits(5, 5) + in_bits(29, 7) + "01" + in_bits(0, 4) + in_bits(2, 5) + rice(first, 2),
+        # fixed predictor of order 0, the second of two partitions escaped: raw values of six bits
+        "0" + in_bits(8, 6) + "0" + "00" + in_bits(1, 4) + in_bits(0, 4) + rice([int(v) for v in last[:20]], 0) + in_bits(15, 4) + in_bits(6, 5) + ends,
+    ]
+    samples = [constant, verbatim, fixed, linear, last]
+    frames = b""
+    for number, (subframe, own) in enumerate(zip(subframes, samples, strict=True)):
+        header = "11111111111110" + "00" + "0110" + "0000" + "0000" + "001" + "0" + in_bits(number, 8) + in_bits(len(own) - 1, 8)
+        bits = header + serial_crc(header, 8, 0x07) + subframe
+        bits += "0" * (-len(bits) % 8)
+        bits += serial_crc(bits, 16, 0x8005)
+        frames += int(bits, 2).to_bytes(len(bits) // 8, "big")
+    whole = np.concatenate(samples)
+    info = in_bits(size, 16) * 2 + in_bits(0, 24) * 2 + in_bits(8000, 20) + in_bits(0, 3) + in_bits(7, 5) + in_bits(len(whole), 36)
+    info = int(info, 2).to_bytes(18, "big") + hashlib.md5(whole.astype(np.int8).tobytes()).digest()
+    comment = b"\x04\x00\x00\x00" + b"test" + b"\x00" * 4
+    stream = b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x84" + len(comment).to_bytes(3, "big") + comment + frames
+    pcm, blocks, md5_ok = flac.decode_streams([stream])[0]
+    assert pcm == (whole + 128).astype(np.uint8).tobytes() and md5_ok
+    assert [(b[0], b[2]) for b in blocks] == [(0, 64), (64, 64), (128, 64), (192, 64), (256, 40)]
+    assert flac.read_samples(stream, 100, 150) == pcm[100:250]
+
+
+def plain_packing(lengths, capacity):
+    """Each piece where the squared counts of open sequences by gap become smallest, by adding them up for every choice."""
+    gaps, counts, filled, out = [], {}, [], []  # open sequences in the order in which they got their present gap
+    for size in lengths:
+        choices = []
+        for gap in sorted({g for _, g in gaps if g >= size}):
+            after = dict(counts)
+            after[gap] -= 1
+            if gap > size:
+                after[gap - size] = after.get(gap - size, 0) + 1
+            choices.append((sum(n * n for n in after.values()), gap, after))
+        if choices:
+            _, gap, counts = min(choices, key=lambda c: c[:2])
+            at = max(i for i, (_, g) in enumerate(gaps) if g == gap)
+            number = gaps.pop(at)[0]
+        else:
+            number, gap = len(filled), capacity
+            filled.append(number)
+            if gap > size:
+                counts[gap - size] = counts.get(gap - size, 0) + 1
+        out.append((number, capacity - gap))
+        if gap > size:
+            gaps.append((number, gap - size))
+    return out
+
+
+def test_packing_equals_the_plain_rule():
+    rng = random.Random(6)
+    for _ in range(60):
+        capacity = rng.choice([5, 16, 40])
+        lengths = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(60))), reverse=rng.random() < 0.7)
+        bins, offsets = packing.sum_of_squares(np.array(lengths, np.int64), capacity)
+        assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == plain_packing(lengths, capacity)

@@ -418,15 +418,15 @@ def decode_streams(streams: list[bytes]) -> list[tuple[bytes, list[tuple[int, in
 
 
 def read_samples(data: bytes, start: int, count: int) -> bytes:
-    """PCM of ``count`` samples from ``start``; only the frames that hold them are decoded."""
-    info, out, base = parse_stream(data), [], None
-    for sample, offset, n in info["points"]:
-        if sample + n > start and sample < start + count:
-            base = sample if base is None else base
-            out.append(decode_frame(data, info["begin"] + offset)[0])
-    if base is None:
-        return b""
-    pcm = (np.concatenate(out) + 128).astype(np.uint8).tobytes()
+    """PCM of ``count`` samples from ``start``; frames are decoded from the last seek point at or before it, or from the first frame."""
+    info, out = parse_stream(data), []
+    base, at = max(((s, o) for s, o, _ in info["points"] if s <= start), default=(0, 0))
+    at, upto = at + info["begin"], base
+    while at < len(data) and upto < start + count:
+        samples, at = decode_frame(data, at)
+        upto += len(samples)
+        out.append(samples)
+    pcm = (np.concatenate(out) + 128).astype(np.uint8).tobytes() if out else b""
     return pcm[start - base : start - base + count]
 
 
