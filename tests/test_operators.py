@@ -287,6 +287,15 @@ def test_selection_store(spark, tmp_path):
     assert len(store.cleanup()) == 1 and len(held()) == 2
     with pytest.raises(ValueError):
         store.stored.drop(store.stored.active())
+    # another session goes on with a replacement; a batch that was not written to the end does not count
+    number = store.begin()
+    store.save(number, rows((7, 70, 71, 1)))
+    (tmp_path / f"selection/gen={number}/batch=2").mkdir()
+    store = SelectionStore(spark, f"file://{tmp_path}")
+    store.save(number, rows((8, 80, 81, 2)))
+    (tmp_path / f"selection/gen={number}/batch=3").mkdir()
+    store.publish(number)
+    assert held() == [(7, 70, 71, 1), (8, 80, 81, 2)]
     store.clear()
     assert held() == []
 

@@ -96,6 +96,12 @@ class Generations:
             raise ValueError(f"generation {generation} is published")
         self._drop(f"{self.base}/gen={generation}")
 
+    def drop_table(self, generation: int, name: str) -> None:
+        """Drop one table of a generation that no pointer names."""
+        if generation in self._published():
+            raise ValueError(f"generation {generation} is published")
+        self._drop(f"{self.base}/gen={generation}/{name}")
+
     def tables(self, generation: int) -> list[str]:
         """Names of a generation's tables, those in folders of their own too."""
         fs, p = self._fs(f"{self.base}/gen={generation}")

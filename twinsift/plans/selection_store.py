@@ -1,7 +1,9 @@
 """Store of the files selected for deletion, by group: replaced as a whole or group by group, never half.
 
 Every state is a generation: it is written aside and read only once it is published
-(``Generations``), so a replacement that fails or is discarded changes nothing.
+(``Generations``), so a replacement that fails or is discarded changes nothing. What a
+replacement holds is known from its folders alone: another session can go on with it, and a
+batch whose writing failed does not count.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ _COLUMNS = [c.split()[0] for c in SELECTION.split(", ")]
 class SelectionStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.stored = spark, Generations(spark, base, "selection")
-        self.batches: dict[int, int] = {}
+
+    def _batches(self, number: int) -> list[int]:
+        """Batches of a replacement that were written to the end."""
+        named = [int(t[6:]) for t in self.stored.tables(number) if t.startswith("batch=")]
+        return sorted(k for k in named if self.stored.exists(f"{self.stored.base}/gen={number}/batch={k}/_SUCCESS"))
 
     def present(self) -> DataFrame:
         """The published selection; empty if there is none."""
@@ -30,21 +36,23 @@ class SelectionStore:
     def begin(self) -> int:
         """Number of a new replacement, which starts empty."""
         number = max([*self.stored.generations(), -1]) + 1
-        self.batches[number] = 0
         self.save(number, self.spark.createDataFrame([], SELECTION))
         return number
 
     def save(self, number: int, rows: DataFrame) -> None:
-        """Add rows to a replacement that has begun."""
-        self.stored.write(number, f"batch={self.batches[number]}", rows.select(*[F.col(c).cast("long") for c in _COLUMNS]))
-        self.batches[number] += 1
+        """Add rows to a replacement that has begun; a batch that failed is written over."""
+        done = self._batches(number)
+        self.stored.write(number, f"batch={done[-1] + 1 if done else 0}", rows.select(*[F.col(c).cast("long") for c in _COLUMNS]))
 
     def publish(self, number: int) -> None:
-        rows = sum(self.stored.read(f"batch={k}", number).count() for k in range(self.batches.pop(number)))
-        self.stored.publish(number, rows)
+        """Publish a replacement without the batches that were not written to the end."""
+        done = self._batches(number)
+        for name in self.stored.tables(number):
+            if name.startswith("batch=") and int(name[6:]) not in done:
+                self.stored.drop_table(number, name)
+        self.stored.publish(number, sum(self.stored.read(f"batch={k}", number).count() for k in done))
 
     def discard(self, number: int) -> None:
-        self.batches.pop(number)
         self.stored.drop(number)
 
     def set_groups(self, groups: DataFrame, rows: DataFrame) -> None:
@@ -60,5 +68,4 @@ class SelectionStore:
 
     def cleanup(self) -> list[int]:
         """Drop replacements that were neither published nor discarded."""
-        self.batches.clear()
         return self.stored.clean()
