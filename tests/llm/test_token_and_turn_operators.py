@@ -220,6 +220,22 @@ def test_search_in_blocks_equals_plain_labels(monkeypatch, block):
         assert (*summary, audit, hashlib.sha256(text.encode()).hexdigest()) == plain_repair(rows)
 
 
+@pytest.mark.parametrize("block", [2, 128])
+def test_pieces_give_the_edits_of_the_whole(monkeypatch, block):
+    """Pieces searched by themselves, with costs from behind and states from the front, as one search does."""
+    monkeypatch.setattr(repair, "BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(300):
+        codes = "".join(repair.code(rng.choice(ROLES[:5]), rng.randrange(3)) for _ in range(rng.randrange(1, 14)))
+        cuts = sorted(rng.sample(range(1, len(codes)), rng.randrange(min(4, len(codes)))))
+        parts = [codes[a:b] for a, b in zip([0, *cuts], [*cuts, len(codes)], strict=True)]
+        state, cost, audit = 0, 0, ""
+        for part, beyond in zip(parts, repair.costs_beyond([repair.transfer(p) for p in parts]), strict=True):
+            more, edits, state = repair.least_edits(part, state, beyond)
+            cost, audit = cost + more, audit + edits
+        assert (cost, audit, state) == repair.least_edits(codes)
+
+
 @pytest.mark.parametrize("held", [1 << 20, 0])
 def test_repair_of_odd_conversations_and_a_hot_one(spark, monkeypatch, held):
     monkeypatch.setattr(repair, "HELD_BYTES", held)

@@ -24,10 +24,12 @@ Plan
    its range, one at a time.
 2. Rows of conversations that a range's border cuts (two a task at most), or that hold
    more than ``HELD_BYTES``, are written out. For them, repeated rows are found by a minimum
-   over digests, and a row becomes a code of one character (role and fault);
-   the codes of a task's part are joined first, then those of the conversation.
-   So what a search reads of a conversation has the size of the audit that it returns.
-   Their texts stream past the audit in order and are never held together.
+   over digests, and a row becomes a code of one character (role and fault).
+   The codes of a range's rows of a conversation are a piece, and pieces are searched side by side: each
+   gives its least costs from state to state, these are added up from behind (a few numbers a
+   piece), each piece is searched from all four states with the least cost ahead, and the states between
+   pieces are read off from the front. Texts stream past the audit in order and are never held
+   together; a digest of a conversation is sequential, and so is this stream.
 
 A null role or text is one space; null ids are one conversation; an empty role has no
 initial and cannot be kept. A row whose ``present`` is false or null names its
@@ -119,19 +121,38 @@ def _search(codes: str, state: int, ahead: list[int] | None) -> tuple[int, str,
     raise AssertionError("deleting all rows always ends")
 
 
-def least_edits(codes: str) -> tuple[int, str]:
-    """Cost and audit of a conversation, given as the codes of its rows."""
+_NEVER = 1 << 40
+#: Least costs by state at the end of a conversation.
+_DONE = _inserted([0 if s in _ENDS else _NEVER for s in range(4)])
+
+
+def least_edits(codes: str, state: int = START, beyond: list[int] | None = None) -> tuple[int, str, int]:
+    """``(cost, audit, state behind)`` of the codes of rows; ``beyond`` are the least costs from behind them, None at a conversation's end."""
     starts = list(range(0, len(codes), BLOCK)) or [0]
-    ahead: list[list[int] | None] = [None] * len(starts)
-    costs = _inserted([0 if s in _ENDS else 1 << 40 for s in range(4)])
+    ahead: list[list[int] | None] = [None] * (len(starts) - 1) + [beyond]
+    costs = _DONE if beyond is None else beyond
     for k in range(len(starts) - 1, 0, -1):
         costs = ahead[k - 1] = _costs_before(codes[starts[k] : starts[k] + BLOCK], costs)
-    total, audits, state = 0, [], START
+    total, audits = 0, []
     for at, charged in zip(starts, ahead, strict=True):
         cost, audit, state = _search(codes[at : at + BLOCK], state, charged)
         total += cost - (charged[state] if charged is not None else 0)
         audits.append(audit)
-    return total, "".join(audits)
+    return total, "".join(audits), state
+
+
+def transfer(codes: str) -> list[int]:
+    """Least costs of the codes from each state (inner) to each state behind them (outer), 16 numbers."""
+    return [c for end in range(4) for c in _costs_before(codes, [0 if s == end else _NEVER for s in range(4)])]
+
+
+def costs_beyond(pieces: list[list[int]]) -> list[list[int] | None]:
+    """For each piece of a conversation the least costs from behind it, by the pieces' ``transfer``; None for the last one."""
+    out: list[list[int] | None] = [None] * len(pieces)
+    costs = _DONE
+    for k in range(len(pieces) - 1, 0, -1):
+        costs = out[k - 1] = [min(pieces[k][4 * end + s] + costs[end] for end in range(4)) for s in range(4)]
+    return out
 
 
 def illegal_pairs(codes: str) -> int:
@@ -193,7 +214,7 @@ def _finished(rows: list[tuple]) -> tuple[tuple, list[tuple]]:
             fault = BAD if again == copies else fault
         codes.append(code(role, fault) + code(role, BAD) * (copies - 1))
     codes = "".join(codes)
-    cost, audit = least_edits(codes)
+    cost, audit, _ = least_edits(codes)
     replay = Replay(audit)
     out = [t for row in rows for t in replay.row(*row)] + list(replay.inserts())
     gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
@@ -255,18 +276,82 @@ def _repair(batches: Iterator) -> Iterator:
     yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def _searched(codes: Column) -> Column:
-    """Struct of ``illegal``, ``cost`` and ``audit`` by codes."""
+def _transfers(codes: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def costs(texts):
+        import pyarrow as pa
+
+        return pa.array([transfer(x) for x in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return costs(codes)
+
+
+def _beyond(pieces: Column) -> Column:
+    """``(part, beyond)`` of each piece, from ``(part, costs)`` in order."""
+
+    @F.arrow_udf("array<struct<part:int,beyond:array<long>>>")
+    def folded(rows):
+        import pyarrow as pa
+
+        out = [[{"part": p["part"], "beyond": b} for p, b in zip(own, costs_beyond([p["costs"] for p in own]), strict=True)] for own in rows.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("beyond", pa.list_(pa.int64()))])))
+
+    return folded(pieces)
+
+
+_FOUND = "array<struct<cost:bigint,audit:string,behind:int>>"
+
+
+def _searched(codes: Column, beyond: Column) -> Column:
+    """Least edits of a piece from each of the four states."""
+
+    @F.arrow_udf(_FOUND)
+    def search(texts, costs):
+        import pyarrow as pa
+
+        out = [[dict(zip(("cost", "audit", "behind"), least_edits(x, state, c), strict=True)) for state in range(4)] for x, c in zip(texts.to_pylist(), costs.to_pylist(), strict=True)]
+        return pa.array(out, pa.list_(pa.struct([("cost", pa.int64()), ("audit", pa.string()), ("behind", pa.int32())])))
+
+    return search(codes, beyond)
+
+
+def _chained(pieces: Column) -> Column:
+    """``(part, state)`` in which each piece begins, from ``(part, behind)`` in order."""
+
+    @F.arrow_udf("array<struct<part:int,state:int>>")
+    def chained(rows):
+        import pyarrow as pa
+
+        out = []
+        for own in rows.to_pylist():
+            state, states = START, []
+            for p in own:
+                states.append({"part": p["part"], "state": state})
+                state = p["behind"][state]
+            out.append(states)
+        return pa.array(out, pa.list_(pa.struct([("part", pa.int32()), ("state", pa.int32())])))
+
+    return chained(pieces)
+
+
+def _illegal(codes: Column) -> Column:
+    @F.arrow_udf("long")
+    def illegal(texts):
+        import pyarrow as pa
+
+        return pa.array([illegal_pairs(x) for x in texts.to_pylist()], pa.int64())
+
+    return illegal(codes)
+
 
-    @F.arrow_udf("illegal long, cost long, audit string")
-    def search(texts):
+def _illegal_borders(borders: Column) -> Column:
+    @F.arrow_udf("long")
+    def illegal(rows):
         import pyarrow as pa
 
-        found = [(illegal_pairs(x), *least_edits(x)) for x in texts.to_pylist()]
-        columns = zip(*found, strict=True) if found else [()] * 3
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["illegal", "cost", "audit"])
+        return pa.array([sum(map(illegal_pairs, own)) for own in rows.to_pylist()], pa.int64())
 
-    return search(codes)
+    return illegal(borders)
 
 
 def _replayed(batches: Iterator) -> Iterator:
@@ -321,13 +406,29 @@ def repair(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     coded = spoken.select("key", "part", "seq", "copies", again.alias("again"), F.lit(0).cast("long").alias("blank"), F.when(place == F.col("first"), F.col("code")).otherwise(bad).alias("code"), bad.alias("more"))
     coded = coded.unionByName(said.where(blank).select("key", "part", "seq", "copies", F.lit(0).cast("long").alias("again"), F.col("copies").alias("blank"), "code", F.col("code").alias("more")))
     coded = coded.withColumns({"codes": F.concat("code", F.repeat("more", (F.col("copies") - 1).cast("int"))), "truncated": ((F.ascii("code") - 65) % 3 == SHORT).cast("long")})
-    in_order = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "codes"))), lambda x: x["codes"]), "").alias("codes")
+    in_order = lambda at, *what: F.array_sort(F.collect_list(F.struct(at, *what)))
+    text_of = lambda rows, c: F.array_join(F.transform(rows, lambda x: x[c]), "")
     total = [F.sum(c).alias(c) for c in ("again", "blank", "truncated")]
-    whole = coded.groupBy("key", "part").agg(in_order("seq"), *total).groupBy("key").agg(in_order("part"), *total)
+    pieces = coded.groupBy("key", "part").agg(text_of(in_order("seq", "codes"), "codes").alias("codes"), *total)
+    pieces = materialize(pieces.withColumns({"costs": _transfers(F.col("codes")), "illegal": _illegal(F.col("codes"))}), "pieces")
+    # a few numbers a piece, and no more pieces of a conversation than ranges
+    beyond = pieces.groupBy("key").agg(in_order("part", "costs").alias("p")).select("key", F.explode(_beyond(F.col("p"))).alias("b")).select("key", "b.part", "b.beyond")
+    searched = materialize(pieces.join(beyond, ["key", "part"]).withColumn("found", _searched(F.col("codes"), F.col("beyond"))), "searched")
+    begun = searched.groupBy("key").agg(in_order("part", F.transform("found", lambda f: f["behind"]).alias("behind")).alias("p")).select("key", F.explode(_chained(F.col("p"))).alias("b")).select("key", "b.part", "b.state")
+    best = F.get("found", F.col("state"))
+    ends = F.concat(F.substring("codes", 1, 1), F.substring("codes", -1, 1)).alias("ends")
+    chosen = searched.join(begun, ["key", "part"]).select("key", "part", "again", "blank", "truncated", "illegal", best["cost"].alias("cost"), best["audit"].alias("audit"), ends)
+    sums = [F.sum(c).alias(c) for c in ("again", "blank", "truncated", "illegal", "cost")]
+    whole = chosen.groupBy("key").agg(*sums, in_order("part", "audit", "ends").alias("p"))
+    # pairs across the borders of pieces: the last code of one beside the first of the next
+    borders = F.aggregate(F.sequence(F.lit(1), F.size("p") - 1), F.array().cast("array<string>"), lambda a, i: F.concat(a, F.array(F.concat(F.substring(F.get("p", i - 1)["ends"], 2, 1), F.substring(F.get("p", i)["ends"], 1, 1)))))
+    whole = whole.withColumn("borders", F.when(F.size("p") > 1, borders).otherwise(F.array().cast("array<string>"))).withColumn("audit", text_of(F.col("p"), "audit"))
+    across = _illegal_borders(F.col("borders"))
+    whole = whole.withColumn("illegal", F.col("illegal") + across).drop("p", "borders")
     gaps = left.groupBy("key", "conv", "turn").agg(F.count("*").alias("n")).groupBy("key", "conv").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
-    found = gaps.join(whole, "key", "left").withColumn("best", _searched(F.coalesce("codes", F.lit(""))))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    summaries = found.select("key", "conv", zero(F.col("gaps")).alias("gaps"), zero(F.col("blank")).alias("blank"), zero(F.col("again")).alias("duplicate"), zero(F.col("truncated")).alias("truncated"), *(F.col("best")[c].alias(c) for c in ("illegal", "cost", "audit")))
+    found = gaps.join(whole, "key", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias("duplicate" if c == "again" else c)
+    summaries = found.select("key", "conv", *map(zero, ("gaps", "blank", "again", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"))
     summaries = materialize(summaries, "summaries")
     columns = [F.col("conv").alias("conv_id"), *[c.split()[0] for c in _SUMMARY.split(", ")]]
 
