@@ -14,6 +14,8 @@ Turns are ordered by turn number, then role, then text; repeated rows stay.
 Null texts and roles are empty; rows with a null conversation id form one
 conversation. An example holds its whole context by definition, so a
 conversation's turns meet in one row; conversations are independent of each other.
+Texts are taken whole, however long. An empty table gives no examples. Only the named columns
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
