@@ -39,7 +39,7 @@ def indexed_files(listing: DataFrame, roots: DataFrame, path: str = "normalized_
 def with_fallback(indexed: DataFrame, native: DataFrame, roots: DataFrame) -> DataFrame:
     """Indexed rows, and rows of the direct walk for those roots of which the index gave nothing."""
     empty = roots.select("root").join(indexed.select("root").distinct(), "root", "left_anti")
-    return indexed.unionByName(native.join(F.broadcast(empty), "root", "left_semi"), allowMissingColumns=True)
+    return indexed.unionByName(native.join(empty, "root", "left_semi"), allowMissingColumns=True)
 
 
 def write_file_lists(files: DataFrame, folder: str, disk: str = "disk", path: str = "path") -> None:
