@@ -41,6 +41,7 @@ gives no rows.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -187,17 +188,22 @@ def _lines(min_chars: int, bound: Bound):
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(4 + len(KEYS))]
+            # plain 64-bit arrays: a batch of very long texts holds hundreds of thousands of lines
+            out, missing = [array("q") for _ in range(4 + len(KEYS))], [array("b") for _ in KEYS]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for pos, line in enumerate(text.split("\n")):
                     whole = normal(line)
                     if len(whole) < max(min_chars, 1):
                         continue
                     keys = [k for units in families(whole, bound) for k in half_keys(units, bound)]
-                    for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[None] * (len(KEYS) - len(keys))), strict=True):
+                    for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[0] * (len(KEYS) - len(keys))), strict=True):
                         column.append(value)
+                    for i, column in enumerate(missing):
+                        column.append(i >= len(keys))
+            columns = [np.frombuffer(c, np.int64) for c in out]
+            masks = [None] * 4 + [np.frombuffer(m, np.bool_) for m in missing]
             kinds = (pa.int64(), pa.int32(), *[pa.int64()] * (2 + len(KEYS)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "pos", "hi", "lo", *KEYS])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k, mask=m) for c, k, m in zip(columns, kinds, masks, strict=True)], ["doc_id", "pos", "hi", "lo", *KEYS])
 
     return lines
 

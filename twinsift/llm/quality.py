@@ -25,7 +25,6 @@ the score of its own text. An empty table gives no rows. Working columns of
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -51,14 +50,9 @@ _PROSE = np.isin(_ASCII, [ord(c) for c in ".,;:'\"-?()"])
 _SYMBOL = (_ASCII < 128) & ~(_UPPER | _LOWER | _DIGIT | _SPACE | _PROSE)
 
 
-@lru_cache(maxsize=200_000)
-def _word_bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_BUCKETS
-
-
 def hashed(data: np.ndarray, distinct: set[str]) -> np.ndarray:
     """Shares of distinct words, then of runs of three bytes, by hash bucket."""
-    words = np.bincount([_word_bucket(w) if len(w) < 64 else zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in distinct] or [0], minlength=WORD_BUCKETS)
+    words = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_BUCKETS for w in distinct] or [0], minlength=WORD_BUCKETS)
     x = data.astype(np.uint32)
     grams = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)
     return np.concatenate([words / max(len(distinct), 1), np.bincount(grams % GRAM_BUCKETS, minlength=GRAM_BUCKETS) / max(len(grams), 1)])
