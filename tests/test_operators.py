@@ -106,6 +106,25 @@ def test_classes_of_videos_and_words(spark):
     assert hamming.count() == len({w for _, w in {(r["rep"], r["w"]) for r in of.join(words, "id").collect()} if any(bin(w ^ x).count("1") in (1, 2) for x in {k[0][0] for k in rep})}) // 2
 
 
+def test_videos_in_blocks_equal_nested_loop(spark, monkeypatch):
+    """Copies, hot classes and negative durations over several blocks and buckets: every pair once."""
+    from twinsift.operators import blocks
+
+    monkeypatch.setattr(blocks.near_in_window, "__defaults__", (5,))
+    monkeypatch.setattr(blocks.member_pairs, "__defaults__", (3,))
+    rng = random.Random(11)
+    kinds = [([rng.getrandbits(63) ^ (rng.getrandbits(2) << 1)] * 2 + [signed(rng.getrandbits(64)) for _ in range(4)], rng.randrange(-5000, 5000)) for _ in range(12)]
+    kinds += [([f[0] ^ (1 << rng.randrange(60)), *f[1:]], ms + rng.randrange(-2100, 2100)) for f, ms in kinds for _ in range(4)]
+    rows = [(i, *kinds[0 if i % 3 == 0 else rng.randrange(len(kinds))]) for i in range(150)] + [(500, [1, None, 1, 1, 1, 1], 0), (501, [1, None, 1, 1, 1, 1], 0), (502, [1] * 5, 0), (503, None, 0)]
+    rows += [(600, [1 << 61] * 6, 0), (600, [1 << 51] * 6, 0), (601, [1 << 61] * 6, 0), (602, [1 << 51] * 6, 0)]  # one id with two contents
+    got = [tuple(r) for r in simjoin.video_pairs(spark.createDataFrame(rows, "id long, f array<long>, ms long"), "id", "f", "ms", max_average=2).collect()]
+    far = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
+    want = {(a, b, far(f, g), abs(m - n)) for (a, f, m), (b, g, n) in itertools.combinations(rows[:150], 2) if far(f, g) <= 12 and abs(m - n) <= 2000}
+    want |= {(600, 601, 0, 0), (600, 601, 12, 0), (600, 602, 0, 0), (600, 602, 12, 0), (601, 602, 12, 0)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1225
+    assert simjoin.video_pairs(spark.createDataFrame([], "id long, f array<long>, ms long"), "id", "f", "ms").count() == 0
+
+
 def test_video_rules(spark):
     v = [(1, [0xF0] * 6, 10_000), (2, [0xFF] * 6, 12_000), (3, [0xFF] * 6, 12_001), (4, [0x1F] * 6, 10_000)]
     got = {(r["left_id"], r["right_id"]): r["total_distance"] for r in simjoin.video_pairs(spark.createDataFrame(v, "id long, f array<long>, ms long"), "id", "f", "ms").collect()}
