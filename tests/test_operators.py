@@ -125,6 +125,18 @@ def test_videos_in_blocks_equal_nested_loop(spark, monkeypatch):
     assert simjoin.video_pairs(spark.createDataFrame([], "id long, f array<long>, ms long"), "id", "f", "ms").count() == 0
 
 
+def test_copies_of_a_video_before_the_start(spark):
+    """Videos whose durations lie on both sides of 0, in copies: accepted edges are all pairs within the window."""
+    rng = random.Random(2)
+    frames, far = ([rng.getrandbits(62) | 1 for _ in range(6)] for _ in range(2))
+    rows = [(i, [far, frames][i % 2], -1500 + 700 * (i % 4)) for i in range(60)]
+    got = similar.video_edges(spark.createDataFrame(rows, "id long, video_dhashes array<long>, video_duration_ms long"), 15).select("left_id", "right_id").collect()
+    static = {i for i, f, _ in rows if sum(bin(x ^ y).count("1") for x, y in itertools.combinations(f, 2)) < 75}
+    near = lambda f, g: sum(bin(x ^ y).count("1") for x, y in zip(f, g, strict=True)) <= 90
+    want = {(a, b) for (a, f, m), (b, g, n) in itertools.combinations(rows, 2) if near(f, g) and abs(m - n) <= 2000 and not {a, b} & static}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 400
+
+
 def test_video_rules(spark):
     v = [(1, [0xF0] * 6, 10_000), (2, [0xFF] * 6, 12_000), (3, [0xFF] * 6, 12_001), (4, [0x1F] * 6, 10_000)]
     got = {(r["left_id"], r["right_id"]): r["total_distance"] for r in simjoin.video_pairs(spark.createDataFrame(v, "id long, f array<long>, ms long"), "id", "f", "ms").collect()}
@@ -594,6 +606,27 @@ def test_image_decisions():
         assert images.image_features(bad)["error"]
 
 
+def test_planes_leave_in_small_batches(spark):
+    """Features are those of each image, whatever the batches; planes only where asked for."""
+    rows = [(i, _picture(i % 3, 8 + i, 9) if i % 5 else b"bad") for i in range(150)] + [(150, None)]
+    df = spark.createDataFrame(rows, "id long, content binary").coalesce(1)
+    wide = images.with_features(df).collect()
+    assert {r["id"]: r["plane"] for r in wide} == {i: images.image_features(x)["plane"] for i, x in rows}
+    assert [f.name for f in images.with_features(df, plane=False).schema] == ["id", *[f.name for f in images.FEATURES if f.name != "plane"]]
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    assert max(r["n"] for r in images.with_features(df).mapInArrow(sizes, "n long").collect()) < 32 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    pairs = spark.createDataFrame([(0, wide[1]["plane"], wide[4]["plane"]), (1, None, wide[1]["plane"]), (2, wide[1]["plane"], wide[1]["plane"])], "id long, a binary, b binary")
+    found = {r["id"]: r["c"] for r in images.with_comparison(pairs, "a", "b").collect()}
+    assert tuple(found[0]) == images.compare_planes(wide[1]["plane"], wide[4]["plane"]) and found[1] is None and found[2]["edge_zncc"] == 1_000_000
+
+
 def test_config(tmp_path):
     with pytest.raises(config.ConfigError):
         config.Config(low_quality=gates.Profile(pdq_max=31, fallback_dhash_max=9))
