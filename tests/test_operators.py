@@ -14,6 +14,7 @@ from twinsift.operators import backfill, cluster, exact, ingest, report, segment
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.generations import Generations, schema_version
+from twinsift.plans.storage import materialize
 from twinsift.plans.report_store import RELATIONS, SKIPPED, ReportStore
 from twinsift.plans.selection_store import SELECTION, SelectionStore
 from twinsift.sources import files, schemas
@@ -673,6 +674,13 @@ def test_hot_segments_are_avoided_or_dealt(spark, monkeypatch, radius, parts):
         assert index.where("seg = 0 AND key = 0").count() < len(words) // 10
 
 
+def test_exploded_segments_are_not_broadcast(spark):
+    """A file of few words is small, its 288 index and probe rows a word are not."""
+    words = materialize(spark.range(40).selectExpr("id", "array(id, id * 7919, id * 104729, id * 1299709) AS w"), "words")
+    plan = simjoin.hamming_pairs_wide(words, "id", "w", 31)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_tiles_bound_what_a_task_meets(spark):
     from twinsift.operators.joins import join_tiled
 

@@ -50,7 +50,8 @@ def join_tiled(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
 
     A task then meets about ``hot_rows`` rows of a key from either side, however many there
     are. Rows of a hot key are repeated once per block of the other side. Both
-    sides should be stored tables or cheap to read, as their keys are counted first.
+    sides should be stored tables or cheap to read, as their keys are counted first. They are never broadcast:
+    rows that are exploded from a small file have the file's size in the optimizer's eyes.
     """
     counted = hot_counts(left, on, hot_keys, hot_rows).withColumnRenamed("n", "_l").join(hot_counts(right, on, hot_keys, hot_rows).withColumnRenamed("n", "_r"), on, "full")
     blocks = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(1)) / hot_rows).cast("int")
@@ -58,7 +59,7 @@ def join_tiled(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
     found = counted.select(*on, blocks("_l").alias("_l"), blocks("_r").alias("_r"))
     found, schema = found.collect(), found.schema
     if not found:
-        return left.join(right, on)
+        return left.join(right.hint("merge"), on)
     hot = left.sparkSession.createDataFrame(found, schema)
 
     def dealt(rows: DataFrame, id_col: str, own: str, other: str, own_tile: str, other_tile: str) -> DataFrame:
@@ -66,4 +67,4 @@ def join_tiled(left: DataFrame, right: DataFrame, on: list[str], left_id: str, r
         tile = F.pmod(F.xxhash64(id_col), F.coalesce(own, F.lit(1))).cast("int")
         return known.withColumns({own_tile: tile, other_tile: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("_l", "_r")
 
-    return dealt(left, left_id, "_l", "_r", "_tl", "_tr").join(dealt(right, right_id, "_r", "_l", "_tr", "_tl"), [*on, "_tl", "_tr"]).drop("_tl", "_tr")
+    return dealt(left, left_id, "_l", "_r", "_tl", "_tr").join(dealt(right, right_id, "_r", "_l", "_tr", "_tl").hint("merge"), [*on, "_tl", "_tr"]).drop("_tl", "_tr")
