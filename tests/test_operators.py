@@ -332,6 +332,16 @@ def test_selection_store(spark, tmp_path):
     assert held() == []
 
 
+def test_selection_is_decided_once(spark, monkeypatch):
+    """What the store saves is read from one stored decision, not decided again for each batch."""
+    from twinsift.plans import catalog
+
+    saved, save = [], SelectionStore.save
+    monkeypatch.setattr(SelectionStore, "save", lambda self, number, rows: (saved.append(rows), save(self, number, rows))[1])
+    assert catalog.QUERIES["selection_store"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(saved) > 5 and not [f for rows in saved for f in rows.inputFiles() if "lineitem" in f]
+
+
 def test_copy_of_a_generation(spark, tmp_path):
     g, backup = Generations(spark, f"file://{tmp_path}/a", "exact"), Generations(spark, f"file://{tmp_path}/b", "exact")
     with pytest.raises(LookupError):

@@ -773,7 +773,7 @@ def selection_store(spark, d):
     import uuid
 
     store = SelectionStore(spark, f"{intermediates(spark)}/{uuid.uuid4().hex}")
-    chosen = _safe(spark, d).where("decision.allowed")
+    chosen = materialize(_safe(spark, d).where("decision.allowed").select("group_id", "path_id", "retained_path_id", "size_bytes"), "chosen")
     first = store.begin()
     store.save(first, chosen.where("path_id % 2 = 0"))
     store.save(first, chosen.where("path_id % 2 <> 0"))
