@@ -776,6 +776,24 @@ def test_feed_equals_a_plain_replay_under_any_cut(spark, tmp_path, cuts):
     assert any(d for _, _, d in counts)
 
 
+def test_feed_task_holds_a_piece_and_the_state(spark):
+    """Dropped entries leave with the piece that drops them, and only the feed's capacity is kept to the end."""
+    import pyarrow as pa
+
+    from twinsift.streaming import feed
+
+    names, read = [c.split()[0] for c in feed.INPUT.split(", ")], []
+
+    def pieces():
+        for n in range(20):
+            read.append(n)
+            rows = [dict(zip(names, r, strict=True)) | {"state": None, "feed": "f", "task_id": n * 50 + i} for i, r in enumerate(feed_rows(50))]
+            yield pa.RecordBatch.from_pylist(rows)
+
+    sizes = [(len(read), b.num_rows) for b in feed._fold(30, 10)(pieces())]
+    assert sizes[0] == (1, 20) and max(n for _, n in sizes) <= 50 and len(sizes) == 21
+
+
 def test_published_sequences_survive_a_replay(spark, tmp_path):
     ops = [(s, k, key, f"p{i}", i) for i, (s, k, key) in enumerate((random.Random(i).randrange(2), random.Random(i + 99).choice(["upsert", "delete"]), random.Random(i * 3).randrange(9)) for i in range(60))]
     schema, base = "batch_scan_id long, kind string, key long, payload string, arrival long", f"file://{tmp_path}/q"
