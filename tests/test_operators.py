@@ -202,6 +202,16 @@ def test_join_counted(spark):
     assert join_counted(r.limit(0), counted.limit(0), ["k"], ["v"]).count() == 0
 
 
+def test_unique_edges_are_dealt_by_their_number(spark):
+    """The tasks that look for equal edges grow in number with the edges, and no aggregation comes before the exchange."""
+    from twinsift.plans.storage import dealt
+
+    rows = materialize(spark.range(1000).selectExpr("id % 90 AS a", "id AS b"), "edges")
+    assert dealt(rows, "a", "b", rows=50).rdd.getNumPartitions() == 20
+    plan = dealt(rows, "a", "b", rows=50).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)]
@@ -691,6 +701,16 @@ def test_exploded_segments_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_copies_of_words_meet_once(spark, monkeypatch):
+    """Three hundred rows of six words: six rows are joined, and every pair of rows comes out once."""
+    joined, own = [], simjoin.index_rows
+    monkeypatch.setattr(simjoin, "index_rows", lambda rows, *more: (joined.append(rows.count()), own(rows, *more))[1])
+    rows = [(i, [0, 1, 3, 255, 254, 1 << 40][i % 6]) for i in range(300)] + [(7, 99), (0, None)]
+    got = [tuple(r) for r in simjoin.hamming_pairs(spark.createDataFrame(rows, "id long, w long"), "id", "w", 2).collect()]
+    want = [(a, b, bin(x ^ y).count("1")) for (a, x), (b, y) in itertools.combinations(sorted(rows[:300] + [(7, 99)]), 2) if a != b and bin(x ^ y).count("1") <= 2]
+    assert sorted(got) == sorted(want) and joined == [7]
+
+
 def test_tiles_bound_what_a_task_meets(spark):
     from twinsift.operators.joins import join_tiled
 
