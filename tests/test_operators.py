@@ -126,6 +126,26 @@ def test_videos_in_blocks_equal_nested_loop(spark, monkeypatch):
     assert simjoin.video_pairs(spark.createDataFrame([], "id long, f array<long>, ms long"), "id", "f", "ms").count() == 0
 
 
+def test_blocks_are_compared_in_several_tasks(spark):
+    """Pairs of blocks are few bytes but much work, so they stay dealt; all radii and numbers of frames give all pairs."""
+    from twinsift.operators import blocks
+
+    rng = random.Random(12)
+    kinds = [[rng.getrandbits(8) * 0x0101010101010101 for _ in range(n)] for n in (0, 1, 5) for _ in range(40)]
+    rows = [(i, [signed(w) for w in f], rng.randrange(-900, 2600), 1) for i, f in enumerate(kinds)]
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    spark.conf.set(name, "false")
+    try:
+        for radius in (0, 30, 150, 300):
+            got = blocks.near_in_window(spark.createDataFrame(rows, "id long, f array<long>, ms long, n long"), radius, 1000, 8).withColumn("task", F.spark_partition_id()).collect()
+            far = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
+            want = {(a, b, far(f, g), abs(m - n)) for (a, f, m, _), (b, g, n, _) in itertools.combinations(rows, 2) if len(f) == len(g) and far(f, g) <= radius and abs(m - n) <= 1000}
+            assert {(min(r["left_c"], r["right_c"]), max(r["left_c"], r["right_c"]), r["distance"], r["apart"]) for r in got} == want and len(got) == len(want) > 0
+            assert len({r["task"] for r in got}) > 1
+    finally:
+        spark.conf.unset(name)
+
+
 def test_copies_of_a_video_before_the_start(spark):
     """Videos whose durations lie on both sides of 0, in copies: accepted edges are all pairs within the window."""
     rng = random.Random(2)
