@@ -213,6 +213,23 @@ def test_line_dedup(spark):
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
 
 
+def test_units_are_hashed_once(monkeypatch):
+    """Both sums of a line's variants use the same hashes, and what depends on a line's length only is worked out once."""
+    real, digests, inverses = line_dedup.xxhash.xxh3_64_intdigest, [], []
+    monkeypatch.setattr(line_dedup.xxhash, "xxh3_64_intdigest", lambda x: digests.append(x) or real(x))
+    words = [f"w{i}" for i in range(53)]
+    assert sum(len(at) for _, _, at in line_dedup.variants(words, np.arange(53))) == 54
+    assert len(digests) == 53
+    line_dedup.window_keys(words)
+    monkeypatch.setattr(line_dedup, "pow", lambda *x: inverses.append(x) or pow(*x), raising=False)
+    keys = line_dedup.window_keys(words[::-1])
+    assert not inverses and len(keys) == 2 * line_dedup.WINDOWS
+    # beyond the powers that are kept, too: a line's sums are those of its units
+    long = np.arange(line_dedup.KNOWN_POWERS + 2, dtype=np.uint64)
+    base = line_dedup._BASES[0]
+    assert int(line_dedup.Sums(long, base).upto[-1]) == sum(i * pow(base, i, 1 << 64) for i in range(len(long))) % (1 << 64)
+
+
 @pytest.mark.parametrize("kind", ["words", "characters"])
 def test_half_keys_meet(kind):
     rng, least = random.Random(6), {"words": 5, "characters": 10}[kind]

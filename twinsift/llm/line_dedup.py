@@ -41,6 +41,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import functools
 from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -55,6 +56,8 @@ from twinsift.plans.storage import arrow_rows, free_name, materialize
 
 MIN_CHARS = 1
 WINDOWS = 8
+#: Powers of a base that are kept.
+KNOWN_POWERS = 65_536
 #: Variants of a line are made and sent in slices of so many.
 SLICE = 100_000
 PLACE = ["doc_id", "pos"]
@@ -84,7 +87,10 @@ def families(line: str, bound: Bound = Bound()) -> list[Sequence[str]]:
 
     A near line may have one unit more or less, so a line one unit short of a limit is compared too.
     """
-    words = line.split(" ")
+    return _families(line, line.split(" "), bound)
+
+
+def _families(line: str, words: list[str], bound: Bound) -> list[Sequence[str]]:
     out: list[Sequence[str]] = [words] if len(words) >= bound.words - 1 else []
     return out + ([line] if len(line) >= bound.chars - 1 and len(words) <= bound.few else [])
 
@@ -125,25 +131,57 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _hashes(units: Sequence[str]) -> np.ndarray:
+    if isinstance(units, str):
+        return _mixed(np.frombuffer(units.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in units], np.uint64)
+
+
+@functools.lru_cache(len(_BASES))
+def _known_powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(KNOWN_POWERS - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``."""
+    if n <= KNOWN_POWERS:
+        return _known_powers(base)[:n]
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+@functools.cache
+def _inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
 class Sums:
     """Polynomial hashes of a line's units, from which any part joined to any other costs one step."""
 
-    def __init__(self, units: Sequence[str], base: int):
-        if isinstance(units, str):
-            h = _mixed(np.frombuffer(units.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
-        else:
-            h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in units], np.uint64)
-        n = self.n = len(h)
-        powers = np.full(max(n, 1), base, np.uint64)
-        powers[0] = 1
-        self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers)[:n], dtype=np.uint64)])
-        self.back = pow(base, -1, 1 << 64)
+    def __init__(self, hashes: np.ndarray, base: int):
+        n = self.n = len(hashes)
+        self.upto = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * _powers(base, n), dtype=np.uint64, out=self.upto[1:])
+        self.back = np.uint64(_inverse(base))
 
-    def without(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of the line less the units from ``lo`` to ``hi``."""
-        sizes, which = np.unique(hi - lo, return_inverse=True)
-        shift = np.array([pow(self.back, d, 1 << 64) for d in sizes.tolist()], np.uint64)[which]
-        return self.upto[lo] + (self.upto[self.n] - self.upto[hi]) * shift
+    def without(self, lo: np.ndarray, hi: np.ndarray, shift: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the line less the units from ``lo`` to ``hi``; ``shift`` is the inverse base to the power of their number, one unit by default."""
+        return self.upto[lo] + (self.upto[self.n] - self.upto[hi]) * (self.back if shift is None else shift)
+
+
+@functools.lru_cache(4096)
+def _windows(size: int, kind: int) -> tuple[np.ndarray, ...]:
+    """What ``window_keys`` needs of a line's length only: ``lo``, ``hi``, the shifts and the tags of its keys."""
+    cuts = np.arange(WINDOWS + 1)
+    lo = np.concatenate([n * cuts[:-1] // WINDOWS for n in (size, size - 1)])
+    hi = np.concatenate([size - (n - n * cuts[1:] // WINDOWS) for n in (size, size - 1)])
+    shift = np.array([pow(_inverse(_BASES[0]), d, 1 << 64) for d in (hi - lo).tolist()], np.uint64)
+    tags = np.array([(n * WINDOWS + j) * 2 + kind for n in (size, size - 1) for j in range(WINDOWS)], np.uint64)
+    return lo, hi, shift, _mixed(tags + np.uint64(1))
+
+
+def _window_columns(units: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lo, hi, shift, tags = _windows(len(units), int(isinstance(units, str)))
+    return _mixed(Sums(_hashes(units), _BASES[0]).without(lo, hi, shift) + tags).view(np.int64), lo, hi
 
 
 def window_keys(units: Sequence[str]) -> list[tuple[int, int, int]]:
@@ -152,19 +190,14 @@ def window_keys(units: Sequence[str]) -> list[tuple[int, int, int]]:
     For the length below, a line has one unit more in each window; so a line and
     one with a unit inserted share the key of the window that holds it.
     """
-    size, cuts = len(units), np.arange(WINDOWS + 1)
-    lo = np.concatenate([n * cuts[:-1] // WINDOWS for n in (size, size - 1)])
-    hi = np.concatenate([size - (n - n * cuts[1:] // WINDOWS) for n in (size, size - 1)])
-    kind = 1 if isinstance(units, str) else 0
-    tags = np.array([(n * WINDOWS + j) * 2 + kind for n in (size, size - 1) for j in range(WINDOWS)], np.uint64)
-    keys = _mixed(Sums(units, _BASES[0]).without(lo, hi) + _mixed(tags + np.uint64(1))).view(np.int64)
-    return list(zip(keys.tolist(), lo.tolist(), hi.tolist(), strict=True))
+    return list(zip(*(c.tolist() for c in _window_columns(units)), strict=True))
 
 
 def variants(units: Sequence[str], places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``hi``, ``lo`` and position of the line itself (position -1) and of the line less the unit at each of ``places``, in slices."""
     kind = np.uint64(isinstance(units, str)) * np.uint64(_BASES[1])
-    sums = [Sums(units, base) for base in _BASES]
+    hashes = _hashes(units)
+    sums = [Sums(hashes, base) for base in _BASES]
     hi, lo = (_mixed(own.upto[own.n :] + kind).view(np.int64) for own in sums)
     yield hi, lo, np.array([-1], np.int32)
     for at in range(0, len(places), SLICE):
@@ -188,20 +221,19 @@ def _lines(min_chars: int, bound: Bound):
         import pyarrow as pa
 
         for batch in batches:
-            # plain 64-bit arrays: a batch of very long texts holds hundreds of thousands of lines
-            out, missing = [array("q") for _ in range(4 + len(KEYS))], [array("b") for _ in KEYS]
+            # plain 64-bit numbers, row by row: a batch of very long texts holds hundreds of thousands of lines
+            out, known, none = array("q"), array("b"), (0,) * len(KEYS)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for pos, line in enumerate(text.split("\n")):
-                    whole = normal(line)
+                    words = line.lower().split()
+                    whole = " ".join(words)
                     if len(whole) < max(min_chars, 1):
                         continue
-                    keys = [k for units in families(whole, bound) for k in half_keys(units, bound)]
-                    for column, value in zip(out, (doc, pos, *_pair(whole), *keys, *[0] * (len(KEYS) - len(keys))), strict=True):
-                        column.append(value)
-                    for i, column in enumerate(missing):
-                        column.append(i >= len(keys))
-            columns = [np.frombuffer(c, np.int64) for c in out]
-            masks = [None] * 4 + [np.frombuffer(m, np.bool_) for m in missing]
+                    keys = [k for units in _families(whole, words, bound) for k in half_keys(units, bound)]
+                    out.extend((doc, pos, *_pair(whole), *keys, *none[len(keys) :]))
+                    known.append(len(keys))
+            columns = np.frombuffer(out, np.int64).reshape(-1, 4 + len(KEYS)).T
+            masks = [None] * 4 + list(np.arange(len(KEYS))[:, None] >= np.frombuffer(known, np.int8))
             kinds = (pa.int64(), pa.int32(), *[pa.int64()] * (2 + len(KEYS)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k, mask=m) for c, k, m in zip(columns, kinds, masks, strict=True)], ["doc_id", "pos", "hi", "lo", *KEYS])
 
@@ -227,15 +259,19 @@ def _outsides(bound: Bound):
         import pyarrow as pa
 
         for batch in batches:
-            out = [
-                (k, doc, pos, isinstance(units, str), lo, hi)
-                for doc, pos, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-                for units in families(line, bound)
-                for k, lo, hi in window_keys(units)
-            ]
-            columns = zip(*out, strict=True) if out else [()] * 6
+            out, docs, places, chars = [], [], [], []
+            for doc, pos, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for units in families(line, bound):
+                    out.append(_window_columns(units))
+                    docs.append(doc)
+                    places.append(pos)
+                    chars.append(isinstance(units, str))
+            # a line has as many keys as another
+            whole = lambda values, kind: np.repeat(np.array(values, kind), 2 * WINDOWS)
+            k, lo, hi = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+            columns = (k, whole(docs, np.int64), whole(places, np.int32), whole(chars, np.bool_), lo, hi)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k", "doc_id", "pos", "chars", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if t == pa.int32() else c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "doc_id", "pos", "chars", "lo", "hi"])
 
     return outsides
 
