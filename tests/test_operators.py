@@ -126,7 +126,7 @@ def test_videos_in_blocks_equal_nested_loop(spark, monkeypatch):
     assert simjoin.video_pairs(spark.createDataFrame([], "id long, f array<long>, ms long"), "id", "f", "ms").count() == 0
 
 
-def test_blocks_are_compared_in_several_tasks(spark):
+def test_blocks_are_compared_in_several_tasks(spark, monkeypatch):
     """Pairs of blocks are few bytes but much work, so they stay dealt; all radii and numbers of frames give all pairs."""
     from twinsift.operators import blocks
 
@@ -137,6 +137,7 @@ def test_blocks_are_compared_in_several_tasks(spark):
     spark.conf.set(name, "false")
     try:
         for radius in (0, 30, 150, 300):
+            monkeypatch.setattr(blocks, "HOT_KEYS", 0 if radius == 150 else 10_000)  # more buckets than are broadcast
             got = blocks.near_in_window(spark.createDataFrame(rows, "id long, f array<long>, ms long, n long"), radius, 1000, 8).withColumn("task", F.spark_partition_id()).collect()
             far = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
             want = {(a, b, far(f, g), abs(m - n)) for (a, f, m, _), (b, g, n, _) in itertools.combinations(rows, 2) if len(f) == len(g) and far(f, g) <= radius and abs(m - n) <= 1000}
