@@ -132,3 +132,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_structural_gate_stores_no_planes(spark, monkeypatch):
+    """Stored planes come back thousands at a time, hundreds of MB a task; scores are those of both pictures' features."""
+    stored, keep = [], catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, *a, **b: (stored.extend(df.columns), keep(df, *a, **b))[1])
+    got = {r["vec_id"]: (r["edge_zncc"], r["trimmed_block"], r["passing_share"], r["accepted"]) for r in catalog.QUERIES["structural_gate"](spark, D).collect()}
+    assert "plane" not in stored
+    made = {r["vec_id"]: catalog.images.image_features(bytes(r["content"])) for r in catalog._pictures(spark, D).where("vec_id < 20").collect()}
+    for i in range(19):
+        a, b = made[i], made[i + 1]
+        edge, block, share = want = catalog.images.compare_planes(a["plane"], b["plane"])
+        low = min(a["image_pdq_quality"], b["image_pdq_quality"]) < 50
+        own = catalog.gates.LOW_QUALITY if low else catalog.gates.STANDARD
+        assert got[i] == (*want, edge >= own.edge_min and block >= own.trimmed_block_min and share >= own.passing_share_min)

@@ -13,7 +13,7 @@ from twinsift.operators.components import connected_components
 from twinsift.plans import generations, tables
 from twinsift.plans.report_store import MEMBERS, RELATIONS, SKIPPED, ReportStore
 from twinsift.plans.selection_store import SelectionStore
-from twinsift.plans.storage import intermediates, materialize
+from twinsift.plans.storage import dealt, intermediates, materialize
 from twinsift.sources import files
 from twinsift.streaming import logs, outbox
 
@@ -993,11 +993,12 @@ def image_features(spark, d):
 @query()
 def structural_gate(spark, d):
     """Structural comparison of each picture with the next one, and the gate's decision."""
-    f = materialize(images.with_features(_pictures(spark, d)).select("vec_id", "plane", "image_pdq_quality"), "planes")
-    n = f.select((F.col("vec_id") - 1).alias("vec_id"), F.col("plane").alias("next_plane"), F.col("image_pdq_quality").alias("next_quality"))
-    both = f.join(n.hint("merge"), "vec_id").select("vec_id", "plane", "next_plane", gates.is_low_quality("image_pdq_quality", "next_quality").alias("low"))
-    c = images.with_comparison(both, "plane", "next_plane")
-    return c.select("vec_id", "c.edge_zncc", "c.trimmed_block", "c.passing_share", gates.structural_accept("c.edge_zncc", "c.trimmed_block", "c.passing_share", F.col("low")).alias("accepted"))
+    p = _pictures(spark, d)
+    n = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("content").alias("next_content"))
+    both = dealt(p, "vec_id", rows=images.TASK_IMAGES).join(n.hint("merge"), "vec_id")
+    c = images.with_content_comparison(both, "content", "next_content")
+    low = gates.is_low_quality("left_quality", "right_quality")
+    return c.select("vec_id", "c.edge_zncc", "c.trimmed_block", "c.passing_share", gates.structural_accept("c.edge_zncc", "c.trimmed_block", "c.passing_share", low).alias("accepted"))
 
 
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ms, CAST((epoch_us(ts) // 1000 + 11644473600000) * 10000 AS BIGINT) AS filetime, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS utc, CAST(round(value * 1000000) AS BIGINT) AS millionths FROM events")
