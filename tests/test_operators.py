@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinsift import config
 from twinsift.functions import bits, gates, images, media
-from twinsift.operators import backfill, cluster, exact, ingest, report, segment_index, selection, similar, simjoin
+from twinsift.operators import backfill, cluster, exact, ingest, report, segment_index, selection, similar, simjoin, wide
 from twinsift.operators.components import connected_components
 from twinsift.operators.joins import join_counted
 from twinsift.plans.generations import Generations, schema_version
@@ -86,6 +86,28 @@ def test_wide_join_of_256_bits(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("group_rows", "tile_rows", "cells"), [(16_384, 65_536, 1 << 19), (8, 20, 50)])
+def test_array_pairs_meet_in_groups_and_tiles(spark, monkeypatch, group_rows, tile_rows, cells):
+    """No row is sent for neighbouring values; half of all rows share a segment, and the pairs are those of brute force, once each."""
+    monkeypatch.setattr(wide.wide_pairs, "__defaults__", (group_rows, tile_rows, cells))
+    monkeypatch.setattr(simjoin, "probe_rows", None)
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        v = rng.getrandbits(256) & ~(0xFFFF << 240 if i % 2 else 0)
+        for k in range(4):
+            marked = v
+            for s in rng.sample(range(16), min(16, 5 * k + i % 3)):
+                marked ^= 1 << 16 * s + rng.randrange(16)
+            rows.append((4 * i + k, [signed(marked >> s & (1 << 64) - 1) for s in (192, 128, 64, 0)]))
+    rows += [(1000, rows[0][1]), (1001, None), (1002, [1, 2, 3]), (1003, [1, 2, 3, None])]
+    got = [tuple(r) for r in simjoin.array_pairs(spark.createDataFrame(rows, "id long, w array<long>"), "id", "w", 31).collect()]
+    dist = lambda a, b: sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
+    whole = rows[:-3]
+    want = {(a, b, dist(x, y)) for a, x in whole for b, y in whole if a < b and dist(x, y) <= 31}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_classes_of_videos_and_words(spark):
     """Nine in ten rows are copies of one video; pairs of classes and membership give all pairs of different videos."""
     rng = random.Random(3)
