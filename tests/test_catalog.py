@@ -147,3 +147,11 @@ def test_structural_gate_stores_no_planes(spark, monkeypatch):
         low = min(a["image_pdq_quality"], b["image_pdq_quality"]) < 50
         own = catalog.gates.LOW_QUALITY if low else catalog.gates.STANDARD
         assert got[i] == (*want, edge >= own.edge_min and block >= own.trimmed_block_min and share >= own.passing_share_min)
+
+
+def test_image_pipeline_stores_no_planes(spark, monkeypatch):
+    stored, keep = [], catalog.materialize
+    for module in (catalog, catalog.similar):
+        monkeypatch.setattr(module, "materialize", lambda df, *a, **b: (stored.append(df.columns), keep(df, *a, **b))[1])
+    assert catalog.QUERIES["image_pipeline"](spark, D).count() > 0
+    assert len(stored) > 5 and not any("plane" in columns for columns in stored)

@@ -519,8 +519,9 @@ def image_candidates(spark, d):
 def image_pipeline(spark, d):
     """From pictures (each in two brightnesses) to similarity groups: features, candidates, zoned and structural gates, clusters."""
     both = _pictures(spark, d).select((F.col("vec_id") * 2).alias("id"), "content").unionByName(_pictures(spark, d, 134).select((F.col("vec_id") * 2 + 1).alias("id"), "content"))
-    f = materialize(images.with_features(both), "features")
-    staged, members = similar.image_edges(f, f.select("id", "plane"))
+    pictures = materialize(both.where("id IS NOT NULL"), "pictures")
+    f = materialize(images.with_features(dealt(pictures, "id", rows=images.TASK_IMAGES), plane=False), "features")
+    staged, members = similar.image_edges(f, pictures)
     staged = materialize(staged, "staged")
     roots = cluster.complete_link(staged.where("structure_ok").withColumn("distance", F.col("pdq_distance")))[0]
     return similar.with_members(roots, members)
