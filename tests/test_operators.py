@@ -220,6 +220,24 @@ def test_complete_link_example_and_brute_force(spark):
     assert late.count() >= 1
 
 
+@pytest.mark.parametrize("round_nodes", [1_000, 35])
+def test_complete_link_of_copies_makes_no_edges_of_nodes(spark, monkeypatch, round_nodes):
+    """Groups and relations from pairs of classes are those of all pairs of their nodes, in one round and in several."""
+    rng = random.Random(29)
+    kinds = [rng.randrange(1 << 9) for _ in range(60)]
+    words = [(5 * i + 3, rng.choice(kinds) if i % 7 else rng.randrange(1 << 9)) for i in range(200)] + [(2_000, 1 << 15 | 0x5555), (2_001, 1 << 15 | 0x5555), (2_002, 0x6AAA << 1)]
+    edges = [(a, b, bin(x ^ y).count("1")) for (a, x), (b, y) in itertools.combinations(words, 2) if bin(x ^ y).count("1") <= 2]
+    roots = cluster.greedy(edges)
+    monkeypatch.setattr(simjoin, "member_pairs", None)
+    pairs, members = simjoin.flipped_classes(spark.createDataFrame(words, "id long, w long"), "id", "w", 2, 16)
+    got = cluster.complete_link_copies(pairs, members, round_nodes)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(roots) and dict(rows) == roots and len(set(roots.values())) < len(roots) // 3
+    want = {(x, y, d, roots[x], roots[y]) for a, b, d in edges for x, y in ((a, b), (b, a)) if roots[a] != roots[b]}
+    across = [tuple(r[c] for c in ("left_id", "right_id", "distance", "left_root", "right_root")) for r in cluster.cross_copies(pairs, members, got).collect()]
+    assert len(across) == len(want) and set(across) == want
+
+
 def test_complete_link_in_rounds_leaves_no_component_out(spark):
     rng = random.Random(5)
     kind = "left_id long, right_id long, distance int"
